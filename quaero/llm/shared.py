@@ -8,7 +8,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one step inside a task works on; bounds a worker's memory whatever the batch size.
 CHUNK_BYTES = 2 << 20
@@ -65,14 +66,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hash of each word; each distinct word of the chunk is hashed once."""
+def word_hashes(words: pa.Array, trim: str = "") -> np.ndarray:
+    """64-bit hash of each word, without the characters of trim at its ends; a chunk's distinct words are hashed once."""
     import pandas as pd
 
     if not len(words):
         return np.zeros(0, np.uint64)
     coded = pc.dictionary_encode(words)
-    hashes = pd.util.hash_array(np.asarray(coded.dictionary.to_pylist(), dtype=object), categorize=False)
+    values = pc.utf8_trim(coded.dictionary, characters=trim) if trim else coded.dictionary
+    hashes = pd.util.hash_array(np.asarray(values.to_pylist(), dtype=object), categorize=False)
     return mix(hashes)[coded.indices.to_numpy()]
 
 
@@ -96,3 +98,32 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarra
         out = np.where(same, out * factor + shifted, out)
         inside &= keep
     return rows[inside], mix(out[inside])
+
+
+#: Slots of a key bitmap: 2 MB whatever the number of keys. More keys let more rows through, and never fewer.
+SLOT_BITS = 24
+
+
+def slot_of(hashed: Column) -> Column:
+    """The bitmap slot of a 64-bit hash."""
+    return F.pmod(hashed, F.lit(1 << SLOT_BITS))
+
+
+def bitmap(slots: DataFrame) -> np.ndarray:
+    """One flag per slot, set for the values of the only column. At most 512 rows of 4 KB reach the driver."""
+    at = F.col(slots.columns[0]) + 1
+    rows = slots.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(1 << SLOT_BITS, bool)
+    for r in rows:
+        bits = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        out[(r.bucket - 1) * 32768 : r.bucket * 32768] = bits.astype(bool)
+    return out
+
+
+def packed(flags: np.ndarray) -> np.ndarray:
+    return np.packbits(flags, bitorder="little")
+
+
+def is_set(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Whether each slot is set in a packed bitmap."""
+    return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
