@@ -149,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return Machine(float(bias), weights.astype(np.float32), factors.astype(np.float32), mean, spread)
 
 
-def quality_scores(docs: DataFrame, machine: Machine, text: str = "text") -> DataFrame:
-    """docs with a column quality_score (0 to 1). Null texts are scored as empty ones. All rows and columns are kept."""
+def quality_scores(docs: DataFrame, machine: Machine, text: str = "text", column: str = "quality_score") -> DataFrame:
+    """docs with a column for the score (0 to 1). Null texts are scored as empty ones. All rows and columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
@@ -159,7 +159,7 @@ def quality_scores(docs: DataFrame, machine: Machine, text: str = "text") -> Dat
             parts = [shared.value.scores(part.column(0)) for part in chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    return docs.withColumn("quality_score", score(F.col(text)))
+    return docs.withColumn(column, score(F.col(text)))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:

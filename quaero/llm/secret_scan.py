@@ -22,7 +22,7 @@ IDENTIFIER = "[A-Za-z_]{8,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
-#: Training takes about so many documents, spread over the table, for each label; counts are smoothed by SMOOTHING.
+#: Training takes about so many documents, spread over the table, for each label; letters are smoothed by SMOOTHING.
 LABELLED_DOCUMENTS, SMOOTHING = 20_000, 0.5
 #: Share of a uniform choice mixed into the random model, so that it isn't tied to the kinds of keys in the sample.
 UNIFORM = 0.5
@@ -80,14 +80,16 @@ def train(docs: DataFrame, text: str = "text") -> list[float]:
     pairs = words.select("label", "n", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substr(w, i, 2))")).alias("pair"))
     counted = pairs.groupBy("label", "pair").agg(F.sum("n").alias("n")).where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).collect()
     size = len(ALPHABET)
-    tally = {0: [[SMOOTHING] * size for _ in range(size)], 1: [[SMOOTHING] * size for _ in range(size)]}
+    tally = {k: [[0.0] * size for _ in range(size)] for k in (0, 1)}
     place = {c: i for i, c in enumerate(ALPHABET)}
     for r in counted:
         tally[r.label][place[r.pair[0]]][place[r.pair[1]]] += r.n
-    out = []
-    for a in range(size):
-        for_random, for_plain = sum(tally[1][a]), sum(tally[0][a])
-        out += [math.log(UNIFORM / size + (1 - UNIFORM) * tally[1][a][b] / for_random) - math.log(tally[0][a][b] / for_plain) for b in range(size)]
+    chance = {}
+    for k, rows in tally.items():  # pairs fall back on how frequent their second letter is
+        seconds = [SMOOTHING + sum(row[b] for row in rows) for b in range(size)]
+        single = [n / sum(seconds) for n in seconds]
+        chance[k] = [[(row[b] + single[b]) / (sum(row) + 1) for b in range(size)] for row in rows]
+    out = [math.log(UNIFORM / size + (1 - UNIFORM) * chance[1][a][b]) - math.log(chance[0][a][b]) for a in range(size) for b in range(size)]
     return out
 
 

@@ -89,7 +89,7 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarra
     first = np.ones(n, bool)
     first[1:] = rows[1:] != rows[:-1]
     for k in range(size):
-        end = n - k
+        end = max(0, n - k)
         same = np.zeros(n, bool)
         same[:end] = rows[k:] == rows[:end]
         keep = same | first  # the first window of a short text goes on without the missing words
