@@ -18,7 +18,7 @@ def normalized(raw: Column) -> Column:
     Null if no letter or digit is left.
     """
     folded = F.regexp_replace(F.lower(F.translate(raw, _WIDE, _PLAIN)), r"(?U)[\s_-]+", "-")
-    trimmed = F.trim(F.lit("-"), folded)
+    trimmed = F.trim(folded, F.lit("-"))
     return F.when(trimmed.rlike(r"[\p{L}\p{N}]"), trimmed)
 
 

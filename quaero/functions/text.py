@@ -27,7 +27,7 @@ def is_uuid(text: Column) -> Column:
 def slug(title: Column, limit: int = 48) -> Column:
     """Lower-case letters and digits, other runs as one dash; cut where the limit is reached, without dashes at the ends."""
     plain = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", "-")
-    return F.trim(F.lit("-"), F.substring(F.ltrim(plain, F.lit("-")), 1, limit))
+    return F.trim(F.substring(F.ltrim(plain, F.lit("-")), 1, limit), F.lit("-"))
 
 
 def project_name(git_repo: Column, cwd: Column) -> Column:

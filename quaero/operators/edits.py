@@ -48,8 +48,10 @@ def tag_policy(requests: DataFrame, known: DataFrame, aliases: DataFrame) -> Dat
     each = resolved(each, "tag", aliases).join(known.select("tag", F.lit(True).alias("is_known")).distinct(), "tag", "left")
     fresh = each.where("is_new AND is_known IS NULL AND tag IS NOT NULL").select("tag").distinct()
     squash = lambda c: F.replace(c, F.lit("-"), F.lit(""))
-    # Fresh tags of a batch against the labels in use: by equal first or last two letters or equal squashed form, then exactly.
-    blocks = lambda df, name: df.select(F.col("tag").alias(name), F.explode(F.array_distinct(F.concat(F.array(squash(F.col("tag"))), F.transform(F.sequence(F.lit(1), F.greatest(F.length("tag") - 1, F.lit(1))), lambda i: F.substring("tag", i, F.lit(2)))))).alias("block"))
+    # Fresh tags of a batch against the labels in use: by a pair of letters in common or an equal squashed form, then exactly.
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("tag") - 1, F.lit(1))), lambda i: F.substring("tag", i, F.lit(2)))
+    keys = F.array_distinct(F.concat(F.array(squash(F.col("tag"))), pairs))
+    blocks = lambda df, name: df.withColumn("block", F.explode(keys)).select(F.col("tag").alias(name), "block")
     met = blocks(fresh, "tag").join(blocks(known.select("tag"), "other"), "block").where("tag <> other")
     alike = (squash(F.col("tag")) == squash(F.col("other"))) | (similarity(F.col("tag"), F.col("other")) >= NEAR)
     near = met.where(alike).groupBy("tag").agg(F.array_sort(F.collect_set("other")).alias("near"))

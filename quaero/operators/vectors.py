@@ -78,8 +78,8 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int, floor: float = -1
     """
     n_q, n_v = max(1, -(-queries.count() // BLOCK)), max(1, -(-vectors.count() // BLOCK))
     unit = lambda c: F.col(c).cast("array<double>")
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), unit("embedding").alias("embedding"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
-    v = vectors.select(F.col("id").cast("long").alias("id"), unit("embedding").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long").alias("qb"))
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), unit("embedding").alias("embedding"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
+    v = vectors.select(F.col("id").cast("long").alias("id"), unit("embedding").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):

@@ -89,7 +89,7 @@ def embedding_plan(spark, d):
 
 def centroids(spark, d):
     c = V.centroids(S.vectors(spark, d)).select("topic_id", F.posexplode("embedding").alias("pos", "x"))
-    return c.select("topic_id", F.col("pos").cast("long").alias("pos"), F.round("x", 5).alias("x"))
+    return c.select("topic_id", F.col("pos").cast("long").alias("pos"), (F.round("x", 5) + 0.0).alias("x"))
 
 
 def change_signatures(spark, d):
@@ -191,7 +191,7 @@ SELECT key, 'embed' AS action FROM a WHERE key NOT IN (SELECT key FROM b) UNION
             "qa",
         ),
     ),
-    "centroids": (centroids, sql_with(f", {_CENT} SELECT topic_id, pos::BIGINT AS pos, round(x, 5) AS x FROM cc", "vec")),
+    "centroids": (centroids, sql_with(f", {_CENT} SELECT topic_id, pos::BIGINT AS pos, round(x, 5) + 0.0 AS x FROM cc", "vec")),
     "change_signatures": (change_signatures, sql_with("SELECT topic_id, sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR)) AS signature FROM vec GROUP BY 1", "vec")),
     "similar_topics": (similar_topics, sql_with(f", {_CENT} SELECT s5.topic_id, other, round(s, 4) AS similarity, ask_count FROM s5 JOIN tc ON tc.topic_id = other", "vec")),
     "duplicate_topics": (

@@ -139,6 +139,7 @@ def test_folder_to_tables_and_sync(spark, tmp_path):
 
     manifest = spark.createDataFrame(vault.manifest_of(rows).collect(), vault.MANIFEST)
     kept = spark.createDataFrame(rows.collect(), rows.schema)
+    rows.unpersist()  # or the rebuild below would read it
     os.remove(os.path.join(root, "topics/t.md"))
     write(root, "notes/2026/01/a.md", NOTE.format(id="N1", session=UUID).replace("because", "changed it"))
     write(root, "notes/2026/02/n.md", NOTE.format(id="N3", session=UUID))
