@@ -18,7 +18,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -172,13 +171,16 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def _compared(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
-    """a, b, linked of each pair: whether the exact similarity of their shingle sets reaches the threshold."""
-    spark = pairs.sparkSession
+def _node_sets(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and hashes of these texts (and of a few others that share a slot)."""
     slot = slot_of(F.xxhash64("row_key"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row_key"))
-    bits = spark.sparkContext.broadcast(packed(bitmap(ends.select(slot.alias("slot")))))
-    sets = written(_sets(rows.withColumn("slot", slot), bits), f"{name}_sets")
+    wanted = nodes.select(F.col("node").alias("row_key")).select(slot.alias("slot"))
+    return _sets(rows.withColumn("slot", slot), rows.sparkSession.sparkContext.broadcast(packed(bitmap(wanted))))
+
+
+def _compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b, linked of each pair: whether the exact similarity of their shingle sets reaches the threshold."""
+    sets = written(_node_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_hashes")).hint("shuffle_merge"), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_hashes")).hint("shuffle_merge"), "b")
 
@@ -187,7 +189,7 @@ def _compared(pairs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
             linked = [jaccard(x, y) >= SIMILARITY for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return written(both.select("a", "b", "a_hashes", "b_hashes").mapInArrow(run, "a long, b long, linked boolean"), f"{name}_compared")
+    return written(both.select("a", "b", "a_hashes", "b_hashes").mapInArrow(run, "a long, b long, linked boolean"), "compared")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,12 +213,11 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _block_pairs(buckets: DataFrame, least: float, every: bool) -> DataFrame:
-    """Candidate pairs (a, b) across components inside buckets (key, node, component, low), by the signatures' estimate.
+def _met(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets (key, node, component, low) that hold several components, dealt to groups (key, one, two).
 
     A bucket is cut into blocks, those of its largest component apart from the others, and each two blocks meet in a
-    group of their own; blocks of the largest component don't meet each other. A group gives the pairs of a maximum
-    spanning forest over its components, or every pair at or above the least estimate.
+    group of their own; blocks of the largest component don't meet each other.
     """
     each = buckets.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     counted = each.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top")).where("n > top.c")
@@ -226,39 +227,92 @@ def _block_pairs(buckets: DataFrame, least: float, every: bool) -> DataFrame:
     block = F.when(inside, F.col("others") + F.pmod(F.xxhash64("node"), F.col("own"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others"))).cast("int")
     meets = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("own"))
     met = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
-    met = met.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "component", "low")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        comps = pdf["component"].to_numpy()
-        if len(set(comps.tolist())) < 2:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        names, which, counts = np.unique(comps, return_inverse=True, return_counts=True)
-        order = np.argsort(counts[which], kind="stable")  # the largest component last: its texts aren't compared among themselves
-        pdf = pdf.iloc[order]
-        nodes, comps = pdf["node"].to_numpy(), pdf["component"].to_numpy()
-        stop = len(nodes) - int(counts.max())
-        signs = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(len(nodes), LENGTH)
-        found = []
-        for i in range(min(stop, len(nodes) - 1)):
-            same = (signs[i + 1 :] == signs[i]).sum(1) / LENGTH
-            other = np.flatnonzero((same >= least) & (comps[i + 1 :] != comps[i])) + i + 1
-            found += [(-same[j - i - 1], i, j) for j in other.tolist()]
-        top = {c: c for c in comps.tolist()}
-
-        def root(c: int) -> int:
-            while top[c] != c:
-                top[c] = c = top[top[c]]
-            return c
-
-        kept = []
-        for _, i, j in sorted(found):
-            x, y = root(comps[i]), root(comps[j])
-            if x != y or every:
-                top[x] = y
-                kept.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-        return pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
-
-    return met.groupBy("key", "one", "two").applyInPandas(run, "a long, b long").distinct()
+    return met.select("key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "component", "low")
+
+
+_GROUP = "key long, one int, two int, node long, component long, low binary"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, one, two) of a partition sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+        cut = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cut, cut[1:], strict=False):
+            name = tuple(names[a].tolist())
+            if held and name != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = name
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _close(group: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A row of the group, the rows behind it of other components whose estimate reaches the least, and the estimates.
+
+    Rows of the largest component aren't compared with each other.
+    """
+    comps = group.column(4).to_numpy()
+    _, which, counts = np.unique(comps, return_inverse=True, return_counts=True)
+    if len(counts) < 2:
+        return
+    order = np.argsort(counts[which], kind="stable")
+    comps = comps[order]
+    signs = np.frombuffer(b"".join(group.column(5).to_pylist()), np.uint8).reshape(len(comps), LENGTH)[order]
+    for i in range(min(len(comps) - int(counts.max()), len(comps) - 1)):
+        same = (signs[i + 1 :] == signs[i]).sum(1) / LENGTH
+        other = np.flatnonzero((same >= least) & (comps[i + 1 :] != comps[i]))
+        if len(other):
+            yield int(order[i]), order[other + i + 1], same[other]
+
+
+def _candidates(met: DataFrame, least: float) -> DataFrame:
+    """The rows of met that have a candidate of another component in their group: never more rows than came in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            keep = np.zeros(group.num_rows, bool)
+            for i, others, _ in _close(group, least):
+                keep[i] = True
+                keep[others] = True
+            if keep.any():
+                yield from group.filter(pa.array(keep)).to_batches()
+
+    names = ["key", "one", "two"]
+    return met.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, _GROUP)
+
+
+def _links(candidates: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) across components: in each group the candidates are gone through from the most alike on, and those
+    whose components aren't joined yet are compared exactly. At most a link per row; a pair not tested is joined anyway."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            comps, nodes, hashes = group.column(4).to_pylist(), group.column(3).to_pylist(), group.column(6)
+            top = {c: c for c in comps}
+
+            def root(c: int, top: dict = top) -> int:
+                while top[c] != c:
+                    top[c] = c = top[top[c]]
+                return c
+
+            found = []
+            for i, j, _ in sorted(((i, j, s) for i, others, same in _close(group, least) for j, s in zip(others.tolist(), same.tolist(), strict=True)), key=lambda x: -x[2]):
+                x, y = root(comps[i]), root(comps[j])
+                if x != y and jaccard(hashes[i].as_py(), hashes[j].as_py()) >= SIMILARITY:
+                    top[x] = y
+                    found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    names = ["key", "one", "two"]
+    return candidates.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,26 +335,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     hubs = dense.groupBy("key").agg(F.max(F.struct("density", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
     star = shared.select("key", "node").join(hubs.hint("shuffle_merge"), "key").where("node <> hub")
     pairs = written(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    compared = _compared(pairs, rows, "star")
+    compared = _compared(pairs, rows)
     classes = written(components(compared.where("linked").select("a", "b")), "classes")
 
-    # Bands that still hold several components: best pairs first, as long as they link something; then every pair left.
+    # Bands that still hold several components.
     floor = SIMILARITY - DEVIATIONS * math.sqrt(SIMILARITY * (1 - SIMILARITY) / LENGTH)
-    every = False
-    while True:
-        placed = shared.select("key", "node").join(classes.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        open_rows = placed.join(open_keys.hint("shuffle_merge"), "key", "left_semi").join(texts.select("node", "low").hint("shuffle_merge"), "node")
-        fresh = written(_block_pairs(open_rows, floor, every).join(compared.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti"), "more_pairs")
-        links = False
-        if not fresh.isEmpty():
-            more = _compared(fresh, rows, "more")
-            compared = written(compared.unionByName(more), "compared")
-            if links := not more.where("linked").isEmpty():
-                classes = written(components(compared.where("linked").select("a", "b")), "classes")
-        if every:
-            break
-        every = not links
+    placed = shared.select("key", "node").join(classes.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    open_rows = placed.join(open_keys.hint("shuffle_merge"), "key", "left_semi").join(texts.select("node", "low").hint("shuffle_merge"), "node")
+    near = written(_candidates(_met(open_rows), floor), "candidates")
+    sets = _node_sets(near.select("node"), rows)
+    more = written(_links(near.join(sets.hint("shuffle_merge"), "node").select("key", "one", "two", "node", "component", "low", "hashes"), floor), "more_links")
+    if not more.isEmpty():
+        classes = written(components(compared.where("linked").select("a", "b").unionByName(more)), "classes")
 
     of_text = texts.select("text_key", "node").join(classes.hint("shuffle_merge"), "node", "left").select("text_key", F.coalesce("component", "node").alias("class_id"))
     joined = signed.select(F.col("row_key").alias("doc_id"), "text_key").join(of_text.hint("shuffle_merge"), "text_key", "left")

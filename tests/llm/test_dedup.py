@@ -44,7 +44,9 @@ def classes(texts):
     return {i: root(i) for i in range(len(texts))}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 3])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rnd = random.Random(4)
     base = [words(rnd, rnd.choice([6, 30, 90, 200])) for _ in range(25)]
     texts = [None, "", "  ", "one", "one", "two words", "Two Words"]

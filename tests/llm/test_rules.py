@@ -5,14 +5,11 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quaero.llm import chat_format, line_rules, quality_model, queries, secret_scan, sql
 
 from ..conftest import SMALL, same_as_sql
 
-SAID = "</s>[INST] ok [/INST]"
-
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
@@ -156,4 +153,3 @@ def test_pipeline(spark):
 
 def test_sql_is_kept_with_its_parameters():
     assert f"c > {line_rules.MIN_DOCUMENTS}" in sql.QUALITY_RULES and f"{line_rules.MIN_SHARE} * n" in sql.QUALITY_RULES
-    assert F.lit(1) is not None
