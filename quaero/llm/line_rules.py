@@ -60,7 +60,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", h
     """doc_id, the base counts, base_failed, kept, and removed_chars of the lines removed.
 
     A null text has no words and fails the base rules; so does an empty one. Documents without host (null) form one
-    host. Rows with equal ids are counted as one document. An empty table gives no rows; extra columns are ignored.
+    host. Rows with equal ids give a row each, and their lines count together as one document. An empty table gives no rows; extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("body_text"))
     base = base_columns(rows, "body_text").drop("body_text")
