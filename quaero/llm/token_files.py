@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .letters import byte_pattern
+from .letters import byte_pattern, top_of
 from .shared import chunks, written
 
-#: Ids at which a shard is closed, rounds of replacement, pairs replaced in a round, and the least frequency of a pair.
-SHARD_IDS, ROUNDS, PAIRS, LEAST = 1 << 20, 4, 4096, 48
+#: Ids at which a shard is closed, rounds of replacement at most, pairs replaced in a round, and the least frequency of a
+#: pair. A round that takes out less than GAIN of the symbols is the last.
+SHARD_IDS, ROUNDS, PAIRS, LEAST, GAIN = 1 << 20, 8, 4096, 48, 0.02
+CHUNK = 4 << 20
 MAGIC = b"RPR1"
 
 
@@ -48,26 +51,30 @@ class Encoder:
         self.merge = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.special, self.special_ids = special, np.array([special_id], "<u2").tobytes()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        find, special = byte_pattern().findall, self.special
+        special = self.special
         split = []
         for t in texts:
-            words = []
-            for k, part in enumerate(t.split(special) if special in t else (t,)):
-                if k:
-                    words.append(special)
-                words += find(part)
+            find = byte_pattern(top_of(t)).findall
+            if special in t:
+                words = []
+                for k, part in enumerate(t.split(special)):
+                    if k:
+                        words.append(special)
+                    words += find(part)
+            else:
+                words = find(t)
             split.append(words)
-        known = self.known
-        fresh = [w for w in set().union(*split) if w not in known]
-        if len(known) + len(fresh) > self.KEPT:
-            known.clear()
-            fresh = list(set().union(*split))
+        if len(self.known) > self.KEPT:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         long: dict[str, bytes] = {special: self.special_ids}
-        for w in fresh:
-            (known if len(w) <= self.LONGEST else long)[w] = np.array(self.merge(w), "<u2").tobytes()
-        known.pop(special, None)
+        for w in set().union(*split):
+            if w not in known and w != special:
+                ids = older.get(w) or array("H", self.merge(w)).tobytes()
+                (known if len(w) <= self.LONGEST else long)[w] = ids
         out = []
         for words in split:
             try:
@@ -133,7 +140,10 @@ def compress(ids: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS, pairs:
         closes[places] = closes[places + 1]
         stay = np.ones(len(symbols), bool)
         stay[places + 1] = False
+        before = len(symbols)
         symbols, closes = symbols[stay], closes[stay]
+        if before - len(symbols) < GAIN * before:
+            break
     return rules, expands, np.array(firsts, np.uint32), symbols
 
 
@@ -211,7 +221,7 @@ def write_shards(docs: DataFrame, ranks_file: str, special: str = "<|endoftext|>
 
         end = np.array([end_id], "<u2")
         for batch in batches:
-            for chunk in chunks(batch, "text"):
+            for chunk in chunks(batch, "text", CHUNK):
                 for key, ids in zip(chunk.column(0).to_pylist(), coder.encode([t or "" for t in chunk.column(1).to_pylist()]), strict=True):
                     keys.append(-(1 << 63) if key is None else key)
                     pieces.append(ids)
