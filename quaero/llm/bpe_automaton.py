@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .letters import WHITE_SPACE, byte_letters, word_pattern
+from .letters import byte_letters, top_of, word_pattern
 from .shared import chunks
 
 FOREVER = np.int64(1) << 40
-END = 256  # added to the byte that ends a word
+END, NOTHING = 256, 1023  # added to the byte that ends a word; behind it
 
 
 class Lookup:
@@ -73,6 +73,9 @@ class Lookup:
 class Automaton:
     """The compiled automaton of one vocabulary file with word ends."""
 
+    #: Lengths up to which words share a block, and symbols of a block.
+    TOGETHER, CELLS = (8, 16, 32), 1_500_000
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -137,21 +140,24 @@ class Automaton:
         return ~blocked
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """The labels on the path of each (non-empty) word."""
+        """The labels on the path of each (non-empty) word. Words of like length run together, padded with no symbol."""
         out: list[list[int]] = [[]] * len(words)
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
+            n = len(w)
+            by_length.setdefault(next((top for top in self.TOGETHER if n <= top), n), []).append(k)
         for n, which in by_length.items():
-            for at in range(0, len(which), max(1, 400_000 // n)):
-                some = which[at : at + max(1, 400_000 // n)]
-                symbols = np.frombuffer(b"".join(words[k] for k in some), np.uint8).reshape(len(some), n).astype(np.int64)
-                symbols[:, -1] += END
-                for k, path in zip(some, self._paths(symbols), strict=True):
+            for at in range(0, len(which), max(1, self.CELLS // n)):
+                some = which[at : at + max(1, self.CELLS // n)]
+                length = np.fromiter((len(words[k]) for k in some), np.int64, len(some))
+                symbols = np.frombuffer(b"".join([words[k].ljust(n, b"\0") for k in some]), np.uint8).reshape(len(some), n).astype(np.int64)
+                symbols[np.arange(n) >= length[:, None]] = NOTHING
+                symbols[np.arange(len(some)), length - 1] += END
+                for k, path in zip(some, self._paths(symbols, length.tolist()), strict=True):
                     out[k] = path
         return out
 
-    def _paths(self, symbols: np.ndarray) -> list[list[int]]:
+    def _paths(self, symbols: np.ndarray, length: list[int]) -> list[list[int]]:
         many, n = symbols.shape
         state = np.full((many, n + 1), -2, np.int64)
         came = np.zeros((many, n + 1), np.int64)
@@ -174,7 +180,7 @@ class Automaton:
         labels, places = state.tolist(), came.tolist()
         paths = []
         for r in range(many):
-            at, path = n, []
+            at, path = length[r], []
             while at:
                 path.append(labels[r][at])
                 at = places[r][at]
@@ -190,33 +196,42 @@ def automaton(path: str) -> Automaton:
 class Coder:
     """Splits texts as the library does, and keeps what the automaton made of the words seen last (bounded)."""
 
-    KEPT, LONGEST = 250_000, 48
+    KEPT, LONGEST, CHUNK = 250_000, 48, 8 << 20
 
     def __init__(self, path: str):
         self.machine = automaton(path)
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.machine.special, key=len, reverse=True)) + ")")
-        self.blank = re.compile(f"[{WHITE_SPACE}]+")
-        self.known: dict[str, tuple[int, str, str]] = {}
-        for token, number in self.machine.special.items():
-            self.known[token] = (1, str(number), token)
+        self.fixed = {token: (1, str(number), token) for token, number in self.machine.special.items()}
+        self.known: dict[str, tuple[int, str, str]] = dict(self.fixed)
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def words(self, text: str) -> list[str]:
-        """The words of a text; a special token's string is a word of its own."""
+        """The words of a text; a special token's string is a word of its own. The split drops all white space, so its
+        normal form needs no step."""
         out: list[str] = []
         for k, part in enumerate(self.special.split(text) if "<|" in text else (text,)):
             if k % 2:
                 out.append(part)
             elif part:
                 plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                out += word_pattern().findall(self.blank.sub(" ", plain).lower())
+                low = plain.lower()
+                out += word_pattern(top_of(low)).findall(low)
         return out
 
     def learn(self, words: set[str]) -> dict[str, tuple[int, str, str]]:
-        """number of labels, ids and labels (joined by a blank) of each word."""
-        if len(self.known) + len(words) > self.KEPT:
-            special = self.machine.special
-            self.known = {t: v for t, v in self.known.items() if t in special}
-        fresh = [w for w in words if w not in self.known]
+        """number of labels, ids and labels (joined by a blank) of the words not known yet.
+
+        When enough words are kept, they become the older ones, of which those met again move on.
+        """
+        if len(self.known) > self.KEPT:
+            self.known, self.older = dict(self.fixed), self.known
+        known, older, fresh = self.known, self.older, []
+        for w in words:
+            if w not in known:
+                if (value := older.get(w)) is None:
+                    fresh.append(w)
+                else:
+                    known[w] = value
         labels = self.machine.labels
         made = {w: (len(p), " ".join(map(str, p)), " ".join([labels[x] for x in p])) for w, p in zip(fresh, self.machine.encode_words([w.encode() for w in fresh]), strict=True)}
         self.known.update((w, v) for w, v in made.items() if len(w) <= self.LONGEST)
@@ -241,12 +256,16 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
 def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[tuple[int, str, str]]]]:
     own = coder(path)
     for batch in batches:
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", own.CHUNK):
             split = [own.words(t or "") for t in part.column(1).to_pylist()]
             extra = own.learn(set().union(*split))
+            known = own.known
             rows = []
             for words in split:
-                found = [own.known.get(w) or extra[w] for w in words]
+                try:
+                    found = [known[w] for w in words]
+                except KeyError:  # a word too long to keep
+                    found = [known.get(w) or extra[w] for w in words]
                 rows.append((sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])))
             yield part.column(0), rows
 
