@@ -1,9 +1,8 @@
 """Chat formatting by prefix-target expansion (operator 6), in DataFrame functions only.
 
 Every assistant turn becomes one training example: all turns before it are context, and only its own text is under
-the loss mask. All examples of a conversation are prefixes of one transcript, so the transcript is stored once, a row
-per turn, and an example is its end in it with the span of its loss: the output grows with the input, not with the
-square of a conversation's length. ``example_texts`` writes the prefixes out for those who want them so.
+the loss mask. ``stored_examples`` writes each example out, which grows with the square of a conversation's length; the
+digests are taken from what is read back. ``examples`` has only the ends and spans, for those who keep the transcript.
 
 Template, per turn (text and role escaped)::
 
@@ -19,10 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 CONTROL = r"(<(?=/?s>)|\[(?=/?INST\]))"
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", "\n", " [/INST]"
 REPLY_OPEN, REPLY_CLOSE = " ", "</s>"
 ASSISTANT = "assistant"
+#: Replies of so many places of a conversation meet its turns in one group: a turn goes once to each such block behind it.
+REPLY_BLOCK = 64
 
 
 def escaped(text: Column) -> Column:
@@ -75,42 +78,76 @@ def examples(turns: DataFrame) -> DataFrame:
     return turns.where("is_reply").select("conv_id", "place", F.col("stop").alias("prefix_chars"), "loss_start", "loss_stop")
 
 
+def _joined(found: str) -> Column:
+    """The rendered turns of a group, in order of their place."""
+    return F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(found, "rendered"))), lambda t: t["rendered"]))
+
+
 def example_texts(turns: DataFrame) -> DataFrame:
-    """The examples with their texts written out. Grows with the square of a conversation's length: for short ones."""
-    before = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    text = F.concat_ws("", F.collect_list("rendered").over(before))
-    return turns.withColumn("example_text", text).where("is_reply").select("conv_id", "place", "example_text", "loss_start", "loss_stop")
+    """The examples with their texts written out: each reply meets the turns up to its place, by conversation and block."""
+    whole = Window.partitionBy("conv_id")
+    block = lambda place: F.floor(F.col(place) / REPLY_BLOCK)
+    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv_key")
+    replies = turns.where("is_reply").select(key, "conv_id", "place", "loss_start", "loss_stop", block("place").alias("block"))
+    last = turns.withColumn("last_reply", F.max(F.when(F.col("is_reply"), F.col("place"))).over(whole)).where("place <= last_reply")
+    parts = last.select(key, F.col("place").alias("part"), "rendered", F.explode(F.sequence(block("place"), block("last_reply"))).alias("block"))
+    met = replies.join(parts.hint("shuffle_merge"), ["conv_key", "block"]).where("part <= place")
+    found = met.groupBy("conv_key", "block", "conv_id", "place", "loss_start", "loss_stop").agg(_joined("part").alias("example_text"))
+    return found.select("conv_id", "place", "example_text", "loss_start", "loss_stop")
+
+
+def stored_examples(turns: DataFrame) -> DataFrame:
+    """The examples, and a row without loss span for the context behind a conversation's last reply, if there is any."""
+    last = F.max(F.when(F.col("is_reply"), F.col("place"))).over(Window.partitionBy("conv_id"))
+    behind = turns.withColumn("last_reply", F.coalesce(last, F.lit(0))).where("place > last_reply")
+    rest = behind.groupBy("conv_id").agg(F.max("place").alias("place"), _joined("place").alias("example_text"))
+    return example_texts(turns).unionByName(rest, allowMissingColumns=True)
+
+
+def _parsed(transcript: Column) -> Column:
+    """role and text of each turn of a transcript.
+
+    A mark behind each escaped character breaks the control strings inside texts; those left are the template's own.
+    """
+    turns = F.filter(F.split(F.regexp_replace(transcript, r"(?s)(\\.)", "$1;"), r"(?<=</s>|\[/INST\])"), lambda t: t != "")
+    plain = lambda t: F.regexp_replace(t, r"(?s)\\(.);", "$1")
+    context = r"(?s)^<s>\[INST\] (.*?)(?<!\\)\n(.*) \[/INST\]$"
+    reply = lambda t: ~F.startswith(t, F.lit(OPEN))
+    return F.transform(
+        turns,
+        lambda t: F.struct(
+            F.when(reply(t), F.lit(ASSISTANT)).otherwise(plain(F.regexp_extract(t, context, 1))).alias("role"),
+            plain(F.when(reply(t), F.regexp_extract(t, r"(?s)^ (.*)</s>$", 1)).otherwise(F.regexp_extract(t, context, 2))).alias("text"),
+        ),
+    )
 
 
-def read_back(turns: DataFrame) -> DataFrame:
-    """conv_id, place, role, text, loss_text and is_reply, parsed from the rendered turns and their loss spans."""
-    context = r"(?s)^<s>\[INST\] ((?:[^\\\n]|\\.)*)\n(.*) \[/INST\]$"
-    loss = F.substr("rendered", F.col("loss_start") - F.col("start") + 1, F.col("loss_stop") - F.col("loss_start"))
-    parsed = turns.select(
-        "conv_id",
-        "place",
-        F.when(F.col("is_reply"), F.lit(ASSISTANT)).otherwise(unescaped(F.regexp_extract("rendered", context, 1))).alias("role"),
-        unescaped(F.when(F.col("is_reply"), loss).otherwise(F.regexp_extract("rendered", context, 2))).alias("text"),
-        "is_reply",
-        "stop",
+def read_back(stored: DataFrame) -> DataFrame:
+    """conv_id, said (role and text of every turn), losses (place and loss text of every example, in order) and
+    formatted_chars, parsed from stored examples: the turns from the last example and the context behind it."""
+    is_example = F.col("loss_start").isNotNull()
+    loss = unescaped(F.substr("example_text", F.col("loss_start") + 1, F.col("loss_stop") - F.col("loss_start")))
+    found = stored.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.when(is_example, F.struct("place", loss.alias("loss"))))).alias("losses"),
+        F.max_by("example_text", F.when(is_example, F.col("place"))).alias("longest"),
+        F.max(F.when(~is_example, F.col("example_text"))).alias("rest"),
+        F.sum(F.length("example_text")).alias("formatted_chars"),
     )
-    return parsed
+    return found.select("conv_id", _parsed(F.concat_ws("", "longest", "rest")).alias("said"), "losses", "formatted_chars")
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """The digest of each conversation, from what read_back parses.
+    """The digest of each conversation, from the examples as written and read back.
 
     formatted_chars is the sum of the example lengths, and of the context behind the last reply if there is any.
     """
-    turn = F.struct("place", F.concat_ws("", "role", F.lit("\n"), "text", F.lit("\n")).alias("whole"), F.when(F.col("is_reply"), F.col("text")).alias("loss"))
-    last = F.max("stop") - F.coalesce(F.max(F.when(F.col("is_reply"), F.col("stop"))), F.lit(0))
-    found = read_back(turns).groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("all_turns"), F.coalesce(F.sum(F.when(F.col("is_reply"), F.col("stop"))), F.lit(0)).alias("example_chars"), last.alias("rest"))
-    loss_text = F.concat_ws("", "all_turns.loss")
-    return found.select(
+    loss_text = F.concat_ws("", "losses.loss")
+    whole = F.concat_ws("", F.transform("said", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return read_back(written(stored_examples(turns), "examples")).select(
         "conv_id",
-        F.size("all_turns").cast("long").alias("n_turns"),
-        F.sha2(F.concat_ws("", "all_turns.whole"), 256).alias("turns_sha256"),
+        F.size("said").cast("long").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
         F.length(loss_text).cast("long").alias("loss_chars"),
         F.sha2(loss_text, 256).alias("loss_sha256"),
-        (F.col("example_chars") + F.col("rest")).alias("formatted_chars"),
+        "formatted_chars",
     )

@@ -102,6 +102,27 @@ def test_chat_format(spark):
     assert chat_format.digests(chat_format.transcripts(conv.where("conv_id > 9"))).count() == 0
 
 
+def test_examples_are_written_out_and_read_back(spark, monkeypatch):
+    rows = [(k, t, "assistant" if t % 3 == 2 else "user", f"{k} said [INST] \\ {t}\n") for k in (None, 5) for t in range(150)] + [(6, 0, "user", "alone")]
+    turns = chat_format.transcripts(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    whole = {}
+    for r in turns.orderBy("place").collect():
+        whole[r.conv_id] = whole.get(r.conv_id, "") + r.rendered
+    ends = {(r.conv_id, r.place): r.prefix_chars for r in chat_format.examples(turns).collect()}
+    got = chat_format.example_texts(turns).collect()
+    assert len(got) == len(ends) == 100
+    assert all(r.example_text == whole[r.conv_id][: ends[r.conv_id, r.place]] for r in got)
+    formatted = {r.conv_id: r.formatted_chars for r in chat_format.digests(turns).collect()}
+    assert formatted == {k: sum(n for (c, _), n in ends.items() if c == k) for k in (None, 5)} | {6: len(whole[6])}
+    # A fault in one stored example shows in the digests.
+    before = {r.conv_id: r for r in chat_format.digests(turns).collect()}
+    sound = chat_format.example_texts
+    faulty = lambda t: sound(t).selectExpr("conv_id", "place", "if(conv_id = 5 AND place = 3, replace(example_text, '5 said', '5 sang'), example_text) AS example_text", "loss_start", "loss_stop")
+    monkeypatch.setattr(chat_format, "example_texts", faulty)
+    after = {r.conv_id: r for r in chat_format.digests(turns).collect()}
+    assert after[5].loss_sha256 != before[5].loss_sha256 and after[None] == before[None]
+
+
 def base_spans(text):
     out = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
