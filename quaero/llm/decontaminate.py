@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing (operator 9).
 
-A seed is a fixed mask over nine words: its hash takes six of them and ignores the others, so it survives substitutions
-at the ignored places. Seeds of test items and of training texts are joined; around each hit, the item and the text are
+A seed is a fixed mask over up to nine words: its hash takes four to six of them and ignores the others, so it survives
+substitutions at the ignored places. Seeds of test items and of training texts are joined; around each hit, the item and the text are
 laid on each other along the hit's diagonal and their words compared.
 """
 
@@ -17,12 +17,20 @@ from pyspark.sql import functions as F
 
 from .shared import SLOT_BITS, bitmap, chunks, flat_words, is_set, mix, packed, slot_of, word_hashes, written
 
-#: Places of the masks. Two words may differ anywhere in a stretch of a dozen and one of the masks still fits somewhere.
-MASKS = ((0, 1, 3, 4, 6, 8), (0, 2, 3, 5, 7, 8), (0, 1, 2, 5, 6, 7))
+#: Places of the masks, by the words of an item; the last ones are for items of SPAN words and more. Wherever the words of
+#: an item of up to STRETCH words, or of such a stretch of a longer one, differ, one of its masks fits somewhere if the
+#: share of equal words reaches SHARE; a test enumerates this.
+MASKS = {
+    5: ((0, 1, 2, 3), (0, 2, 3, 4), (0, 1, 3, 4), (0, 1, 2, 4)),
+    6: ((0, 1, 2, 3, 4), (0, 2, 3, 4, 5), (0, 1, 3, 4, 5), (0, 1, 2, 4, 5), (0, 1, 2, 3, 5)),
+    7: ((0, 1, 2, 4, 5), (0, 3, 4, 5, 6), (0, 1, 2, 3, 5)),
+    8: ((0, 2, 3, 4, 5, 6), (0, 1, 2, 3, 5, 7), (0, 1, 2, 4, 6, 7)),
+    9: ((0, 1, 2, 3, 5, 6), (0, 1, 4, 6, 7, 8), (0, 1, 2, 3, 4, 8), (0, 3, 4, 5, 6, 7), (0, 1, 5, 6, 7, 8), (0, 1, 2, 4, 5, 6)),
+}
 SPAN = 9
 #: A text is contaminated if in some stretch of STRETCH words of an item (all of a shorter item) this share is equal.
 STRETCH, SHARE = 16, 0.8
-#: Items under SPAN words have a mask of all their words; those under this are too short to be evidence.
+#: Items under so many words are too short to be evidence.
 LEAST_WORDS = 5
 #: Up to so many seeds (some 20 MB) the items' side is broadcast; beyond, both sides are dealt by salted seed.
 BROADCAST_SEEDS, SALTS = 500_000, 32
@@ -71,8 +79,8 @@ def _item_seeds(items: DataFrame) -> DataFrame:
 
 def _masks(lengths: set[int]):
     """The masks for items of these lengths: (mask, salt, which item lengths it is for)."""
-    out = [(m, k + 1, lambda n: n >= SPAN) for k, m in enumerate(MASKS)]
-    return out + [(tuple(range(s)), 100 + s, lambda n, s=s: n == s) for s in sorted(lengths) if LEAST_WORDS <= s < SPAN]
+    sizes = sorted({min(n, SPAN) for n in lengths if n >= LEAST_WORDS} | {SPAN})
+    return [(m, 10 * s + k, lambda n, s=s: np.minimum(n, SPAN) == s) for s in sizes for k, m in enumerate(MASKS[s])]
 
 
 def _hits(docs: DataFrame, bits, lengths: set[int]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators 1, 5 and 9 against brute force on small fixtures."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -165,6 +166,27 @@ def test_contamination(spark):
     assert got == expected
 
 
+def test_masks_meet_every_accepted_overlap():
+    lost = []
+    for n in range(decontaminate.LEAST_WORDS, decontaminate.STRETCH + 1):
+        masks = [m for m, _, fitting in decontaminate._masks({n}) if fitting(np.array([n]))[0]]
+        most = max(d for d in range(n) if (n - d) / n >= decontaminate.SHARE)
+        for gone in itertools.combinations(range(n), most):
+            if not any(set(gone).isdisjoint({at + k for k in m}) for m in masks for at in range(n - max(m))):
+                lost.append((n, gone))
+    assert lost == []
+
+
+def test_contamination_with_substituted_words(spark):
+    items, texts, rnd = [], [], random.Random(8)
+    for n, gone in ((5, (2,)), (6, (3,)), (7, (0,)), (8, (5,)), (10, (1, 2)), (12, (3, 5)), (15, (3, 7, 11)), (16, (3, 7, 11))):
+        own = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(own)))
+        texts.append((n, words(rnd, 20) + " " + " ".join("other" if k in gone else w for k, w in enumerate(own)) + " " + words(rnd, 20)))
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, list(r.item_ids)) for r in got) == [(n, [n]) for n, _ in items]
+
+
 def test_contamination_of_empty_tables(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
