@@ -1,14 +1,16 @@
 """Quality rules with cross-document line frequency (operator 4), in DataFrame functions only.
 
 Base rules look at one text. The method then hashes normalised lines, counts the documents per host in which each line
-occurs, removes the lines above the host's limit, and rejects documents of which too little is left.
+occurs, removes the lines above the host's limit from the texts, and rejects documents of which too little is left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: A line is boilerplate if more documents of its host hold it than both bounds: a count, and a share of the host's.
 MIN_DOCUMENTS, MIN_SHARE = 20, 0.01
 #: A document is depleted if the lines removed hold more than this share of its word characters.
@@ -56,35 +58,49 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), BLANKS, " ")), "[0-9]", "0"))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """doc_id, the base counts, base_failed, kept, and removed_chars of the lines removed.
-
-    A null text has no words and fails the base rules; so does an empty one. Documents without host (null) form one
-    host. Rows with equal ids give a row each, and their lines count together as one document. An empty table gives no rows; extra columns are ignored.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("body_text"))
-    base = base_columns(rows, "body_text").drop("body_text")
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    # A line's share of the document: its hash with the word characters of all its occurrences.
-    hashed = F.transform("lines_", lambda x: F.struct(line_hash(x).alias("h"), F.length(F.regexp_replace(x, BLANKS, "")).alias("c")))
-    measured = base.withColumn("lines_", hashed)
-    counts = measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
-    lines = measured.select("doc_id", "host", F.explode("lines_").alias("line")).groupBy("doc_id", "host", F.col("line.h").alias("h")).agg(F.sum("line.c").alias("chars"))
+def _removed(rows: DataFrame) -> DataFrame:
+    """doc_id and gone, the (host, line hash) pairs of it above the limits, of the documents that have any."""
+    words = F.filter(F.split(F.col("body_text"), "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
+    lines = written(rows.select("doc_id", "host", F.explode(words).alias("line")).select("doc_id", "host", line_hash(F.col("line")).alias("h")).distinct(), "lines")
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_documents"))
     common = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") > MIN_DOCUMENTS)
     common = common.join(hosts.hint("shuffle_merge"), "host").where(F.col("documents") > MIN_SHARE * F.col("host_documents")).select("host", "h")
     salted = common.select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    removed = dealt.join(salted.hint("shuffle_hash"), ["host", "h", "salt"]).groupBy("doc_id").agg(F.sum("chars").alias("removed_chars"))
-    joined = counts.join(removed.hint("shuffle_merge"), "doc_id", "left").withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0)))
-    return joined.select(
+    dealt = lines.where("doc_id IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted.hint("shuffle_hash"), ["host", "h", "salt"]).groupBy("doc_id").agg(F.collect_list(F.struct("host", "h")).alias("gone"))
+
+
+def cleaned_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """doc_id, the base counts, base_failed, kept, removed_chars, and text without the lines above the limits.
+
+    The base counts are those of the whole text; removed_chars and kept are taken from the cleaned one. A null text has
+    no words and fails the base rules; so does an empty one. Documents without host (null) form one host. Rows with equal
+    ids give a row each, and their lines and removed characters count together as one document. Rows without an id keep
+    their lines. An empty table gives no rows; extra columns are ignored.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(F.col(text), F.lit("")).alias("body_text"))
+    base = base_columns(rows, "body_text").drop("lines_")
+    named = base.where("doc_id IS NOT NULL").join(_removed(rows).hint("shuffle_merge"), "doc_id", "left")
+    left = F.filter(F.split(F.col("body_text"), "\n"), lambda x: ~F.array_contains("gone", F.struct(F.col("host"), line_hash(x).alias("h"))))
+    named = named.withColumn("clean_text", F.when(F.col("gone").isNull(), F.col("body_text")).otherwise(F.array_join(left, "\n"))).withColumn("is_cleaned", F.col("gone").isNotNull())
+    own = F.when(F.col("is_cleaned"), F.col("word_chars") - F.length(F.regexp_replace("clean_text", BLANKS, ""))).otherwise(F.lit(0))
+    named = named.withColumn("own_chars", own).drop("gone", "body_text", "is_cleaned").withColumn("removed_chars", F.sum("own_chars").over(Window.partitionBy("doc_id"))).drop("own_chars")
+    nameless = base.where("doc_id IS NULL").withColumnRenamed("body_text", "clean_text").withColumn("removed_chars", F.lit(0).cast("long"))
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    return named.unionByName(nameless).select(
         "doc_id",
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        "base_failed",
-        (~F.col("base_failed") & (F.col("removed_chars") <= MAX_REMOVED * F.col("word_chars"))).alias("kept"),
-        "removed_chars",
+        failed.alias("base_failed"),
+        (~failed & (F.col("removed_chars") <= MAX_REMOVED * F.col("word_chars"))).alias("kept"),
+        F.col("removed_chars").cast("long").alias("removed_chars"),
+        F.col("clean_text").alias("text"),
     )
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """cleaned_documents without their texts."""
+    return cleaned_documents(docs, id_col, text, host).drop("text")

@@ -78,6 +78,23 @@ def test_frequent_lines_deplete_documents(spark):
     assert not any(got[100 + i].kept for i in range(3)) and got[200].removed_chars == 0
 
 
+def test_cleaned_texts(spark):
+    rows = [(i, f"Own line of {chr(97 + i % 26)}{chr(97 + i // 26)}\n\n Share  this page {i % 10} \nend of {chr(97 + i // 26)}{chr(97 + i % 26)}\n", "h") for i in range(40)]
+    rows += [(100, "share this page 7", "h"), (101, "share this page 7", "other"), (102, None, "h"), (None, "Share this page 8", "h"), (0, "share this page 9\nrest", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_rules.cleaned_documents(docs).collect()
+    texts = {}
+    for r in got:
+        texts.setdefault(r.doc_id, []).append((r.text, r.removed_chars))
+    gone = lambda line: len(re.sub(r"\s", "", line))
+    for i, t, _ in rows[1:40]:
+        lines = t.split("\n")
+        assert texts[i] == [("\n".join(lines[:2] + lines[3:]), gone(lines[2]))]
+    assert texts[100] == [("", 14)] and texts[101] == [("share this page 7", 0)] and texts[102] == [("", 0)] and texts[None] == [("Share this page 8", 0)]
+    assert sorted(texts[0]) == [("Own line of aa\n\nend of aa\n", 28), ("rest", 28)]
+    assert sorted(str(tuple(r)[:-1]) for r in got) == sorted(str(tuple(r)) for r in line_rules.quality_rules(docs).collect())
+
+
 def test_chat_format(spark):
     rows = [
         (1, 0, "system", "be \\ kind"), (1, 1, "user", None), (1, 2, "assistant", "a[INST]\nb\\</s>"), (1, 3, "user", "x"), (1, 3, "user", "x"), (1, 4, "assistant", ""), (1, 5, "user", "open\n"),
