@@ -5,6 +5,8 @@ notes: id, title, question, conclusion, topic_id, created_s. queries: query_id,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,8 @@ def substring_matches(queries: DataFrame, notes: DataFrame) -> DataFrame:
     """query_id, id and the note of each match: every piece of three characters or more in title, question or body; shorter
     ones, if the query has no longer one, in title or body with ASCII case folding. An empty query matches all.
 
-    The query set is stated and small next to the notes; it is broadcast behind a check of its size.
+    Up to QUERY_BLOCK queries are broadcast to the notes; more are dealt by their hash into blocks of about that size, and
+    each block meets the notes.
     """
     q = queries.select("query_id", pieces(F.col("query")).alias("pieces"))
     q = q.withColumn("long", F.filter("pieces", lambda p: F.length(p) >= 3))
@@ -44,9 +47,11 @@ def substring_matches(queries: DataFrame, notes: DataFrame) -> DataFrame:
     plain = [ascii_lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "conclusion")]
     short = lambda p: plain[0].contains(ascii_lower(p)) | plain[1].contains(ascii_lower(p))
     fits = F.when(F.size("long") > 0, F.forall("long", has)).otherwise(F.forall("pieces", short))
-    if queries.count() > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: run them in blocks")
-    return notes.join(F.broadcast(q), fits)
+    n_blocks = -(-queries.count() // QUERY_BLOCK)
+    if n_blocks <= 1:
+        return notes.join(F.broadcast(q), fits)
+    block = F.pmod(F.xxhash64("query_id", "pieces"), F.lit(n_blocks))
+    return reduce(DataFrame.unionByName, [notes.join(F.broadcast(q.where(block == k)), fits) for k in range(n_blocks)])
 
 
 def bm25_search(queries: DataFrame, notes: DataFrame, limit: int = 20) -> DataFrame:
@@ -63,7 +68,8 @@ def bm25_search(queries: DataFrame, notes: DataFrame, limit: int = 20) -> DataFr
     single = parts.select("piece").distinct().select(F.col("piece").alias("query_id"), F.col("piece").alias("query"))
     frequency = substring_matches(single, notes).groupBy(F.col("query_id").alias("piece")).agg(F.count(F.lit(1)).alias("n_with"))
     weighted = sum((F.lit(w) * _hits(F.coalesce(F.col(c), F.lit("")), F.col("piece")) for c, w in WEIGHTS), F.lit(0.0))
-    scored = met.join(F.broadcast(parts), "query_id").withColumn("tf", weighted).join(F.broadcast(frequency), "piece").crossJoin(F.broadcast(totals))
+    few = F.broadcast if queries.count() <= QUERY_BLOCK else lambda df: df
+    scored = met.join(few(parts), "query_id").withColumn("tf", weighted).join(few(frequency), "piece").crossJoin(F.broadcast(totals))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_all") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_grams") / F.col("avg_grams")))
     by_score = scored.groupBy("query_id", "id", "created_s").agg(F.round(F.sum(part), 6).alias("score"))

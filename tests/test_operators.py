@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from quaero.operators import activity, edits, resolve, vectors
+from quaero.operators import activity, edits, resolve, search, vectors
 from quaero.sources import vault
 from quaero.streaming import live
 
@@ -176,3 +176,13 @@ def test_streams(spark, tmp_path):
     weeks = {r.monday: r.n_notes for r in run(live.running_activity(stream(), "1 day"), "weeks")}
     assert weeks.get("2025-12-29") == 2
     assert "token = [REDACTED:secret]" in {r.t for r in run(live.redacted_stream(stream(), ["t"]), "safe")}
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    notes = spark.createDataFrame([(i, f"title {i % 7}", f"ask {'abcdefg'[i % 5] * 3}", None, 1, i) for i in range(30)], "id long, title string, question string, conclusion string, topic_id long, created_s long")
+    queries = spark.createDataFrame([(k, q) for k, q in enumerate(["aaa", "bbb title", "6", "", "ask ccc", "none", "title ask", "5"])], "query_id long, query string")
+    run = lambda: (sorted(map(str, search.substring_matches(queries, notes).select("query_id", "id").collect())), sorted(map(str, search.bm25_search(queries, notes).collect())))
+    whole = run()
+    assert whole[0] and whole[1]
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    assert run() == whole
