@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.redaction import redacted, redacted_list
 from ..functions.tags import NEAR, normalized, similarity
 from ..functions.text import is_uuid
-from .resolve import resolved
+from .resolve import follow, resolved
 
 MAX_TAGS = 5
 NEW = "new"
@@ -98,11 +98,31 @@ def rename_topics(topics: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataF
     return renamed, judged.where("reason IS NOT NULL").select("topic_id", "seq", "reason")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df computed once, without its lineage: the rounds over it do not plan it anew."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def _closing(edges: DataFrame) -> DataFrame:
+    """from_id, seq of the last edge of each circle. With one edge per source no two circles meet, so these are all that go.
+
+    The edges on circles look twice as far ahead in each round, until every one has seen its whole circle.
+    """
+    on = follow(edges, "from_id", "into_id").where("start = resolved").select(F.col("start").alias("from_id"))
+    own = F.struct("seq", "from_id")
+    ring = edges.join(on, "from_id").select("from_id", F.col("into_id").alias("next_id"), own.alias("own"), own.alias("last"))
+    ring = _cut(ring)
+    for _ in range(ring.count().bit_length()):
+        ahead = ring.select(F.col("from_id").alias("next_id"), F.col("next_id").alias("after"), F.col("last").alias("later"))
+        ring = _cut(ring.join(ahead, "next_id").select("from_id", F.col("after").alias("next_id"), "own", F.greatest("last", "later").alias("last")))
+    return ring.where("own = last").select("from_id", F.col("own.seq").alias("seq"))
+
+
 def merge_topics(requests: DataFrame, topics: DataFrame, chains: DataFrame) -> DataFrame:
     """from_id, into_id, seq, reason (null: accepted) with both ends resolved; equal ends are refused.
 
-    Of several requests for one source the first in seq counts, and a request that would close a circle with an earlier
-    accepted one (its target merges into its source) is refused.
+    Of several requests for one source the first in seq counts, and a request that would close a circle of any length with
+    earlier accepted ones (its target merges, over them, into its source) is refused.
     """
     known = topics.select("id").distinct()
     r = requests.select("seq", F.col("source").alias("from_id"), F.col("target").alias("into_id"))
@@ -117,11 +137,10 @@ def merge_topics(requests: DataFrame, topics: DataFrame, chains: DataFrame) -> D
         (F.col("from_id") == F.col("into_id"), "same topic"),
         (F.col("nth") > 1, "merged before in this batch"),
     )
-    r = r.withColumn("reason", reason)
-    back = r.where("reason IS NULL").select(F.col("into_id").alias("from_id"), F.col("from_id").alias("into_id"), F.col("seq").alias("earlier"))
-    back = back.groupBy("from_id", "into_id").agg(F.min("earlier").alias("earlier"))
-    circle = F.when(F.col("earlier") < F.col("seq"), "would close a circle")
-    return r.join(back, ["from_id", "into_id"], "left").select("seq", "from_id", "into_id", F.coalesce("reason", circle).alias("reason"))
+    r = _cut(r.withColumn("reason", reason))
+    closing = _closing(r.where("reason IS NULL").select("seq", "from_id", "into_id"))
+    circle = F.when(F.col("closes"), "would close a circle")
+    return r.join(closing.withColumn("closes", F.lit(True)), ["from_id", "seq"], "left").select("seq", "from_id", "into_id", F.coalesce("reason", circle).alias("reason"))
 
 
 def annotate(requests: DataFrame, notes: DataFrame) -> DataFrame:

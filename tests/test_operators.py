@@ -186,3 +186,13 @@ def test_search_in_blocks(spark, monkeypatch):
     assert whole[0] and whole[1]
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
     assert run() == whole
+
+
+def test_merges_close_no_circle(spark):
+    asked = [(1, "a", "b"), (2, "c", "a"), (3, "b", "c"), (4, "q", "p"), (9, "p", "q"), (5, "w", "x"), (8, "x", "y"), (6, "y", "z"), (7, "z", "w"), (10, "in", "a"), (11, "s", "s"), (12, "a", "q")]
+    requests = spark.createDataFrame(asked, "seq long, source string, target string")
+    topics = spark.createDataFrame([(t,) for t in {x for r in asked for x in r[1:]}], "id string")
+    chains = spark.createDataFrame([], "start string, resolved string")
+    got = {r.seq: r.reason for r in edits.merge_topics(requests, topics, chains).collect()}
+    circle = "would close a circle"
+    assert got == dict.fromkeys((1, 2, 4, 5, 6, 7, 10)) | {3: circle, 8: circle, 9: circle, 11: "same topic", 12: "merged before in this batch"}
