@@ -2,25 +2,24 @@
 
 #: Base columns of every text in SQL; kept and removed_chars by the cross-document line counts.
 QUALITY_RULES = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS ws,
         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS ls FROM d),
-pos AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
-win AS (SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS eight,
-        count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS n FROM pos),
-dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, eight) AS c FROM win WHERE n = 8) WHERE c > 1),
-cover AS (SELECT doc_id, sum(least(8, i - coalesce(prev, -100)))::BIGINT AS n_repeat_words
-          FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM dup) GROUP BY doc_id),
-base AS (SELECT w.doc_id, host, ls, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+pos AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+win AS (SELECT rid, i, list(word) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS eight,
+        count(*) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS n FROM pos),
+dup AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, eight) AS c FROM win WHERE n = 8) WHERE c > 1),
+cover AS (SELECT rid, sum(least(8, i - coalesce(prev, -100)))::BIGINT AS n_repeat_words
+          FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS prev FROM dup) GROUP BY rid),
+base AS (SELECT w.rid, w.doc_id, host, ls, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
-        FROM w LEFT JOIN cover USING (doc_id)),
-line AS (SELECT doc_id, host, regexp_replace(trim(regexp_replace(lower(l), '[ \t-\r]+', ' ', 'g')), '[0-9]', '0', 'g') AS h,
-         sum(length(regexp_replace(l, '[ \t-\r]+', '', 'g')))::BIGINT AS chars FROM (SELECT doc_id, host, unnest(ls) AS l FROM base) GROUP BY 1, 2, 3),
-hosts AS (SELECT host, count(*) AS n FROM d GROUP BY 1),
-common AS (SELECT host, h FROM (SELECT host, h, count(*) AS c FROM line GROUP BY 1, 2) JOIN hosts USING (host) WHERE c > 20 AND c > 0.01 * n),
-gone AS (SELECT doc_id, sum(chars)::BIGINT AS removed_chars FROM line JOIN common USING (host, h) GROUP BY 1),
-f AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM base LEFT JOIN gone USING (doc_id))
+        FROM w LEFT JOIN cover USING (rid)),
+line AS (SELECT rid, host, regexp_replace(trim(regexp_replace(lower(l), '[ \t-\r]+', ' ', 'g')), '[0-9]', '0', 'g') AS h,
+         sum(length(regexp_replace(l, '[ \t-\r]+', '', 'g')))::BIGINT AS chars FROM (SELECT rid, host, unnest(ls) AS l FROM base) GROUP BY 1, 2, 3),
+common AS (SELECT host, h FROM line GROUP BY 1, 2 HAVING count(*) > 20),
+gone AS (SELECT rid, sum(chars)::BIGINT AS removed_chars FROM line JOIN common USING (host, h) GROUP BY 1),
+f AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM base LEFT JOIN gone USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (NOT base_failed AND coalesce(removed_chars, 0) <= 0.8 * word_chars) AS kept, coalesce(removed_chars, 0)::BIGINT AS removed_chars FROM f
 """
