@@ -7,6 +7,8 @@ import re
 import sys
 import unicodedata
 
+import numpy as np
+
 #: The characters with Unicode's White_Space property.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -36,11 +38,17 @@ def top_of(text: str) -> int:
         return 0xFFFF if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else sys.maxunicode
 
 
+OTHER, LETTER, NUMBER, WHITE = range(4)
+
+
 @functools.cache
-def byte_pattern(top: int = sys.maxunicode) -> re.Pattern:
-    """Split of the byte-level vocabulary (byte_bpe_50k), for texts up to a character."""
-    letters, numbers, blank = ranges("L", top), ranges("N", top), WHITE_SPACE
-    return re.compile(f" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{numbers}]+| ?[^{blank}{letters}{numbers}]+|[{blank}]+(?![^{blank}])|[{blank}]+")
+def kinds_of_characters() -> np.ndarray:
+    """For each code point whether it is a letter, a number, white space or another character (1 MB)."""
+    kinds = {"L": LETTER, "N": NUMBER}
+    category = unicodedata.category
+    out = np.fromiter((kinds.get(category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    out[[ord(c) for c in map(chr, range(0x3001)) if re.match(f"[{WHITE_SPACE}]", c)]] = WHITE
+    return out
 
 
 @functools.cache

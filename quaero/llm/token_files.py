@@ -1,8 +1,8 @@
 """Token-id files with Re-Pair grammar compression (operator 8).
 
 Documents are dealt by ranges of their id, encoded, closed with an end id and gathered into shards of whole documents.
-Each shard is compressed by itself: frequent pairs of ids are replaced by nonterminals, round after round. A shard file
-holds the rules, the length each nonterminal expands to, and what is left of the sequence; the lengths lead from an id
+Each shard is compressed by itself: frequent pairs of ids are replaced by nonterminals, round after round, until none is
+left. A shard file holds the rules, the length each nonterminal expands to, and what is left of the sequence; the lengths lead from an id
 position to its symbol, so a range is decoded without the rest.
 
 Shard file, little-endian: magic ``RPR1``, six uint64 (documents, ids, rules, rounds, symbols left, first nonterminal),
@@ -12,8 +12,9 @@ each round, uint32 symbols.
 
 from __future__ import annotations
 
-import base64
 import functools
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -24,127 +25,197 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .letters import byte_pattern, top_of
+from .letters import LETTER, NUMBER, WHITE, byte_letters, kinds_of_characters
 from .shared import chunks, written
 
-#: Ids at which a shard is closed, rounds of replacement at most, pairs replaced in a round, and the least frequency of a
-#: pair. A round that takes out less than GAIN of the symbols is the last.
-SHARD_IDS, ROUNDS, PAIRS, LEAST, GAIN = 1 << 20, 8, 4096, 48, 0.02
+#: Ids at which a shard is closed, and text bytes that are encoded together.
+SHARD_IDS = 1 << 20
+#: With more places than this, pairs are counted by a hash first.
+SIFTED = 100_000
 CHUNK = 4 << 20
 MAGIC = b"RPR1"
 
 
-class Encoder:
-    """Byte-level BPE as the tokenizers library gives it: the library splits off special strings and words alike.
+def word_starts(texts: list[str]) -> np.ndarray:
+    """The places (code points of the texts one after another) at which the byte-level vocabulary's words start.
 
-    Words seen last are kept with their ids (bounded). The merges are done by tiktoken on the same vocabulary.
+    The words fill each text. A run of letters, of numbers or of other characters is a word, with one blank before it if
+    there is any; a run of white space is one word up to that blank, or its last character; and ``'s``, ``'t``, ``'m``,
+    ``'d``, ``'re``, ``'ve`` and ``'ll`` are words where a word may start.
     """
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    n = len(points)
+    kinds = kinds_of_characters()[points]
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    edge = np.zeros(n + 4, bool)  # a text starts here, or all texts end
+    edge[0], edge[ends], edge[n:] = True, True, True
+    white = kinds == WHITE
+    turns = np.ones(n, bool)
+    turns[1:] = kinds[1:] != kinds[:-1]
+    glued = np.zeros(n, bool)
+    glued[1:] = points[:-1] == ord(" ")
+    last = np.zeros(n, bool)
+    last[:-1] = ~white[1:]
+    start = edge[:n] | (~white & turns & ~glued) | (white & (turns | (last & ~edge[1 : n + 1])))
+    marks = np.flatnonzero(points == ord("'"))
+    if len(marks):
+        padded = np.concatenate([points, np.zeros(3, np.uint32)])
+        before = kinds[marks - 1]
+        free = edge[marks] | (before == LETTER) | (before == NUMBER) | ((before == WHITE) & ~glued[marks])
+        first, second = padded[marks + 1], padded[marks + 2]
+        short = free & ~edge[marks + 1] & np.isin(first, [ord(c) for c in "stmd"])
+        long = np.zeros(len(marks), bool)
+        for pair in ("re", "ve", "ll"):
+            long |= (first == ord(pair[0])) & (second == ord(pair[1]))
+        long &= free & ~edge[marks + 1] & ~edge[marks + 2]
+        start[marks[short | long] + 1] = False
+        behind = np.concatenate([marks[short] + 2, marks[long] + 3])
+        behind = behind[behind < n]
+        start[behind[kinds[behind] == LETTER]] = True
+    return np.flatnonzero(start)
 
-    KEPT, LONGEST = 300_000, 48
 
-    def __init__(self, ranks_file: str, special: str, special_id: int):
-        import public_tokenizers
-        import tiktoken
+class Encoder:
+    """Byte-level BPE of the tokenizers library, for whole columns of texts.
 
-        with open(ranks_file, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.merge = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.special, self.special_ids = special, np.array([special_id], "<u2").tobytes()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+    The words of all texts are found at once; the library's model gives the ids of each distinct word. Words seen last
+    are kept with their ids (bounded). A special string inside a text is an id of its own, as the library has it.
+    """
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        special = self.special
-        split = []
-        for t in texts:
-            find = byte_pattern(top_of(t)).findall
-            if special in t:
-                words = []
-                for k, part in enumerate(t.split(special)):
-                    if k:
-                        words.append(special)
-                    words += find(part)
-            else:
-                words = find(t)
-            split.append(words)
+    KEPT, LONGEST = 300_000, 48
+
+    def __init__(self, path: str):
+        import tokenizers
+
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        split = spec["pre_tokenizer"]
+        if spec["model"]["type"] != "BPE" or spec["normalizer"] or split["type"] != "ByteLevel" or split["add_prefix_space"]:
+            raise ValueError("not a plain byte-level vocabulary")
+        self.special = {t["content"]: np.array([t["id"]], "<u2") for t in spec["added_tokens"]}
+        self.find = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
+        self.model = tokenizers.Tokenizer.from_file(path).model
+        self.letters = [byte_letters()[b] for b in range(256)]
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of these distinct words."""
         if len(self.known) > self.KEPT:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        long: dict[str, bytes] = {special: self.special_ids}
-        for w in set().union(*split):
-            if w not in known and w != special:
-                ids = older.get(w) or array("H", self.merge(w)).tobytes()
-                (known if len(w) <= self.LONGEST else long)[w] = ids
-        out = []
-        for words in split:
-            try:
-                data = b"".join([known[w] for w in words])
-            except KeyError:
-                data = b"".join([known[w] if w in known else long[w] for w in words])
-            out.append(np.frombuffer(data, "<u2"))
+        known, older, letters, tokenize = self.known, self.older, self.letters, self.model.tokenize
+        out = list(map(known.get, words))
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            w = words[k]
+            if (ids := older.get(w)) is None:
+                ids = array("H", [t.id for t in tokenize("".join([letters[b] for b in w]))]).tobytes()
+            if len(w) <= self.LONGEST:
+                known[w] = ids
+            out[k] = ids
         return out
 
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts without special strings."""
+        whole = "".join(texts)
+        data = whole.encode()
+        if not data:
+            return [np.zeros(0, "<u2")] * len(texts)
+        at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[word_starts(texts)]
+        cut = np.append(at, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cut), pa.py_buffer(data)]).dictionary_encode()
+        ids = self._ids(words.dictionary.to_pylist())
+        which = words.indices.to_numpy()
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        first = np.cumsum(size) - size
+        many = size[which]
+        stop = np.cumsum(many)
+        flat = np.frombuffer(b"".join(ids), "<u2")[np.repeat(first[which] - (stop - many), many) + np.arange(stop[-1])]
+        bytes_ = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
+        upto = np.concatenate([[0], stop])[np.searchsorted(at, bytes_)]
+        return np.split(flat, upto[:-1])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        pieces = [self.find.split(t) if self.special and "<" in t else [t] for t in texts]  # every second one is special
+        plain = iter(self._plain([p for ps in pieces for p in ps[::2]]))
+        return [next(plain) if len(ps) == 1 else np.concatenate([self.special[p] if k % 2 else next(plain) for k, p in enumerate(ps)]) for ps in pieces]
+
 
 @functools.cache
-def encoder(ranks_file: str, special: str, special_id: int) -> Encoder:
-    return Encoder(ranks_file, special, special_id)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
 
+def least_frequency(n: int) -> int:
+    """A pair is frequent in a shard of n ids if it occurs so often: at least twice, and once in 16,384 ids."""
+    return max(2, n >> 14)
 
-def compress(ids: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def compress(ids: np.ndarray, lengths: np.ndarray, least: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), their expansion lengths, the first rule of each round, and the symbols left.
 
-    A round counts all pairs within documents, takes the most frequent ones and replaces their occurrences; where two
-    occurrences overlap, the more frequent pair wins. No rule crosses documents. Nonterminals follow the largest id.
+    A round replaces the frequent pairs within documents; where two occurrences overlap, the more frequent pair wins.
+    Rounds go on until no pair is frequent. From the second round on only places beside a new symbol, or with a pair that
+    was still frequent, are counted: other pairs have become no more frequent. Nonterminals follow the largest id.
     """
+    least = least_frequency(len(ids)) if least is None else least
+    n = len(ids)
     symbols = ids.astype(np.uint32)
-    closes = np.zeros(len(ids), bool)
+    closes = np.zeros(n, bool)
     closes[np.cumsum(lengths[lengths > 0]) - 1] = True
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # the neighbours of the symbols that are left
+    left = np.ones(n, bool)
     base = int(ids.max(initial=0)) + 1
-    rules, expands, firsts = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32), []
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        a, b = symbols[:-1], symbols[1:]
-        slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(12)
-        slot[closes[:-1]] = 0
-        often = np.bincount(slot, minlength=1 << 20) >= least
-        often[0] = False  # pairs across documents; a pair that shares this slot is just not replaced
-        places = np.flatnonzero(often[slot])
-        keys, which, counts = np.unique(a[places].astype(np.uint64) << np.uint64(32) | b[places], return_inverse=True, return_counts=True)
-        order = np.argsort(-counts, kind="stable")[:pairs]
-        order = order[counts[order] >= least]
-        if not len(order):
-            break
-        rank = np.full(len(keys), pairs + 1, np.int32)
-        rank[order] = np.arange(len(order))
-        at = rank[which]
-        places, at = places[at <= pairs], at[at <= pairs]
-        # The better of two neighbours stays; in a run of equal pairs every second one.
-        near = np.flatnonzero(np.diff(places) == 1)
+    sizes = np.ones(base, np.uint32)
+    rules, firsts = [], []
+    places = np.flatnonzero(~closes)  # the places whose pair may be frequent
+    while True:
+        a, b = symbols[places], symbols[after[places]]
+        if len(places) > SIFTED:
+            slot = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(14)
+            some = np.bincount(slot, minlength=1 << 18)[slot] >= least
+            places, a, b = places[some], a[some], b[some]
+        keys = pa.array(a.astype(np.uint64) << np.uint64(32) | b).dictionary_encode()
+        which = keys.indices.to_numpy()
+        # Of a run of equal pairs (aaa) every second occurrence counts.
+        next_to = after[places[:-1]] == places[1:]
         start = np.arange(len(places))
-        run = near[at[near] == at[near + 1]] + 1
-        start[run] = -1
-        start = np.maximum.accumulate(start)
-        keep = (np.arange(len(places)) - start) % 2 == 0
-        keep[near[at[near] > at[near + 1]]] = False
-        keep[near[at[near] < at[near + 1]] + 1] = False
-        keep[1:] &= ~(keep[:-1] & (np.diff(places) == 1))
-        places, at = places[keep], at[keep]
-        first = len(rules)
-        firsts.append(first)
-        made = np.column_stack([keys[order] >> np.uint64(32), keys[order] & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
-        size = lambda s: np.where(s < base, 1, np.concatenate([[0], expands])[np.where(s < base, 0, s.astype(np.int64) - base + 1)])  # noqa: E731, B023
-        expands = np.concatenate([expands, size(made[:, 0]) + size(made[:, 1])]).astype(np.uint32)
-        rules = np.concatenate([rules, made])
-        symbols[places] = base + first + at
-        closes[places] = closes[places + 1]
-        stay = np.ones(len(symbols), bool)
-        stay[places + 1] = False
-        before = len(symbols)
-        symbols, closes = symbols[stay], closes[stay]
-        if before - len(symbols) < GAIN * before:
+        start[np.flatnonzero(next_to & (which[1:] == which[:-1])) + 1] = -1
+        odd = (np.arange(len(places)) - np.maximum.accumulate(start)) & 1 == 1
+        counts = np.bincount(which[~odd], minlength=len(keys.dictionary))
+        often = counts[which] >= least
+        if not often.any():
             break
-    return rules, expands, np.array(firsts, np.uint32), symbols
+        mine = often & ~odd
+        taken, which = places[mine], which[mine]
+        # The more frequent of two neighbours stays; between equals, the first code.
+        weight = counts[which] * len(counts) - which
+        near = np.flatnonzero(after[taken[:-1]] == taken[1:])
+        lost = np.zeros(len(taken), bool)
+        lost[near[weight[near] < weight[near + 1]]] = True
+        lost[near[weight[near] > weight[near + 1]] + 1] = True
+        taken, which = taken[~lost], which[~lost]
+        used, which = np.unique(which, return_inverse=True)
+        made = keys.dictionary.to_numpy()[used]
+        pairs = np.column_stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
+        firsts.append(len(sizes) - base)
+        rules.append(pairs)
+        gone = after[taken]
+        symbols[taken] = len(sizes) + which
+        sizes = np.concatenate([sizes, sizes[pairs[:, 0]] + sizes[pairs[:, 1]]])
+        closes[taken] = closes[gone]
+        left[gone] = False
+        after[taken] = after[gone]
+        inner = taken[after[taken] < n]
+        before[after[inner]] = inner
+        places = np.concatenate([places[often], taken, np.maximum(before[taken], 0)])
+        places = places[left[places] & ~closes[places]]
+        if len(places) > SIFTED:
+            look = np.zeros(n, bool)
+            look[places] = True
+            places = np.flatnonzero(look)
+        else:
+            places = np.unique(places)
+    return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), sizes[base:], np.array(firsts, np.uint32), symbols[left]
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, firsts: np.ndarray, base: int) -> np.ndarray:
@@ -199,16 +270,16 @@ class Shard:
         return expand(self.symbols[a:b], self.rules, self.firsts, self.base)[start - before : stop - before]
 
 
-def write_shards(docs: DataFrame, ranks_file: str, special: str = "<|endoftext|>", special_id: int = 50256, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and write docs in ascending id order. Returns the files as read back: part, shard, n_ids, shard_file.
 
-    Shards are ordered by (part, shard). Rows with equal ids stand together, by text; rows with a null id come first and
-    are stored as the least id. A null text is an empty one; each document has its end id.
+    Shards are ordered by (part, shard). Rows with equal ids stand in the order of their texts' hashes, so that many of
+    them spread over partitions; rows with a null id come first and are stored as the least id. A null text is an empty one; each document has its end id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        coder = encoder(ranks_file, special, special_id)
+        coder = encoder(path)
         keys: list[int] = []
         pieces: list[np.ndarray] = []
         held = 0
@@ -233,16 +304,17 @@ def write_shards(docs: DataFrame, ranks_file: str, special: str = "<|endoftext|>
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(dealt.mapInArrow(run, "part int, shard int, n_ids long, shard_file binary"), "token_files")
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    dealt = rows.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
+    return written(dealt.select("doc_id", "text").mapInArrow(run, "part int, shard int, n_ids long, shard_file binary"), "token_files")
 
 
-def token_files(docs: DataFrame, ranks_file: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files read back.
 
     start is the number of ids of all documents before it. Repeated ids give repeated rows; an empty table gives no rows.
     """
-    shards = write_shards(docs, ranks_file, id_col=id_col, text=text)
+    shards = write_shards(docs, path, id_col=id_col, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
