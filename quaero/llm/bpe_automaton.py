@@ -74,7 +74,7 @@ class Automaton:
     """The compiled automaton of one vocabulary file with word ends."""
 
     #: Lengths up to which words share a block, and symbols of a block.
-    TOGETHER, CELLS = (8, 16, 32), 1_500_000
+    TOGETHER, CELLS = (8, 16, 32), 400_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -196,14 +196,15 @@ def automaton(path: str) -> Automaton:
 class Coder:
     """Splits texts as the library does, and keeps what the automaton made of the words seen last (bounded)."""
 
-    KEPT, LONGEST, CHUNK = 250_000, 48, 8 << 20
+    KEPT, LONGEST, CHUNK = 150_000, 48, 2 << 20
 
     def __init__(self, path: str):
         self.machine = automaton(path)
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.machine.special, key=len, reverse=True)) + ")")
-        self.fixed = {token: (1, str(number), token) for token, number in self.machine.special.items()}
-        self.known: dict[str, tuple[int, str, str]] = dict(self.fixed)
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.fixed = {token: str(number) for token, number in self.machine.special.items()}
+        self.known: dict[str, str] = dict(self.fixed)
+        self.older: dict[str, str] = {}
+        self.labels = {str(number): label for number, label in self.machine.labels.items()}
 
     def words(self, text: str) -> list[str]:
         """The words of a text; a special token's string is a word of its own. The split drops all white space, so its
@@ -218,8 +219,12 @@ class Coder:
                 out += word_pattern(top_of(low)).findall(low)
         return out
 
-    def learn(self, words: set[str]) -> dict[str, tuple[int, str, str]]:
-        """number of labels, ids and labels (joined by a blank) of the words not known yet.
+    def decode(self, ids: str) -> str:
+        """The labels of the arcs that decimal ids (joined by a blank) name."""
+        return " ".join([self.labels[x] for x in ids.split(" ")]) if ids else ""
+
+    def learn(self, words: set[str]) -> dict[str, str]:
+        """The ids (decimal, joined by a blank) of the words not known yet.
 
         When enough words are kept, they become the older ones, of which those met again move on.
         """
@@ -232,8 +237,7 @@ class Coder:
                     fresh.append(w)
                 else:
                     known[w] = value
-        labels = self.machine.labels
-        made = {w: (len(p), " ".join(map(str, p)), " ".join([labels[x] for x in p])) for w, p in zip(fresh, self.machine.encode_words([w.encode() for w in fresh]), strict=True)}
+        made = {w: " ".join(map(str, p)) for w, p in zip(fresh, self.machine.encode_words([w.encode() for w in fresh]), strict=True)}
         self.known.update((w, v) for w, v in made.items() if len(w) <= self.LONGEST)
         return made
 
@@ -243,17 +247,8 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (decimal, blank-joined), labels (blank-joined: what decoding emits) and n_tokens of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, rows in _coded(batches, path):
-            yield pa.RecordBatch.from_arrays([keys, pa.array([n for n, _, _ in rows], pa.int64()), pa.array([i for _, i, _ in rows], pa.string()), pa.array([t for _, _, t in rows], pa.string())], ["doc_id", "n_tokens", "ids", "labels"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids string, labels string")
-
-
-def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[tuple[int, str, str]]]]:
+def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Array, list[str]]]:
+    """The ids of each text, decimal and joined by a blank."""
     own = coder(path)
     for batch in batches:
         for part in chunks(batch, "text", own.CHUNK):
@@ -263,15 +258,40 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.Ar
             rows = []
             for words in split:
                 try:
-                    found = [known[w] for w in words]
+                    rows.append(" ".join([known[w] for w in words]))
                 except KeyError:  # a word too long to keep
-                    found = [known.get(w) or extra[w] for w in words]
-                rows.append((sum([f[0] for f in found]), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])))
+                    rows.append(" ".join([known.get(w) or extra[w] for w in words]))
             yield part.column(0), rows
 
 
+def _count(ids: str) -> int:
+    return ids.count(" ") + 1 if ids else 0
+
+
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens and ids (decimal, joined by a blank) of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, rows in _coded(batches, path):
+            yield pa.RecordBatch.from_arrays([keys, pa.array(map(_count, rows), pa.int64()), pa.array(rows, pa.string())], ["doc_id", "n_tokens", "ids"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids string")
+
+
+def decoded(tokens: DataFrame, path: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """doc_id and text of each row of ids (decimal, joined by a blank; null: none): the arc labels that they name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path)
+        for batch in batches:
+            for part in chunks(batch, "ids", own.CHUNK):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.decode(x or "") for x in part.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
+
+    return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, "doc_id long, text string")
+
+
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document; decoding emits the labels of the path.
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document; what is decoded are the ids just made.
 
     Null and empty texts have no tokens (digests of the empty string). Each row is coded by itself: repeated rows and
     ids give repeated rows, null ids stay null. An empty table gives no rows; extra columns are ignored.
@@ -279,7 +299,9 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        decode = coder(path).decode
         for keys, rows in _coded(batches, path):
-            yield pa.RecordBatch.from_arrays([keys, pa.array([n for n, _, _ in rows], pa.int64()), pa.array([digest(i) for _, i, _ in rows]), pa.array([digest(t) for _, _, t in rows])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [pa.array(map(_count, rows), pa.int64()), pa.array(map(digest, rows), pa.string()), pa.array([digest(decode(x)) for x in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays([keys, *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SLOT_BITS, bitmap, chunks, flat_words, is_set, mix, packed, slot_of, word_hashes, written
+from .shared import SLOT_BITS, bitmap, chunks, flat_words, is_set, mix, packed, row_hash, slot_of, word_hashes, written
 
 #: Places of the masks, by the words of an item; the last ones are for items of SPAN words and more. Wherever the words of
 #: an item of up to STRETCH words, or of such a stretch of a longer one, differ, one of its masks fits somewhere if the
@@ -34,6 +34,8 @@ STRETCH, SHARE = 16, 0.8
 LEAST_WORDS = 5
 #: Up to so many seeds (some 20 MB) the items' side is broadcast; beyond, both sides are dealt by salted seed.
 BROADCAST_SEEDS, SALTS = 500_000, 32
+#: Up to so many keys of contaminated rows (8 MB) are broadcast to find their ids.
+BROADCAST_ROWS = 1_000_000
 PUNCTUATION = ".,;:!?\"'()[]{}#*$%&|<>"
 
 
@@ -134,17 +136,23 @@ def overlap(item: np.ndarray, text: np.ndarray, diagonal: int) -> float:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_ids (sorted) and best_share of each document that holds a passage of the benchmark; no other rows.
 
-    Null and empty texts hold nothing; items under LEAST_WORDS words are not looked for. Documents without an id are
-    left out; rows with equal ids are one document. An empty table on either side gives no rows; extra columns are ignored.
+    Null and empty texts hold nothing; items under LEAST_WORDS words are not looked for. Documents and items without an
+    id are judged like others (a null among item_ids is left out). Equal rows, of id and text, are one document. An empty
+    table on either side gives no rows; extra columns are ignored.
     """
+    return contaminated_rows(docs, benchmark, id_col, text, item_id, item_text).select("doc_id", "item_ids", "best_share")
+
+
+def contaminated_rows(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """contaminated with row_key, the row_hash of id and text."""
     spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_key"), F.col(text).alias("text"))
-    items = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    wanted = written(_item_seeds(items), "seeds")
+    rows = docs.select(row_hash(id_col, text).alias("row_key"), F.col(text).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    items = benchmark.select(row_hash(item_id, item_text).alias("item_id"), F.col(item_text).alias("text"), F.col(item_id).cast("long").alias("item_name"))
+    wanted = written(_item_seeds(items.select("item_id", "text")), "seeds")
     lengths = {r.n for r in wanted.where(F.col("n_words") < SPAN).select(F.col("n_words").alias("n")).distinct().collect()}
     n_seeds = wanted.count()
     bits = spark.sparkContext.broadcast(packed(bitmap(wanted.select(slot_of(F.col("seed")).alias("slot")))))
-    hits = _hits(rows, bits, lengths)
+    hits = _hits(rows.select("row_key", "text"), bits, lengths)
     known = wanted.select("seed", "item_id", F.col("place").alias("item_place"))
     if n_seeds <= BROADCAST_SEEDS:
         met = hits.join(F.broadcast(known), "seed")
@@ -156,8 +164,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # The words of the texts with hits, and of the items, meet the pairs by key.
     slot = slot_of(F.xxhash64("row_key"))
     found = spark.sparkContext.broadcast(packed(bitmap(pairs.select(slot.alias("slot")))))
-    texts = _words_of(rows.withColumn("slot", slot), "row_key", found)
-    of_items = _words_of(items, "item_id")
+    texts = _words_of(rows.select("row_key", "text", slot.alias("slot")), "row_key", found)
+    of_items = _words_of(items.select("item_id", "text"), "item_id")
     compared = pairs.join(F.broadcast(of_items) if n_seeds <= BROADCAST_SEEDS else of_items.hint("shuffle_merge"), "item_id")
     compared = compared.join(texts.hint("shuffle_merge"), "row_key")
 
@@ -167,8 +175,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 overlap(np.frombuffer(i, np.uint64), np.frombuffer(t, np.uint64), d)
                 for d, i, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
             ]
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], ["doc_id", "item_id", "share"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shares, pa.float64())], ["row_key", "item_id", "share"])
             yield out.filter(pc.greater_equal(out.column(2), SHARE))
 
-    kept = compared.select("row_key", "item_id", "diagonal", "item_id_words", "row_key_words").mapInArrow(verify, "doc_id long, item_id long, share double")
-    return kept.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("share").alias("best_share"))
+    shares = written(compared.select("row_key", "item_id", "diagonal", "item_id_words", "row_key_words").mapInArrow(verify, "row_key long, item_id long, share double"), "shares")
+    names = items.select("item_id", "item_name").distinct()
+    named = shares.groupBy("row_key", "item_id").agg(F.max("share").alias("share")).join(F.broadcast(names) if n_seeds <= BROADCAST_SEEDS else names.hint("shuffle_merge"), "item_id")
+    found_rows = written(named.groupBy("row_key").agg(F.array_sort(F.collect_set("item_name")).alias("item_ids"), F.max("share").alias("best_share")), "found")
+    few = found_rows.count() <= BROADCAST_ROWS
+    ids = rows.select("row_key", "doc_id").join(F.broadcast(found_rows.select("row_key")) if few else found_rows.select("row_key").hint("shuffle_hash"), "row_key", "left_semi").distinct()
+    return written(ids, "found_ids").join(found_rows.hint("shuffle_merge"), "row_key")

@@ -1,9 +1,10 @@
 """MinHash near-duplicate detection with DartMinHash signatures (operator 1).
 
-Each element of a weighted set owns a plane of weight and rank, over which darts are scattered by hashing: about one per
-unit of area, the same for every text that has the element. A text collects the darts that fall under its weights, up
-to a rank at which it has enough of them, and each coordinate of the signature keeps the dart of least rank. The number
-of darts depends on the signature's length only, so long texts cost one look per element and short ones no more.
+Each element of a weighted set owns a plane of weight and rank, cut into layers of one unit of weight. Over each layer
+darts are thrown by hashing, one behind the other along the rank with gaps that make them one per unit of area, the same
+for every text that has the element. A text takes the darts under its weights up to a rank at which it has enough of
+them, and each coordinate of the signature keeps the dart of least rank. The number of darts depends on the signature's
+length only, so long texts cost one look per element and short ones no more.
 
 Exact copies are collapsed first. Signatures are cut into bands; texts that share a band are joined through a hub, the
 candidates' 5-word shingle sets are compared exactly, and pairs of 0.8 or more are linked. Bands whose texts are still
@@ -12,7 +13,6 @@ in several components are then gone through block by block, so that no link is l
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -32,25 +32,9 @@ LENGTH = BANDS * ROWS
 DEVIATIONS = 4.0
 BLOCK = 256
 
-#: Cells of the rank axis: [0, 2^-8), then doubling to 1, then unit cells.
-_HALVINGS = 8
-
-
-def _edges(cells: int) -> np.ndarray:
-    low = [0.0] + [2.0 ** (k - _HALVINGS) for k in range(_HALVINGS + 1)]
-    return np.array([*low, *(float(k) for k in range(2, 2 + max(0, cells - len(low) + 1)))])
-
-
-@functools.cache
-def _no_more_than(area: float) -> np.ndarray:
-    """Chances of at most 0, 1, 2, ... darts in a cell of this area."""
-    out, term, total, k = [], math.exp(-area), 0.0, 0
-    while total < 1 - 1e-15 and k < 40:
-        total += term
-        out.append(total)
-        k += 1
-        term *= area / k
-    return np.array(out)
+#: Rows that are signed together, and darts looked at together; they bound a worker's memory. Elements whose texts reach
+#: further than RUN throw so many darts at once.
+SIGNED_ROWS, DARTS, RUN = 2048, 200_000, 32
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -74,17 +58,17 @@ def dart_signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray
         top = np.minimum(weights[index] - layer, 1.0)
         rows, elements = rows[index], mix(elements[index] + layer.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     total = np.bincount(rows, top, many)
-    reach = (length * math.log(length) + 5 * length) / np.maximum(total, 1e-9)
+    reach = length * (math.log(length) + 3) / np.maximum(total, 1e-9)
     todo = total > 0
     while todo.any():
-        own = todo[rows]
-        who, what, height = rows[own], elements[own], top[own]
-        need = np.where(reach <= 1, np.ceil(np.log2(np.maximum(reach, 1e-9))) + _HALVINGS, _HALVINGS + np.ceil(reach) - 1).astype(np.int64).clip(0) + 1
+        own = np.flatnonzero(todo[rows])
         best = np.full(many * length, np.inf)
         ids = np.zeros(many * length, np.uint64)
-        edges = _edges(int(need[todo].max()))
-        for part in np.array_split(np.arange(len(who)), max(1, int(need[who].sum() // 1_000_000))):
-            _throw(who[part], what[part], height[part], need, edges, length, best, ids, weights is not None)
+        upto = np.cumsum(reach[rows[own]] + 1)
+        for part in np.split(own, np.searchsorted(upto, np.arange(DARTS, upto[-1], DARTS))):
+            far = reach[rows[part]] > RUN
+            for some, run in ((part[~far], 1), (part[far], RUN)):
+                _throw(rows[some], elements[some], top[some], reach, run, length, best, ids, weights is not None)
         full = np.isfinite(best.reshape(many, length)).all(1) & todo
         out[full] = ids.reshape(many, length)[full]
         todo &= ~full
@@ -92,34 +76,32 @@ def dart_signatures(rows: np.ndarray, elements: np.ndarray, weights: np.ndarray
     return out
 
 
-def _throw(who, what, height, need, edges, length, best, ids, cut) -> None:
-    """Put the darts of these elements into the coordinates of their owners."""
-    cells = need[who]
-    index = np.repeat(np.arange(len(who)), cells)
-    cell = np.arange(len(index)) - np.repeat(np.cumsum(cells) - cells, cells)
-    seed = mix(what[index] + (cell + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    chance = _unit(seed)
-    span = np.diff(edges)
-    kinds = np.minimum(cell, _HALVINGS + 1)
-    none = np.array([math.exp(-s) for s in span[: _HALVINGS + 2]])
-    some = np.flatnonzero(chance >= none[np.minimum(kinds, len(none) - 1)])
-    count = np.ones(len(some), np.int64)
-    for kind in range(min(len(none), _HALVINGS + 2)):
-        of = np.flatnonzero(kinds[some] == kind)
-        table = _no_more_than(float(span[kind]))
-        count[of] = np.searchsorted(table, chance[some[of]], "right")
-    darts = np.repeat(some, count)
-    number = np.arange(len(darts)) - np.repeat(np.cumsum(count) - count, count)
-    dart = mix(seed[darts] ^ (number + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    rank = edges[cell[darts]] + span[cell[darts]] * _unit(mix(dart + np.uint64(1)))
-    owner, height_of = who[index[darts]], height[index[darts]]
-    if cut:
-        under = _unit(mix(dart + np.uint64(2))) < height_of
-        dart, rank, owner = dart[under], rank[under], owner[under]
-    place = owner * length + (mix(dart + np.uint64(3)) % np.uint64(length)).astype(np.int64)
-    np.minimum.at(best, place, rank)
-    won = rank == best[place]
-    ids[place[won]] = dart[won]
+def _throw(who, what, height, reach, run, length, best, ids, cut) -> None:
+    """Put the darts of these elements, up to their owners' reach, into the owners' coordinates; run darts in a step."""
+    limit = reach[who]
+    at = np.zeros(len(who))  # rank of the last dart
+    thrown = 0
+    while len(who):
+        numbers = np.arange(thrown + 1, thrown + run + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        dart = mix((what[:, None] + numbers).ravel())
+        rank = -np.log1p(-_unit(mix(dart ^ np.uint64(0x9E3779B97F4A7C15))))
+        if run == 1:
+            rank += at
+        else:
+            rank = np.cumsum(np.column_stack([at, rank.reshape(-1, run)]), axis=1)[:, 1:].ravel()
+        owner, far = (who, limit) if run == 1 else (np.repeat(who, run), np.repeat(limit, run))
+        inside = rank < far
+        hit = inside & (_unit(mix(dart ^ np.uint64(0xD6E8FEB86659FD93))) < np.repeat(height, run)) if cut else inside
+        found, ranks = dart[hit], rank[hit]
+        place = owner[hit] * length + (((found >> np.uint64(32)) * np.uint64(length)) >> np.uint64(32)).astype(np.int64)
+        better = ranks < best[place]
+        found, ranks, place = found[better], ranks[better], place[better]
+        np.minimum.at(best, place, ranks)
+        won = ranks == best[place]
+        ids[place[won]] = found[won]
+        on = inside[run - 1 :: run]
+        who, what, height, limit, at = who[on], what[on], height[on], limit[on], rank[run - 1 :: run][on]
+        thrown += run
 
 
 def shingle_hashes(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -128,65 +110,93 @@ def shingle_hashes(texts: pa.Array, size: int = WORDS) -> tuple[np.ndarray, np.n
     return shingles(rows, word_hashes(words), size)
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """row_key, text_key, bands and the signature's low bytes of each text (bands null if it has no word)."""
+def weighed_shingles(texts: pa.Array, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Row, hash and weight of each text's distinct shingles, sorted: its number of occurrences if weighted, else 1 (None)."""
+    rows, hashes = shingle_hashes(texts)
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(new)
+    return rows[first], hashes[first], np.diff(np.append(first, len(rows))).astype(np.float64) if weighted else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                rows, hashes = shingle_hashes(part.column(1))
-                signs = dart_signatures(rows, hashes, None, part.num_rows)
-                has = np.bincount(rows, minlength=part.num_rows) > 0
-                bands = np.zeros((part.num_rows, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-                for k in range(ROWS):
-                    bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + signs[:, k::ROWS])
-                keys = [hashlib.md5((t or "").encode()).digest() for t in part.column(1).to_pylist()]
-                lists = [b if h else None for b, h in zip(bands.view(np.int64).tolist(), has.tolist(), strict=True)]
-                low = [s.tobytes() for s in (signs & np.uint64(255)).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(low, pa.binary())], ["row_key", "text_key", "bands", "low"])
 
-    return docs.mapInArrow(run, "row_key long, text_key binary, bands array<long>, low binary")
+def _signed(rows: DataFrame, weighted: bool) -> DataFrame:
+    """row_key, doc_key, text_key, bands and the signature's low bytes of each text (bands null if it has no word)."""
 
-
-def _sets(docs: DataFrame, bits) -> DataFrame:
-    """node and its sorted shingle hashes, for the rows whose slot is set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch, "text"):
+                for at in range(0, chunk.num_rows, SIGNED_ROWS):
+                    part = chunk.slice(at, SIGNED_ROWS)
+                    many = part.num_rows
+                    if weighted:
+                        owners, hashes, weights = weighed_shingles(part.column(2), True)
+                    else:
+                        (owners, hashes), weights = shingle_hashes(part.column(2)), None
+                    signs = dart_signatures(owners, hashes, weights, many)
+                    bare = np.bincount(owners, minlength=many) == 0
+                    bands = np.zeros((many, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+                    for k in range(ROWS):
+                        bands = mix(bands * np.uint64(0x9E3779B97F4A7C15) + signs[:, k::ROWS])
+                    edges = pa.array(np.arange(0, many * BANDS + 1, BANDS, dtype=np.int32))
+                    lists = pa.ListArray.from_arrays(edges, pa.array(bands.view(np.int64).ravel()), mask=pa.array(bare))
+                    low = pa.array([s.tobytes() for s in (signs & np.uint64(255)).astype(np.uint8)], pa.binary())
+                    keys = pa.array([hashlib.md5((t or "").encode()).digest() for t in part.column(2).to_pylist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), keys, lists, low], ["row_key", "doc_key", "text_key", "bands", "low"])
+
+    return rows.mapInArrow(run, "row_key long, doc_key long, text_key binary, bands array<long>, low binary")
+
+
+def _sets(docs: DataFrame, bits, weighted: bool) -> DataFrame:
+    """node and its sorted shingle hashes (with their weights behind them), for the rows whose slot is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(is_set(bits.value, batch.column(2).to_numpy())))
             for part in chunks(batch, "text"):
-                rows, hashes = shingle_hashes(part.column(1))
+                rows, hashes, weights = weighed_shingles(part.column(1), weighted)
                 cut = np.searchsorted(rows, np.arange(part.num_rows + 1)).tolist()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(hashes[a:b]).tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())], ["node", "hashes"])
+                sets = [hashes[a:b].tobytes() + (weights[a:b].tobytes() if weighted else b"") for a, b in zip(cut, cut[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["node", "hashes"])
 
     return docs.mapInArrow(run, "node long, hashes binary")
 
 
-def jaccard(a: bytes, b: bytes) -> float:
+def jaccard(a: bytes, b: bytes, weighted: bool = False) -> float:
+    """Similarity of two packed sets: shared weight over weight in all."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or not len(y):
         return 0.0
-    at = np.searchsorted(x, y)
-    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-    return both / (len(x) + len(y) - both)
-
-
-def _node_sets(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    if weighted:
+        x, u = np.split(x, 2)
+        y, v = np.split(y, 2)
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    same = x[at] == y
+    if not weighted:
+        both = int(same.sum())
+        return both / (len(x) + len(y) - both)
+    u, v = u.view(np.float64), v.view(np.float64)
+    both = float(np.minimum(u[at[same]], v[same]).sum())
+    return both / float(u.sum() + v.sum() - both)
+
+
+def _node_sets(nodes: DataFrame, rows: DataFrame, weighted: bool) -> DataFrame:
     """node and hashes of these texts (and of a few others that share a slot)."""
     slot = slot_of(F.xxhash64("row_key"))
     wanted = nodes.select(F.col("node").alias("row_key")).select(slot.alias("slot"))
-    return _sets(rows.withColumn("slot", slot), rows.sparkSession.sparkContext.broadcast(packed(bitmap(wanted))))
+    return _sets(rows.select("row_key", "text", slot.alias("slot")), rows.sparkSession.sparkContext.broadcast(packed(bitmap(wanted))), weighted)
 
 
-def _compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _compared(pairs: DataFrame, rows: DataFrame, weighted: bool) -> DataFrame:
     """a, b, linked of each pair: whether the exact similarity of their shingle sets reaches the threshold."""
-    sets = written(_node_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows), "sets")
+    sets = written(_node_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows, weighted), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_hashes")).hint("shuffle_merge"), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_hashes")).hint("shuffle_merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = [jaccard(x, y) >= SIMILARITY for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            linked = [jaccard(x, y, weighted) >= SIMILARITY for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     return written(both.select("a", "b", "a_hashes", "b_hashes").mapInArrow(run, "a long, b long, linked boolean"), "compared")
@@ -207,7 +217,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.hint("shuffle_merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = now
@@ -288,7 +298,7 @@ def _candidates(met: DataFrame, least: float) -> DataFrame:
     return met.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, _GROUP)
 
 
-def _links(candidates: DataFrame, least: float) -> DataFrame:
+def _links(candidates: DataFrame, least: float, weighted: bool) -> DataFrame:
     """Links (a, b) across components: in each group the candidates are gone through from the most alike on, and those
     whose components aren't joined yet are compared exactly. At most a link per row; a pair not tested is joined anyway."""
 
@@ -305,7 +315,7 @@ def _links(candidates: DataFrame, least: float) -> DataFrame:
             found = []
             for i, j, _ in sorted(((i, j, s) for i, others, same in _close(group, least) for j, s in zip(others.tolist(), same.tolist(), strict=True)), key=lambda x: -x[2]):
                 x, y = root(comps[i]), root(comps[j])
-                if x != y and jaccard(hashes[i].as_py(), hashes[j].as_py()) >= SIMILARITY:
+                if x != y and jaccard(hashes[i].as_py(), hashes[j].as_py(), weighted) >= SIMILARITY:
                     top[x] = y
                     found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
             if found:
@@ -315,17 +325,20 @@ def _links(candidates: DataFrame, least: float) -> DataFrame:
     return candidates.repartition(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and class_id (the least id of its class of near-duplicates) of each document.
+def _rank():
+    """Rows by id, those without one last, then by row_key."""
+    return F.struct(F.col("doc_key").isNull().alias("nameless"), "doc_key", "row_key")
+
+
+def row_classes(rows: DataFrame, weighted: bool = False) -> DataFrame:
+    """row_key, doc_key, class_id and class_row (id and row_key of the first row of its class) of each row.
 
-    Two texts are linked if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more; a class is a
-    connected component of links, exact copies included. A text under five words is one shingle. Null texts are empty;
-    texts without a word are alike only if equal. Documents with a null id get a null class; repeated ids count once.
-    An empty table gives no rows; extra columns are ignored.
+    rows: row_key (distinct), doc_key, text; read several times, so it must be a stored table. The first row of a class
+    is the one with the least id, those without an id last; of equal ids the least row_key.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("row_key"), F.col(text).alias("text"))
-    signed = written(_signed(rows), "signatures")
-    texts = written(signed.where("row_key IS NOT NULL").groupBy("text_key").agg(F.min("row_key").alias("node"), F.first("bands").alias("bands"), F.first("low").alias("low")), "texts")
+    signed = written(_signed(rows, weighted), "signatures")
+    texts = signed.groupBy("text_key").agg(F.min("row_key").alias("node"), F.min(_rank()).alias("least"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    texts = written(texts, "texts")
     buckets = texts.where("bands IS NOT NULL").select("node", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(buckets.join(sizes.hint("shuffle_merge"), "key"), "buckets")
@@ -335,7 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     hubs = dense.groupBy("key").agg(F.max(F.struct("density", (-F.col("node")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
     star = shared.select("key", "node").join(hubs.hint("shuffle_merge"), "key").where("node <> hub")
     pairs = written(star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    compared = _compared(pairs, rows)
+    compared = _compared(pairs, rows, weighted)
     classes = written(components(compared.where("linked").select("a", "b")), "classes")
 
     # Bands that still hold several components.
@@ -344,11 +357,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     open_rows = placed.join(open_keys.hint("shuffle_merge"), "key", "left_semi").join(texts.select("node", "low").hint("shuffle_merge"), "node")
     near = written(_candidates(_met(open_rows), floor), "candidates")
-    sets = _node_sets(near.select("node"), rows)
-    more = written(_links(near.join(sets.hint("shuffle_merge"), "node").select("key", "one", "two", "node", "component", "low", "hashes"), floor), "more_links")
+    sets = _node_sets(near.select("node"), rows, weighted)
+    more = written(_links(near.join(sets.hint("shuffle_merge"), "node").select("key", "one", "two", "node", "component", "low", "hashes"), floor, weighted), "more_links")
     if not more.isEmpty():
         classes = written(components(compared.where("linked").select("a", "b").unionByName(more)), "classes")
 
-    of_text = texts.select("text_key", "node").join(classes.hint("shuffle_merge"), "node", "left").select("text_key", F.coalesce("component", "node").alias("class_id"))
-    joined = signed.select(F.col("row_key").alias("doc_id"), "text_key").join(of_text.hint("shuffle_merge"), "text_key", "left")
-    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    # The first row of each class that has several texts; other classes are one text.
+    of_class = classes.join(texts.select("node", "least").hint("shuffle_merge"), "node").groupBy("component").agg(F.min("least").alias("class_least"))
+    of_class = written(of_class, "leasts")
+    of_node = classes.join(of_class.hint("shuffle_merge"), "component").select("node", "class_least")
+    of_text = texts.select("text_key", "node", "least").join(of_node.hint("shuffle_merge"), "node", "left").select("text_key", F.coalesce("class_least", "least").alias("first"))
+    joined = signed.select("row_key", "doc_key", "text_key").join(of_text.hint("shuffle_merge"), "text_key", "left")
+    return joined.select("row_key", "doc_key", F.col("first.doc_key").alias("class_id"), F.col("first.row_key").alias("class_row"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", weighted: bool = False) -> DataFrame:
+    """doc_id and class_id (the least id of its class of near-duplicates) of each row.
+
+    Two texts are linked if the Jaccard similarity of their sets of 5-word shingles is 0.8 or more (weighted: of the
+    shingles weighted by their occurrences); a class is a connected component of links, exact copies included. A text
+    under five words is one shingle. Null texts are empty; texts without a word are alike only if equal. Rows with equal
+    or null ids are documents of their own; a row without an id has a null class_id. An empty table gives no rows; extra
+    columns are ignored.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).cast("long").alias("doc_key"), F.col(text).alias("text"))
+    classes = row_classes(written(rows, "rows"), weighted)
+    return classes.select(F.col("doc_key").alias("doc_id"), F.when(F.col("doc_key").isNotNull(), F.col("class_id")).alias("class_id"))

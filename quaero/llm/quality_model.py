@@ -22,12 +22,14 @@ BUCKETS, RANK, LABELLED_ROWS = 1 << 14, 8, 8000
 EPOCHS, RATE, DECAY, SEED = 8, 0.05, 1e-5, 17
 
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symbol": b"#*$%&|<>", "mark": b".,;:", "bang": b"!?", "line": b"\n", "blank": b" \t"}
-#: Structure statistics and the one piece of metadata that is free to use, the size of the text.
-STATS = ("log_bytes", "log_words", "word_bytes", "distinct_share", "top_word_share", "repeat_next_share", *_CLASSES)
+#: Structure statistics, and the metadata that is free to use: the table's count of characters, by itself and against the
+#: bytes that the text has.
+STATS = ("log_chars", "bytes_per_char", "log_bytes", "log_words", "word_bytes", "distinct_share", "top_word_share", "repeat_next_share", *_CLASSES)
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: pa.Array, sizes_told: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rows, buckets and values of the word features (by row; log counts of unit length) and the statistics of each text.
+    sizes_told: the number of characters that the table has for each text; null: not known, and the text's own is taken.
 
     Null and empty texts have no word features and statistics of 0.
     """
@@ -43,6 +45,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     length = np.sqrt(np.bincount(at, values * values, n))
     values = (values / np.maximum(length, 1e-9)[at]).astype(np.float32)
 
+    told = np.maximum(pc.coalesce(sizes_told.cast(pa.int64()), pc.utf8_length(texts).cast(pa.int64())).to_numpy(zero_copy_only=False), 0)
     n_words = np.bincount(rows, minlength=n)
     sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
@@ -63,7 +66,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     per_byte, per_word = np.maximum(sizes, 1), np.maximum(n_words, 1)
     blank = share[-1] + share[-2]
     stats = np.column_stack(
-        [np.log1p(sizes), np.log1p(n_words), (sizes - blank) / per_word, np.bincount(at, minlength=n) / per_word, top / per_word, np.bincount(rows, same, n) / per_word, *[s / per_byte for s in share]]
+        [np.log1p(told), np.log1p(sizes / np.maximum(told, 1)), np.log1p(sizes), np.log1p(n_words), (sizes - blank) / per_word, np.bincount(at, minlength=n) / per_word, top / per_word, np.bincount(rows, same, n) / per_word, *[s / per_byte for s in share]]
     )
     return at, which, values, stats.astype(np.float32)
 
@@ -76,9 +79,9 @@ class Machine:
     mean: np.ndarray
     spread: np.ndarray
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
+    def scores(self, texts: pa.Array, sizes_told: pa.Array) -> np.ndarray:
         n = len(texts)
-        at, which, values, stats = features(texts)
+        at, which, values, stats = features(texts, sizes_told)
         scaled = np.clip((stats - self.mean) / self.spread, -5, 5)
         raw = self.bias + np.bincount(at, self.weights[which] * values, n) + scaled @ self.weights[BUCKETS:]
         for f in range(RANK):
@@ -93,7 +96,12 @@ def held_out(key):
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Machine:
+def _told(docs: DataFrame, n_chars: str):
+    """The table's count of characters, null if it has none."""
+    return (F.col(n_chars) if n_chars in docs.columns else F.lit(None)).cast("long")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", n_chars: str = "n_chars") -> Machine:
     """Fit on labelled documents outside the held-out rows.
 
     The rows are all of them up to LABELLED_ROWS, or about that many chosen by a hash of the id. Their features, not
@@ -107,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                at, which, values, stats = features(part.column(1))
+                at, which, values, stats = features(part.column(1), part.column(2))
                 cut = np.searchsorted(at, np.arange(part.num_rows + 1))
                 spans = list(zip(cut[:-1], cut[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -115,7 +123,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                     ["y", "buckets", "data", "stats"],
                 )
 
-    taken = docs.select(F.col(id_col).alias("label_key"), F.col(text).alias("text")).join(F.broadcast(chosen), "label_key").select("y", "text")
+    taken = docs.select(F.col(id_col).alias("label_key"), F.col(text).alias("text"), _told(docs, n_chars).alias("told")).join(F.broadcast(chosen), "label_key")
+    first = F.min_by(F.struct("y", "text", "told"), F.struct(F.xxhash64("text"), "told"))
+    taken = taken.groupBy("label_key").agg(first.alias("one")).select("one.y", "one.text", "one.told")
     rows = taken.mapInArrow(run, "y double, buckets binary, data binary, stats binary").collect()
     size = BUCKETS + len(STATS)
     rng = np.random.default_rng(SEED)
@@ -149,27 +159,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return Machine(float(bias), weights.astype(np.float32), factors.astype(np.float32), mean, spread)
 
 
-def quality_scores(docs: DataFrame, machine: Machine, text: str = "text", column: str = "quality_score") -> DataFrame:
-    """docs with a column for the score (0 to 1). Null texts are scored as empty ones. All rows and columns are kept."""
+def quality_scores(docs: DataFrame, machine: Machine, text: str = "text", column: str = "quality_score", n_chars: str = "n_chars") -> DataFrame:
+    """docs with a column for the score (0 to 1). Null texts are scored as empty ones, and where docs has no count of
+    characters the text's own is taken. All rows and columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            parts = [shared.value.scores(part.column(0)) for part in chunks(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, told in batches:
+            parts = [shared.value.scores(part.column(0), part.column(1)) for part in chunks(pa.RecordBatch.from_arrays([texts, told], ["text", "told"]), "text")]
             yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
-    return docs.withColumn(column, score(F.col(text)))
+    return docs.withColumn(column, score(F.col(text), _told(docs, n_chars)))
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= threshold) of each document.
 
-    Learns from labels.quality of rows that aren't held out; labels, lang, source and the id are no inputs of a score.
+    Learns from labels.quality of rows that aren't held out; labels, lang, source and the id are no inputs of a score, but
+    n_chars is where the table has it.
     Null and empty texts get the score of a text without features. Each row is scored by itself, so repeated rows give
     repeated rows. An empty table gives no rows; extra columns are ignored.
     """
     machine = fit(docs, labels, id_col, text)
-    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text).alias("body_text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text).alias("body_text"), _told(docs, "n_chars").alias("n_chars"))
     scored = quality_scores(rows, machine, "body_text")
     return scored.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= threshold).cast("int").alias("predicted"))

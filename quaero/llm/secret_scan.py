@@ -13,6 +13,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]{16,}"  # 20 characters or more
 HEX = "[0-9a-f]{24,}"
@@ -30,6 +32,28 @@ UNIFORM = 0.5
 MIN_RATIO, MIN_MEAN_RATIO = 8.0, 0.5
 
 
+#: Matches that are walked through together: arrays that grow by a match at a time are copied at each.
+WALKED = 64
+
+
+def _walked(items: Column, step, kind: str) -> Column:
+    """What step makes of each item in turn: step(at, item) gives the next at (an int, 0 at first) and a value of this kind."""
+
+    def part(block: Column, at: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            after, value = step(a["at"], x)
+            return F.struct(after.alias("at"), F.concat(a["out"], F.array(value)).alias("out"))
+
+        return F.aggregate(block, F.struct(at.alias("at"), F.expr(f"cast(array() AS array<{kind}>)").alias("out")), one)
+
+    blocks = F.aggregate(
+        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / WALKED).cast("int")),
+        F.expr(f"cast(array() AS array<struct<at:int,out:array<{kind}>>>)"),
+        lambda b, k: F.concat(b, F.array(part(F.slice(items, k * WALKED + 1, F.lit(WALKED)), F.coalesce(F.get(b, F.size(b) - 1)["at"], F.lit(0))))),
+    )
+    return F.when(F.size(items) == 0, F.expr(f"cast(array() AS array<{kind}>)")).otherwise(F.flatten(F.transform(blocks, lambda b: b["out"])))
+
+
 def _spans(text: Column, pattern: str, kind: int, values: Column | None = None, least: int = 0) -> Column:
     """Spans (start, kind, stop, value) of all matches, leftmost and non-overlapping; those with a shorter value dropped.
 
@@ -39,28 +63,24 @@ def _spans(text: Column, pattern: str, kind: int, values: Column | None = None,
     pieces = F.split(text, pattern, -1)
     values = found if values is None else values
     pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), F.arrays_zip(found.alias("m"), values.alias("v")), lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m["m"]).alias("len"), m["v"].alias("v")))
-    empty = F.expr("cast(array() AS array<struct<start:int,kind:int,stop:int,value:string>>)")
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["len"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["gap"] + x["len"]).alias("stop"), x["v"].alias("value")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(found) == 0, empty).otherwise(F.filter(walked, lambda s: F.length(s["value"]) >= least))
-
-
-def base_spans(docs: DataFrame, text: str) -> DataFrame:
-    """Adds assign_, access_ and hex_, the base spans of each kind."""
-    t = F.col(text)
-    return docs.withColumns(
-        {
-            "assign_": _spans(t, ASSIGN, 0, F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2)), 6),
-            "access_": _spans(t, ACCESS, 1),
-            "hex_": _spans(t, HEX, 2),
-        }
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        stop = at + x["gap"] + x["len"]
+        return stop, F.struct((at + x["gap"]).alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), x["v"].alias("value"))
+
+    walked = _walked(pairs, step, "struct<start:int,kind:int,stop:int,value:string>")
+    return F.filter(walked, lambda s: F.length(s["value"]) >= least)
+
+
+_BASE = ("assign", "access", "hex")
+
+
+def base_spans(text: Column) -> Column:
+    """A struct of the base spans of each kind: assign, access, hex."""
+    return F.struct(
+        _spans(text, ASSIGN, 0, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), 6).alias("assign"),
+        _spans(text, ACCESS, 1).alias("access"),
+        _spans(text, HEX, 2).alias("hex"),
     )
 
 
@@ -73,8 +93,8 @@ def train(docs: DataFrame, text: str = "text") -> list[float]:
     """
     step = max(1, docs.count() // LABELLED_DOCUMENTS)
     chosen = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(step)) == 0)
-    spans = base_spans(chosen, "t")
-    random = F.transform(F.concat("assign_", "access_", "hex_"), lambda s: F.struct(F.lit(1).alias("label"), s["value"].alias("w")))
+    spans = chosen.withColumn("base", base_spans(F.col("t")))
+    random = F.transform(F.concat(*(f"base.{k}" for k in _BASE)), lambda s: F.struct(F.lit(1).alias("label"), s["value"].alias("w")))
     plain = F.transform(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0)), lambda w: F.struct(F.lit(0).alias("label"), w.alias("w")))
     words = spans.select(F.explode(F.concat(random, plain)).alias("x")).groupBy("x.label", "x.w").agg(F.count(F.lit(1)).alias("n"))
     pairs = words.select("label", "n", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substr(w, i, 2))")).alias("pair"))
@@ -98,16 +118,20 @@ def _ratio(value: Column, table: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(value) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, at(i) * len(ALPHABET) + at(i + 1)))
 
 
-def secret_spans(docs: DataFrame, ratios: list[float], text: str) -> DataFrame:
-    """Adds base_spans_ and all_spans_: arrays of (start, kind, stop, value), by start and then kind as listed in KINDS.
+def secret_spans(docs: DataFrame, ratios: list[float], text: str, column: str = "secrets") -> DataFrame:
+    """Adds a struct: assign, access and hex (the base spans of each kind), base and all, arrays of (start, kind, stop,
+    value) by start and then kind as listed in KINDS. text must not be null.
 
     Markov spans that overlap a base span are left out; base spans always stay.
     """
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    found = base_spans(docs, text).withColumn("runs_", _spans(F.col(text), RUN, 3)).withColumn("base_spans_", F.array_sort(F.concat("assign_", "access_", "hex_")))
-    free = F.filter("runs_", lambda r: ~F.exists("base_spans_", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
+    base, both = fresh(docs, "base_spans"), fresh(docs, "base_list")
+    found = docs.withColumn(base, base_spans(F.col(text))).withColumn(both, F.array_sort(F.concat(*(F.col(base)[k] for k in _BASE))))
+    runs = _spans(F.col(text), RUN, 3)
+    free = F.filter(runs, lambda r: ~F.exists(F.col(both), lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
     random = F.filter(free, lambda r: (_ratio(r["value"], table) > MIN_RATIO) & (_ratio(r["value"], table) > MIN_MEAN_RATIO * (F.length(r["value"]) - 1)))
-    return found.withColumn("all_spans_", F.array_sort(F.concat("base_spans_", random))).drop("runs_")
+    whole = F.struct(*(F.col(base)[k].alias(k) for k in _BASE), F.col(both).alias("base"), F.array_sort(F.concat(F.col(both), random)).alias("all"))
+    return found.withColumn(column, whole).drop(base, both)
 
 
 def span_list(spans: Column) -> Column:
@@ -126,11 +150,9 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     found = secret_spans(rows, train(docs, text), "body_text")
     return found.select(
         "doc_id",
-        F.size("assign_").cast("long").alias("n_assign"),
-        F.size("access_").cast("long").alias("n_access"),
-        F.size("hex_").cast("long").alias("n_hex"),
-        F.sha2(span_list(F.col("base_spans_")), 256).alias("base_sha256"),
-        span_list(F.col("all_spans_")).alias("spans"),
+        *(F.size(f"secrets.{k}").cast("long").alias(f"n_{k}") for k in _BASE),
+        F.sha2(span_list(F.col("secrets.base")), 256).alias("base_sha256"),
+        span_list(F.col("secrets.all")).alias("spans"),
     )
 
 
@@ -139,17 +161,14 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A null text stays null. All rows and columns are kept.
     """
-    keep = docs.columns
-    found = secret_spans(docs.withColumn("body_", F.coalesce(F.col(text), F.lit(""))), train(docs, text), "body_")
-    names = F.array(*[F.lit(k) for k in KINDS])
-    walked = F.aggregate(
-        "all_spans_",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["stop"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(F.col("body_"), a["at"] + 1, s["start"] - a["at"]), F.lit("[REDACTED:"), F.get(names, s["kind"]), F.lit("]"))).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], F.substr(F.col("body_"), a["at"] + 1, F.length("body_"))),
-    )
-    cleaned = F.when(F.size("all_spans_") == 0, F.col(text)).otherwise(walked)
-    return found.withColumn(text, cleaned).select(*keep)
+    body, secrets = fresh(docs, "body"), fresh(docs, "secrets")
+    found = secret_spans(docs.withColumn(body, F.coalesce(F.col(text), F.lit(""))), train(docs, text), body, secrets)
+    names, spans = F.array(*[F.lit(k) for k in KINDS]), F.col(secrets)["all"]
+
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        piece = F.concat(F.substr(F.col(body), at + 1, s["start"] - at), F.lit("[REDACTED:"), F.get(names, s["kind"]), F.lit("]"))
+        return F.greatest(at, s["stop"]), F.when(s["start"] >= at, piece).otherwise(F.lit(""))
+
+    rest = F.substr(F.col(body), F.array_max(F.transform(spans, lambda s: s["stop"])) + 1, F.length(body))
+    cleaned = F.when(F.size(spans) == 0, F.col(text)).otherwise(F.concat(F.array_join(_walked(spans, step, "string"), ""), rest))
+    return found.withColumn(text, cleaned).select(*docs.columns)

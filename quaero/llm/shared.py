@@ -66,16 +66,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(words: pa.Array, trim: str = "") -> np.ndarray:
-    """64-bit hash of each word, without the characters of trim at its ends; a chunk's distinct words are hashed once."""
-    import pandas as pd
+#: Bytes of words that are hashed together, and the factor and letters of the polynomial that hashes them.
+_HASHED, _FACTOR = 1 << 19, 0xD1342543DE82EF95
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.cumprod(np.full(max(n, 1), _FACTOR, np.uint64))
 
+
+def word_hashes(words: pa.Array, trim: str = "") -> np.ndarray:
+    """64-bit hash of each word (a polynomial of its bytes), without the characters of trim at its ends."""
+    if trim:
+        words = pc.utf8_trim(words, characters=trim)
+    out = np.zeros(len(words), np.uint64)
     if not len(words):
-        return np.zeros(0, np.uint64)
-    coded = pc.dictionary_encode(words)
-    values = pc.utf8_trim(coded.dictionary, characters=trim) if trim else coded.dictionary
-    hashes = pd.util.hash_array(np.asarray(values.to_pylist(), dtype=object), categorize=False)
-    return mix(hashes)[coded.indices.to_numpy()]
+        return out
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    sizes = np.diff(offsets)
+    powers = _powers(int(sizes.max()))
+    start = 0
+    while start < len(words):
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + _HASHED, "right")) - 1)
+        own = start + np.flatnonzero(sizes[start:stop])  # empty words keep 0
+        if len(own):
+            first = offsets[own] - offsets[start]
+            place = np.arange(offsets[stop] - offsets[start], dtype=np.int32) - np.repeat(first, sizes[own])
+            terms = _LETTERS[data[offsets[start] : offsets[stop]]]
+            terms *= powers[place]
+            out[own] = np.add.reduceat(terms, first)
+        start = stop
+    return mix(out)
 
 
 def shingles(rows: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +122,19 @@ def shingles(rows: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarra
     return rows[inside], mix(out[inside])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(id_col: str, text: str) -> Column:
+    """A 64-bit key of a row's id (null or not) and whole text: equal rows have equal keys."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col).cast("long"), F.col(text))
+
+
 #: Slots of a key bitmap: 2 MB whatever the number of keys. More keys let more rows through, and never fewer.
 SLOT_BITS = 24
 

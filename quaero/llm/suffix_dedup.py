@@ -31,6 +31,9 @@ SHALLOW = 12
 #: Anchors with more occurrences than this are not gathered: their windows are counted by a 128-bit digest instead.
 GATHERED = 20_000
 
+#: Bytes of a text that are looked at together; longer texts fall into parts that overlap, whatever their length.
+PART = 4 << 20
+
 _PLACES = np.uint64((1 << 28) - 1)
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -38,6 +41,18 @@ _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 def windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, anchor place, first and last window start (places in data), and anchor hash, for each run of windows
     that share an anchor. data: the documents' bytes one after another."""
+    if len(data) <= PART:
+        return _windows(data, starts, sizes)
+    found = []
+    for doc, (start, size) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+        for at in range(0, size - WIDTH + 1, PART - WIDTH + 1):
+            piece = data[start + at : start + min(size, at + PART)]
+            docs, *places, hashes = _windows(piece, np.zeros(1, np.int64), np.array([len(piece)]))
+            found.append((docs + doc, *(p + start + at for p in places), hashes))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else _windows(data[:0], starts[:0], sizes[:0])
+
+
+def _windows(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     n = len(data)
     if n < WIDTH:
         none = np.zeros(0, np.int64)
@@ -297,21 +312,26 @@ def _gathered(contexts: DataFrame) -> DataFrame:
 
 
 def _counted(contexts: DataFrame) -> DataFrame:
-    """Removed spans for anchors too frequent to gather: each window by its digest, counted with partial sums."""
+    """Removed spans for anchors too frequent to gather: the windows of each distinct context by their digests, counted
+    with partial sums. A context has at most SPAN windows; the runs of those that repeat go back to its occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                _, _, context, ids, keys, places = (c[at].as_py() for c in batch.columns)
-                digests = [hashlib.blake2b(context[k : k + WIDTH], digest_size=16).digest() for k in range(len(context) - WIDTH + 1)]
-                for i, key, place in zip(ids, keys, places, strict=True):
-                    some = len(digests)
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([i] * some, pa.int64()), pa.array([key] * some, pa.int64()), pa.array(range(place, place + some), pa.int64())], ["digest", "row_id", "row_key", "start"])
-
-    each = contexts.mapInArrow(run, "digest binary, row_id long, row_key long, start long")
-    often = each.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    met = each.join(often.hint("shuffle_merge"), "digest")
-    return met.select("row_id", "row_key", "start", (F.col("start") + WIDTH).alias("stop"))
+            for name, context, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                some = len(context) - WIDTH + 1
+                digests = [hashlib.blake2b(context[k : k + WIDTH], digest_size=16).digest() for k in range(some)]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([name] * some, pa.binary()), pa.array(range(some), pa.int32()), pa.array([times] * some, pa.int64())], ["digest", "name", "place", "times"])
+
+    named = written(contexts.select(F.unhex(F.md5("context")).alias("name"), "context", "ids", "keys", "places"), "hot_contexts")
+    distinct = named.groupBy("name").agg(F.first("context").alias("context"), F.sum(F.size("ids")).alias("times"))
+    each = written(distinct.mapInArrow(run, "digest binary, name binary, place int, times long"), "hot_windows")
+    often = written(each.groupBy("digest").agg(F.sum("times").alias("n")).where("n > 1").select("digest"), "hot_digests")
+    places = each.join(often.hint("shuffle_merge"), "digest").groupBy("name").agg(F.sort_array(F.collect_list("place")).alias("at"))
+    edges = "filter(at, (x, k) -> coalesce(get(at, k {0} 1) <> x {0} 1, true))"
+    runs = written(places.select("name", F.expr(f"zip_with({edges.format('-')}, {edges.format('+')}, (a, b) -> struct(a, b))").alias("runs")), "hot_runs")
+    occurrences = named.select("name", F.explode(F.arrays_zip("ids", "keys", "places")).alias("o")).join(runs.hint("shuffle_merge"), "name")
+    spans = occurrences.select(F.col("o.ids").alias("row_id"), F.col("o.keys").alias("row_key"), F.col("o.places").alias("place"), F.explode("runs").alias("r"))
+    return spans.select("row_id", "row_key", (F.col("place") + F.col("r.a")).alias("start"), (F.col("place") + F.col("r.b") + WIDTH).alias("stop"))
 
 
 def removed_spans(rows: DataFrame, gathered: int = GATHERED) -> DataFrame:
@@ -329,14 +349,15 @@ def removed_spans(rows: DataFrame, gathered: int = GATHERED) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", gathered: int = GATHERED) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document, as UTF-8 bytes.
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document, as UTF-8 bytes, and text, what is left of it
+    (without the rest of a character that was cut through).
 
     A byte goes if a 400-byte string over it starts anywhere else, in the same document or another. Null texts are empty
     and texts under 400 bytes keep all. Repeated rows are documents of their own, each the other's copy. An empty table
     gives no rows; extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(F.col(id_col), F.col(text)).alias("row_key"), F.col(text).alias("text"))
-    spans = removed_spans(rows, gathered).groupBy("row_id", "row_key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = removed_spans(rows, gathered).groupBy("row_id", "row_key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     # Null ids must find their spans too.
     joined = rows.join(spans.withColumnRenamed("row_id", "span_id").hint("shuffle_hash"), F.col("row_id").eqNullSafe(F.col("span_id")) & (rows["row_key"] == spans["row_key"]), "left")
 
@@ -357,8 +378,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                             gone += s[1] - place
                             place = s[1]
                     kept.append(data[place:])
-                    out.append((key, len(data), gone, n, hashlib.sha256(b"".join(kept)).hexdigest()))
+                    left = b"".join(kept)
+                    out.append((key, len(data), gone, n, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return joined.select("row_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("row_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")

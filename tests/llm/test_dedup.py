@@ -200,3 +200,86 @@ def test_contamination_by_salted_join(spark, monkeypatch):
     plain = sorted(map(str, decontaminate.contaminated(docs, bench).collect()))
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
     assert sorted(map(str, decontaminate.contaminated(docs, bench).collect())) == plain
+
+
+def test_contaminated_equals_brute_force_and_names_rows_without_ids(spark):
+    rnd = random.Random(21)
+    vocabulary = [f"v{k}" for k in range(300)]
+    items = [(k, " ".join(rnd.choices(vocabulary, k=rnd.choice([5, 6, 7, 8, 9, 11, 16, 17, 30])))) for k in range(60)]
+    docs = []
+    for k in range(160):
+        body = rnd.choices(vocabulary, k=rnd.randrange(0, 80))
+        if k % 2:
+            words_ = rnd.choice(items)[1].split()
+            for at in rnd.sample(range(len(words_)), min(len(words_), rnd.randrange(0, 5))):
+                words_[at] = rnd.choice(vocabulary)
+            a = rnd.choice([0, 0, len(words_) // 3])
+            at = rnd.randrange(len(body) + 1)
+            body[at:at] = words_[a:]
+        docs.append((k if k % 7 else None, " ".join(body)))
+    docs += docs[1:3]
+    expected = set()
+    for key, text in docs:
+        t = text.split()
+        found = []
+        for name, item in items:
+            i = item.split()
+            size = min(16, len(i))
+            for d in range(-len(i), len(t) + 1):
+                same = [0 <= k + d < len(t) and t[k + d] == w for k, w in enumerate(i)]
+                if any(sum(same[k : k + size]) >= 0.8 * size for k in range(len(i) - size + 1)):
+                    found.append(name)
+                    break
+        if found:
+            expected.add((key, tuple(sorted(found)), text))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.contaminated_rows(table, spark.createDataFrame(items, "item_id long, text string"))
+    text_of = {r.k: r.text for r in table.select(near_dedup.F.expr("xxhash64(doc_id IS NULL, doc_id, text)").alias("k"), "text").collect()}
+    rows = [(r.doc_id, tuple(r.item_ids), text_of[r.row_key]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == expected
+    assert len(expected) > 25 and any(k is None for k, _, _ in expected)
+
+
+def test_repeated_ids_with_other_texts_stay_apart(spark):
+    rnd = random.Random(6)
+    a, b = words(rnd, 60), words(rnd, 60)
+    rows = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b + " end"), (4, "alone"), (None, a)], "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.class_id or 0) for r in near_dedup.near_duplicates(rows).collect())) == [(False, 1, 1), (False, 1, 1), (False, 2, 1), (False, 3, 1), (False, 4, 4), (True, 0, 0)]
+
+
+def test_weighted_classes_go_by_occurrences(spark):
+    rnd = random.Random(8)
+    line, tail = words(rnd, 12), words(rnd, 30)
+    texts = [line + " " + tail, " ".join([line] * 30) + " " + tail, " ".join([line] * 29) + " " + tail, " ".join([line] * 28) + " other " + tail]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def shares(t):
+        w = t.split()
+        out = {}
+        for i in range(len(w) - 4):
+            out[tuple(w[i : i + 5])] = out.get(tuple(w[i : i + 5]), 0) + 1
+        return out
+
+    top = list(range(4))
+    for i, j in itertools.combinations(range(4), 2):
+        x, y = shares(texts[i]), shares(texts[j])
+        both = sum(min(x.get(k, 0), y.get(k, 0)) for k in x)
+        if both / (sum(x.values()) + sum(y.values()) - both) >= 0.8:
+            top[j] = top[i]
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(rows, weighted=True).collect()} == dict(enumerate(top)) == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
+def test_long_texts_fall_into_overlapping_parts(spark, monkeypatch):
+    rnd = random.Random(3)
+    passage = words(rnd, 100)
+    texts = [words(rnd, 300) + passage + words(rnd, 200), words(rnd, 700) + passage[50:] + words(rnd, 9), passage, words(rnd, 50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for part in (1000, 1399, 5000):
+        data, starts, sizes = suffix_dedup._bytes_of(suffix_dedup.pa.array(texts))
+        whole = suffix_dedup.windows(data, starts, sizes)
+        monkeypatch.setattr(suffix_dedup, "PART", part)
+        parts = suffix_dedup.windows(data, starts, sizes)
+        assert {(d, a, k) for d, a, f, e, _ in zip(*whole) for k in range(f, e + 1)} == {(d, a, k) for d, a, f, e, _ in zip(*parts) for k in range(f, e + 1)}
+        monkeypatch.undo()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.without_repeats(docs).collect()}
+    assert got == dict(enumerate(without(texts)))

@@ -31,6 +31,15 @@ def test_quality_without_labels_and_texts(spark):
     assert quality_model.quality_classifier(docs.where("doc_id > 9"), labels).count() == 0
 
 
+def test_fit_takes_one_row_per_labelled_id(spark):
+    docs = spark.createDataFrame([(k % 5, f"words {k % 5} and more of them", None if k % 2 else 7, "y", 1.0) for k in range(400)] + [(None, None, None, None, None)], "doc_id long, text string, n_chars long, y string, score double")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)] + [(0, 0), (None, 1)], "doc_id long, quality int")
+    rows = quality_model.quality_classifier(docs, labels).collect()
+    assert len(rows) == 401 and all(0 <= r.score <= 1 for r in rows)
+    few = quality_model.quality_classifier(docs.dropDuplicates(["doc_id", "text"]), labels).collect()
+    assert len(few) == 6
+
+
 def test_pairwise_identity():
     import pyarrow as pa
 
@@ -38,13 +47,13 @@ def test_pairwise_identity():
     size = quality_model.BUCKETS + len(quality_model.STATS)
     m = quality_model.Machine(0.1, rng.normal(size=size), rng.normal(size=(size, quality_model.RANK)), np.zeros(len(quality_model.STATS)), np.ones(len(quality_model.STATS)))
     text = pa.array(["one two two three"])
-    at, which, values, stats = quality_model.features(text)
+    at, which, values, stats = quality_model.features(text, pa.array([None], pa.int64()))
     x = np.zeros(size)
     x[which] = values
     x[quality_model.BUCKETS :] = np.clip(stats[0], -5, 5)
     some = np.flatnonzero(x)
     raw = 0.1 + m.weights @ x + sum(m.factors[i] @ m.factors[j] * x[i] * x[j] for n, i in enumerate(some) for j in some[n + 1 :])
-    assert abs(m.scores(text)[0] - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) < 1e-6
+    assert abs(m.scores(text, pa.array([None], pa.int64()))[0] - 1 / (1 + np.exp(-np.clip(raw, -30, 30)))) < 1e-6
 
 
 def base(text):
@@ -90,11 +99,29 @@ def test_cleaned_texts(spark):
     for i, t, _ in rows[1:40]:
         lines = t.split("\n")
         assert texts[i] == [("\n".join(lines[:2] + lines[3:]), gone(lines[2]))]
-    assert texts[100] == [("", 14)] and texts[101] == [("share this page 7", 0)] and texts[102] == [("", 0)] and texts[None] == [("Share this page 8", 0)]
-    assert sorted(texts[0]) == [("Own line of aa\n\nend of aa\n", 28), ("rest", 28)]
+    assert texts[100] == [("", 14)] and texts[101] == [("share this page 7", 0)] and texts[102] == [("", 0)] and texts[None] == [("", 14)]
+    assert sorted(texts[0]) == [("Own line of aa\n\nend of aa\n", 14), ("rest", 14)]
     assert sorted(str(tuple(r)[:-1]) for r in got) == sorted(str(tuple(r)) for r in line_rules.quality_rules(docs).collect())
 
 
+def test_twins_and_rows_without_ids_are_judged_by_themselves(spark):
+    own = " ".join(f"w{chr(97 + k)}{chr(97 + j)}" for k in range(5) for j in range(8))
+    shared = "all of us read this notice of the house at least once in a day and then on"
+    rows = [(i, shared, "h") for i in range(25)] + [(50, f"{own}\n{shared}", "h")] * 2 + [(None, f"{own} x\n{shared}", "h"), (None, shared + " now", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [r for r in line_rules.quality_rules(docs).collect() if r.doc_id is None or r.doc_id == 50]
+    n = len(shared.replace(" ", ""))
+    assert sorted((str(r.doc_id), r.removed_chars, r.kept) for r in got) == [("50", n, True), ("50", n, True), ("None", 0, False), ("None", n, True)]
+
+
+def test_lines_beyond_the_broadcast_bound_meet_by_shuffle(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").drop("source").selectExpr("*", "'h' AS source")
+    docs = docs.unionByName(docs).unionByName(docs)
+    near = sorted(map(tuple, line_rules.quality_rules(docs).collect()))
+    monkeypatch.setattr(line_rules, "BROADCAST_LINES", 0)
+    assert sorted(map(tuple, line_rules.quality_rules(docs).collect())) == near and any(r[-1] for r in near)
+
+
 def test_chat_format(spark):
     rows = [
         (1, 0, "system", "be \\ kind"), (1, 1, "user", None), (1, 2, "assistant", "a[INST]\nb\\</s>"), (1, 3, "user", "x"), (1, 3, "user", "x"), (1, 4, "assistant", ""), (1, 5, "user", "open\n"),
@@ -185,9 +212,19 @@ def test_pipeline(spark):
     assert docs.select("doc_id").distinct().count() == sizes["bpe"]
     odd = spark.createDataFrame([(None, None, "en", "s", 0), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.near_dedup(spark, odd, SMALL)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+    assert [r.doc_id for r in kept.collect()] == [1]
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    named = spark.createDataFrame([(7, "one text", 1), (7, "other text", 2), (7, "other text", 3), (None, "third text", 4), (None, item, 5)], "doc_id long, text string, row_number long")
+    assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, named.where("row_number < 5"), SMALL).collect()) == ["one text", "other text", "third text"]
+    clean = corpus_pipeline.decontamination(spark, named.withColumn("row_key", named["row_number"]), SMALL)
+    assert sorted(r.row_key for r in clean.collect()) == [1, 2, 3, 4] and clean.columns[-1] == "row_key"
+    clash = spark.createDataFrame([(1, "password = abcdefgh12", "x", "y", 0.5)], "doc_id long, text string, hex string, body string, quality_score double").selectExpr("*", "1 AS secrets", "'b' AS base_spans")
+    got = secret_scan.redacted(clash)
+    assert got.columns == clash.columns and tuple(got.first()) == (1, "[REDACTED:assign]", "x", "y", 0.5, 1, "b")
+    scored = corpus_pipeline.quality(spark, clash.select("doc_id", "text", "quality_score"), SMALL)
+    assert scored.columns == ["doc_id", "text", "quality_score"] and scored.where("quality_score <> 0.5").count() == 0
     assert corpus_pipeline.secrets(spark, odd, SMALL).count() == 3
 
 
 def test_sql_is_kept_with_its_parameters():
-    assert f"c > {line_rules.MIN_DOCUMENTS}" in sql.QUALITY_RULES and f"{line_rules.MIN_SHARE} * n" in sql.QUALITY_RULES
+    assert f"HAVING count(*) > {line_rules.MAX_DOCUMENTS}" in sql.QUALITY_RULES and f"<= {line_rules.MAX_REMOVED} * word_chars" in sql.QUALITY_RULES

@@ -40,6 +40,15 @@ def test_token_counts(spark, docs):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 4096), repr(t)
 
 
+def test_token_counts_of_equal_ids_and_rows(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "other words"), (None, "a b"), (None, None), (None, None), (2, "x" * 3000)]
+    got = token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), P.path("piece_bpe_32k.model")).collect()
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    assert sorted(map(str, ((r.doc_id, r.n_bytes, r.n_tokens) for r in got))) == sorted(str((i, len(t or ""), len(sp.encode(t or "")))) for i, t in rows)
+
+
 def test_token_counts_of_no_documents(docs):
     assert token_counts.token_counts(docs.where("doc_id < 0"), P.path("piece_bpe_32k.model")).count() == 0
 
@@ -57,6 +66,16 @@ def test_automaton_equals_library(docs):
         assert got[i].decoded_sha256 == digest(lib.decode(ids, skip_special_tokens=False))
 
 
+def test_stored_ids_are_decoded(spark, docs):
+    lib = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    lib.no_truncation()
+    lib.no_padding()
+    stored = bpe_automaton.encoded(docs, P.path("word_bpe_49k.json")).withColumnRenamed("ids", "tokens")
+    got = {r.doc_id: r.text for r in bpe_automaton.decoded(stored, P.path("word_bpe_49k.json"), ids="tokens").collect()}
+    for i, t in enumerate(texts()):
+        assert got[i] == lib.decode(lib.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False), repr(t)
+
+
 def test_automaton_paths_spell_their_words():
     machine = bpe_automaton.automaton(P.path("word_bpe_49k.json"))
     rnd = random.Random(5)
@@ -67,7 +86,7 @@ def test_automaton_paths_spell_their_words():
 
 def test_token_files(docs):
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    got = {r.doc_id: r for r in token_files.token_files(docs, P.path("byte_bpe_50k.tiktoken")).collect()}
+    got = {r.doc_id: r for r in token_files.token_files(docs, P.path("byte_bpe_50k.json")).collect()}
     at = 0
     for i, t in enumerate(texts()):
         ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -77,9 +96,11 @@ def test_token_files(docs):
 
 def test_token_files_repeat_and_empty(spark, docs):
     rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None), (2, None)], "doc_id long, text string")
-    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.token_files(rows, P.path("byte_bpe_50k.tiktoken")).collect())
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.token_files(rows, P.path("byte_bpe_50k.json")).collect())
     assert got == [(0, None, 1), (1, 1, 3), (4, 1, 3), (7, 2, 1)]
-    assert token_files.token_files(docs.where("doc_id < 0"), P.path("byte_bpe_50k.tiktoken")).count() == 0
+    many = spark.createDataFrame([(None, f"t {k}") for k in range(50)] + [(7, "x")] * 3, "doc_id long, text string").repartition(4)
+    assert sorted(r.start for r in token_files.token_files(many, P.path("byte_bpe_50k.json")).collect())[-1] == sum(len(Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(f"t {k}").ids) + 1 for k in range(50)) + 4
+    assert token_files.token_files(docs.where("doc_id < 0"), P.path("byte_bpe_50k.json")).count() == 0
 
 
 def test_grammar_round_trip_and_ranges():
@@ -99,3 +120,41 @@ def test_rules_stay_within_documents():
     lengths = np.full(1000, 1)
     rules, *_ = token_files.compress(ids, lengths)
     assert len(rules) == 0
+
+
+def test_words_start_where_the_split_pattern_has_them():
+    import unicodedata
+
+    import regex
+
+    pattern = regex.compile(P.PATTERN)
+    rnd = random.Random(11)
+    letters = "ab'stmdrevl 1 \n\t .!é　\x85é日९²"
+    for _ in range(4000):
+        made = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(12))) for _ in range(3)]
+        whole = "".join(made)
+        if whole and not any(unicodedata.category(c) == "Cn" for c in whole):
+            cut = [*token_files.word_starts(made).tolist(), len(whole)]
+            assert [whole[a:b] for a, b in zip(cut, cut[1:])] == [w for t in made for w in pattern.findall(t)], made
+
+
+@pytest.mark.parametrize("kinds", [2, 5, 40, 300])
+def test_no_frequent_pair_is_left(kinds):
+    rng = np.random.default_rng(kinds)
+    ids = rng.zipf(1.3, 30_000).clip(0, kinds).astype("<u2")
+    lengths = np.array([10_000, 0, 1, 12_000, 7_999])
+    for least in (2, 7, None):
+        rules, expands, firsts, symbols = token_files.compress(ids, lengths, least)
+        sizes = np.concatenate([np.ones(int(ids.max()) + 1, np.int64), expands])[symbols]
+        ends = set(np.cumsum(lengths).tolist())
+        at, count, last = 0, {}, (None, -2)
+        for k in range(len(symbols) - 1):
+            at += int(sizes[k])
+            pair = (int(symbols[k]), int(symbols[k + 1]))
+            if at in ends or last == (pair, k - 1):
+                last = (None, -2)
+                continue
+            count[pair] = count.get(pair, 0) + 1
+            last = (pair, k)
+        assert max(count.values(), default=0) < (least or token_files.least_frequency(len(ids)))
+        assert (token_files.expand(symbols, rules, firsts, int(ids.max()) + 1) == ids).all()
