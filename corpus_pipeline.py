@@ -1,55 +1,56 @@
 """A training corpus from documents: quality, near duplicates, benchmark passages, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns a DataFrame; all but
-the last return the columns of docs. Null and empty texts pass through the stages as empty texts; rows with a null id
-can't be told apart, so the stages that go by id keep them.
+the last return the columns of docs. Null and empty texts pass through the stages as empty texts. Stages judge rows, not
+ids: rows with equal or null ids are documents of their own, and a duplicate takes no other text of its id with it.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaero.llm.bpe_automaton import bpe_round_trip
-from quaero.llm.decontaminate import contaminated
-from quaero.llm.near_dedup import near_duplicates
+from quaero.llm.decontaminate import contaminated_rows
+from quaero.llm.near_dedup import row_classes
 from quaero.llm.quality_model import fit, quality_scores
 from quaero.llm.secret_scan import redacted
-from quaero.llm.shared import table, written
+from quaero.llm.shared import fresh, row_hash, table, written
 
 #: Least quality score of a document that stays.
 THRESHOLD = 0.7
-#: Up to so many ids (8 MB) to take out are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many keys (8 MB) of rows to take out are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids (a column doc_id, already written)."""
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+def _without(docs: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """docs without the rows whose key is among keys (one column, already written)."""
+    few = keys.count() <= BROADCAST_KEYS
+    keys = keys.toDF(fresh(docs, "gone_key"))
+    return docs.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), key == F.col(keys.columns[0]), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is below the threshold go."""
     machine = fit(docs, table(spark, sf_dir, "labels"))
-    return quality_scores(docs, machine, column="quality_score_").where(F.col("quality_score_") >= THRESHOLD).select(*docs.columns)
+    score = fresh(docs, "quality_score")
+    return quality_scores(docs, machine, column=score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays; of rows with equal ids, one."""
-    classes = written(near_duplicates(docs), "classes")
-    kept = _without(docs, written(classes.where("doc_id <> class_id").select("doc_id").distinct(), "duplicates"))
-    twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """Of each class of near-duplicates the row with the least id stays, and of equal ids one."""
+    number = fresh(docs, "row_number")
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    classes = row_classes(numbered.select(F.col(number).alias("row_key"), F.col("doc_id").cast("long").alias("doc_key"), "text"))
+    gone = written(classes.where("row_key <> class_row").select("row_key"), "duplicates")
+    return _without(numbered, F.col(number), gone).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = written(contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "contaminated")
-    return _without(docs, found)
+    found = contaminated_rows(docs, table(spark, sf_dir, "benchmark")).select("row_key").distinct()
+    return _without(docs, row_hash("doc_id", "text"), written(found, "contaminated"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
