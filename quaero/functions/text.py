@@ -25,9 +25,10 @@ def is_uuid(text: Column) -> Column:
 
 
 def slug(title: Column, limit: int = 48) -> Column:
-    """Lower-case letters and digits, other runs as one dash; cut where the limit is reached, without dashes at the ends."""
-    plain = F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", "-")
-    return F.trim(F.substring(F.ltrim(plain, F.lit("-")), 1, limit), F.lit("-"))
+    """Lower-case letters and digits, other runs as one dash, none at the ends. It ends with the letter that reaches the
+    limit; a dash and the letter behind it come together, so it may be one longer."""
+    plain = F.trim(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
+    return F.substring(plain, F.lit(1), F.when(F.substring(plain, limit, 1) == "-", limit + 1).otherwise(limit))
 
 
 def project_name(git_repo: Column, cwd: Column) -> Column:

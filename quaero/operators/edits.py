@@ -5,13 +5,14 @@ Each takes a table of requests and gives accepted rows and rejected ones with a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.redaction import redacted, redacted_list
 from ..functions.tags import NEAR, normalized, similarity
 from ..functions.text import is_uuid
-from .resolve import follow, resolved
+from ..sources.store import stored
+from .resolve import resolved
 
 MAX_TAGS = 5
 NEW = "new"
@@ -98,49 +99,65 @@ def rename_topics(topics: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataF
     return renamed, judged.where("reason IS NOT NULL").select("topic_id", "seq", "reason")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df computed once, without its lineage: the rounds over it do not plan it anew."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
-def _closing(edges: DataFrame) -> DataFrame:
-    """from_id, seq of the last edge of each circle. With one edge per source no two circles meet, so these are all that go.
-
-    The edges on circles look twice as far ahead in each round, until every one has seen its whole circle.
-    """
-    on = follow(edges, "from_id", "into_id").where("start = resolved").select(F.col("start").alias("from_id"))
-    own = F.struct("seq", "from_id")
-    ring = edges.join(on, "from_id").select("from_id", F.col("into_id").alias("next_id"), own.alias("own"), own.alias("last"))
-    ring = _cut(ring)
-    for _ in range(ring.count().bit_length()):
-        ahead = ring.select(F.col("from_id").alias("next_id"), F.col("next_id").alias("after"), F.col("last").alias("later"))
-        ring = _cut(ring.join(ahead, "next_id").select("from_id", F.col("after").alias("next_id"), "own", F.greatest("last", "later").alias("last")))
-    return ring.where("own = last").select("from_id", F.col("own.seq").alias("seq"))
+def _groups(edges: DataFrame) -> DataFrame:
+    """node, label (the least node of its connected component) of undirected edges (a, b): each round takes the least label
+    among the neighbours, then the label of that label."""
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("shuffle_merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = labels.join(near.hint("shuffle_merge"), "node").select("node", "label", F.least("label", "near").alias("low"))
+        of_low = labels.select(F.col("node").alias("low"), F.col("label").alias("of_low"))
+        after = stored(low.join(of_low.hint("shuffle_merge"), "low").select("node", F.least("low", "of_low").alias("new"), "label"))
+        if after.where("new <> label").isEmpty():
+            return labels
+        labels = after.select("node", F.col("new").alias("label"))
+
+
+def _in_turn(requests):
+    """The requests of one component in order of seq: each end is resolved through the merges accepted before it."""
+    top: dict = {}
+
+    def root(x):
+        path = []
+        while x in top:
+            path.append(x)
+            x = top[x]
+        top.update(dict.fromkeys(path, x))
+        return x
+
+    out = requests.sort_values(["seq", "from_id", "into_id"])
+    ends = []
+    for source, target in zip(out["from_id"], out["into_id"], strict=True):
+        a, b = root(source), root(target)
+        ends.append((a, b, "same topic" if a == b else None))
+        if a != b:
+            top[a] = b
+    out["from_id"], out["into_id"], out["reason"] = ([e[k] for e in ends] for k in range(3))
+    return out[["seq", "from_id", "into_id", "reason"]]
 
 
 def merge_topics(requests: DataFrame, topics: DataFrame, chains: DataFrame) -> DataFrame:
-    """from_id, into_id, seq, reason (null: accepted) with both ends resolved; equal ends are refused.
+    """seq, from_id, into_id, reason (null: accepted). Both topics must exist.
 
-    Of several requests for one source the first in seq counts, and a request that would close a circle of any length with
-    earlier accepted ones (its target merges, over them, into its source) is refused.
+    Requests apply one after the other by seq: both ends are resolved through the merges that exist and those accepted
+    before, the topic that the source has come to is merged into the one that the target has come to, and a request whose
+    ends have come to the same topic is refused, so no circle of any length closes. Only requests whose topics hang
+    together affect each other; those of one such component are gone through in one task, a batch of edits' own size.
     """
-    known = topics.select("id").distinct()
+    known = stored(topics.select("id").distinct())
     r = requests.select("seq", F.col("source").alias("from_id"), F.col("target").alias("into_id"))
     for c in ("from_id", "into_id"):
-        r = r.join(known.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_known")), c, "left")
+        r = r.join(known.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_known")).hint("shuffle_merge"), c, "left")
         r = resolved(r, c, chains)
-    first = Window.partitionBy("from_id").orderBy("seq")
-    r = r.withColumn("nth", F.row_number().over(first))
-    reason = first_reason(
-        (F.col("from_id_known").isNull(), "unknown source"),
-        (F.col("into_id_known").isNull(), "unknown target"),
-        (F.col("from_id") == F.col("into_id"), "same topic"),
-        (F.col("nth") > 1, "merged before in this batch"),
-    )
-    r = _cut(r.withColumn("reason", reason))
-    closing = _closing(r.where("reason IS NULL").select("seq", "from_id", "into_id"))
-    circle = F.when(F.col("closes"), "would close a circle")
-    return r.join(closing.withColumn("closes", F.lit(True)), ["from_id", "seq"], "left").select("seq", "from_id", "into_id", F.coalesce("reason", circle).alias("reason"))
+    reason = first_reason((F.col("from_id_known").isNull(), "unknown source"), (F.col("into_id_known").isNull(), "unknown target"))
+    r = stored(r.select("seq", "from_id", "into_id", reason.alias("reason")))
+    good = r.where("reason IS NULL").drop("reason")
+    labels = _groups(good.select(F.col("from_id").alias("a"), F.col("into_id").alias("b")))
+    placed = good.join(labels.withColumnRenamed("node", "from_id").hint("shuffle_merge"), "from_id")
+    kinds = dict(good.dtypes)
+    judged = placed.groupBy("label").applyInPandas(_in_turn, f"seq {kinds['seq']}, from_id {kinds['from_id']}, into_id {kinds['into_id']}, reason string")
+    return judged.unionByName(r.where("reason IS NOT NULL"))
 
 
 def annotate(requests: DataFrame, notes: DataFrame) -> DataFrame:

@@ -5,12 +5,11 @@ notes: id, title, question, conclusion, topic_id, created_s. queries: query_id,
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
+from ..sources.store import stored
 
 #: Fixed values of the ranking: BM25's k1 and b, the weights of title, question and body.
 K1, B, WEIGHTS = 1.2, 0.75, (("title", 3.0), ("question", 2.0), ("conclusion", 1.0))
@@ -27,31 +26,71 @@ def pieces(query: Column) -> Column:
     return F.filter(F.split(F.trim(query), r"\s+"), lambda p: p != "")
 
 
-def _hits(text: Column, piece: Column) -> Column:
-    """Overlapping occurrences of a piece, case-insensitive."""
-    low, part = F.lower(text), F.lower(piece)
-    return F.size(F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.length(part)) == part))
+def _fields() -> list[Column]:
+    return [F.lower(F.coalesce(F.col(c), F.lit(""))) for c, _ in WEIGHTS]
+
+
+def _trigrams(low: Column) -> Column:
+    """All runs of three characters, overlapping ones too."""
+    return F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), F.lit(1))
+
+
+def _hits(low: Column, piece: Column) -> Column:
+    """Overlapping occurrences of a piece in a text, both in lower case."""
+    quoted = F.replace(piece, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.regexp_count(low, F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")))
+
 
+def trigram_index(notes: DataFrame) -> DataFrame:
+    """gram, id: the distinct trigrams of each note's title, question and body."""
+    return notes.select("id", F.explode(F.array_distinct(F.concat(*(_trigrams(f) for f in _fields())))).alias("gram"))
 
-def substring_matches(queries: DataFrame, notes: DataFrame) -> DataFrame:
-    """query_id, id and the note of each match: every piece of three characters or more in title, question or body; shorter
-    ones, if the query has no longer one, in title or body with ASCII case folding. An empty query matches all.
 
-    Up to QUERY_BLOCK queries are broadcast to the notes; more are dealt by their hash into blocks of about that size, and
-    each block meets the notes.
+def piece_hits(pieces_: DataFrame, notes: DataFrame) -> DataFrame:
+    """piece, id, tf (weighted occurrences) for each note that holds a piece (lower case, three characters or more).
+
+    A piece meets the notes that have its rarest trigram, and those are looked through.
     """
+    index = stored(trigram_index(notes))
+    asked = stored(pieces_.select("piece").distinct())
+    grams = asked.select("piece", F.explode(F.array_distinct(_trigrams(F.col("piece")))).alias("gram"))
+    known = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counted = grams.join(known.hint("shuffle_merge"), "gram", "left").select("piece", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram").alias("g"))
+    rarest = stored(counted.groupBy("piece").agg(F.min("g").alias("g")).where("g.n > 0").select("piece", "g.gram"))
+    near = stored(index.join(rarest.hint("shuffle_merge"), "gram").select("piece", "id"))
+    looked = near.join(notes.select("id", *(f.alias(f"field_{k}") for k, f in enumerate(_fields()))).hint("shuffle_merge"), "id")
+    tf = sum((F.lit(w) * _hits(F.col(f"field_{k}"), F.col("piece")) for k, (_, w) in enumerate(WEIGHTS)), F.lit(0.0))
+    holds = [F.contains(f"field_{k}", "piece") for k in range(len(WEIGHTS))]
+    return looked.where(holds[0] | holds[1] | holds[2]).select("piece", "id", tf.alias("tf"))
+
+
+def _parts(queries: DataFrame) -> DataFrame:
+    """query_id, long and short: a query's pieces of three characters or more, in lower case, and the others."""
     q = queries.select("query_id", pieces(F.col("query")).alias("pieces"))
-    q = q.withColumn("long", F.filter("pieces", lambda p: F.length(p) >= 3))
-    fields = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c, _ in WEIGHTS]
-    has = lambda p: fields[0].contains(F.lower(p)) | fields[1].contains(F.lower(p)) | fields[2].contains(F.lower(p))
+    return q.select("query_id", F.transform(F.filter("pieces", lambda p: F.length(p) >= 3), F.lower).alias("long"), F.filter("pieces", lambda p: F.length(p) < 3).alias("short"))
+
+
+def substring_matches(queries: DataFrame, notes: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """query_id, n_long and the note of each match: every piece of three characters or more is in title, question or body,
+    and every shorter one in title or body with ASCII case folding. An empty query matches all.
+
+    hits: piece_hits of the queries' pieces, if at hand. Queries without a longer piece have no trigram; up to QUERY_BLOCK
+    of them are broadcast to the notes, and more are dealt by their hash into blocks of about that size.
+    """
+    q = _parts(queries)
     plain = [ascii_lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "conclusion")]
-    short = lambda p: plain[0].contains(ascii_lower(p)) | plain[1].contains(ascii_lower(p))
-    fits = F.when(F.size("long") > 0, F.forall("long", has)).otherwise(F.forall("pieces", short))
-    n_blocks = -(-queries.count() // QUERY_BLOCK)
-    if n_blocks <= 1:
-        return notes.join(F.broadcast(q), fits)
-    block = F.pmod(F.xxhash64("query_id", "pieces"), F.lit(n_blocks))
-    return reduce(DataFrame.unionByName, [notes.join(F.broadcast(q.where(block == k)), fits) for k in range(n_blocks)])
+    short = F.forall("short", lambda p: plain[0].contains(ascii_lower(p)) | plain[1].contains(ascii_lower(p)))
+    asked = q.where(F.size("long") > 0).withColumn("long", F.array_distinct("long"))
+    each = asked.select("query_id", "short", F.size("long").alias("n_long"), F.explode("long").alias("piece"))
+    hits = piece_hits(each, notes) if hits is None else hits
+    found = each.join(hits.select("piece", "id").hint("shuffle_merge"), "piece").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("n_long").alias("n_long"), F.first("short").alias("short"))
+    met = notes.join(found.where("n = n_long").drop("n").hint("shuffle_merge"), "id").where(short).drop("short")
+    bare = q.where(F.size("long") == 0).select("query_id", F.lit(0).alias("n_long"), "short")
+    n_blocks = -(-bare.count() // QUERY_BLOCK)
+    block = F.pmod(F.xxhash64("query_id", "short"), F.lit(n_blocks))
+    for k in range(n_blocks):
+        met = met.unionByName(notes.join(F.broadcast(bare.where(block == k)), short).drop("short"))
+    return met
 
 
 def bm25_search(queries: DataFrame, notes: DataFrame, limit: int = 20) -> DataFrame:
@@ -63,17 +102,16 @@ def bm25_search(queries: DataFrame, notes: DataFrame, limit: int = 20) -> DataFr
     grams = sum((F.greatest(F.lit(0), F.length(F.coalesce(F.col(c), F.lit(""))) - 2) for c, _ in WEIGHTS), F.lit(0))
     sized = notes.withColumn("n_grams", grams)
     totals = sized.agg(F.count(F.lit(1)).alias("n_all"), F.avg("n_grams").alias("avg_grams"))
-    met = substring_matches(queries, sized)
-    parts = queries.select("query_id", F.explode(F.filter(pieces(F.col("query")), lambda p: F.length(p) >= 3)).alias("piece"))
-    single = parts.select("piece").distinct().select(F.col("piece").alias("query_id"), F.col("piece").alias("query"))
-    frequency = substring_matches(single, notes).groupBy(F.col("query_id").alias("piece")).agg(F.count(F.lit(1)).alias("n_with"))
-    weighted = sum((F.lit(w) * _hits(F.coalesce(F.col(c), F.lit("")), F.col("piece")) for c, w in WEIGHTS), F.lit(0.0))
-    few = F.broadcast if queries.count() <= QUERY_BLOCK else lambda df: df
-    scored = met.join(few(parts), "query_id").withColumn("tf", weighted).join(few(frequency), "piece").crossJoin(F.broadcast(totals))
+    parts = _parts(queries).select("query_id", F.explode("long").alias("piece"))
+    hits = stored(piece_hits(parts, notes))
+    met = stored(substring_matches(queries, sized, hits).select("query_id", "id", "created_s", "n_grams", "n_long"))
+    frequency = hits.groupBy("piece").agg(F.count(F.lit(1)).alias("n_with"))
+    weighed = hits.join(stored(frequency).hint("shuffle_merge"), "piece")
+    scored = met.where("n_long > 0").join(parts.hint("shuffle_merge"), "query_id").join(weighed.hint("shuffle_merge"), ["piece", "id"]).crossJoin(F.broadcast(totals))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_all") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_grams") / F.col("avg_grams")))
     by_score = scored.groupBy("query_id", "id", "created_s").agg(F.round(F.sum(part), 6).alias("score"))
-    rest = met.where(F.size("long") == 0).select("query_id", "id", "created_s", F.lit(0.0).alias("score"))
+    rest = met.where("n_long = 0").select("query_id", "id", "created_s", F.lit(0.0).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.when(F.col("score") == 0, F.col("created_s"))), "id")
     return by_score.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
@@ -107,18 +145,18 @@ def keyword_recall(questions: DataFrame, notes: DataFrame, salts: int = 8) -> Da
     questions: query_id, query. The index meets the question terms on the term; a term that many notes have is spread
     over salts, as each of its rows goes to one of them and the question's row to all.
     """
-    asked = questions.select("query_id", F.explode(terms(F.col("query"))).alias("term"))
-    index = note_terms(notes)
+    asked = stored(questions.select("query_id", F.explode(terms(F.col("query"))).alias("term")))
+    index = stored(note_terms(notes))
     n = notes.agg(F.count(F.lit(1)).alias("n_all"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # Terms that no note has count in the question's weight too.
     idf = F.log(1 + F.col("n_all") / (F.coalesce("df", F.lit(0)) + 1))
-    weighted = asked.join(df, "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", "df", idf.alias("idf"))
+    weighted = asked.join(df.hint("shuffle_merge"), "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", "df", idf.alias("idf"))
     total = weighted.groupBy("query_id").agg((F.sum("idf") * HEAD).alias("total"))
     dealt = weighted.where("df IS NOT NULL").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = index.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(dealt, ["term", "salt"])
+    met = index.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(dealt.hint("shuffle_merge"), ["term", "salt"])
     score = met.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
-    kept = score.join(total, "query_id").where((F.col("score") > 0) & (F.col("score") >= F.col("total") * COVERAGE))
+    kept = score.join(total.hint("shuffle_merge"), "query_id").where((F.col("score") > 0) & (F.col("score") >= F.col("total") * COVERAGE))
     order = Window.partitionBy("query_id").orderBy(F.desc("rounded"), F.desc("created_s"), "id")
     placed = kept.join(notes.select("id", "created_s"), "id").withColumn("rounded", F.round("score", 6))
     return placed.withColumn("rank", F.row_number().over(order)).select("query_id", "id", F.col("rounded").alias("score"), F.col("rank").cast("long").alias("rank"))

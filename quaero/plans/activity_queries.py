@@ -282,9 +282,12 @@ SELECT id, coalesce(c, '') AS comments, coalesce(n, 0)::BIGINT AS n_comments FRO
         sql_with(
             """, t AS (SELECT DISTINCT topic_id AS id FROM note0), q AS (SELECT id AS seq, id AS s0, id + 7 AS t0 FROM t WHERE id % 5 = 1),
 r AS (SELECT seq, s0 IN (SELECT id FROM t) AS sk, t0 IN (SELECT id FROM t) AS tk, coalesce((SELECT root_id FROM root WHERE start_id = s0), s0) AS from_id, coalesce((SELECT root_id FROM root WHERE start_id = t0), t0) AS into_id FROM q),
-n AS (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY seq) AS nth FROM r),
-j AS (SELECT *, CASE WHEN NOT sk THEN 'unknown source' WHEN NOT tk THEN 'unknown target' WHEN from_id = into_id THEN 'same topic' WHEN nth > 1 THEN 'merged before in this batch' END AS reason FROM n)
-SELECT seq, from_id, into_id, coalesce(reason, CASE WHEN EXISTS (SELECT 1 FROM j k WHERE k.reason IS NULL AND k.from_id = j.into_id AND k.into_id = j.from_id AND k.seq < j.seq) THEN 'would close a circle' END) AS reason FROM j""",
+g AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM r WHERE sk AND tk),
+turn AS (SELECT 0::BIGINT AS k, map_from_entries([(x, x) FOR x IN list_distinct(list_concat((SELECT list(from_id) FROM g), (SELECT list(into_id) FROM g)))]) AS top, NULL::BIGINT AS a, NULL::BIGINT AS b
+  UNION ALL SELECT k, CASE WHEN a = b THEN top ELSE map_from_entries([(e.key, CASE WHEN e.value = a THEN b ELSE e.value END) FOR e IN map_entries(top)]) END, a, b
+  FROM (SELECT g.k, top, top[g.from_id] AS a, top[g.into_id] AS b FROM turn JOIN g ON g.k = turn.k + 1))
+SELECT seq, a AS from_id, b AS into_id, CASE WHEN a = b THEN 'same topic' END AS reason FROM turn JOIN g USING (k)
+UNION ALL SELECT seq, from_id, into_id, CASE WHEN NOT sk THEN 'unknown source' ELSE 'unknown target' END FROM r WHERE NOT (sk AND tk)""",
             "note",
         ),
     ),

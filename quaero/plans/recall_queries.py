@@ -14,18 +14,12 @@ def _asked(spark, d):
     return S.questions(spark, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("question").alias("query"))
 
 
-def _short(spark, d):
-    """Two words of each hundredth event's topic: search strings are short and their set is small."""
-    q = S.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(R.pieces(F.lower("text")), 2, 2), " ").alias("query"))
-    return q.where("query <> ''")
-
-
 def substring_search(spark, d):
-    return R.substring_matches(_short(spark, d), S.questions(spark, d)).select("query_id", "id")
+    return R.substring_matches(_asked(spark, d), S.questions(spark, d)).select("query_id", "id")
 
 
 def bm25_search(spark, d):
-    return R.bm25_search(_short(spark, d), S.questions(spark, d))
+    return R.bm25_search(_asked(spark, d), S.questions(spark, d))
 
 
 def note_terms(spark, d):
@@ -121,11 +115,11 @@ tot AS (SELECT query_id, sum(idf) * 2 AS total FROM wq GROUP BY 1),
 sc AS (SELECT query_id, id, sum(weight * idf) AS score FROM wq JOIN ix ON ix.term = wq.term GROUP BY 1, 2),
 kw AS (SELECT sc.query_id, sc.id, round(score, 6) AS score, row_number() OVER (PARTITION BY sc.query_id ORDER BY round(score, 6) DESC, created_s DESC, sc.id) AS rank
   FROM sc JOIN tot ON tot.query_id = sc.query_id JOIN qa ON qa.id = sc.id WHERE score > 0 AND score >= total * 0.25)"""
-_SHORT = """qs AS (SELECT item_id AS query_id, p[2:3] AS ps FROM (SELECT item_id, list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda x: x <> '') AS p FROM benchmark) WHERE len(p) >= 2),
-qp AS (SELECT query_id, unnest(ps) AS piece FROM qs), ql AS (SELECT query_id, count(*) FILTER (WHERE length(piece) >= 3) AS n_long FROM qp GROUP BY 1),
+_SHORT = """qs AS (SELECT id AS query_id, list_filter(regexp_split_to_array(trim(question), '\\s+'), lambda x: x <> '') AS ps FROM qa WHERE id % 100 = 0),
+qp AS (SELECT query_id, lower(piece) AS piece FROM (SELECT query_id, unnest(ps) AS piece FROM qs)), ql AS (SELECT query_id, len(list_filter(ps, lambda x: length(x) >= 3)) AS n_long FROM qs),
 nt AS (SELECT id, created_s, lower(title) AS t, lower(question) AS q, lower(conclusion) AS c, greatest(0, length(title) - 2) + greatest(0, length(question) - 2) + greatest(0, length(conclusion) - 2) AS g FROM qa),
 m AS (SELECT ql.query_id, n_long, nt.* FROM ql JOIN nt ON NOT EXISTS (SELECT 1 FROM qp WHERE qp.query_id = ql.query_id AND
-  CASE WHEN n_long > 0 THEN length(piece) >= 3 AND NOT (contains(t, piece) OR contains(q, piece) OR contains(c, piece)) ELSE NOT (contains(t, piece) OR contains(c, piece)) END))"""
+  CASE WHEN length(piece) >= 3 THEN NOT (contains(t, piece) OR contains(q, piece) OR contains(c, piece)) ELSE NOT (contains(t, piece) OR contains(c, piece)) END))"""
 _UNIT = """u AS (SELECT id, topic_id, embedding FROM vec)"""
 _CENT = """cs AS (SELECT topic_id, pos, sum(x::DOUBLE) AS x FROM (SELECT topic_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM vec) GROUP BY 1, 2),
 cn AS (SELECT topic_id, sqrt(sum(x * x)) AS norm FROM cs GROUP BY 1),

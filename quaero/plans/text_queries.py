@@ -174,7 +174,7 @@ SELECT tag, row_number() OVER (PARTITION BY tag ORDER BY score DESC, suggestion)
         f"""WITH r AS (SELECT {_sql_redacted('text')} AS t FROM documents), m AS (SELECT unnest(regexp_extract_all(t, '\\[REDACTED:([a-z-]+)\\]', 1)) AS kind, rn FROM (SELECT t, row_number() OVER () AS rn FROM r))
 SELECT kind, count(DISTINCT rn)::BIGINT AS n_documents, count(*)::BIGINT AS n_redacted FROM m GROUP BY 1""",
     ),
-    "slugs": (slugs, sql_with("SELECT id, trim(substring(ltrim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), 1, 48), '-') AS slug FROM qa", "qa")),
+    "slugs": (slugs, sql_with("SELECT id, regexp_extract(trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), '^.{0,47}(-.|[^-])?') AS slug FROM qa", "qa")),
     "excerpts": (
         excerpts,
         r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!?\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(?m)^\s{0,3}(#{1,6}|>|[-*+]|\d+\.)\s+', '', 'g'), '[`*_~]', '', 'g'), '\s+', ' ', 'g')) AS excerpt FROM conversations""",
@@ -208,7 +208,7 @@ SELECT id, CASE WHEN id % 2 = 0 THEN 'codex://threads/' || session_id ELSE 'clau
     ),
     "note_paths": (
         note_paths,
-        sql_with(""", s AS (SELECT id, trim(substring(ltrim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), 1, 48), '-') AS slug, to_timestamp(created_s) AT TIME ZONE 'UTC' AS t FROM qa)
+        sql_with(""", s AS (SELECT id, regexp_extract(trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), '^.{0,47}(-.|[^-])?') AS slug, to_timestamp(created_s) AT TIME ZONE 'UTC' AS t FROM qa)
 SELECT id, 'notes/' || CASE WHEN id % 7 = 0 THEN '0000/00' ELSE strftime(t, '%Y/%m') END || '/' || id || CASE WHEN slug = '' THEN '' ELSE '-' || slug END || '.md' AS path FROM s""", "qa"),
     ),
     "file_kinds": (

@@ -60,6 +60,7 @@ def test_terms(spark):
 def test_text_functions(spark):
     assert values(spark, ["2026-01-01T08:30:00+08:00", "2026-01-01T00:30:00.9Z", "2026-01-01 00:30", "x"], X.utc_text) == ["2026-01-01T00:30:00Z", "2026-01-01T00:30:00Z", None, None]
     assert values(spark, ["Hello, World!  Again", "--", "a" * 60], X.slug) == ["hello-world-again", "", "a" * 48]
+    assert values(spark, ["q" * 47 + " b", "q" * 46 + " bc", "q" * 48 + " b", "q" * 47 + " ", "q" * 47 + "! bcd"], X.slug) == ["q" * 47 + "-b", "q" * 46 + "-b", "q" * 48, "q" * 47, "q" * 47 + "-b"]
     assert values(spark, ["# T\nbody", "a\n# b"], X.without_title) == ["body", "a\n# b"]
     assert values(spark, ["```\nx\n``` see [link](u) **b**\n- item"], X.excerpt) == ["see link b item"]
     md = "x\n## a\n1\n## b\n2"

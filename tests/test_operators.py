@@ -188,11 +188,44 @@ def test_search_in_blocks(spark, monkeypatch):
     assert run() == whole
 
 
-def test_merges_close_no_circle(spark):
-    asked = [(1, "a", "b"), (2, "c", "a"), (3, "b", "c"), (4, "q", "p"), (9, "p", "q"), (5, "w", "x"), (8, "x", "y"), (6, "y", "z"), (7, "z", "w"), (10, "in", "a"), (11, "s", "s"), (12, "a", "q")]
-    requests = spark.createDataFrame(asked, "seq long, source string, target string")
-    topics = spark.createDataFrame([(t,) for t in {x for r in asked for x in r[1:]}], "id string")
-    chains = spark.createDataFrame([], "start string, resolved string")
-    got = {r.seq: r.reason for r in edits.merge_topics(requests, topics, chains).collect()}
-    circle = "would close a circle"
-    assert got == dict.fromkeys((1, 2, 4, 5, 6, 7, 10)) | {3: circle, 8: circle, 9: circle, 11: "same topic", 12: "merged before in this batch"}
+def test_short_pieces_are_a_further_condition(spark):
+    notes = spark.createDataFrame([(1, "Parquet go", "how", "body"), (2, "Parquet", "go", "body"), (3, "parquet", None, "We GO on \\\\E aaaa"), (4, "go", "x", None)], "id long, title string, question string, conclusion string").selectExpr("*", "id AS created_s")
+    queries = spark.createDataFrame([(1, "parquet go"), (2, "go"), (3, "PARQUET"), (4, ""), (5, "\\\\E aa aaa"), (6, "zzzq go"), (7, "arquet pARQ")], "query_id long, query string")
+    got = sorted((r.query_id, r.id) for r in search.substring_matches(queries, notes).collect())
+    assert got == [(1, 1), (1, 3), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2), (3, 3), (4, 1), (4, 2), (4, 3), (4, 4), (5, 3), (7, 1), (7, 2), (7, 3)]
+    hits = {(r.piece, r.id): r.tf for r in search.piece_hits(spark.createDataFrame([("aaa",), ("\\\\e",), ("go o",)], "piece string"), notes).collect()}
+    assert hits == {("aaa", 3): 2.0, ("go o", 3): 1.0} or hits == {("aaa", 3): 2.0, ("\\\\e", 3): 1.0, ("go o", 3): 1.0}
+    assert search.bm25_search(queries.where("query_id < 0"), notes).count() == 0 and search.bm25_search(queries, notes.where("id < 0")).count() == 0
+
+
+def test_merges_apply_in_turn(spark):
+    import random
+
+    rnd = random.Random(2)
+    asked = [(1, "a", "b"), (2, "c", "a"), (3, "b", "c"), (4, "q", "p"), (9, "p", "q"), (5, "w", "x"), (8, "x", "y"), (6, "y", "z"), (7, "z", "w"), (10, "in", "a"), (11, "s", "s"), (12, "a", "q"), (13, "gone", "a"), (14, "a", "gone"), (15, "u", "gone"), (16, "u", "v")]
+    asked += [(100 + k, f"n{rnd.randrange(40)}", f"n{rnd.randrange(40)}") for k in range(60)]
+    edges = {"old": "b", "n3": "n4"}
+    names = ({x for r in asked for x in r[1:]} | {"old"}) - {"gone"}
+    top, expected = dict(edges), {}
+
+    def root(x):
+        while x in top:
+            x = top[x]
+        return x
+
+    for seq, source, target in sorted(asked + [(20, "old", "in")]):
+        if source not in names or target not in names:
+            expected[seq] = ("unknown source" if source not in names else "unknown target",)
+            continue
+        a, b = root(source), root(target)
+        expected[seq] = (a, b, "same topic" if a == b else None)
+        if a != b:
+            top[a] = b
+    requests = spark.createDataFrame(asked + [(20, "old", "in")], "seq long, source string, target string")
+    chains = spark.createDataFrame(list(edges.items()), "start string, resolved string")
+    got = {r.seq: r for r in edits.merge_topics(requests, spark.createDataFrame([(t,) for t in names], "id string"), chains).collect()}
+    assert got.keys() == expected.keys()
+    for seq, want in expected.items():
+        assert (want == (got[seq].reason,)) if len(want) == 1 else want == (got[seq].from_id, got[seq].into_id, got[seq].reason), seq
+    assert [got[k].reason for k in (3, 7, 8, 9, 14, 15, 16)] == ["same topic", None, "same topic", "same topic", "unknown target", "unknown target", None]
+
