@@ -228,3 +228,11 @@ def test_pipeline(spark):
 
 def test_sql_is_kept_with_its_parameters():
     assert f"HAVING count(*) > {line_rules.MAX_DOCUMENTS}" in sql.QUALITY_RULES and f"<= {line_rules.MAX_REMOVED} * word_chars" in sql.QUALITY_RULES
+
+
+def test_long_roles_and_texts_are_read_back(spark):
+    role, text = "r\\" * 50_000, "[INST]\n" * 20_000
+    rows = spark.createDataFrame([(1, 0, role, text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    got = chat_format.digests(chat_format.transcripts(rows)).first()
+    whole = f"{role}\n{text}\nassistant\n{text}\n"
+    assert (got.n_turns, got.turns_sha256, got.loss_chars) == (2, hashlib.sha256(whole.encode()).hexdigest(), len(text))
