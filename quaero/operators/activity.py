@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import sized, stored
+
 
 def topic_counts(notes: DataFrame, annotated: DataFrame | None = None) -> DataFrame:
     """ask_count, first_asked, last_asked and annotated of each topic. annotated: note ids with an annotation."""
@@ -109,10 +111,40 @@ def bar_shares(counts: DataFrame, key: str, limit: int = 10) -> DataFrame:
     return top.select(key, "n_notes", F.round(F.col("n_notes") / F.greatest(F.lit(1), F.max("n_notes").over(Window.partitionBy())), 6).alias("share"))
 
 
+def ordinals(rows: DataFrame, key: str, order: list[Column], name: str, total: str | None = None) -> DataFrame:
+    """rows with their ordinal (name, from 1) within their key by order and, if asked for, the number of the key's rows.
+
+    Rows are sorted into ranges of (key, order), so a key of any size is spread over many tasks. An ordinal is the place
+    within the range plus the key's rows in the ranges before. Only a key that goes over the end of a range needs that sum;
+    there are at most two such rows a range, which bounds the broadcast. Rows without a key form one.
+    """
+    n_ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(rows.repartitionByRange(n_ranges, F.col(key), *order).withColumn("range_no", F.spark_partition_id()))
+    own, before = Window.partitionBy(key), Window.partitionBy(key).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(key, "range_no").agg(F.count(F.lit(1)).alias("n"))
+    carried = sizes.select(F.col(key).alias("carried_key"), F.col("range_no").alias("carried_range"), F.sum("n").over(before).alias("n_before"), F.sum("n").over(own).alias("n_key"), F.count(F.lit(1)).over(own).alias("n_ranges"))
+    carried = F.broadcast(stored(carried.where("n_ranges > 1").drop("n_ranges")))
+    met = placed.join(carried, F.col(key).eqNullSafe(F.col("carried_key")) & (F.col("range_no") == F.col("carried_range")), "left")
+    group = Window.partitionBy(key, "range_no")
+    out = {name: F.row_number().over(group.orderBy(*order)) + F.coalesce("n_before", F.lit(0))}
+    if total:
+        out[total] = F.coalesce("n_key", F.count(F.lit(1)).over(group))
+    return met.withColumns(out).select(*rows.columns, *out)
+
+
 def timeline(notes: DataFrame) -> DataFrame:
     """Each note with its ordinal in its topic (oldest first) and the topic's count."""
-    topic = Window.partitionBy("topic_id")
-    return notes.select("*", F.row_number().over(topic.orderBy("created_utc", "id")).alias("ask_index"), F.count(F.lit(1)).over(topic).alias("ask_count"))
+    return ordinals(notes, "topic_id", [F.col("created_utc").asc(), F.col("id").asc()], "ask_index", "ask_count")
+
+
+def timeline_items(notes: DataFrame, labels: DataFrame, annotations: DataFrame) -> DataFrame:
+    """The timeline's rows with the topic's label (empty if it has none) and the number of the note's annotations.
+
+    labels: topic_id, label. annotations: note_id.
+    """
+    counts = annotations.groupBy(F.col("note_id").alias("id")).agg(F.count(F.lit(1)).alias("n_annotations"))
+    items = timeline(notes).join(counts.hint("shuffle_merge"), "id", "left").join(sized(labels.select("topic_id", "label")), "topic_id", "left")
+    return items.withColumns({"label": F.coalesce("label", F.lit("")), "n_annotations": F.coalesce("n_annotations", F.lit(0))})
 
 
 def page(rows: DataFrame, limit: int, before: tuple | None = None) -> DataFrame:
@@ -123,10 +155,19 @@ def page(rows: DataFrame, limit: int, before: tuple | None = None) -> DataFrame:
     return rows.orderBy(F.desc("created_utc"), F.desc("id")).limit(limit + 1)
 
 
+def page_with_next(rows: DataFrame, limit: int, before: tuple | None = None) -> DataFrame:
+    """The page's rows (at most limit), each with next: the cursor "<created_utc> <id>" of the last one if more follow."""
+    w = Window.orderBy(F.desc("created_utc"), F.desc("id"))  # over limit + 1 rows
+    placed = page(rows, limit, before).withColumns({"place": F.row_number().over(w), "found": F.count(F.lit(1)).over(Window.partitionBy())})
+    cursor = F.concat_ws(" ", F.col("created_utc").cast("string"), F.col("id").cast("string"))
+    kept = placed.where(F.col("place") <= limit).withColumn("last", F.max(F.when(F.col("place") == limit, cursor)).over(Window.partitionBy()))
+    return kept.withColumn("next", F.when(F.col("found") > limit, F.col("last"))).drop("place", "found", "last")
+
+
 def page_numbers(notes: DataFrame, size: int) -> DataFrame:
     """The page of each note in its tag's timeline, newest first."""
-    w = Window.partitionBy("tag").orderBy(F.desc("created_utc"), F.desc("id"))
-    return notes.select("id", "tag", F.floor((F.row_number().over(w) - 1) / size).cast("long").alias("page"))
+    placed = ordinals(notes.select("id", "tag", "created_utc"), "tag", [F.desc("created_utc"), F.desc("id")], "place")
+    return placed.select("id", "tag", F.floor((F.col("place") - 1) / size).cast("long").alias("page"))
 
 
 def day_sections(notes: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hops between two cuts of the lineage.
-CUT = 12
+from ..sources.store import stored
 
 
 def follow(edges: DataFrame, source: str, target: str) -> DataFrame:
@@ -14,24 +15,20 @@ def follow(edges: DataFrame, source: str, target: str) -> DataFrame:
 
     A chain stops at a node without an edge or at the first node it meets again, so a node on a cycle resolves to itself
     and a node that leads into a cycle to the node where it enters. Chains are walked together, a join per hop over the
-    chains still on their way; only their number reaches the driver. One edge per source (the least target) counts.
+    chains still on their way; each hop is written once, and only whether any is left reaches the driver. One edge per
+    source (the least target) counts.
     """
-    step = edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(source).alias("cur")).agg(F.min(target).alias("next_id"))
+    step = stored(edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(source).alias("cur")).agg(F.min(target).alias("next_id")))
     going = step.select(F.col("cur").alias("start"), F.col("next_id").alias("cur"), F.array("cur").alias("seen"))
-    done = None
-    hop = 0
+    ends = []
     while True:
-        reached = going.join(step, "cur", "left")
-        again = F.array_contains("seen", F.col("cur"))
-        stop = F.col("next_id").isNull() | again
-        ended = reached.where(stop).select("start", F.col("cur").alias("resolved"))
-        done = ended if done is None else done.unionByName(ended)
-        going = reached.where(~stop).select("start", F.col("next_id").alias("cur"), F.concat("seen", F.array("cur")).alias("seen"))
-        hop += 1
-        if hop % CUT == 0 and edges.sparkSession.sparkContext.getCheckpointDir():
-            going, done = going.checkpoint(), done.checkpoint()
-        if going.isEmpty():
-            return done
+        stop = F.col("next_id").isNull() | F.array_contains("seen", F.col("cur"))
+        reached = stored(going.join(step.hint("shuffle_merge"), "cur", "left").withColumn("stop", stop))
+        ends.append(reached.where("stop").select("start", F.col("cur").alias("resolved")))
+        left = reached.where("NOT stop")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, ends)
+        going = left.select("start", F.col("next_id").alias("cur"), F.concat("seen", F.array("cur")).alias("seen"))
 
 
 def resolved(rows: DataFrame, column: str, chains: DataFrame) -> DataFrame:
@@ -51,26 +48,40 @@ def canonical(rows: DataFrame, key: str = "id", path: str = "path") -> DataFrame
     return rows.withColumn("copy_rank", F.row_number().over(w)).where("copy_rank = 1").drop("copy_rank")
 
 
+def _all_files(tables: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "path") for kind, df in tables.items()])
+
+
+def conflict_ids(tables: dict[str, DataFrame]) -> DataFrame:
+    """kind, id, n_copies of the ids that more than one file has; counted, so an id may have any number of copies."""
+    return _all_files(tables).groupBy("kind", "id").agg(F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
+
+
+def conflict_copies(tables: dict[str, DataFrame]) -> DataFrame:
+    """kind, id, path of each copy of those ids, a row each."""
+    ids = conflict_ids(tables).select("kind", "id", F.lit(True).alias("found"))
+    return _all_files(tables).join(ids.hint("shuffle_merge"), ["kind", "id"]).drop("found")
+
+
 def conflicts(tables: dict[str, DataFrame]) -> DataFrame:
-    """kind, id, paths (by length, then text) of the ids that more than one file has."""
-    parts = [df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "path") for kind, df in tables.items()]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    found = both.groupBy("kind", "id").agg(F.array_sort(F.collect_list(F.struct(F.length("path").alias("n"), "path"))).alias("found"))
-    return found.where(F.size("found") > 1).select("kind", "id", F.col("found.path").alias("paths"))
+    """kind, id, paths (by length, then text) of those ids: a report for people, with all paths of an id in one row."""
+    found = conflict_copies(tables).groupBy("kind", "id").agg(F.array_sort(F.collect_list(F.struct(F.length("path").alias("n"), "path"))).alias("found"))
+    return found.select("kind", "id", F.col("found.path").alias("paths"))
 
 
-def settle(found: DataFrame, decisions: DataFrame) -> DataFrame:
+def settle(copies: DataFrame, decisions: DataFrame) -> DataFrame:
     """kind, id, path, outcome: kept and discarded copies of decided conflicts; rejected decisions with their reason.
 
-    decisions: kind, id, keep. A decision counts if the conflict exists and keep is one of its paths.
+    copies: as conflict_copies gives them. decisions: kind, id, keep. A decision counts if the conflict exists and keep is
+    one of its paths.
     """
-    both = decisions.join(found, ["kind", "id"], "left")
-    reason = F.when(F.col("paths").isNull(), "no such conflict").when(~F.array_contains("paths", F.col("keep")), "not a copy")
-    judged = both.withColumn("reason", reason)
+    ids = copies.select("kind", "id", F.lit(True).alias("exists")).distinct()
+    paths = copies.select("kind", "id", F.col("path").alias("keep"), F.lit(True).alias("is_copy")).distinct()
+    reason = F.when(F.col("exists").isNull(), "no such conflict").when(F.col("is_copy").isNull(), "not a copy")
+    met = decisions.join(ids.hint("shuffle_merge"), ["kind", "id"], "left").join(paths.hint("shuffle_merge"), ["kind", "id", "keep"], "left")
+    judged = stored(met.select("kind", "id", "keep", reason.alias("reason")))
     rejected = judged.where("reason IS NOT NULL").select("kind", "id", F.col("keep").alias("path"), F.concat(F.lit("rejected: "), "reason").alias("outcome"))
-    done = judged.where("reason IS NULL").select("kind", "id", "keep", F.explode("paths").alias("path"))
+    done = copies.join(judged.where("reason IS NULL").drop("reason").hint("shuffle_merge"), ["kind", "id"])
     return done.select("kind", "id", "path", F.when(F.col("path") == F.col("keep"), "kept").otherwise("discarded").alias("outcome")).unionByName(rejected)
 
 

@@ -94,6 +94,11 @@ def substring_matches(queries: DataFrame, notes: DataFrame, hits: DataFrame | No
 
 
 def bm25_search(queries: DataFrame, notes: DataFrame, limit: int = 20) -> DataFrame:
+    """The first `limit` notes of each query's ranking."""
+    return bm25_ranking(queries, notes).where(F.col("rank") <= limit)
+
+
+def bm25_ranking(queries: DataFrame, notes: DataFrame) -> DataFrame:
     """query_id, rank, id, score: substring matches by BM25 of the weighted hits, without long piece newest first.
 
     A note's length is its number of trigrams over the three columns; a piece's frequency n is the notes that hold it.
@@ -113,7 +118,7 @@ def bm25_search(queries: DataFrame, notes: DataFrame, limit: int = 20) -> DataFr
     by_score = scored.groupBy("query_id", "id", "created_s").agg(F.round(F.sum(part), 6).alias("score"))
     rest = met.where("n_long = 0").select("query_id", "id", "created_s", F.lit(0.0).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.when(F.col("score") == 0, F.col("created_s"))), "id")
-    return by_score.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+    return by_score.unionByName(rest).withColumn("rank", F.row_number().over(order)).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
 def terms(text: Column) -> Column:
@@ -172,10 +177,15 @@ def fused(*rankings: DataFrame) -> DataFrame:
     return score.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
+def best_topics(ranking: DataFrame, notes: DataFrame, limit: int = TOPICS, candidates: int = CANDIDATES) -> DataFrame:
+    """query_id, rank, topic_id: the topics of each query's first candidates, in order."""
+    first = ranking.where(F.col("rank") <= candidates).join(notes.select("id", "topic_id").hint("shuffle_merge"), "id").groupBy("query_id", "topic_id").agg(F.min("rank").alias("best"))
+    order = Window.partitionBy("query_id").orderBy("best", "topic_id")
+    return first.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit).select("query_id", "rank", "topic_id")
+
+
 def recalled_topics(ranking: DataFrame, notes: DataFrame, limit: int = TOPICS, candidates: int = CANDIDATES) -> DataFrame:
     """query_id, rank, topic_id, ask_count, note_ids: topics of the first candidates in order, each with all its notes."""
-    first = ranking.where(F.col("rank") <= candidates).join(notes.select("id", "topic_id"), "id").groupBy("query_id", "topic_id").agg(F.min("rank").alias("best"))
-    order = Window.partitionBy("query_id").orderBy("best", "topic_id")
-    top = first.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= limit)
+    top = best_topics(ranking, notes, limit, candidates)
     of_topic = notes.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("created_s", "id"))).alias("found"))
     return top.join(of_topic, "topic_id").select("query_id", "rank", "topic_id", F.size("found").cast("long").alias("ask_count"), F.array_join(F.col("found.id").cast("array<string>"), ",").alias("note_ids"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import activity as A
 from ..operators import edits, resolve
 from ..sources import tables as S
+from ..sources.store import sized
 from ..sources.tables import sql_with
 
 
@@ -15,7 +16,7 @@ def _chains(spark, d):
 
 
 def _notes(spark, d):
-    return resolve.resolved(S.notes(spark, d), "topic_id", F.broadcast(_chains(spark, d)))
+    return resolve.resolved(S.notes(spark, d), "topic_id", sized(_chains(spark, d)))
 
 
 def _annotated(spark, d):
@@ -93,7 +94,7 @@ def project_shares(spark, d):
 
 
 def timeline(spark, d):
-    return A.timeline(_notes(spark, d)).select("id", "topic_id", "created", "ask_index", F.col("ask_count"))
+    return A.timeline(_notes(spark, d)).select("id", "topic_id", "created", F.col("ask_index").cast("int").alias("ask_index"), "ask_count")
 
 
 def timeline_page(spark, d):
@@ -113,12 +114,12 @@ def day_sections(spark, d):
 def totals(spark, d):
     one = A.repeats(_counts(spark, d)).select("topics", "repeated")
     n = _notes(spark, d).agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.col("id") % 50 == 0).alias("annotations"))
-    c = resolve.conflicts({"note": S.files(spark, d)}).agg(F.count(F.lit(1)).alias("conflicts"))
+    c = resolve.conflict_ids({"note": S.files(spark, d)}).agg(F.count(F.lit(1)).alias("conflicts"))
     return n.crossJoin(one).crossJoin(c)  # one row each
 
 
 def health(spark, d):
-    found = resolve.conflicts({"note": S.files(spark, d)})
+    found = resolve.conflict_ids({"note": S.files(spark, d)})
     bad = S.files(spark, d).where("length(body) < 40").select(F.lit("invalid").alias("problem"), F.col("path").alias("subject"))
     return found.select(F.lit("conflict").alias("problem"), F.col("id").alias("subject")).unionByName(bad)
 
@@ -132,8 +133,9 @@ def conflicts(spark, d):
 
 
 def settled(spark, d):
-    found = resolve.conflicts({"note": S.files(spark, d)})
-    decisions = found.select("kind", "id", F.get("paths", F.lit(0)).alias("keep")).unionByName(S.files(spark, d).where("doc_id % 100 = 0").select(F.lit("topic").alias("kind"), "id", F.col("path").alias("keep")).distinct())
+    found = resolve.conflict_copies({"note": S.files(spark, d)})
+    first = found.groupBy("kind", "id").agg(F.min(F.struct(F.length("path").alias("n"), "path")).alias("first"))
+    decisions = first.select("kind", "id", F.col("first.path").alias("keep")).unionByName(S.files(spark, d).where("doc_id % 100 = 0").select(F.lit("topic").alias("kind"), "id", F.col("path").alias("keep")).distinct())
     return resolve.settle(found, decisions)
 
 
@@ -144,7 +146,7 @@ def merged_from(spark, d):
 def ask_counts(spark, d):
     """The count of every topic id that notes or merges name, after resolution."""
     ends = S.notes(spark, d).select("topic_id").union(S.merges(spark, d).select("id")).distinct().withColumn("asked_id", F.col("topic_id"))
-    ends = resolve.resolved(ends, "topic_id", F.broadcast(_chains(spark, d)))
+    ends = resolve.resolved(ends, "topic_id", sized(_chains(spark, d)))
     n = _notes(spark, d).groupBy("topic_id").agg(F.count(F.lit(1)).alias("n"))
     return ends.join(n, "topic_id", "left").select("asked_id", "topic_id", F.coalesce("n", F.lit(0)).alias("ask_count"))
 

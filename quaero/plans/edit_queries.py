@@ -40,12 +40,16 @@ def _requests(spark, d):
     )
 
 
-def save_batch(spark, d):
+def saved_requests(spark, d):
     known = S.notes(spark, d).select("tag").distinct()
     aliases = known.where("tag = 'click'").select(F.lit("alias").alias("start"), F.lit("view").alias("resolved"))
     topics = S.notes(spark, d).select(F.col("topic_id").cast("string").alias("id")).distinct()
     chains = _chains(spark, d).select(F.col("start").cast("string").alias("start"), F.col("resolved").cast("string").alias("resolved"))
-    out = edits.save_batch(_requests(spark, d), topics, chains, known, aliases)
+    return edits.save_batch(_requests(spark, d), topics, chains, known, aliases)
+
+
+def save_batch(spark, d):
+    out = saved_requests(spark, d)
     return out.select("request_id", F.coalesce("reject_reason", F.lit("")).alias("reason"), F.when(F.col("is_new_topic"), "new").otherwise(F.col("topic_id")).alias("topic"), F.array_join("tags", ",").alias("tags"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity_queries, edit_queries, recall_queries, text_queries
+from . import activity_queries, edit_queries, recall_queries, text_queries, view_queries
 
-_MODULES = (activity_queries, text_queries, recall_queries, edit_queries)
+_MODULES = (activity_queries, text_queries, recall_queries, edit_queries, view_queries)
 
 
 def queries() -> dict:

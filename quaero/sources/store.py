@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,3 +19,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables of up to so many rows, counted first, are broadcast by `sized`.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df, written and counted, with the hint of its join: broadcast up to BROADCAST_ROWS, a sort-merge join beyond."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df.hint("shuffle_merge")

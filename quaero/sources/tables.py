@@ -48,6 +48,23 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tagged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Note files with the tags source and lang, and a topic by the text's length."""
+    f = files(spark, sf_dir)
+    return f.select("id", "path", "body", F.array("source", "lang").alias("tags"), (F.length("body") % 40).cast("long").alias("topic_id"))
+
+
+def tag_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag aliases: each source stands for the least of its languages."""
+    return load(spark, sf_dir, "documents").groupBy(F.col("source").alias("from_tag")).agg(F.min("lang").alias("to_tag"))
+
+
+def tagged_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with the first and the last word of their title as tags."""
+    words = F.split(F.lower("title"), " ")
+    return questions(spark, sf_dir).withColumn("tags", F.array_distinct(F.array(F.get(words, F.lit(0)), F.element_at(words, -1))))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Note vectors, from embeddings: id, topic_id, embedding."""
     return load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") * 100 + F.col("vec_id") % 100).alias("topic_id"), "embedding")
@@ -74,13 +91,17 @@ SQL_VIEWS = {
   FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS conclusion FROM conversations)
   WHERE role = 'user' AND next_role = 'assistant'""",
     "doc": "SELECT 'notes/' || source || '/' || doc_id || '.md' AS path, md5(text) AS id, text AS body, lang, source, doc_id FROM documents",
+    "tagged": """SELECT id, path, body, list_distinct([coalesce(to_tag, source), lang]) AS tags, length(body) % 40 AS topic_id
+  FROM doc LEFT JOIN (SELECT source AS from_tag, min(lang) AS to_tag FROM documents GROUP BY 1) ON from_tag = source""",
+    "row_": """SELECT id, path, list_sort(tags) AS tags, coalesce(root_id, topic_id) AS topic_id
+  FROM (SELECT * FROM tagged QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(path), path) = 1) LEFT JOIN root ON start_id = topic_id""",
     "vec": "SELECT vec_id AS id, label * 100 + vec_id % 100 AS topic_id, embedding FROM embeddings",
 }
 
 
 def sql_with(query: str, *names: str) -> str:
     """The query after a WITH list of these views and what they build on."""
-    need = {"edge": ["note0"], "walk": ["edge"], "root": ["walk"], "note": ["note0", "root"]}
+    need = {"edge": ["note0"], "walk": ["edge"], "root": ["walk"], "note": ["note0", "root"], "tagged": ["doc"], "row_": ["tagged", "root"]}
     order: list[str] = []
 
     def add(name: str) -> None:
