@@ -74,7 +74,7 @@ class Automaton:
     """The compiled automaton of one vocabulary file with word ends."""
 
     #: Lengths up to which words share a block, and symbols of a block.
-    TOGETHER, CELLS = (8, 16, 32), 400_000
+    TOGETHER, CELLS = (8, 16, 32), 200_000
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -196,7 +196,7 @@ def automaton(path: str) -> Automaton:
 class Coder:
     """Splits texts as the library does, and keeps what the automaton made of the words seen last (bounded)."""
 
-    KEPT, LONGEST, CHUNK = 150_000, 48, 2 << 20
+    KEPT, LONGEST, CHUNK = 60_000, 48, 2 << 20
 
     def __init__(self, path: str):
         self.machine = automaton(path)
