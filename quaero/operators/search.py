@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
 from ..sources.store import stored
+from .activity import ordinals
 
 #: Fixed values of the ranking: BM25's k1 and b, the weights of title, question and body.
 K1, B, WEIGHTS = 1.2, 0.75, (("title", 3.0), ("question", 2.0), ("conclusion", 1.0))
@@ -189,3 +190,13 @@ def recalled_topics(ranking: DataFrame, notes: DataFrame, limit: int = TOPICS, c
     top = best_topics(ranking, notes, limit, candidates)
     of_topic = notes.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("created_s", "id"))).alias("found"))
     return top.join(of_topic, "topic_id").select("query_id", "rank", "topic_id", F.size("found").cast("long").alias("ask_count"), F.array_join(F.col("found.id").cast("array<string>"), ",").alias("note_ids"))
+
+
+def recalled_notes(ranking: DataFrame, notes: DataFrame, limit: int = TOPICS, candidates: int = CANDIDATES) -> DataFrame:
+    """topic_id, place, id: the notes of every topic that some query recalls, once each, numbered oldest first.
+
+    With best_topics this says what recalled_topics does, without a list of a whole topic in one row for each query.
+    """
+    topics = best_topics(ranking, notes, limit, candidates).select("topic_id").distinct()
+    members = notes.select("topic_id", "id", "created_s").join(topics.hint("shuffle_merge"), "topic_id", "left_semi")
+    return ordinals(members, "topic_id", [F.col("created_s").asc(), F.col("id").asc()], "place").select("topic_id", F.col("place").cast("long").alias("place"), "id")

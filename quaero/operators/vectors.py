@@ -70,6 +70,18 @@ def change_signature(vectors: DataFrame, group: str = "topic_id", key: str = "id
     return vectors.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("signature"))
 
 
+def change_sums(rows: DataFrame, group: str = "topic_id", key: str = "id") -> DataFrame:
+    """group, signature: a change signature that tasks add up in parts, so no group is gathered, whatever its size.
+
+    It is the number of rows and the sums of the four 32-bit words of the keys' MD5 digests: equal multisets of keys have
+    equal ones, in any order. Null keys only count; an empty table has no groups.
+    """
+    digest = F.md5(F.col(key).cast("string"))
+    words = [F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("decimal(10,0)")) for k in range(4)]
+    sums = [F.coalesce(w.cast("string"), F.lit("0")) for w in words]
+    return rows.groupBy(group).agg(F.concat_ws("-", F.count(F.lit(1)).cast("string"), *sums).alias("signature"))
+
+
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int, floor: float = -1.0, skip_self: bool = False) -> DataFrame:
     """query_id, rank, id, similarity: the k most similar vectors of each query at or above a floor, exactly.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import search as R
@@ -58,17 +59,16 @@ def recalled_topics(spark, d):
     return R.recalled_topics(R.keyword_recall(_asked(spark, d), notes), notes)
 
 
-def rank_fusion(spark, d):
-    v = S.vectors(spark, d)
-    first = v.where("id % 2 = 0").select(F.col("topic_id").alias("query_id"), "id", F.row_number().over(_order("id")).cast("long").alias("rank"))
-    second = v.select(F.col("topic_id").alias("query_id"), "id", F.row_number().over(_order(F.desc("id"))).cast("long").alias("rank"))
-    return R.fused(first, second)
-
+def recalled_notes(spark, d):
+    notes = S.questions(spark, d)
+    return R.recalled_notes(R.keyword_recall(_asked(spark, d), notes), notes)
 
-def _order(by):
-    from pyspark.sql import Window
 
-    return Window.partitionBy("topic_id").orderBy(by)
+def rank_fusion(spark, d):
+    """Two rankings of each topic's vectors: by the first component, of those where it is positive, and by the second."""
+    v = S.vectors(spark, d).select(F.col("topic_id").alias("query_id"), "id", F.get("embedding", F.lit(0)).alias("first"), F.get("embedding", F.lit(1)).alias("second"))
+    place = lambda by: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "id")).cast("long").alias("rank")
+    return R.fused(v.where("first > 0").select("query_id", "id", place("first")), v.select("query_id", "id", place("second")))
 
 
 def note_keys(spark, d):
@@ -90,6 +90,10 @@ def change_signatures(spark, d):
     return V.change_signature(S.vectors(spark, d))
 
 
+def topic_signatures(spark, d):
+    return V.change_sums(S.vectors(spark, d))
+
+
 def _topic_counts(spark, d):
     return S.vectors(spark, d).groupBy("topic_id").agg(F.count(F.lit(1)).alias("ask_count"))
 
@@ -121,6 +125,7 @@ nt AS (SELECT id, created_s, lower(title) AS t, lower(question) AS q, lower(conc
 m AS (SELECT ql.query_id, n_long, nt.* FROM ql JOIN nt ON NOT EXISTS (SELECT 1 FROM qp WHERE qp.query_id = ql.query_id AND
   CASE WHEN length(piece) >= 3 THEN NOT (contains(t, piece) OR contains(q, piece) OR contains(c, piece)) ELSE NOT (contains(t, piece) OR contains(c, piece)) END))"""
 _UNIT = """u AS (SELECT id, topic_id, embedding FROM vec)"""
+SUMS = "concat_ws('-', count(*)::VARCHAR, " + ", ".join(f"sum(('0x' || substring(md5({{key}}::VARCHAR), {8 * k + 1}, 8))::BIGINT)::VARCHAR" for k in range(4)) + ")"
 _CENT = """cs AS (SELECT topic_id, pos, sum(x::DOUBLE) AS x FROM (SELECT topic_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM vec) GROUP BY 1, 2),
 cn AS (SELECT topic_id, sqrt(sum(x * x)) AS norm FROM cs GROUP BY 1),
 cc AS (SELECT cs.topic_id, pos, CASE WHEN norm > 0 THEN x / norm ELSE x END AS x FROM cs JOIN cn ON cn.topic_id = cs.topic_id),
@@ -167,11 +172,20 @@ SELECT query_id, rank, r.topic_id, ask_count, note_ids FROM r JOIN t ON t.topic_
             "qa",
         ),
     ),
+    "recalled_notes": (
+        recalled_notes,
+        sql_with(
+            f""", {_RECALL}, f AS (SELECT query_id, topic_id, min(rank) AS best FROM kw JOIN qa ON qa.id = kw.id WHERE rank <= 30 GROUP BY 1, 2),
+t AS (SELECT DISTINCT topic_id FROM (SELECT topic_id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY best, topic_id) <= 5))
+SELECT topic_id, row_number() OVER (PARTITION BY topic_id ORDER BY created_s, id)::BIGINT AS place, id FROM qa WHERE topic_id IN (SELECT topic_id FROM t)""",
+            "qa",
+        ),
+    ),
     "rank_fusion": (
         rank_fusion,
         sql_with(
-            """, l AS (SELECT topic_id AS query_id, id, row_number() OVER (PARTITION BY topic_id ORDER BY id) AS rank FROM vec WHERE id % 2 = 0
-  UNION ALL SELECT topic_id, id, row_number() OVER (PARTITION BY topic_id ORDER BY id DESC) FROM vec), s AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM l GROUP BY 1, 2)
+            """, l AS (SELECT topic_id AS query_id, id, row_number() OVER (PARTITION BY topic_id ORDER BY embedding[1] DESC, id) AS rank FROM vec WHERE embedding[1] > 0
+  UNION ALL SELECT topic_id, id, row_number() OVER (PARTITION BY topic_id ORDER BY embedding[2] DESC, id) FROM vec), s AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM l GROUP BY 1, 2)
 SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::BIGINT AS rank FROM s""",
             "vec",
         ),
@@ -187,6 +201,7 @@ SELECT key, 'embed' AS action FROM a WHERE key NOT IN (SELECT key FROM b) UNION
     ),
     "centroids": (centroids, sql_with(f", {_CENT} SELECT topic_id, pos::BIGINT AS pos, round(x, 5) + 0.0 AS x FROM cc", "vec")),
     "change_signatures": (change_signatures, sql_with("SELECT topic_id, sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR)) AS signature FROM vec GROUP BY 1", "vec")),
+    "topic_signatures": (topic_signatures, sql_with(f"SELECT topic_id, {SUMS.format(key='id')} AS signature FROM vec GROUP BY 1", "vec")),
     "similar_topics": (similar_topics, sql_with(f", {_CENT} SELECT s5.topic_id, other, round(s, 4) AS similarity, ask_count FROM s5 JOIN tc ON tc.topic_id = other", "vec")),
     "duplicate_topics": (
         duplicate_topics,

@@ -229,3 +229,21 @@ def test_merges_apply_in_turn(spark):
         assert (want == (got[seq].reason,)) if len(want) == 1 else want == (got[seq].from_id, got[seq].into_id, got[seq].reason), seq
     assert [got[k].reason for k in (3, 7, 8, 9, 14, 15, 16)] == ["same topic", None, "same topic", "same topic", "unknown target", "unknown target", None]
 
+
+
+def test_change_sums_follow_the_set_of_keys(spark):
+    from quaero.operators import vectors
+
+    rows = [(1, 10), (1, 11), (2, 11), (2, 10), (3, 10), (3, 12), (4, None), (None, 10)]
+    out = {r.topic_id: r.signature for r in vectors.change_sums(spark.createDataFrame(rows, "topic_id long, id long")).collect()}
+    assert out[1] == out[2] != out[3]
+    assert out[4] == "1-0-0-0-0" and len(out) == 5
+    assert vectors.change_sums(spark.createDataFrame([], "topic_id long, id long")).isEmpty()
+
+
+def test_recalled_notes_are_the_topics_of_recalled_topics(spark):
+    from quaero.operators import search
+
+    notes = spark.createDataFrame([(1, "red fox", "red fox", "", 7, 5), (2, "blue", "blue", "", 7, 4), (3, "green", "green", "", 8, 3)], "id long, title string, question string, conclusion string, topic_id long, created_s long")
+    ranking = search.keyword_recall(spark.createDataFrame([(1, "red fox"), (2, "fox")], "query_id long, query string"), notes)
+    assert sorted(map(tuple, search.recalled_notes(ranking, notes).collect())) == [(7, 1, 2), (7, 2, 1)]
