@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import activity as A
 from ..operators import edits, resolve
+from ..operators import vectors as V
 from ..sources import tables as S
 from ..sources.store import sized
-from ..sources.tables import sql_with
+from ..sources.tables import KEY_SUMS, sql_with
 
 
 def _chains(spark, d):
@@ -111,6 +112,11 @@ def day_sections(spark, d):
     return A.day_sections(_notes(spark, d))
 
 
+def day_signatures(spark, d):
+    """What tells whether a day's section has changed."""
+    return V.change_sums(_notes(spark, d).withColumn("day", F.substring("created", 1, 10)), "day")
+
+
 def totals(spark, d):
     one = A.repeats(_counts(spark, d)).select("topics", "repeated")
     n = _notes(spark, d).agg(F.count(F.lit(1)).alias("notes"), F.count_if(F.col("id") % 50 == 0).alias("annotations"))
@@ -246,6 +252,7 @@ SELECT project, n_notes, round(n_notes / greatest(1, (SELECT max(n_notes) FROM c
         day_sections,
         sql_with("SELECT substring(created, 1, 10) AS day, count(*)::BIGINT AS n_notes, md5(string_agg(id::VARCHAR, ',' ORDER BY created_utc DESC, id DESC)) AS id_digest FROM note GROUP BY 1", "note"),
     ),
+    "day_signatures": (day_signatures, sql_with(f"SELECT substring(created, 1, 10) AS day, {KEY_SUMS} AS signature FROM note GROUP BY 1", "note")),
     "totals": (
         totals,
         sql_with(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import search as R
 from ..operators import vectors as V
 from ..sources import tables as S
-from ..sources.tables import sql_with
+from ..sources.tables import KEY_SUMS, sql_with
 
 
 def _asked(spark, d):
@@ -125,7 +125,6 @@ nt AS (SELECT id, created_s, lower(title) AS t, lower(question) AS q, lower(conc
 m AS (SELECT ql.query_id, n_long, nt.* FROM ql JOIN nt ON NOT EXISTS (SELECT 1 FROM qp WHERE qp.query_id = ql.query_id AND
   CASE WHEN length(piece) >= 3 THEN NOT (contains(t, piece) OR contains(q, piece) OR contains(c, piece)) ELSE NOT (contains(t, piece) OR contains(c, piece)) END))"""
 _UNIT = """u AS (SELECT id, topic_id, embedding FROM vec)"""
-SUMS = "concat_ws('-', count(*)::VARCHAR, " + ", ".join(f"sum(('0x' || substring(md5({{key}}::VARCHAR), {8 * k + 1}, 8))::BIGINT)::VARCHAR" for k in range(4)) + ")"
 _CENT = """cs AS (SELECT topic_id, pos, sum(x::DOUBLE) AS x FROM (SELECT topic_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM vec) GROUP BY 1, 2),
 cn AS (SELECT topic_id, sqrt(sum(x * x)) AS norm FROM cs GROUP BY 1),
 cc AS (SELECT cs.topic_id, pos, CASE WHEN norm > 0 THEN x / norm ELSE x END AS x FROM cs JOIN cn ON cn.topic_id = cs.topic_id),
@@ -201,7 +200,7 @@ SELECT key, 'embed' AS action FROM a WHERE key NOT IN (SELECT key FROM b) UNION
     ),
     "centroids": (centroids, sql_with(f", {_CENT} SELECT topic_id, pos::BIGINT AS pos, round(x, 5) + 0.0 AS x FROM cc", "vec")),
     "change_signatures": (change_signatures, sql_with("SELECT topic_id, sha256(string_agg(id::VARCHAR, chr(10) ORDER BY id::VARCHAR)) AS signature FROM vec GROUP BY 1", "vec")),
-    "topic_signatures": (topic_signatures, sql_with(f"SELECT topic_id, {SUMS.format(key='id')} AS signature FROM vec GROUP BY 1", "vec")),
+    "topic_signatures": (topic_signatures, sql_with(f"SELECT topic_id, {KEY_SUMS} AS signature FROM vec GROUP BY 1", "vec")),
     "similar_topics": (similar_topics, sql_with(f", {_CENT} SELECT s5.topic_id, other, round(s, 4) AS similarity, ask_count FROM s5 JOIN tc ON tc.topic_id = other", "vec")),
     "duplicate_topics": (
         duplicate_topics,

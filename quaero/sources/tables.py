@@ -99,6 +99,10 @@ SQL_VIEWS = {
 }
 
 
+#: DuckDB twin of operators.vectors.change_sums over the column id.
+KEY_SUMS = "concat_ws('-', count(*)::VARCHAR, " + ", ".join(f"sum(('0x' || substring(md5(id::VARCHAR), {8 * k + 1}, 8))::BIGINT)::VARCHAR" for k in range(4)) + ")"
+
+
 def sql_with(query: str, *names: str) -> str:
     """The query after a WITH list of these views and what they build on."""
     need = {"edge": ["note0"], "walk": ["edge"], "root": ["walk"], "note": ["note0", "root"], "tagged": ["doc"], "row_": ["tagged", "root"]}
