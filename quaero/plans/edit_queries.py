@@ -120,6 +120,11 @@ def stream_ask_counts(spark, d):
     return _streamed(spark, d, lambda s: live.running_ask_counts(_stream_notes(s))).groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_notes"), F.max("ask_index").alias("last_index"), F.count_distinct("ask_index").alias("n_indexes"))
 
 
+def stream_weeks(spark, d):
+    """The weeks of the event stream that its watermark has closed."""
+    return _streamed(spark, d, lambda s: live.running_activity(_stream_notes(s)))
+
+
 def stream_redaction(spark, d):
     out = _streamed(spark, d, lambda s: live.redacted_stream(_stream_notes(s).withColumn("text", F.concat(F.lit("token = "), F.md5(F.col("id").cast("string")))), ["text"]))
     return out.select("id", "text")
@@ -165,5 +170,10 @@ SELECT id, n.topic_id, count(*) OVER (PARTITION BY n.topic_id)::BIGINT AS ask_co
     "uuid_checks": (uuid_checks, "SELECT event_id, event_id % 2 = 0 AS ok FROM events"),
     "source_lines": (source_lines, "SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'codex|' || conv_id || '|/my work' ELSE '' END AS source FROM conversations"),
     "stream_ask_counts": (stream_ask_counts, "SELECT user_id % 40 AS topic_id, count(*)::BIGINT AS n_notes, count(*)::BIGINT AS last_index, count(*)::BIGINT AS n_indexes FROM events GROUP BY 1"),
+    "stream_weeks": (
+        stream_weeks,
+        """WITH w AS (SELECT date_trunc('week', ts)::DATE AS m, count(*)::BIGINT AS n_notes FROM events GROUP BY 1)
+SELECT strftime(m, '%Y-%m-%d') AS monday, n_notes FROM w WHERE m + INTERVAL 21 DAY <= (SELECT max(ts) FROM events)""",
+    ),
     "stream_redaction": (stream_redaction, "SELECT event_id AS id, 'token = [REDACTED:secret]' AS text FROM events"),
 }

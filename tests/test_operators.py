@@ -247,3 +247,22 @@ def test_recalled_notes_are_the_topics_of_recalled_topics(spark):
     notes = spark.createDataFrame([(1, "red fox", "red fox", "", 7, 5), (2, "blue", "blue", "", 7, 4), (3, "green", "green", "", 8, 3)], "id long, title string, question string, conclusion string, topic_id long, created_s long")
     ranking = search.keyword_recall(spark.createDataFrame([(1, "red fox"), (2, "fox")], "query_id long, query string"), notes)
     assert sorted(map(tuple, search.recalled_notes(ranking, notes).collect())) == [(7, 1, 2), (7, 2, 1)]
+
+
+def test_watched_folder_wakes_once_per_batch_of_new_files(spark, tmp_path):
+    root = tmp_path / "box"
+    (root / "notes").mkdir(parents=True)
+    seen = []
+
+    def wake():
+        query = live.sync_on_change(spark, str(root), seen.append, str(tmp_path / "state"))
+        query.awaitTermination()
+
+    (root / "notes" / "one.md").write_text("first")
+    wake()
+    wake()  # nothing new
+    assert len(seen) == 1
+    (root / "notes" / "two.md").write_text("second")
+    wake()
+    assert len(seen) == 2 and seen == sorted(set(seen))
+    assert live.watched(spark, str(root)).isStreaming
