@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import activity as A
 from ..operators import edits, resolve
 from ..sources import tables as S
+from ..sources import vault
 from ..sources.tables import sql_with
 from ..streaming import live
 from .activity_queries import _chains, _notes
@@ -53,6 +54,15 @@ def save_batch(spark, d):
     return out.select("request_id", F.coalesce("reject_reason", F.lit("")).alias("reason"), F.when(F.col("is_new_topic"), "new").otherwise(F.col("topic_id")).alias("topic"), F.array_join("tags", ",").alias("tags"))
 
 
+def json_requests(spark, d):
+    """Save requests read from JSON lines, beside the same notes' plain texts, which are no requests."""
+    q = S.questions(spark, d)
+    line = F.to_json(F.struct("title", "question", "conclusion"))
+    lines = q.select("id", F.lit("json").alias("form"), line.alias("value")).unionByName(q.select("id", F.lit("plain").alias("form"), F.col("question").alias("value")))
+    read = vault.requests_from_json(lines)
+    return read.select("id", "form", F.md5(F.coalesce("question", F.lit(""))).alias("question"), F.md5(F.coalesce("conclusion", F.lit(""))).alias("conclusion"), F.coalesce("error", F.lit("")).alias("error"))
+
+
 def annotated_batch(spark, d):
     q = S.questions(spark, d)
     i = F.col("id")
@@ -144,6 +154,14 @@ SELECT id AS request_id, reason, ended AS topic, tags FROM j""",
             "note",
         ),
     ),
+    "json_requests": (
+        json_requests,
+        sql_with(
+            """SELECT id, 'json' AS form, md5(coalesce(question, '')) AS question, md5(coalesce(conclusion, '')) AS conclusion, '' AS error FROM qa
+UNION ALL SELECT id, 'plain', md5(''), md5(''), 'not a JSON object' FROM qa""",
+            "qa",
+        ),
+    ),
     "annotated_batch": (
         annotated_batch,
         sql_with(
