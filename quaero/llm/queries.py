@@ -1,9 +1,10 @@
-"""The registered queries of the ten operators, with production parameters, and their SQL."""
+"""The registered queries of the thirteen operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .shared import table
@@ -72,7 +73,28 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = (op1_near_dedup, op2_token_counts, op3_quality_model, op4_quality_rules, op5_repeated_bytes, op6_chat_format, op7_secret_scan, op8_token_files, op9_decontaminate, op10_bpe_automaton)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lang_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every seventh vector are moved on, and every fiftieth is an anchor, as the contract says."""
+    from .hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), moved.alias("label"), "embedding")
+    return hard_negatives(rows, F.col("id") % 50 == 0)
+
+
+QUERIES = (op1_near_dedup, op2_token_counts, op3_quality_model, op4_quality_rules, op5_repeated_bytes, op6_chat_format, op7_secret_scan, op8_token_files, op9_decontaminate, op10_bpe_automaton, op11_spelling_variants, op12_language_id, op13_hard_negatives)
 
 
 def queries() -> dict:
