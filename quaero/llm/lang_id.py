@@ -35,7 +35,8 @@ LONGEST, LOOKUP = 24, 1 << 18
 ROWS, LANGUAGES, SUBWORDS, PASSAGES = 6000, 256, 512, 2
 #: One in so many sampled rows calibrates. Wanted precision of accepted texts on these.
 CALIBRATES, PRECISION = 4, 0.99
-EPOCHS, STEP, BATCH = 4, 1.0, 64
+#: Descents of at least so many batches of examples, whole passes over the sample each, and the first step.
+STEPS, BATCH, STEP = 300, 64, 1.0
 UNKNOWN = "und"
 
 
@@ -144,15 +145,16 @@ def _sample(docs: DataFrame, languages: dict[str, int], lang: str) -> DataFrame:
 
 
 def train(examples: list[np.ndarray], labels: np.ndarray, k: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """table and bias by stochastic gradient descent over batches of examples; the step falls to zero along the epochs."""
+    """table and bias by stochastic gradient descent over batches of examples; the step falls to zero on the way."""
     rnd = np.random.default_rng(seed)
     embeddings = rnd.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
     weights, bias = np.zeros((WIDTH, k)), np.zeros(k)
-    steps = EPOCHS * math.ceil(len(examples) / BATCH)
+    batches = math.ceil(len(examples) / BATCH)
+    passes = math.ceil(STEPS / batches)
     done = 0
-    for _ in range(EPOCHS):
-        for part in np.array_split(rnd.permutation(len(examples)), math.ceil(len(examples) / BATCH)):
-            rate = STEP * (1 - done / steps)
+    for _ in range(passes):
+        for part in np.array_split(rnd.permutation(len(examples)), batches):
+            rate = STEP * (1 - done / (passes * batches))
             done += 1
             sizes = np.array([len(examples[i]) for i in part])
             flat = np.concatenate([examples[i] for i in part])
