@@ -19,8 +19,8 @@ from .shared import chunks, row_hash, written
 #: Bounds of the broadcast head: about so many texts in the pilot, pre-tokens kept (some 10 MB), the length up to which
 #: they are kept from the start, and the longer ones kept besides.
 PILOT_TEXTS, HEAD_PRETOKENS, HEAD_LENGTH, LONG_PRETOKENS, LONG_LENGTH = 4000, 120_000, 48, 1000, 2048
-#: A pre-token in a thousandth of all rows is in the pilot, and so in the head. Those too long for it are dealt by salt, so
-#: that one in a large share of all texts goes to so many tasks.
+#: A pre-token in a thousandth of all rows is in the pilot, and so in the head if it is short. Longer ones are dealt by salt,
+#: so that one in a large share of all texts goes to so many tasks.
 SALTS = 16
 
 _processors: dict[str, object] = {}
@@ -83,9 +83,9 @@ def _head(docs: DataFrame, id_col: str, text: str, model: str) -> dict[str, int]
     return dict(zip(words, piece_counts(model, words), strict=True))
 
 
-#: row_key and text_key name a row: its id and 31 bits of its text's hash, or, without an id, 95 bits of hashes with a
-#: negative text_key. A true pre-token has salt 0 and more, the sum over the head -1.
-_FREQUENCIES = "row_key long, text_key int, pretoken string NOT NULL, salt int NOT NULL, n long, n_bytes long"
+#: row_key and text_key name a row: its id (null or not) and a 64-bit hash of its text. A true pre-token has salt 0 and more,
+#: the sum over the head -1.
+_FREQUENCIES = "row_key long, text_key long, pretoken string NOT NULL, salt int NOT NULL, n long, n_bytes long"
 
 
 def pretoken_frequencies(docs: DataFrame, head, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -97,13 +97,13 @@ def pretoken_frequencies(docs: DataFrame, head, id_col: str = "doc_id", text: st
         for batch in batches:
             for part in chunks(batch, "text"):
                 rows, words, salts, times, sizes = [], [], [], [], []
-                for k, (key, value) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                for k, (key, value) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     value, total = value or "", 0
                     for word, n in Counter(pretokens(value)).items():
                         if (pieces := known.get(word)) is None:
                             rows.append(k)
                             words.append(word)
-                            salts.append(key % SALTS if len(word) > LONG_LENGTH else 0)
+                            salts.append(key % SALTS if len(word) > HEAD_LENGTH else 0)
                             times.append(n)
                             sizes.append(0)
                         else:
@@ -117,10 +117,8 @@ def pretoken_frequencies(docs: DataFrame, head, id_col: str = "doc_id", text: st
                 columns = [part.column(0).take(at), part.column(1).take(at), pa.array(words, pa.string()), pa.array(salts, pa.int32()), pa.array(times, pa.int64()), pa.array(sizes, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["row_key", "text_key", "pretoken", "salt", "n", "n_bytes"])
 
-    key, value = F.col(id_col).cast("long"), F.coalesce(F.col(text), F.lit(""))
-    bits = lambda h: F.shiftrightunsigned(h, 33).cast("int")
-    text_key = F.when(key.isNull(), -1 - bits(F.xxhash64(F.lit(1), value))).otherwise(bits(F.xxhash64(value)))
-    rows = docs.select(F.coalesce(key, F.xxhash64(value)).alias("row_key"), text_key.alias("text_key"), F.col(text).alias("text"))
+    text_key = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(id_col).cast("long").alias("row_key"), text_key.alias("text_key"), F.col(text).alias("text"))
     return rows.mapInArrow(run, _FREQUENCIES)
 
 
@@ -149,9 +147,9 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     # No pre-token is null, and the totals are kept, that this side reads the same columns, and so the same shuffle, as the other.
     totals = [F.sum("n").alias("in_corpus"), F.max("row_key").alias("last_key"), F.max("text_key").alias("last_text"), F.sum("n_bytes").alias("head_bytes")]
     vocabulary = dealt.groupBy("pretoken", "salt").agg(*totals)
-    vocabulary = vocabulary.mapInArrow(count, "pretoken string NOT NULL, salt int NOT NULL, in_corpus long, last_key long, last_text int, head_bytes long, pieces long")
+    vocabulary = vocabulary.mapInArrow(count, "pretoken string NOT NULL, salt int NOT NULL, in_corpus long, last_key long, last_text long, head_bytes long, pieces long")
     joined = dealt.join(vocabulary.hint("shuffle_merge"), ["pretoken", "salt"]).where("in_corpus IS NOT NULL")
     # Equal rows have equal keys: their sums are divided by how many they are, and each of them has a row.
     summed = joined.groupBy("row_key", "text_key").agg(F.sum("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.col("pieces")).alias("n_tokens"), F.count_if(F.col("salt") < 0).alias("n_rows"))
-    each = summed.select(F.when(F.col("text_key") >= 0, F.col("row_key")).alias("row_key"), F.expr("n_bytes div n_rows").alias("n_bytes"), F.expr("n_tokens div n_rows").alias("n_tokens"), F.explode(F.expr("array_repeat(0, int(n_rows))")))
+    each = summed.select("row_key", F.expr("n_bytes div n_rows").alias("n_bytes"), F.expr("n_tokens div n_rows").alias("n_tokens"), F.explode(F.expr("array_repeat(0, int(n_rows))")))
     return each.select(F.col("row_key").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
