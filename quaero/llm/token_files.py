@@ -5,9 +5,10 @@ Each shard is compressed by itself: frequent pairs of ids are replaced by nonter
 left. A shard file holds the rules, the length each nonterminal expands to, and what is left of the sequence; the lengths lead from an id
 position to its symbol, so a range is decoded without the rest.
 
-Shard file, little-endian: magic ``RPR1``, six uint64 (documents, ids, rules, rounds, symbols left, first nonterminal),
-then int64 document ids, uint64 ids per document, uint32 rule pairs, uint32 expansion lengths, uint32 first rule of
-each round, uint32 symbols.
+Shard file, little-endian: magic ``RPR2``, six uint64 (documents, ids, rules, rounds, symbols left, first nonterminal),
+then int64 document ids, ids per document, rule pairs, expansion lengths, first rule of each round, symbols. All but the
+document ids are packed: a byte for the number of bits b of the largest value, the low 8 bits of each value (16, if b > 8 of
+them are needed), and a bitmap for each further bit.
 """
 
 from __future__ import annotations
@@ -33,7 +34,30 @@ SHARD_IDS = 1 << 20
 #: With more places than this, pairs are counted by a hash first.
 SIFTED = 100_000
 CHUNK = 4 << 20
-MAGIC = b"RPR1"
+MAGIC = b"RPR2"
+#: A pair is frequent, and gets a rule, if it occurs so often in its shard, however large that is.
+LEAST = 16
+
+
+def packed_values(values: np.ndarray) -> bytes:
+    """Non-negative integers: bits of the largest one, their low 8 or 16 bits, then a bitmap per further bit."""
+    bits = int(values.max(initial=0)).bit_length()
+    low = 8 if bits <= 12 else 16
+    planes = [np.packbits((values >> values.dtype.type(k)) & values.dtype.type(1) != 0, bitorder="little").tobytes() for k in range(low, bits)]
+    return b"".join([bytes([bits]), values.astype(f"<u{low // 8}").tobytes(), *planes])
+
+
+def unpacked_values(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """The n values packed from byte `at` on, and the place behind them."""
+    bits = data[at]
+    low = 8 if bits <= 12 else 16
+    out = np.frombuffer(data, f"<u{low // 8}", n, at + 1).astype(np.uint32 if bits <= 32 else np.uint64)
+    at += 1 + n * low // 8
+    for k in range(low, bits):
+        plane = np.unpackbits(np.frombuffer(data, np.uint8, -(-n // 8), at), count=n, bitorder="little")
+        out |= plane.astype(out.dtype) << out.dtype.type(k)
+        at += -(-n // 8)
+    return out, at
 
 
 def word_starts(texts: list[str]) -> np.ndarray:
@@ -145,19 +169,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def least_frequency(n: int) -> int:
-    """A pair is frequent in a shard of n ids if it occurs so often: at least twice, and once in 16,384 ids."""
-    return max(2, n >> 14)
-
-
-def compress(ids: np.ndarray, lengths: np.ndarray, least: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (pairs of symbols), their expansion lengths, the first rule of each round, and the symbols left.
 
     A round replaces the frequent pairs within documents; where two occurrences overlap, the more frequent pair wins.
     Rounds go on until no pair is frequent. From the second round on only places beside a new symbol, or with a pair that
     was still frequent, are counted: other pairs have become no more frequent. Nonterminals follow the largest id.
     """
-    least = least_frequency(len(ids)) if least is None else least
     n = len(ids)
     symbols = ids.astype(np.uint32)
     closes = np.zeros(n, bool)
@@ -235,7 +253,7 @@ def expand(symbols: np.ndarray, rules: np.ndarray, firsts: np.ndarray, base: int
 def pack(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     rules, expands, firsts, symbols = compress(ids, lengths)
     head = np.array([len(keys), len(ids), len(rules), len(firsts), len(symbols), int(ids.max(initial=0)) + 1], "<u8")
-    return b"".join([MAGIC, head.tobytes(), keys.astype("<i8").tobytes(), lengths.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), expands.astype("<u4").tobytes(), firsts.astype("<u4").tobytes(), symbols.astype("<u4").tobytes()])
+    return b"".join([MAGIC, head.tobytes(), keys.astype("<i8").tobytes(), *map(packed_values, (lengths.astype(np.uint64), rules.ravel(), expands, firsts, symbols))])
 
 
 class Shard:
@@ -245,16 +263,13 @@ class Shard:
         if data[:4] != MAGIC:
             raise ValueError("not a shard file")
         docs, self.n_ids, rules, rounds, symbols, self.base = (int(x) for x in np.frombuffer(data, "<u8", 6, 4))
-        at = 4 + 48
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
-
-        self.keys, self.lengths = take("<i8", docs), take("<u8", docs).astype(np.int64)
-        self.rules, self.expands, self.firsts, self.symbols = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules), take("<u4", rounds), take("<u4", symbols)
+        self.keys = np.frombuffer(data, "<i8", docs, 4 + 48)
+        at, parts = 4 + 48 + 8 * docs, []
+        for n in (docs, 2 * rules, rules, rounds, symbols):
+            part, at = unpacked_values(data, at, n)
+            parts.append(part)
+        self.lengths, self.rules = parts[0].astype(np.int64), parts[1].reshape(-1, 2)
+        self.expands, self.firsts, self.symbols = parts[2:]
 
     def ids(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.firsts, self.base)
