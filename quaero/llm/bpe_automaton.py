@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .letters import byte_letters, top_of, word_pattern
+from .letters import byte_letters, disputed, top_of, word_pattern
 from .shared import chunks
 
 FOREVER = np.int64(1) << 40
@@ -199,7 +199,10 @@ class Coder:
     KEPT, LONGEST, CHUNK = 60_000, 48, 2 << 20
 
     def __init__(self, path: str):
+        import tokenizers
+
         self.machine = automaton(path)
+        self.library = tokenizers.Tokenizer.from_file(path)
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.machine.special, key=len, reverse=True)) + ")")
         self.fixed = {token: str(number) for token, number in self.machine.special.items()}
         self.known: dict[str, str] = dict(self.fixed)
@@ -208,11 +211,14 @@ class Coder:
 
     def words(self, text: str) -> list[str]:
         """The words of a text; a special token's string is a word of its own. The split drops all white space, so its
-        normal form needs no step."""
+        normal form needs no step. Normal form and split of a text with disputed characters are the library's."""
         out: list[str] = []
         for k, part in enumerate(self.special.split(text) if "<|" in text else (text,)):
             if k % 2:
                 out.append(part)
+            elif not part.isascii() and top_of(part) > 0xFF and disputed().search(part):
+                plain = self.library.normalizer.normalize_str(part)
+                out += [plain[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(plain)]
             elif part:
                 plain = part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")
                 low = plain.lower()

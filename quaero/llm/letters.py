@@ -38,6 +38,21 @@ def top_of(text: str) -> int:
         return 0xFFFF if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else sys.maxunicode
 
 
+@functools.cache
+def disputed() -> re.Pattern:
+    """Characters that a library with another version of Unicode may class, order or lower otherwise: those that Python leaves
+    unassigned, and marks. None is below U+0300."""
+    out, start = [], None
+    for point in range(0x300, sys.maxunicode + 2):
+        kind = unicodedata.category(chr(point)) if point <= sys.maxunicode else ""
+        if (inside := kind == "Cn" or kind.startswith("M")) and start is None:
+            start = point
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{point - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(out)}]")
+
+
 OTHER, LETTER, NUMBER, WHITE = range(4)
 
 

@@ -49,6 +49,14 @@ def test_token_counts_of_equal_ids_and_rows(spark):
     assert sorted(map(str, ((r.doc_id, r.n_bytes, r.n_tokens) for r in got))) == sorted(str((i, len(t or ""), len(sp.encode(t or "")))) for i, t in rows)
 
 
+def test_token_counts_of_many_texts_under_one_id(spark):
+    """Rows are told apart by 64 bits of their texts, so none of 200,000 under one id is added to another."""
+    rows = spark.range(200_000).selectExpr("5L AS doc_id", "concat('t', id, repeat(' w', int(id % 7))) AS text")
+    got = token_counts.token_counts(rows, P.path("piece_bpe_32k.model")).groupBy("n_bytes").count().collect()
+    want = rows.selectExpr("cast(octet_length(text) AS long) AS n_bytes").groupBy("n_bytes").count().collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want}
+
+
 def test_token_counts_of_no_documents(docs):
     assert token_counts.token_counts(docs.where("doc_id < 0"), P.path("piece_bpe_32k.model")).count() == 0
 
@@ -76,6 +84,17 @@ def test_stored_ids_are_decoded(spark, docs):
         assert got[i] == lib.decode(lib.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False), repr(t)
 
 
+def test_words_with_every_character_equal_the_library():
+    """Every code point in text, alone and under a mark, in blocks of 64 texts; those without a character of their own by steps."""
+    lib, own = Tokenizer.from_file(P.path("word_bpe_49k.json")), bpe_automaton.coder(P.path("word_bpe_49k.json"))
+    points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000 and (p < 0x20000 or 0xE0000 <= p < 0xE0200 or p % 97 == 0)]
+    for a in range(0, len(points), 64):
+        texts = [f"a{chr(p)}a'{chr(p)}\u0301b 1{chr(p)}" for p in points[a : a + 64]]
+        for text in texts:
+            plain = lib.normalizer.normalize_str(text)
+            assert own.words(text) == [plain[x:y] for _, (x, y) in lib.pre_tokenizer.pre_tokenize_str(plain)], repr(text)
+
+
 def test_automaton_paths_spell_their_words():
     machine = bpe_automaton.automaton(P.path("word_bpe_49k.json"))
     rnd = random.Random(5)
@@ -115,6 +134,27 @@ def test_grammar_round_trip_and_ranges():
             assert (shard.range(a, b) == ids[a:b]).all()
 
 
+def test_packed_values():
+    for top, kind in ((0, np.uint32), (1, np.uint32), (255, np.uint32), (4095, np.uint32), (4096, np.uint32), (65535, np.uint32), (1 << 20, np.uint32), (2**32 - 1, np.uint32), (1 << 40, np.uint64)):
+        for n in (0, 1, 7, 8, 1001):
+            values = np.random.default_rng(n).integers(0, top, n, np.uint64, endpoint=True).astype(kind)
+            data = b"xx" + token_files.packed_values(values) + b"y"
+            got, at = token_files.unpacked_values(data, 2, n)
+            assert (got == values).all() and at == len(data) - 1
+
+
+def test_a_full_shard_is_smaller_than_plain_ids():
+    """Of 16 bits each; the texts are those of the tables."""
+    import pyarrow.parquet as pq
+
+    found = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()[:2500]
+    ids = [np.append(x, 0).astype("<u2") for x in token_files.encoder(P.path("byte_bpe_50k.json")).encode([t or "" for t in found])]
+    lengths, ids = np.array([len(x) for x in ids]), np.concatenate(ids)
+    data = token_files.pack(np.arange(len(lengths)), lengths, ids)
+    assert len(ids) > 500_000 and len(data) < 1.6 * len(ids)
+    assert (token_files.Shard(data).ids() == ids).all()
+
+
 def test_rules_stay_within_documents():
     ids = np.tile(np.array([7, 8], "<u2"), 500)
     lengths = np.full(1000, 1)
@@ -143,7 +183,7 @@ def test_no_frequent_pair_is_left(kinds):
     rng = np.random.default_rng(kinds)
     ids = rng.zipf(1.3, 30_000).clip(0, kinds).astype("<u2")
     lengths = np.array([10_000, 0, 1, 12_000, 7_999])
-    for least in (2, 7, None):
+    for least in (2, 7, token_files.LEAST):
         rules, expands, firsts, symbols = token_files.compress(ids, lengths, least)
         sizes = np.concatenate([np.ones(int(ids.max()) + 1, np.int64), expands])[symbols]
         ends = set(np.cumsum(lengths).tolist())
@@ -156,5 +196,5 @@ def test_no_frequent_pair_is_left(kinds):
                 continue
             count[pair] = count.get(pair, 0) + 1
             last = (pair, k)
-        assert max(count.values(), default=0) < (least or token_files.least_frequency(len(ids)))
+        assert max(count.values(), default=0) < least
         assert (token_files.expand(symbols, rules, firsts, int(ids.max()) + 1) == ids).all()
