@@ -27,24 +27,39 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 
+def squashed(tag: Column) -> Column:
+    return F.replace(tag, F.lit("-"), F.lit(""))
+
+
+def _segments(n: Column) -> Column:
+    """no, start (from 0) and size of the segments of a tag of n letters: one more than the edits that NEAR allows it."""
+    many = F.floor(n / 5) + 1
+    return F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(i.alias("no"), F.floor(i * n / many).alias("start"), (F.floor((i + 1) * n / many) - F.floor(i * n / many)).alias("size")))
+
+
 def near_pairs(tags: DataFrame) -> DataFrame:
     """tag, other, score of near-duplicates among distinct tags: equal without dashes, or similar enough.
 
-    A similarity of 0.8 allows one edit in five characters, so of five pieces of the longer tag's length one at least is
-    equal at a place shifted by the edits. Candidates come from equal pieces (the q-grams of each tag with its rough
-    length), not from all pairs of tags.
+    A similarity of 0.8 allows one edit to five letters of the longer tag. That is cut into one segment more than it may have
+    edits, so one segment at least is whole in the shorter tag, shifted by no more than the edits and the difference in
+    length leave room for. Tags meet on (length, number and letters of a segment) and are then compared exactly.
     """
-    one = tags.select(F.col("tag"), F.replace("tag", F.lit("-"), F.lit("")).alias("squashed")).distinct()
-    squashed = one.alias("a").join(one.alias("b"), "squashed").where("a.tag <> b.tag").select(F.col("a.tag").alias("tag"), F.col("b.tag").alias("other"))
-    # Two strings within d edits share a q-gram if their length n > d * q + q - 1 for q = 2; shorter ones go by length.
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("tag") - 1, F.lit(1))), lambda i: F.substring("tag", i, F.lit(2)))
-    pieces = one.select("tag", F.length("tag").alias("n"), F.explode(F.array_distinct(grams)).alias("gram"))
-    a, b = pieces.alias("a"), pieces.alias("b")
-    close = (F.col("a.n") * NEAR <= F.col("b.n")) & (F.col("b.n") * NEAR <= F.col("a.n")) & (F.col("a.tag") != F.col("b.tag"))
-    alike = a.join(b, F.col("a.gram") == F.col("b.gram")).where(close).select(F.col("a.tag").alias("tag"), F.col("b.tag").alias("other")).distinct()
-    both = squashed.unionByName(alike).distinct().withColumn("score", similarity(F.col("tag"), F.col("other")))
-    same = F.replace("tag", F.lit("-"), F.lit("")) == F.replace("other", F.lit("-"), F.lit(""))
-    return both.where(same | (F.col("score") >= NEAR)).select("tag", "other", F.round("score", 6).alias("score"))
+    one = tags.select("tag", squashed(F.col("tag")).alias("plain")).where("tag IS NOT NULL").distinct()
+    same = one.join(one.withColumnRenamed("tag", "other").hint("shuffle_merge"), "plain").where("tag <> other").select("tag", "other")
+    sized = one.select("tag", F.length("tag").cast("long").alias("own"))
+    piece = F.substring(F.col("tag"), (F.col("start") + 1).cast("int"), F.col("s.size").cast("int")).alias("piece")
+    long = sized.where("own >= 5").select("tag", F.col("own").alias("n"), F.explode(_segments(F.col("own"))).alias("s")).withColumn("start", F.col("s.start"))
+    index = long.select(F.col("tag").alias("other"), "n", F.col("s.no").alias("no"), piece)
+    short = sized.select("tag", "own", F.explode(F.sequence(F.col("own"), F.floor(F.col("own") * 5 / 4))).alias("n")).where("n >= 5")
+    # Of the edits, some come before the segment and some behind it; together they make up for the difference in length.
+    edits, more = F.floor(F.col("n") / 5), F.col("n") - F.col("own")
+    cut = short.select("tag", "own", "n", F.floor((edits + more) / 2).alias("back"), F.floor((edits - more) / 2).alias("on"), F.explode(_segments(F.col("n"))).alias("s"))
+    first, last = F.greatest(F.lit(0), F.col("s.start") - F.col("back")), F.least(F.col("own") - F.col("s.size"), F.col("s.start") + F.col("on"))
+    probes = cut.withColumns({"first": first, "last": last}).where("first <= last").withColumn("start", F.explode(F.sequence("first", "last"))).select("tag", "n", F.col("s.no").alias("no"), piece).distinct()
+    met = probes.join(index.hint("shuffle_merge"), ["n", "no", "piece"]).where("tag <> other").select("tag", "other").distinct()
+    alike = met.where(similarity(F.col("tag"), F.col("other")) >= NEAR)
+    both = same.unionByName(alike).unionByName(alike.select(F.col("other").alias("tag"), F.col("tag").alias("other"))).distinct()
+    return both.select("tag", "other", F.round(similarity(F.col("tag"), F.col("other")), 6).alias("score"))
 
 
 def suggestions(unknown: DataFrame, known: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:

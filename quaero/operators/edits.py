@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.redaction import redacted, redacted_list
-from ..functions.tags import NEAR, normalized, similarity
+from ..functions.tags import near_pairs, normalized
 from ..functions.text import is_uuid
-from ..sources.store import stored
+from ..sources.store import sized, stored
+from .activity import ordinals
+from .forest import merged_in_turn
 from .resolve import resolved
 
 MAX_TAGS = 5
@@ -38,45 +40,124 @@ def body_reason() -> Column:
     )
 
 
-def tag_policy(requests: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
-    """request_id, tags, tag_reason, near: the resolved tags of each request, or why they are refused.
-
-    requests: request_id, tags, new_tags, confirm_new. known: tag. aliases: start, resolved. Tags must be known after
-    normalising and alias; a new tag near a known one needs confirm_new, and one that is known is reused; 1 to 5 in all.
-    """
+def _tag_rows(requests: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
+    """request_id, confirm_new, is_new, pos, raw, tag (normalised, through the aliases; null if nothing is left), is_known."""
     given = lambda c, new: requests.select("request_id", F.coalesce("confirm_new", F.lit(False)).alias("confirm_new"), F.lit(new).alias("is_new"), F.posexplode(c).alias("pos", "raw"))
     each = given("tags", False).unionByName(given("new_tags", True)).withColumn("tag", normalized(F.col("raw")))
-    each = resolved(each, "tag", aliases).join(known.select("tag", F.lit(True).alias("is_known")).distinct(), "tag", "left")
-    fresh = each.where("is_new AND is_known IS NULL AND tag IS NOT NULL").select("tag").distinct()
-    squash = lambda c: F.replace(c, F.lit("-"), F.lit(""))
-    # Fresh tags of a batch against the labels in use: by a pair of letters in common or an equal squashed form, then exactly.
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("tag") - 1, F.lit(1))), lambda i: F.substring("tag", i, F.lit(2)))
-    keys = F.array_distinct(F.concat(F.array(squash(F.col("tag"))), pairs))
-    blocks = lambda df, name: df.withColumn("block", F.explode(keys)).select(F.col("tag").alias(name), "block")
-    met = blocks(fresh, "tag").join(blocks(known.select("tag"), "other"), "block").where("tag <> other")
-    alike = (squash(F.col("tag")) == squash(F.col("other"))) | (similarity(F.col("tag"), F.col("other")) >= NEAR)
-    near = met.where(alike).groupBy("tag").agg(F.array_sort(F.collect_set("other")).alias("near"))
-    each = each.join(near, "tag", "left")
-    bad = (
-        F.when(F.col("tag").isNull(), F.concat(F.lit("empty tag: "), "raw"))
-        .when(~F.col("is_new") & F.col("is_known").isNull(), F.concat(F.lit("unknown tag: "), "tag"))
-        .when(F.col("is_new") & F.col("is_known").isNull() & F.col("near").isNotNull() & ~F.col("confirm_new"), F.concat(F.lit("near duplicate: "), "tag"))
-    )
+    there = known.select("tag", F.lit(True).alias("is_known")).distinct()
+    return resolved(each, "tag", sized(aliases)).join(there.hint("shuffle_merge"), "tag", "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
+
+
+def _near(each: DataFrame, known: DataFrame) -> DataFrame:
+    """tag, other, is_known: the near-duplicates of the new tags that nobody knows yet, among these and the known ones."""
+    fresh = each.where("is_new AND NOT is_known AND tag IS NOT NULL").select("tag").distinct()
+    there = known.select(F.col("tag").alias("other"), F.lit(True).alias("is_known")).distinct()
+    pairs = near_pairs(stored(fresh.union(known.select("tag")).distinct())).join(stored(fresh).hint("shuffle_merge"), "tag", "left_semi")
+    return pairs.select("tag", "other").join(there.hint("shuffle_merge"), "other", "left").select("tag", "other", F.coalesce("is_known", F.lit(False)).alias("is_known"))
+
+
+def _by_request(requests: DataFrame, each: DataFrame) -> DataFrame:
+    """request_id, tags (distinct, in the order given), tag_reason, near, from rows with bad (why the tag is refused) and near.
+
+    A request has a handful of tags, so these groups are small.
+    """
     order = F.struct("is_new", "pos")
-    grouped = each.withColumn("bad", bad).groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "tag"))).alias("all"), F.min_by("bad", F.when(F.col("bad").isNotNull(), order)).alias("bad"), F.min_by("near", F.when(F.col("bad").isNotNull(), order)).alias("near"))
-    whole = requests.select("request_id").join(grouped, "request_id", "left").withColumn("tags", F.array_distinct(F.coalesce(F.col("all.tag"), F.expr("cast(array() AS array<string>)"))))
+    failed = F.when(F.col("bad").isNotNull(), order)
+    grouped = each.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "tag"))).alias("all"), F.min_by("bad", failed).alias("bad"), F.min_by("near", failed).alias("near"))
+    whole = requests.select("request_id").join(grouped.hint("shuffle_merge"), "request_id", "left").withColumn("tags", F.array_distinct(F.coalesce(F.col("all.tag"), F.expr("cast(array() AS array<string>)"))))
     reason = F.coalesce("bad", F.when(F.size("tags") == 0, "a note needs a tag"), F.when(F.size("tags") > MAX_TAGS, f"more than {MAX_TAGS} tags"))
     return whole.select("request_id", "tags", reason.alias("tag_reason"), "near")
 
 
-def save_batch(requests: DataFrame, topics: DataFrame, chains: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
+def _refused(known: Column) -> Column:
+    """Why a tag is refused, given whether it is known when its request's turn comes and the near-duplicates known then."""
+    return (
+        F.when(F.col("tag").isNull(), F.concat(F.lit("empty tag: "), "raw"))
+        .when(~F.col("is_new") & ~known, F.concat(F.lit("unknown tag: "), "tag"))
+        .when(F.col("is_new") & ~known & F.col("near").isNotNull() & ~F.col("confirm_new"), F.concat(F.lit("near duplicate: "), "tag"))
+    )
+
+
+def tag_policy(requests: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
+    """request_id, tags, tag_reason, near: the resolved tags of each request, or why they are refused.
+
+    requests: request_id, tags, new_tags, confirm_new. known: tag. aliases: start, resolved. Tags must be known after
+    normalising and alias; a new tag near a known one needs confirm_new, and one that is known is reused; 1 to 5 in all. Each
+    request is judged by the tags known before the batch; tag_policy_in_order lets those of the requests before it count.
+    """
+    each = stored(_tag_rows(requests, known, aliases))
+    near = _near(each, known).where("is_known").groupBy("tag").agg(F.array_sort(F.collect_set("other")).alias("near"))
+    each = each.join(near.hint("shuffle_merge"), "tag", "left")
+    return _by_request(requests, each.withColumn("bad", _refused(F.col("is_known"))))
+
+
+def _created_in_order(each: DataFrame, near: DataFrame) -> DataFrame:
+    """tag, created_by: the first accepted request that names each tag as new, with all requests taken in order of request_id.
+
+    each: the rows, of requests that nothing else refuses, of tags not known before. near: tag, other, is_known. Whether a request
+    is accepted may hang on earlier ones: on a tag that one of them makes, or on a near-duplicate that none of them may make. In
+    each round a tag is made no earlier than by its first open request and no later than by its first accepted one; requests
+    for which these bounds decide are closed. The first open request always is, and those that share no tags or
+    near tags with an earlier open one all are, so the rounds are as many as the longest such dependency is long.
+    """
+    open_ = stored(each.select("request_id", "tag", "is_new", "confirm_new"))
+    pairs = stored(near.where("NOT is_known").select("tag", "other"))
+    beside_known = near.where("is_known").select("tag", F.lit(True).alias("beside_known")).distinct()
+    open_ = stored(open_.join(beside_known.hint("shuffle_merge"), "tag", "left").withColumn("beside_known", F.coalesce("beside_known", F.lit(False))))
+    made = stored(open_.where("false").select("tag", F.col("request_id").alias("created_by")))
+    while True:
+        soonest = open_.where("is_new").groupBy("tag").agg(F.min("request_id").alias("soonest"))
+        bounds = stored(soonest.join(made.hint("shuffle_merge"), "tag", "full_outer").select("tag", F.least("soonest", "created_by").alias("low"), F.col("created_by").alias("high")))
+        beside = pairs.join(bounds.withColumnRenamed("tag", "other").hint("shuffle_merge"), "other").groupBy("tag").agg(F.min("low").alias("near_low"), F.min("high").alias("near_high"))
+        met = open_.join(sized(bounds.join(beside.hint("shuffle_merge"), "tag", "left")), "tag", "left")
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        known, unknown = yes(F.col("high") < F.col("request_id")), F.col("low").isNull() | (F.col("low") >= F.col("request_id"))
+        near_known = F.col("beside_known") | yes(F.col("near_high") < F.col("request_id"))
+        alone = ~F.col("beside_known") & (F.col("near_low").isNull() | (F.col("near_low") >= F.col("request_id")))
+        fine = F.when(F.col("is_new"), F.col("confirm_new") | known | alone).otherwise(known)
+        bad = F.when(F.col("is_new"), ~F.col("confirm_new") & unknown & near_known).otherwise(unknown)
+        judged = stored(met.select("request_id", fine.alias("fine"), bad.alias("bad")).groupBy("request_id").agg(F.bool_and("fine").alias("fine"), F.bool_or("bad").alias("bad")).where("fine OR bad"))
+        accepted = open_.where("is_new").join(judged.where("fine AND NOT bad").select("request_id").hint("shuffle_merge"), "request_id", "left_semi")
+        made = stored(made.unionByName(accepted.select("tag", F.col("request_id").alias("created_by"))).groupBy("tag").agg(F.min("created_by").alias("created_by")))
+        open_ = stored(open_.join(judged.select("request_id").hint("shuffle_merge"), "request_id", "left_anti"))
+        if open_.isEmpty():
+            return made
+
+
+def tag_policy_in_order(requests: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
+    """As tag_policy, with the requests applied one after the other by request_id: tags that an accepted request makes are
+    known to the later ones. A request with fine = false (refused for another reason) makes none.
+
+    requests also have fine (boolean). request_id must be distinct.
+    """
+    each = stored(_tag_rows(requests, known, aliases))
+    near = stored(_near(each, known))
+    counted = _by_request(requests, each.withColumns({"bad": F.when(F.col("tag").isNull(), F.lit("empty")), "near": F.lit(None).cast("array<string>")}))
+    usable = requests.where("fine").select("request_id").join(counted.where("tag_reason IS NULL").select("request_id").hint("shuffle_merge"), "request_id", "left_semi")
+    unsure = stored(each.where("NOT is_known AND tag IS NOT NULL"))
+    made = stored(_created_in_order(unsure.join(stored(usable).hint("shuffle_merge"), "request_id", "left_semi"), near))
+    placed = each.join(sized(made), "tag", "left").withColumn("known_then", F.col("is_known") | F.coalesce(F.col("created_by") < F.col("request_id"), F.lit(False)))
+    placed = stored(placed)
+    # The near-duplicates that were known when the request's turn came, for the tags that were not.
+    since = near.join(made.withColumnsRenamed({"tag": "other", "created_by": "since"}).hint("shuffle_merge"), "other", "left")
+    asked = placed.where("is_new AND NOT known_then AND NOT confirm_new AND tag IS NOT NULL").select("request_id", "tag").distinct()
+    then = asked.join(since.hint("shuffle_merge"), "tag").where("is_known OR since < request_id").groupBy("request_id", "tag").agg(F.array_sort(F.collect_set("other")).alias("near"))
+    met = placed.join(then.hint("shuffle_merge"), ["request_id", "tag"], "left")
+    return _by_request(requests, met.withColumn("bad", _refused(F.col("known_then"))))
+
+
+def save_batch(requests: DataFrame, topics: DataFrame, chains: DataFrame, known: DataFrame, aliases: DataFrame, in_order: bool = False) -> DataFrame:
     """Every request with reject_reason (null: accepted), redacted prose, resolved topic and tags.
 
-    A new topic gets an id from the request's content, so a repeated run gives the same row.
+    Requests are judged by the tags known before the batch or, in_order, also by those of the accepted requests before them. A new topic gets an id from the request's content, so a repeated run gives the same row.
     """
-    judged = requests.withColumn("body_bad", body_reason()).join(tag_policy(requests, known, aliases).withColumnRenamed("tags", "final_tags"), "request_id")
-    judged = judged.join(topics.select(F.col("id").alias("topic"), F.lit(True).alias("topic_known")).distinct(), "topic", "left")
+    judged = requests.withColumn("body_bad", body_reason()).join(topics.select(F.col("id").alias("topic"), F.lit(True).alias("topic_known")).distinct().hint("shuffle_merge"), "topic", "left")
     topic_bad = F.when((F.col("topic") != NEW) & F.col("topic_known").isNull(), F.concat(F.lit("unknown topic: "), "topic")).when(F.col("topic").isNull(), "no topic")
+    if in_order:
+        tags = tag_policy_in_order(judged.withColumn("fine", F.coalesce("body_bad", topic_bad).isNull()), known, aliases)
+    else:
+        tags = tag_policy(requests, known, aliases)
+    judged = judged.join(stored(tags.withColumnRenamed("tags", "final_tags")).hint("shuffle_merge"), "request_id")
     made = F.concat(F.lit("t-"), F.substring(F.sha2(F.concat_ws("\n", F.col("request_id").cast("string"), "title", "question"), 256), 1, 24))
     out = judged.withColumn("reject_reason", F.coalesce("body_bad", "tag_reason", topic_bad)).withColumn("is_new_topic", F.col("topic") == NEW)
     out = resolved(out.withColumn("topic_id", F.when(F.col("topic") == NEW, made).otherwise(F.col("topic"))), "topic_id", chains)
@@ -99,51 +180,13 @@ def rename_topics(topics: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataF
     return renamed, judged.where("reason IS NOT NULL").select("topic_id", "seq", "reason")
 
 
-def _groups(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its connected component) of undirected edges (a, b): each round takes the least label
-    among the neighbours, then the label of that label."""
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("shuffle_merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near.hint("shuffle_merge"), "node").select("node", "label", F.least("label", "near").alias("low"))
-        of_low = labels.select(F.col("node").alias("low"), F.col("label").alias("of_low"))
-        after = stored(low.join(of_low.hint("shuffle_merge"), "low").select("node", F.least("low", "of_low").alias("new"), "label"))
-        if after.where("new <> label").isEmpty():
-            return labels
-        labels = after.select("node", F.col("new").alias("label"))
-
-
-def _in_turn(requests):
-    """The requests of one component in order of seq: each end is resolved through the merges accepted before it."""
-    top: dict = {}
-
-    def root(x):
-        path = []
-        while x in top:
-            path.append(x)
-            x = top[x]
-        top.update(dict.fromkeys(path, x))
-        return x
-
-    out = requests.sort_values(["seq", "from_id", "into_id"])
-    ends = []
-    for source, target in zip(out["from_id"], out["into_id"], strict=True):
-        a, b = root(source), root(target)
-        ends.append((a, b, "same topic" if a == b else None))
-        if a != b:
-            top[a] = b
-    out["from_id"], out["into_id"], out["reason"] = ([e[k] for e in ends] for k in range(3))
-    return out[["seq", "from_id", "into_id", "reason"]]
-
-
 def merge_topics(requests: DataFrame, topics: DataFrame, chains: DataFrame) -> DataFrame:
     """seq, from_id, into_id, reason (null: accepted). Both topics must exist.
 
-    Requests apply one after the other by seq: both ends are resolved through the merges that exist and those accepted
-    before, the topic that the source has come to is merged into the one that the target has come to, and a request whose
-    ends have come to the same topic is refused, so no circle of any length closes. Only requests whose topics hang
-    together affect each other; those of one such component are gone through in one task, a batch of edits' own size.
+    Requests apply one after the other by seq (then by their ends): both ends are resolved through the merges that exist and
+    those accepted before, the topic that the source has come to is merged into the one that the target has come to, and a
+    request whose ends have come to the same topic is refused, so no circle of any length closes. They are worked out in
+    rounds over all requests (see forest), whose number grows with the logarithm of theirs; no component is gathered.
     """
     known = stored(topics.select("id").distinct())
     r = requests.select("seq", F.col("source").alias("from_id"), F.col("target").alias("into_id"))
@@ -152,12 +195,11 @@ def merge_topics(requests: DataFrame, topics: DataFrame, chains: DataFrame) -> D
         r = resolved(r, c, chains)
     reason = first_reason((F.col("from_id_known").isNull(), "unknown source"), (F.col("into_id_known").isNull(), "unknown target"))
     r = stored(r.select("seq", "from_id", "into_id", reason.alias("reason")))
-    good = r.where("reason IS NULL").drop("reason")
-    labels = _groups(good.select(F.col("from_id").alias("a"), F.col("into_id").alias("b")))
-    placed = good.join(labels.withColumnRenamed("node", "from_id").hint("shuffle_merge"), "from_id")
-    kinds = dict(good.dtypes)
-    judged = placed.groupBy("label").applyInPandas(_in_turn, f"seq {kinds['seq']}, from_id {kinds['from_id']}, into_id {kinds['into_id']}, reason string")
-    return judged.unionByName(r.where("reason IS NOT NULL"))
+    good = r.where("reason IS NULL").select("seq", "from_id", "into_id", F.lit(0).alias("batch"))
+    good = stored(ordinals(good, "batch", [F.col(c).asc() for c in ("seq", "from_id", "into_id")], "at"))
+    ends = merged_in_turn(good.select("at", F.col("from_id").alias("x"), F.col("into_id").alias("y")))
+    judged = good.select("at", "seq").join(ends.hint("shuffle_merge"), "at")
+    return judged.select("seq", "from_id", "into_id", F.when(~F.col("accepted"), "same topic").alias("reason")).unionByName(r.where("reason IS NOT NULL"))
 
 
 def annotate(requests: DataFrame, notes: DataFrame) -> DataFrame:

@@ -54,6 +54,35 @@ def save_batch(spark, d):
     return out.select("request_id", F.coalesce("reject_reason", F.lit("")).alias("reason"), F.when(F.col("is_new_topic"), "new").otherwise(F.col("topic_id")).alias("topic"), F.array_join("tags", ",").alias("tags"))
 
 
+def _tag_requests(spark, d):
+    """Save requests with words of five letters and more of the questions' titles as tags, and the words of the benchmark, known."""
+    long_words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-zà-ÿ]{5,}"), F.lit(0))
+    none = F.expr("cast(array() AS array<string>)")
+    i, w = F.col("id"), F.col("w")
+    q = S.questions(spark, d).select("id", long_words(F.col("title")).alias("w"))
+    tags = F.when((i % 3 == 0) & (F.size(w) > 0), F.slice(w, 1, 1)).otherwise(none)
+    new = F.when(F.size(w) == 0, none).when(i % 4 == 0, F.array_distinct(F.array(F.get(w, F.lit(0)), F.element_at(w, -1)))).otherwise(F.array(F.element_at(w, -1)))
+    requests = q.select(i.alias("request_id"), tags.alias("tags"), new.alias("new_tags"), (i % 5 == 0).alias("confirm_new"), (i % 11 != 0).alias("fine"))
+    known = S.load(spark, d, "benchmark").select(F.explode(long_words(F.col("text"))).alias("tag")).distinct()
+    return requests, known
+
+
+def tags_in_order(spark, d):
+    """The tags of save requests that are taken one after the other, each knowing the tags that those before it made."""
+    requests, known = _tag_requests(spark, d)
+    out = edits.tag_policy_in_order(requests, known, known.where("false").selectExpr("tag AS start", "tag AS resolved"))
+    return out.select("request_id", F.array_join("tags", ",").alias("tags"), F.coalesce("tag_reason", F.lit("")).alias("reason"), F.coalesce(F.array_join("near", ","), F.lit("")).alias("near"))
+
+
+def merges_in_turn(spark, d):
+    """A merge request from each vector's topic, taken one after the other."""
+    v = S.vectors(spark, d)
+    requests = v.select(F.col("id").alias("seq"), F.col("topic_id").alias("source"), F.pmod(F.col("topic_id") * 37 + F.col("id") % 3, F.lit(1000)).alias("target"))
+    none = v.where("false").select(F.col("id").alias("start"), F.col("id").alias("resolved"))
+    out = edits.merge_topics(requests, v.select(F.col("topic_id").alias("id")).distinct(), none)
+    return out.select("seq", "from_id", "into_id", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 def json_requests(spark, d):
     """Save requests read from JSON lines, beside the same notes' plain texts, which are no requests."""
     q = S.questions(spark, d)
@@ -154,6 +183,39 @@ SELECT id AS request_id, reason, ended AS topic, tags FROM j""",
             "note",
         ),
     ),
+    "tags_in_order": (
+        tags_in_order,
+        sql_with(
+            """, w AS (SELECT id, regexp_extract_all(lower(title), '[a-zà-ÿ]{5,}') AS w FROM qa),
+kn AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{5,}')) AS t FROM benchmark),
+rq AS (SELECT id, row_number() OVER (ORDER BY id) AS k, CASE WHEN id % 3 = 0 AND len(w) > 0 THEN [w[1]] ELSE [] END AS tags,
+  CASE WHEN len(w) = 0 THEN [] WHEN id % 4 = 0 AND w[1] <> w[-1] THEN [w[1], w[-1]] ELSE [w[-1]] END AS new_tags, id % 5 = 0 AS confirm, id % 11 <> 0 AS fine FROM w),
+kl AS (SELECT list(t) AS known FROM kn),
+pr AS (SELECT rq.*, list_filter(tags, lambda t: NOT list_contains(known, t)) AS unsure, list_filter(new_tags, lambda t: NOT list_contains(known, t)) AS fresh, known FROM rq CROSS JOIN kl),
+st AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS made, NULL::BIGINT AS request_id, []::VARCHAR[] AS final, NULL::VARCHAR AS bad, []::VARCHAR[] AS near
+  UNION ALL SELECT k, CASE WHEN fine AND bad IS NULL AND len(final) BETWEEN 1 AND 5 THEN list_distinct(list_concat(made, new_tags)) ELSE made END, id, final, bad, CASE WHEN bad LIKE 'near%' THEN close ELSE [] END
+  FROM (SELECT *, CASE WHEN lost IS NOT NULL THEN 'unknown tag: ' || lost WHEN twin IS NOT NULL THEN 'near duplicate: ' || twin END AS bad,
+    list_sort(list_filter(list_concat(known, made), lambda u: u <> twin AND 1 - levenshtein(twin, u) / greatest(length(twin), length(u))::DOUBLE >= 0.8)) AS close
+   FROM (SELECT pr.*, st.made, list_concat(tags, list_filter(new_tags, lambda t: NOT list_contains(tags, t))) AS final, list_filter(unsure, lambda t: NOT list_contains(st.made, t))[1] AS lost,
+      list_filter(fresh, lambda t: NOT confirm AND NOT list_contains(st.made, t) AND len(list_filter(list_concat(known, st.made), lambda u: u <> t AND 1 - levenshtein(t, u) / greatest(length(t), length(u))::DOUBLE >= 0.8)) > 0)[1] AS twin
+     FROM st JOIN pr ON pr.k = st.k + 1)))
+SELECT request_id, array_to_string(final, ',') AS tags, coalesce(bad, CASE WHEN len(final) = 0 THEN 'a note needs a tag' WHEN len(final) > 5 THEN 'more than 5 tags' ELSE '' END) AS reason, array_to_string(near, ',') AS near FROM st WHERE k > 0""",
+            "qa",
+        ),
+    ),
+    "merges_in_turn": (
+        merges_in_turn,
+        sql_with(
+            """, t AS (SELECT DISTINCT topic_id AS id FROM vec), q AS (SELECT id AS seq, topic_id AS s0, (topic_id * 37 + id % 3) % 1000 AS t0 FROM vec),
+g AS (SELECT *, row_number() OVER (ORDER BY seq) AS k FROM q WHERE t0 IN (SELECT id FROM t)),
+turn AS (SELECT 0::BIGINT AS k, map_from_entries([(x, x) FOR x IN (SELECT list(id) FROM t)]) AS top, NULL::BIGINT AS a, NULL::BIGINT AS b
+  UNION ALL SELECT k, CASE WHEN a = b THEN top ELSE map_from_entries([(e.key, CASE WHEN e.value = a THEN b ELSE e.value END) FOR e IN map_entries(top)]) END, a, b
+  FROM (SELECT g.k, top, top[g.s0] AS a, top[g.t0] AS b FROM turn JOIN g ON g.k = turn.k + 1))
+SELECT seq, a AS from_id, b AS into_id, CASE WHEN a = b THEN 'same topic' ELSE '' END AS reason FROM turn JOIN g USING (k)
+UNION ALL SELECT seq, s0, t0, 'unknown target' FROM q WHERE t0 NOT IN (SELECT id FROM t)""",
+            "vec",
+        ),
+    ),
     "json_requests": (
         json_requests,
         sql_with(

@@ -73,7 +73,7 @@ def split_frontmatter(text: Column) -> tuple[Column, Column]:
 
 def yaml_field(yaml: Column, name: str) -> Column:
     """A scalar of the frontmatter, quotes removed; null if absent."""
-    line = rf"(?m)^\s*{name}:[ \t]*(?:\"((?:[^\"\\]|\\.)*)\"|'((?:[^']|'')*)'|([^\r\n#]*?))[ \t]*$"
+    line = rf"(?m)^\s*{name}:[ \t]*(?:\"((?:[^\"\\]++|\\.)*+)\"|'((?:[^']++|'')*+)'|([^\r\n#]*?))[ \t]*$"
     double = F.replace(F.replace(F.regexp_extract(yaml, line, 1), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
     single = F.replace(F.regexp_extract(yaml, line, 2), F.lit("''"), F.lit("'"))
     return F.when(yaml.rlike(line), F.coalesce(F.nullif(double, F.lit("")), F.nullif(single, F.lit("")), F.regexp_extract(yaml, line, 3)))
@@ -82,7 +82,7 @@ def yaml_field(yaml: Column, name: str) -> Column:
 def yaml_list(yaml: Column, name: str) -> Column:
     """A list of the frontmatter, in flow ([a, b]) or block form (- a)."""
     flow = F.split(F.regexp_extract(yaml, rf"(?m)^{name}:[ \t]*\[(.*)\][ \t]*$", 1), ",")
-    block = F.regexp_extract_all(F.regexp_extract(yaml, rf"(?m)^{name}:[ \t]*\r?\n((?:[ \t]*- .*(?:\r?\n|\z))*)", 1), F.lit(r"(?m)^[ \t]*- (.*)$"), F.lit(1))
+    block = F.regexp_extract_all(F.regexp_extract(yaml, rf"(?m)^{name}:[ \t]*\r?\n((?:[ \t]*+- .*+(?:\r?\n|\z))*+)", 1), F.lit(r"(?m)^[ \t]*- (.*)$"), F.lit(1))
     clean = lambda items: F.filter(F.transform(items, lambda x: F.trim(F.regexp_replace(F.trim(x), "^[\"']|[\"']$", ""))), lambda x: x != "")
     return F.when(yaml.rlike(rf"(?m)^{name}:[ \t]*\["), clean(flow)).otherwise(clean(block))
 

@@ -71,6 +71,87 @@ def test_save_batch(spark):
     assert got[5].near == ["sqlite"] and got[10].tags == ["sqlite"]
 
 
+def test_long_frontmatter_fields(spark):
+    """A million characters, escapes and list items are read without a deep recursion."""
+    quoted = 'x\\"y' * 200_000
+    single = "it''s " * 100_000
+    items = "".join(f"  - tag{k}\n" for k in range(20_000))
+    yaml = f'id: "{quoted}"\nlabel: \'{single}\'\ntags:\n{items}created: 2026'
+    row = spark.createDataFrame([(yaml,)], "yaml string").select(vault.yaml_field(F.col("yaml"), "id").alias("id"), vault.yaml_field(F.col("yaml"), "label").alias("label"), vault.yaml_field(F.col("yaml"), "created").alias("created"), vault.yaml_list(F.col("yaml"), "tags").alias("tags")).first()
+    assert row.id == quoted.replace('\\"', '"') and row.label == single.replace("''", "'") and row.created == "2026"
+    assert len(row.tags) == 20_000 and row.tags[-1] == "tag19999"
+
+
+def tags_in_turn(requests, known):
+    """request_id -> (tags, reason, near), request by request; tags are in normal form."""
+    known, out = set(known), {}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for key, tags, new_tags, confirm, fine in sorted(requests):
+        reason, near = None, None
+        for t in tags:
+            if reason is None and t not in known:
+                reason = f"unknown tag: {t}"
+        for t in new_tags:
+            close = sorted(u for u in known if u != t and (u.replace("-", "") == t.replace("-", "") or 1 - distance(t, u) / max(len(t), len(u)) >= 0.8))
+            if reason is None and t not in known and close and not confirm:
+                reason, near = f"near duplicate: {t}", close
+        final = list(dict.fromkeys(tags + new_tags))
+        if reason is None and not 1 <= len(final) <= 5:
+            reason = "more than 5 tags" if final else "a note needs a tag"
+        if reason is None and fine:
+            known |= set(new_tags)
+        out[key] = (final, reason, near)
+    return out
+
+
+def test_tags_of_a_batch_count_in_order(spark):
+    import random
+
+    known = spark.createDataFrame([("sqlite",), ("rust-lang",)], "tag string")
+    aliases = spark.createDataFrame([], "start string, resolved string")
+    for seed in range(3):
+        rnd = random.Random(seed)
+        pool = ["sqlite", "sqlite3", "sqlites", "rustlang", "rust-lang", "python", "pythons", "pythone", "apython", "py-thon", "golang", "go-lang", "golangs", "dock", "docker", "dockers", "dockerss"]
+        rows = [(k, rnd.choices(pool, k=rnd.choice([0, 0, 1])), rnd.choices(pool, k=rnd.choice([0, 1, 1, 2, 4])), rnd.random() < 0.2, rnd.random() < 0.9) for k in range(60)]
+        rows += [(100 + k, [f"chain-{k - 1}xyz"] if k else [], [f"chain-{k}xyz"], True, True) for k in range(6)]
+        df = spark.createDataFrame(rows, "request_id long, tags array<string>, new_tags array<string>, confirm_new boolean, fine boolean")
+        got = {r.request_id: (r.tags, r.tag_reason, r.near) for r in edits.tag_policy_in_order(df, known, aliases).collect()}
+        want = tags_in_turn(rows, ["sqlite", "rust-lang"])
+        assert got == want
+        assert sum(w[1] is None for w in want.values()) > 10 and any(w[2] for w in want.values())
+
+
+def test_near_pairs_equal_all_pairs(spark):
+    import random
+
+    from quaero.functions import tags as tagfn
+
+    rnd = random.Random(8)
+    base = ["".join(rnd.choice("abc-") for _ in range(rnd.choice([1, 2, 4, 5, 6, 9, 10, 11, 15, 21, 26]))) for _ in range(60)]
+    words = set(base)
+    for w in base:
+        for edits_ in range(1, 6):
+            x = list(w)
+            for _ in range(edits_):
+                i = rnd.randrange(len(x) + 1)
+                x[i : i + rnd.randrange(2)] = rnd.choice(["", "a", "z", "b"])
+            words.add("".join(x) or "q")
+    df = spark.createDataFrame([(w,) for w in words] + [(None,)], "tag string")
+    got = {(r.tag, r.other) for r in tagfn.near_pairs(df).collect()}
+    a, b = df.alias("a"), df.alias("b")
+    close = (F.replace("a.tag", F.lit("-"), F.lit("")) == F.replace("b.tag", F.lit("-"), F.lit(""))) | (tagfn.similarity(F.col("a.tag"), F.col("b.tag")) >= 0.8)
+    want = {tuple(r) for r in a.join(b, (F.col("a.tag") != F.col("b.tag")) & close).select("a.tag", "b.tag").collect()}
+    assert got == want and len(want) > 100
+
+
 def test_annotation_changes(spark):
     old = spark.createDataFrame([("a1", "n", "x", "1", None), ("a2", "n", "y", "1", None)], "id string, note_id string, body string, created string, updated string")
     changes = spark.createDataFrame([("a1", "update", " new ", 1, "2"), ("a2", "delete", None, 2, "2"), ("a9", "update", "z", 3, "2"), ("a1", "update", " ", 4, "3")], "id string, op string, body string, seq int, at string")
@@ -198,6 +279,50 @@ def test_short_pieces_are_a_further_condition(spark):
     assert search.bm25_search(queries.where("query_id < 0"), notes).count() == 0 and search.bm25_search(queries, notes.where("id < 0")).count() == 0
 
 
+def in_turn(edges):
+    """at -> ends and acceptance, request by request."""
+    top, out = {}, {}
+
+    def root(x):
+        path = []
+        while x in top:
+            path.append(x)
+            x = top[x]
+        top.update(dict.fromkeys(path, x))
+        return x
+
+    for at, x, y in sorted(edges):
+        a, b = root(x), root(y)
+        out[at] = (a, b, a != b)
+        if a != b:
+            top[a] = b
+    return out
+
+
+def test_merges_in_rounds_equal_one_by_one(spark):
+    import random
+
+    from quaero.operators import forest
+
+    for kind in range(6):
+        rnd = random.Random(kind)
+        n = 120
+        ends = {
+            0: [(k, k + 1) for k in range(n)],  # a path in order
+            1: [(k + 1, k) for k in range(n)][::-1],
+            2: rnd.sample([(k, k + 1) if rnd.random() < 0.5 else (k + 1, k) for k in range(n)], n),
+            3: [(rnd.randrange(60), rnd.randrange(60)) for _ in range(200)],
+            4: [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)],
+            5: [(k, k) for k in range(5)] * 2 + [(0, k) for k in range(1, 60)] + [(k, 0) for k in range(30, 90)],
+        }[kind]
+        edges = [(10 * k, x, y) for k, (x, y) in enumerate(ends)]
+        got = {r["at"]: (r.from_id, r.into_id, r.accepted) for r in forest.merged_in_turn(spark.createDataFrame(edges, "at long, x long, y long")).collect()}
+        assert got == in_turn(edges), kind
+    same = spark.createDataFrame([(1, "a", "a"), (2, "a", "a")], "at long, x string, y string")
+    assert [(r.from_id, r.into_id, r.accepted) for r in forest.merged_in_turn(same).collect()] == [("a", "a", False)] * 2
+    assert forest.merged_in_turn(same.limit(0)).isEmpty()
+
+
 def test_merges_apply_in_turn(spark):
     import random
 
