@@ -63,7 +63,7 @@ def _by_request(requests: DataFrame, each: DataFrame) -> DataFrame:
     """
     order = F.struct("is_new", "pos")
     failed = F.when(F.col("bad").isNotNull(), order)
-    grouped = each.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "tag"))).alias("all"), F.min_by("bad", failed).alias("bad"), F.min_by("near", failed).alias("near"))
+    grouped = each.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "tag"))).alias("all"), F.min_by("bad", failed).alias("bad"), F.min_by(F.when(F.col("is_new"), F.col("near")), failed).alias("near"))
     whole = requests.select("request_id").join(grouped.hint("shuffle_merge"), "request_id", "left").withColumn("tags", F.array_distinct(F.coalesce(F.col("all.tag"), F.expr("cast(array() AS array<string>)"))))
     reason = F.coalesce("bad", F.when(F.size("tags") == 0, "a note needs a tag"), F.when(F.size("tags") > MAX_TAGS, f"more than {MAX_TAGS} tags"))
     return whole.select("request_id", "tags", reason.alias("tag_reason"), "near")
