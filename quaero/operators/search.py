@@ -47,12 +47,19 @@ def trigram_index(notes: DataFrame) -> DataFrame:
     return notes.select("id", F.explode(F.array_distinct(F.concat(*(_trigrams(f) for f in _fields())))).alias("gram"))
 
 
-def piece_hits(pieces_: DataFrame, notes: DataFrame) -> DataFrame:
+def query_grams(queries: DataFrame) -> DataFrame:
+    """gram: the distinct trigrams of the queries' pieces."""
+    parts = _parts(queries).select(F.explode("long").alias("piece"))
+    return parts.select(F.explode(_trigrams(F.col("piece"))).alias("gram")).distinct()
+
+
+def piece_hits(pieces_: DataFrame, notes: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """piece, id, tf (weighted occurrences) for each note that holds a piece (lower case, three characters or more).
 
-    A piece meets the notes that have its rarest trigram, and those are looked through.
+    A piece meets the notes that have its rarest trigram, and those are looked through. index: the trigrams of the notes (gram,
+    id; those of the pieces are enough), if they are kept.
     """
-    index = stored(trigram_index(notes))
+    index = stored(trigram_index(notes) if index is None else index)
     asked = stored(pieces_.select("piece").distinct())
     grams = asked.select("piece", F.explode(F.array_distinct(_trigrams(F.col("piece")))).alias("gram"))
     known = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
@@ -99,17 +106,17 @@ def bm25_search(queries: DataFrame, notes: DataFrame, limit: int = 20) -> DataFr
     return bm25_ranking(queries, notes).where(F.col("rank") <= limit)
 
 
-def bm25_ranking(queries: DataFrame, notes: DataFrame) -> DataFrame:
+def bm25_ranking(queries: DataFrame, notes: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """query_id, rank, id, score: substring matches by BM25 of the weighted hits, without long piece newest first.
 
     A note's length is its number of trigrams over the three columns; a piece's frequency n is the notes that hold it.
-    Statistics cover all notes.
+    Statistics cover all notes. index: as in piece_hits.
     """
     grams = sum((F.greatest(F.lit(0), F.length(F.coalesce(F.col(c), F.lit(""))) - 2) for c, _ in WEIGHTS), F.lit(0))
     sized = notes.withColumn("n_grams", grams)
     totals = sized.agg(F.count(F.lit(1)).alias("n_all"), F.avg("n_grams").alias("avg_grams"))
     parts = _parts(queries).select("query_id", F.explode("long").alias("piece"))
-    hits = stored(piece_hits(parts, notes))
+    hits = stored(piece_hits(parts, notes, index))
     met = stored(substring_matches(queries, sized, hits).select("query_id", "id", "created_s", "n_grams", "n_long"))
     frequency = hits.groupBy("piece").agg(F.count(F.lit(1)).alias("n_with"))
     weighed = hits.join(stored(frequency).hint("shuffle_merge"), "piece")
@@ -145,14 +152,15 @@ def term_idf(index: DataFrame, notes: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.log(1 + F.col("n_all") / (F.col("df") + 1)).alias("idf"))
 
 
-def keyword_recall(questions: DataFrame, notes: DataFrame, salts: int = 8) -> DataFrame:
+def keyword_recall(questions: DataFrame, notes: DataFrame, salts: int = 8, index: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, rank: notes that cover a quarter of a question's weight, best first, ties newest first.
 
     questions: query_id, query. The index meets the question terms on the term; a term that many notes have is spread
-    over salts, as each of its rows goes to one of them and the question's row to all.
+    over salts, as each of its rows goes to one of them and the question's row to all. index: note_terms of the notes (those of the
+    questions' terms are enough), if they are kept.
     """
     asked = stored(questions.select("query_id", F.explode(terms(F.col("query"))).alias("term")))
-    index = stored(note_terms(notes))
+    index = stored(note_terms(notes) if index is None else index)
     n = notes.agg(F.count(F.lit(1)).alias("n_all"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # Terms that no note has count in the question's weight too.

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import search as R
 from ..operators import vectors as V
+from ..operators.kept_index import KeptIndex
 from ..sources import tables as S
+from ..sources.store import shared_folder
 from ..sources.tables import KEY_SUMS, sql_with
 
 
@@ -36,6 +38,27 @@ def keyword_recall(spark, d):
     return R.keyword_recall(_asked(spark, d), S.questions(spark, d)).select("query_id", "id", F.round("score", 4).alias("score"))
 
 
+def _kept_index(spark, d):
+    """An index that has seen each question three times: with its answer as its title beside a note that is deleted later, in a
+    part of them without a title, and as it is."""
+    index = KeptIndex(spark, shared_folder(spark), fan=2)
+    q = S.questions(spark, d).withColumn("deleted", F.lit(False))
+    doubled = q.withColumn("title", F.col("conclusion")).unionByName(q.withColumn("id", -F.col("id")))
+    index.update(doubled, 1)
+    index.update(q.where("id % 2 = 0").withColumn("title", F.lit("")).unionByName(q.withColumns({"id": -F.col("id"), "deleted": F.lit(True)})), 2)
+    index.update(q, 3)
+    index.update(q, 3)  # replayed
+    return index
+
+
+def kept_index_search(spark, d):
+    return _kept_index(spark, d).bm25_search(_asked(spark, d))
+
+
+def kept_index_recall(spark, d):
+    return _kept_index(spark, d).keyword_recall(_asked(spark, d)).select("query_id", "id", F.round("score", 4).alias("score"))
+
+
 def _vector_queries(spark, d):
     return S.vectors(spark, d).where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
 
@@ -152,6 +175,7 @@ SELECT * FROM rk WHERE rank <= 20""",
     "note_terms": (note_terms, sql_with(f", {_TERMS} SELECT id, count(*)::BIGINT AS n_terms, sum(weight)::BIGINT AS weight FROM ix GROUP BY 1", "qa")),
     "term_idf": (term_idf, sql_with(f", {_TERMS} SELECT term, df, round(ln(1 + n / (df + 1)::DOUBLE), 6) AS idf FROM df CROSS JOIN n", "qa")),
     "keyword_recall": (keyword_recall, sql_with(f", {_RECALL} SELECT query_id, id, round(score, 4) AS score FROM kw", "qa")),
+    "kept_index_recall": (kept_index_recall, sql_with(f", {_RECALL} SELECT query_id, id, round(score, 4) AS score FROM kw", "qa")),
     "vector_neighbours": (
         vector_neighbours,
         sql_with(
@@ -212,3 +236,4 @@ SELECT CASE WHEN a.ask_count > b.ask_count THEN y ELSE x END AS a, CASE WHEN a.a
         ),
     ),
 }
+QUERIES["kept_index_search"] = (kept_index_search, QUERIES["bm25_search"][1])
