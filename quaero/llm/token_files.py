@@ -31,8 +31,8 @@ from .shared import chunks, written
 
 #: Ids at which a shard is closed, and text bytes that are encoded together.
 SHARD_IDS = 1 << 20
-#: With more places than this, pairs are counted by a hash first.
-SIFTED = 100_000
+#: With more places than this, pairs are counted by a hash first; with more than the second, places are put in order by marks.
+SIFTED, MARKED = 100_000, 2_000
 CHUNK = 4 << 20
 MAGIC = b"RPR2"
 #: A pair is frequent, and gets a rule, if it occurs so often in its shard, however large that is.
@@ -227,17 +227,42 @@ def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST) -> tuple[
         before[after[inner]] = inner
         places = np.concatenate([places[often], taken, np.maximum(before[taken], 0)])
         places = places[left[places] & ~closes[places]]
-        if len(places) > SIFTED:
-            look = np.zeros(n, bool)
+        if len(places) > MARKED:
+            look = np.zeros((n + 7) // 8 * 8, bool)
             look[places] = True
-            places = np.flatnonzero(look)
+            some = np.flatnonzero(look.view(np.uint64))  # eight places together
+            row, column = np.nonzero(look.reshape(-1, 8)[some])
+            places = some[row] * 8 + column
         else:
             places = np.unique(places)
     return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), sizes[base:], np.array(firsts, np.uint32), symbols[left]
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, firsts: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for: the rules of the last round are undone first."""
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of flat that start there and are so long, one behind the other."""
+    stop = np.cumsum(sizes)
+    return flat[np.repeat(starts - (stop - sizes), sizes) + np.arange(int(stop[-1]) if len(stop) else 0)]
+
+
+#: Expansions of all rules are laid out at once if they have at most so many ids for each one of the shard.
+LAID_OUT = 4
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, firsts: np.ndarray, base: int, expands: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for. With the rules' lengths their expansions are laid out round by round, each from those
+    before, and symbols are then looked up in one go; else, or if they'd be too long, the rules of the last round are
+    undone first."""
+    if expands is not None and int(expands.sum(dtype=np.int64)) <= LAID_OUT * SHARD_IDS:
+        sizes = np.concatenate([np.ones(base, np.int64), expands.astype(np.int64)])
+        starts = np.cumsum(sizes) - sizes
+        flat = np.zeros(int(sizes.sum()), symbols.dtype)
+        flat[:base] = np.arange(base)
+        bounds = [*firsts.tolist(), len(rules)]
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            parts = rules[a:b].ravel()
+            made = _gathered(flat, starts[parts], sizes[parts])
+            flat[starts[base + a] : starts[base + a] + len(made)] = made
+        return _gathered(flat, starts[symbols], sizes[symbols])
     for first in firsts[::-1].tolist():
         made = np.flatnonzero(symbols >= base + first)
         if not len(made):
@@ -272,7 +297,7 @@ class Shard:
         self.expands, self.firsts, self.symbols = parts[2:]
 
     def ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.firsts, self.base)
+        return expand(self.symbols, self.rules, self.firsts, self.base, self.expands)
 
     def range(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of the shard; only the symbols that cover them are expanded."""

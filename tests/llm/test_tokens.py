@@ -198,3 +198,4 @@ def test_no_frequent_pair_is_left(kinds):
             last = (pair, k)
         assert max(count.values(), default=0) < least
         assert (token_files.expand(symbols, rules, firsts, int(ids.max()) + 1) == ids).all()
+        assert (token_files.expand(symbols, rules, firsts, int(ids.max()) + 1, expands) == ids).all()
