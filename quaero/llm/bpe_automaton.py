@@ -199,16 +199,19 @@ class Coder:
     KEPT, LONGEST, CHUNK = 60_000, 48, 2 << 20
 
     def __init__(self, path: str):
-        import tokenizers
-
-        self.machine = automaton(path)
-        self.library = tokenizers.Tokenizer.from_file(path)
+        self.path, self.machine = path, automaton(path)
         self.special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.machine.special, key=len, reverse=True)) + ")")
         self.fixed = {token: str(number) for token, number in self.machine.special.items()}
         self.known: dict[str, str] = dict(self.fixed)
         self.older: dict[str, str] = {}
         self.labels = {str(number): label for number, label in self.machine.labels.items()}
 
+    @functools.cached_property
+    def library(self):
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.path)
+
     def words(self, text: str) -> list[str]:
         """The words of a text; a special token's string is a word of its own. The split drops all white space, so its
         normal form needs no step. Normal form and split of a text with disputed characters are the library's."""
