@@ -195,10 +195,12 @@ def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST) -> tuple[
         keys = pa.array(a.astype(np.uint64) << np.uint64(32) | b).dictionary_encode()
         which = keys.indices.to_numpy()
         # Of a run of equal pairs (aaa) every second occurrence counts.
-        next_to = after[places[:-1]] == places[1:]
-        start = np.arange(len(places))
-        start[np.flatnonzero(next_to & (which[1:] == which[:-1])) + 1] = -1
-        odd = (np.arange(len(places)) - np.maximum.accumulate(start)) & 1 == 1
+        again = np.flatnonzero(which[1:] == which[:-1]) + 1
+        again = again[after[places[again - 1]] == places[again]]
+        first = np.flatnonzero(np.diff(again, prepend=-1) != 1)
+        step = np.arange(len(again)) - np.repeat(first, np.diff(first, append=len(again)))
+        odd = np.zeros(len(places), bool)
+        odd[again[step & 1 == 0]] = True
         counts = np.bincount(which[~odd], minlength=len(keys.dictionary))
         often = counts[which] >= least
         if not often.any():
@@ -212,7 +214,8 @@ def compress(ids: np.ndarray, lengths: np.ndarray, least: int = LEAST) -> tuple[
         lost[near[weight[near] < weight[near + 1]]] = True
         lost[near[weight[near] > weight[near + 1]] + 1] = True
         taken, which = taken[~lost], which[~lost]
-        used, which = np.unique(which, return_inverse=True)
+        use = np.bincount(which, minlength=len(counts)) > 0
+        used, which = np.flatnonzero(use), (np.cumsum(use) - 1)[which]
         made = keys.dictionary.to_numpy()[used]
         pairs = np.column_stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)]).astype(np.uint32)
         firsts.append(len(sizes) - base)
