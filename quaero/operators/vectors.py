@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import sized, stored
+
 #: Rows of a block on either side of a block product.
 BLOCK = 2048
 RECALL_FLOOR, DUPLICATE_FLOOR, NEIGHBOURS, CANDIDATES = 0.40, 0.65, 5, 30
@@ -82,24 +84,44 @@ def change_sums(rows: DataFrame, group: str = "topic_id", key: str = "id") -> Da
     return rows.groupBy(group).agg(F.concat_ws("-", F.count(F.lit(1)).cast("string"), *sums).alias("signature"))
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, k: int, floor: float = -1.0, skip_self: bool = False) -> DataFrame:
-    """query_id, rank, id, similarity: the k most similar vectors of each query at or above a floor, exactly.
+def kept_centroids(vectors: DataFrame, group: str = "topic_id", key: str = "key") -> DataFrame:
+    """group, signature, embedding: the centroids with the signatures of the keys that they were made of."""
+    return centroids(vectors, group).join(change_sums(vectors, group, key).hint("shuffle_merge"), group).select(group, "signature", "embedding")
 
-    Both sides are cut into blocks and each two blocks meet in one group, where a matrix product leaves each query its k
-    best of the block; the blocks' best meet by query. No pair list is made, and memory is a block's.
+
+def refreshed_centroids(kept: DataFrame, vectors: DataFrame, group: str = "topic_id", key: str = "key") -> DataFrame:
+    """kept_centroids of the vectors as they are now; only groups with another set of keys are summed again.
+
+    kept: an earlier result, written. The keys tell contents: a changed vector has another key. A row that moves changes the
+    signatures of both groups; groups that have lost all rows go. Vectors are read in full for changed groups alone, the
+    others' rows give their group and key. An empty kept table makes it a rebuild.
     """
-    n_q, n_v = max(1, -(-queries.count() // BLOCK)), max(1, -(-vectors.count() // BLOCK))
-    unit = lambda c: F.col(c).cast("array<double>")
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), unit("embedding").alias("embedding"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
-    v = vectors.select(F.col("id").cast("long").alias("id"), unit("embedding").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    now = stored(change_sums(vectors, group, key))
+    known = kept.select(group, "signature")
+    changed = now.join(known.hint("shuffle_merge"), [group, "signature"], "left_anti")
+    rows = vectors.join(sized(changed.select(group)), group, "left_semi")
+    rebuilt = centroids(rows, group).join(changed.hint("shuffle_merge"), group).select(group, "signature", "embedding")
+    return kept.select(group, "signature", "embedding").join(now.hint("shuffle_merge"), [group, "signature"], "left_semi").unionByName(rebuilt)
+
+
+#: Columns of a block's best.
+BEST = "query_id long, id long, similarity double"
+
+
+def unit_rows(vectors: pd.Series) -> np.ndarray:
+    """The vectors as rows of unit length; a zero vector stays zero."""
+    m = np.stack(vectors.to_numpy())
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def best_of_blocks(k: int, floor: float, skip_self: bool):
+    """A function of two blocks (query_id, embedding and id, embedding): each query's k best rows at or above the floor."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
-        x, y = np.stack(a["embedding"].to_numpy()), np.stack(b["embedding"].to_numpy())
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
         ids, asked = b["id"].to_numpy(), a["query_id"].to_numpy()
-        same = np.round(x @ y.T, 6)
+        same = np.round(unit_rows(a["embedding"]) @ unit_rows(b["embedding"]).T, 6)
         if skip_self:
             same[asked[:, None] == ids[None, :]] = -2.0
         by_id = np.argsort(ids)  # ties go to the least id
@@ -109,9 +131,28 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int, floor: float = -1
         keep = best >= max(floor, -1.5)
         return pd.DataFrame({"query_id": np.repeat(asked, keep.sum(1)), "id": ids[top][keep], "similarity": best[keep]})
 
-    local = q.groupBy("vb", "qb").cogroup(v.groupBy("vb", "qb")).applyInPandas(run, "query_id long, id long, similarity double")
+    return run
+
+
+def k_best(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, id, similarity: the k best rows of each query, ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return local.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
+
+
+def neighbours(queries: DataFrame, vectors: DataFrame, k: int, floor: float = -1.0, skip_self: bool = False) -> DataFrame:
+    """query_id, rank, id, similarity: the k most similar vectors of each query at or above a floor, exactly.
+
+    Both sides are cut into blocks and each two blocks meet in one group, where a matrix product leaves each query its k
+    best of the block; the blocks' best meet by query. No pair list is made, and memory is a block's.
+    """
+    n_q, n_v = max(1, -(-queries.count() // BLOCK)), max(1, -(-vectors.count() // BLOCK))
+    unit = lambda c: F.col(c).cast("array<double>")
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), unit("embedding").alias("embedding"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
+    v = vectors.select(F.col("id").cast("long").alias("id"), unit("embedding").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+
+    local = q.groupBy("vb", "qb").cogroup(v.groupBy("vb", "qb")).applyInPandas(best_of_blocks(k, floor, skip_self), BEST)
+    return k_best(local, k)
 
 
 def similar_topics(vectors: DataFrame, counts: DataFrame, k: int = NEIGHBOURS, floor: float = RECALL_FLOOR) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import search as R
 from ..operators import vectors as V
 from ..operators.kept_index import KeptIndex
+from ..operators.vector_index import VectorIndex
 from ..sources import tables as S
-from ..sources.store import shared_folder
+from ..sources.store import shared_folder, stored
 from ..sources.tables import KEY_SUMS, sql_with
 
 
@@ -67,6 +68,12 @@ def vector_neighbours(spark, d):
     return V.neighbours(_vector_queries(spark, d), S.vectors(spark, d), R.CANDIDATES, V.RECALL_FLOOR).select("query_id", "id", F.round("similarity", 4).alias("similarity"))
 
 
+def indexed_neighbours(spark, d):
+    """As vector_neighbours, by the index of all vectors and its bounds."""
+    found = VectorIndex.build(S.vectors(spark, d)).neighbours(_vector_queries(spark, d), R.CANDIDATES, V.RECALL_FLOOR)
+    return found.select("query_id", "id", F.round("similarity", 4).alias("similarity"))
+
+
 def hybrid_recall(spark, d):
     """Keyword and vector rankings fused; vectors of the questions by the default model."""
     notes = S.questions(spark, d)
@@ -109,6 +116,18 @@ def centroids(spark, d):
     return c.select("topic_id", F.col("pos").cast("long").alias("pos"), (F.round("x", 5) + 0.0).alias("x"))
 
 
+def refreshed_centroids(spark, d):
+    """Centroids kept from an earlier state (some notes under the next topic, some with their vector turned, and notes that are
+    gone now), brought up to date."""
+    now = S.vectors(spark, d).withColumn("key", F.concat_ws(":", "id", F.xxhash64("embedding")))
+    turned = F.when(F.col("topic_id") % 7 == 0, F.transform("embedding", lambda x: -x)).otherwise(F.col("embedding"))
+    earlier = S.vectors(spark, d).select("id", (F.col("topic_id") + F.when(F.col("topic_id") % 5 == 0, F.col("id") % 2).otherwise(0)).alias("topic_id"), turned.alias("embedding"))
+    gone = S.vectors(spark, d).select((-F.col("id") - 1).alias("id"), F.when(F.col("topic_id") % 3 == 0, F.col("topic_id")).otherwise(-1).alias("topic_id"), "embedding")
+    before = earlier.unionByName(gone).withColumn("key", F.concat_ws(":", "id", F.xxhash64("embedding")))
+    c = V.refreshed_centroids(stored(V.kept_centroids(before)), now).select("topic_id", F.posexplode("embedding").alias("pos", "x"))
+    return c.select("topic_id", F.col("pos").cast("long").alias("pos"), (F.round("x", 5) + 0.0).alias("x"))
+
+
 def change_signatures(spark, d):
     return V.change_signature(S.vectors(spark, d))
 
@@ -237,3 +256,5 @@ SELECT CASE WHEN a.ask_count > b.ask_count THEN y ELSE x END AS a, CASE WHEN a.a
     ),
 }
 QUERIES["kept_index_search"] = (kept_index_search, QUERIES["bm25_search"][1])
+QUERIES["indexed_neighbours"] = (indexed_neighbours, QUERIES["vector_neighbours"][1])
+QUERIES["refreshed_centroids"] = (refreshed_centroids, QUERIES["centroids"][1])
