@@ -11,8 +11,9 @@ from ..operators import activity as A
 from ..operators import edits, resolve
 from ..sources import tables as S
 from ..sources import vault
+from ..sources.store import shared_folder
 from ..sources.tables import sql_with
-from ..streaming import live
+from ..streaming import kept, live
 from .activity_queries import _chains, _notes
 
 
@@ -164,6 +165,40 @@ def stream_weeks(spark, d):
     return _streamed(spark, d, lambda s: live.running_activity(_stream_notes(s)))
 
 
+def _kept(spark, d, make):
+    """What make(folder) keeps of the event stream, read in bounded batches."""
+    source = S.load(spark, d, "events")
+    folder = shared_folder(spark)
+    source.repartition(4, "event_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    out = make(f"{folder}/out")
+    kept.keep(_stream_notes(stream).withColumn("created", F.date_format("created_utc", "yyyy-MM-dd HH:mm:ss")), out, f"{folder}/state").awaitTermination()
+    return out
+
+
+def kept_weeks(spark, d):
+    """Weeks of the event stream in no order of time, the open week and the latest rows among them."""
+    return _kept(spark, d, lambda folder: kept.KeptActivity(spark, folder, fan=2)).weeks()
+
+
+def kept_ask_counts(spark, d):
+    rows = _kept(spark, d, lambda folder: kept.KeptOrdinals(spark, folder)).rows()
+    return rows.groupBy("topic_id").agg(F.count(F.lit(1)).alias("n_notes"), F.max("ask_index").alias("last_index"), F.count_distinct("ask_index").alias("n_indexes"))
+
+
+def folder_changes(spark, d):
+    """The documents' files by language, listed; then again, once those of languages with an odd number of them are written anew."""
+    docs = S.load(spark, d, "documents").select("doc_id", F.md5("text").alias("text"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    folder = shared_folder(spark)
+    found = kept.FolderChanges(spark, f"{folder}/files", f"{folder}/kept")
+    docs.write.partitionBy("lang").parquet(f"{folder}/files")
+    found.record()
+    odd = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("lang")
+    docs.join(F.broadcast(odd), "lang", "left_semi").write.partitionBy("lang").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/files")
+    found.record()
+    return found.changes().select(F.col("version").cast("long").alias("version"), F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"), "action").distinct()
+
+
 def stream_redaction(spark, d):
     out = _streamed(spark, d, lambda s: live.redacted_stream(_stream_notes(s).withColumn("text", F.concat(F.lit("token = "), F.md5(F.col("id").cast("string")))), ["text"]))
     return out.select("id", "text")
@@ -257,3 +292,10 @@ SELECT strftime(m, '%Y-%m-%d') AS monday, n_notes FROM w WHERE m + INTERVAL 21 D
     ),
     "stream_redaction": (stream_redaction, "SELECT event_id AS id, 'token = [REDACTED:secret]' AS text FROM events"),
 }
+QUERIES["kept_weeks"] = (kept_weeks, "SELECT strftime(ts, '%G-W%V') AS week, count(*)::BIGINT AS n_notes FROM events GROUP BY 1")
+QUERIES["kept_ask_counts"] = (kept_ask_counts, QUERIES["stream_ask_counts"][1])
+QUERIES["folder_changes"] = (
+    folder_changes,
+    """WITH c AS (SELECT coalesce(lang, 'none') AS lang, count(*) AS n FROM documents GROUP BY 1) SELECT 1::BIGINT AS version, lang, 'added' AS action FROM c
+UNION ALL SELECT 2, lang, unnest(['added', 'removed']) FROM c WHERE n % 2 = 1""",
+)
