@@ -59,9 +59,10 @@ OTHER, LETTER, NUMBER, WHITE = range(4)
 @functools.cache
 def kinds_of_characters() -> np.ndarray:
     """For each code point whether it is a letter, a number, white space or another character (1 MB)."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    category = unicodedata.category
-    out = np.fromiter((kinds.get(category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    names = "".join(map(unicodedata.category, map(chr, range(sys.maxunicode + 1))))
+    first = np.frombuffer(names.encode("ascii"), np.uint8)[::2]
+    out = np.full(len(first), OTHER, np.uint8)
+    out[first == ord("L")], out[first == ord("N")] = LETTER, NUMBER
     out[[ord(c) for c in map(chr, range(0x3001)) if re.match(f"[{WHITE_SPACE}]", c)]] = WHITE
     return out
 

@@ -60,14 +60,14 @@ def unpacked_values(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     return out, at
 
 
-def word_starts(texts: list[str]) -> np.ndarray:
-    """The places (code points of the texts one after another) at which the byte-level vocabulary's words start.
+def word_starts(texts: list[str], whole: str | None = None) -> np.ndarray:
+    """The places (code points of the texts one after another, which is `whole` if given) at which the byte-level vocabulary's words start.
 
     The words fill each text. A run of letters, of numbers or of other characters is a word, with one blank before it if
     there is any; a run of white space is one word up to that blank, or its last character; and ``'s``, ``'t``, ``'m``,
     ``'d``, ``'re``, ``'ve`` and ``'ll`` are words where a word may start.
     """
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    points = np.frombuffer(("".join(texts) if whole is None else whole).encode("utf-32-le"), np.uint32)
     n = len(points)
     kinds = kinds_of_characters()[points]
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
@@ -119,7 +119,7 @@ class Encoder:
         self.special = {t["content"]: np.array([t["id"]], "<u2") for t in spec["added_tokens"]}
         self.find = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
         self.model = tokenizers.Tokenizer.from_file(path).model
-        self.letters = [byte_letters()[b] for b in range(256)]
+        self.letters = "".join(byte_letters()[b] for b in range(256))
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
@@ -132,7 +132,7 @@ class Encoder:
         for k in [k for k, ids in enumerate(out) if ids is None]:
             w = words[k]
             if (ids := older.get(w)) is None:
-                ids = array("H", [t.id for t in tokenize("".join([letters[b] for b in w]))]).tobytes()
+                ids = array("H", [t.id for t in tokenize(w.decode("latin-1").translate(letters))]).tobytes()
             if len(w) <= self.LONGEST:
                 known[w] = ids
             out[k] = ids
@@ -144,18 +144,19 @@ class Encoder:
         data = whole.encode()
         if not data:
             return [np.zeros(0, "<u2")] * len(texts)
-        at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[word_starts(texts)]
+        starts = word_starts(texts, whole)
+        at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[starts]
         cut = np.append(at, len(data)).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cut), pa.py_buffer(data)]).dictionary_encode()
-        ids = self._ids(words.dictionary.to_pylist())
+        ids = self._ids(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         which = words.indices.to_numpy()
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         first = np.cumsum(size) - size
         many = size[which]
         stop = np.cumsum(many)
         flat = np.frombuffer(b"".join(ids), "<u2")[np.repeat(first[which] - (stop - many), many) + np.arange(stop[-1])]
-        bytes_ = np.cumsum(np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts)))
-        upto = np.concatenate([[0], stop])[np.searchsorted(at, bytes_)]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        upto = np.concatenate([[0], stop])[np.searchsorted(starts, ends)]
         return np.split(flat, upto[:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
