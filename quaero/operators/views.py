@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.store import shared_folder, sized, stored
 from . import search
 from .activity import ordinals
-from .resolve import canonical, resolved
+from .resolve import canonical, conflict_ids, resolved
 
 
 def tags_resolved(notes: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -93,3 +93,38 @@ def exported(rows: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or shared_folder(rows.sparkSession)
     rows.write.option("ignoreNullFields", False).json(folder)
     return rows.sparkSession.read.text(folder)
+
+
+def topic_pages(notes: DataFrame, topics: DataFrame, chains: DataFrame) -> DataFrame:
+    """topic_id, label, created, ask_count, sessions, n_merged of each topic with notes; label and created are empty if no file tells.
+
+    notes: topic_id (resolved), session_id. topics: id, label, created. merged_topics and topic_positions have the lists of a page as rows.
+    """
+    counts = notes.groupBy("topic_id").agg(F.count(F.lit(1)).alias("ask_count"), F.count_distinct("session_id").alias("sessions"))
+    merged = chains.where("start <> resolved").groupBy(F.col("resolved").alias("topic_id")).agg(F.count(F.lit(1)).alias("n_merged"))
+    met = counts.join(merged.hint("shuffle_merge"), "topic_id", "left").join(topics.withColumnRenamed("id", "topic_id").hint("shuffle_merge"), "topic_id", "left")
+    text = lambda name: F.coalesce(name, F.lit("")).alias(name)
+    return met.select("topic_id", text("label"), text("created"), "ask_count", "sessions", F.coalesce("n_merged", F.lit(0)).alias("n_merged"))
+
+
+def merged_topics(topics: DataFrame, chains: DataFrame) -> DataFrame:
+    """topic_id, merged_id, label: every topic whose chain ends at another, with its own label."""
+    ends = chains.where("start <> resolved").select(F.col("resolved").alias("topic_id"), F.col("start").alias("id"))
+    met = ends.join(topics.select("id", "label").hint("shuffle_merge"), "id", "left")
+    return met.select("topic_id", F.col("id").alias("merged_id"), F.coalesce("label", F.lit("")).alias("label"))
+
+
+def topic_positions(notes: DataFrame) -> DataFrame:
+    """notes with position: how many times their topic had been asked, by the text of created, then id."""
+    return ordinals(notes, "topic_id", [F.col("created").asc(), F.col("id").asc()], "position")
+
+
+def health_report(tables: dict[str, DataFrame], invalid: DataFrame) -> DataFrame:
+    """One row: the distinct ids of each kind of file (named by it), conflicts over all kinds, invalid files, and ok, which is true without either.
+
+    tables: by kind, id and path of the valid files. invalid: a row per file.
+    """
+    out = conflict_ids(tables).agg(F.count(F.lit(1)).alias("conflicts")).crossJoin(invalid.agg(F.count(F.lit(1)).alias("invalid_files")))
+    for kind, rows in tables.items():
+        out = out.crossJoin(rows.select("id").distinct().agg(F.count(F.lit(1)).alias(f"{kind}s")))  # one row each
+    return out.withColumn("ok", (F.col("conflicts") == 0) & (F.col("invalid_files") == 0))

@@ -81,11 +81,49 @@ def ask_counts_after(spark, d):
     return W.ask_counts_after(saved, _notes(spark, d).select(F.col("topic_id").cast("string").alias("topic_id")))
 
 
+def _topics(spark, d):
+    return S.notes(spark, d).groupBy(F.col("topic_id").alias("id")).agg(F.min("project").alias("label"), F.min("created").alias("created"))
+
+
+def topic_pages(spark, d):
+    return W.topic_pages(_notes(spark, d), _topics(spark, d), _chains(spark, d))
+
+
+def merged_topics(spark, d):
+    return W.merged_topics(_topics(spark, d), _chains(spark, d))
+
+
+def topic_positions(spark, d):
+    return W.topic_positions(_notes(spark, d)).select("id", "topic_id", F.col("position").cast("long").alias("position"))
+
+
+def _file_tables(spark, d):
+    """Documents as note files, pages as topic files, turns of the system as annotation files; equal contents share an id."""
+    pages = S.load(spark, d, "pages").select(F.md5("html").alias("id"), F.concat(F.lit("topics/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"))
+    turns = S.load(spark, d, "conversations").where("role = 'system'")
+    annotations = turns.select(F.md5("text").alias("id"), F.concat_ws("/", F.lit("annotations"), F.col("conv_id").cast("string"), F.concat(F.col("turn").cast("string"), F.lit(".md"))).alias("path"))
+    return {"note": S.files(spark, d).where("id IS NOT NULL").select("id", "path"), "topic": pages.where("id IS NOT NULL"), "annotation": annotations.where("id IS NOT NULL")}
+
+
+def all_conflicts(spark, d):
+    return resolve.conflict_ids(_file_tables(spark, d))
+
+
+def health_report(spark, d):
+    """Files without a text that tells a title (no line of 40 characters or more) stand for invalid ones."""
+    invalid = S.files(spark, d).where("NOT coalesce(body RLIKE '[^\\\\n]{40}', false)")
+    return W.health_report(_file_tables(spark, d), invalid)
+
+
 _TAGS = "list_distinct([lower(split_part(title, ' ', 1)), lower(split_part(title, ' ', -1))])"
 _LABELS = "l AS (SELECT topic_id, min(project) AS label FROM note0 GROUP BY 1), a AS (SELECT conv_id AS id, count(*) AS n FROM conversations WHERE role = 'system' GROUP BY 1)"
 _BM25 = recall_queries.QUERIES["bm25_search"][1].rsplit("SELECT * FROM rk", 1)[0]
 _SAVED = EDITS["save_batch"][1].rsplit("SELECT id AS request_id", 1)[0]
 
+_TOPICS = "tp AS (SELECT topic_id AS id, min(project) AS label, min(created) AS created FROM note0 GROUP BY 1)"
+_FILES = """fl AS (SELECT 'note' AS kind, md5(text) AS id FROM documents UNION ALL SELECT 'topic', md5(html) FROM pages UNION ALL SELECT 'annotation', md5(text) FROM conversations WHERE role = 'system'),
+cf AS (SELECT kind, id, count(*)::BIGINT AS n_copies FROM fl WHERE id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)"""
+
 QUERIES = {
     "note_rows": (note_rows, sql_with(", _ AS (SELECT 1) SELECT id, path, array_to_string(tags, ',') AS tags, topic_id FROM row_", "row_")),
     "tags_in_use": (tags_in_use, sql_with(", _ AS (SELECT 1) SELECT DISTINCT unnest(tags) AS tag FROM row_ UNION SELECT min(lang) FROM documents GROUP BY source", "row_")),
@@ -130,4 +168,22 @@ UNION ALL SELECT 'tag', -1, 0, md5(tag), count(*)::BIGINT, false FROM u GROUP BY
         f"""{_SAVED}, c AS (SELECT topic_id::VARCHAR AS topic, count(*) AS n FROM note GROUP BY 1)
 SELECT id AS request_id, ended AS topic_id, (coalesce(n, 0) + row_number() OVER (PARTITION BY ended ORDER BY id))::BIGINT AS ask_count FROM j LEFT JOIN c ON c.topic = ended WHERE reason = '' AND j.topic <> 'new'""",
     ),
+    "topic_pages": (
+        topic_pages,
+        sql_with(
+            f""", {_TOPICS}, mg AS (SELECT root_id, count(*) AS n FROM root GROUP BY 1)
+SELECT n.topic_id, coalesce(label, '') AS label, coalesce(tp.created, '') AS created, count(*)::BIGINT AS ask_count, count(DISTINCT session_id)::BIGINT AS sessions, coalesce(any_value(mg.n), 0)::BIGINT AS n_merged
+FROM note n LEFT JOIN tp ON tp.id = n.topic_id LEFT JOIN mg ON mg.root_id = n.topic_id GROUP BY 1, 2, 3""",
+            "note",
+        ),
+    ),
+    "merged_topics": (merged_topics, sql_with(f", {_TOPICS} SELECT root_id AS topic_id, start_id AS merged_id, coalesce(label, '') AS label FROM root LEFT JOIN tp ON tp.id = start_id", "root")),
+    "topic_positions": (topic_positions, sql_with("SELECT id, topic_id, row_number() OVER (PARTITION BY topic_id ORDER BY created, id)::BIGINT AS position FROM note", "note")),
+    "all_conflicts": (all_conflicts, f"WITH {_FILES} SELECT * FROM cf"),
+    "health_report": (
+        health_report,
+        f"""WITH {_FILES}, r AS (SELECT (SELECT count(*) FROM cf)::BIGINT AS conflicts, (SELECT count(*) FROM documents WHERE NOT coalesce(regexp_matches(text, '[^\\n]{{40}}'), false))::BIGINT AS invalid_files,
+  (SELECT count(DISTINCT id) FROM fl WHERE kind = 'note')::BIGINT AS notes, (SELECT count(DISTINCT id) FROM fl WHERE kind = 'topic')::BIGINT AS topics, (SELECT count(DISTINCT id) FROM fl WHERE kind = 'annotation')::BIGINT AS annotations)
+SELECT *, conflicts = 0 AND invalid_files = 0 AS ok FROM r""",
+    ),
 }
