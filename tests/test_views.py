@@ -92,3 +92,21 @@ def test_count_of_a_topic_after_each_save(spark):
 def test_export_keeps_nulls_and_line_breaks(spark):
     rows = spark.createDataFrame([(1, "a\nb"), (2, None)], "id int, text string")
     assert sorted(r.value for r in W.exported(rows).collect()) == ['{"id":1,"text":"a\\nb"}', '{"id":2,"text":null}']
+
+
+def test_health_and_topic_pages_of_odd_tables(spark):
+    files = spark.createDataFrame([("a", "notes/1"), ("a", "notes/2"), ("b", "notes/3")], "id string, path string")
+    none = files.where("false")
+    bad = spark.createDataFrame([("x",)], "path string")
+    row = lambda tables, invalid: W.health_report(tables, invalid).first().asDict()
+    assert row({"note": files, "topic": files.where("id = 'b'")}, bad.where("false")) == {"conflicts": 1, "invalid_files": 0, "notes": 2, "topics": 1, "ok": False}
+    assert row({"note": none}, bad) == {"conflicts": 0, "invalid_files": 1, "notes": 0, "ok": False}
+    assert row({"note": none}, bad.where("false"))["ok"] is True
+
+    notes = spark.createDataFrame([(1, 7, "s", "2024-01-02"), (2, 7, "s", "2024-01-01"), (3, 8, None, None)], "id long, topic_id long, session_id string, created string")
+    topics = spark.createDataFrame([(7, "seven", "2024"), (5, None, None)], "id long, label string, created string")
+    chains = spark.createDataFrame([(5, 7), (6, 7), (7, 7)], "start long, resolved long")
+    pages = {r.topic_id: tuple(r)[1:] for r in W.topic_pages(notes, topics, chains).collect()}
+    assert pages == {7: ("seven", "2024", 2, 1, 2), 8: ("", "", 1, 0, 0)}
+    assert sorted(map(tuple, W.merged_topics(topics, chains).collect())) == [(7, 5, ""), (7, 6, "")]
+    assert {r.id: r.position for r in W.topic_positions(notes).collect()} == {1: 2, 2: 1, 3: 1}
