@@ -109,3 +109,19 @@ def test_a_record_broken_off_is_finished_by_the_next(spark, tmp_path, monkeypatc
     monkeypatch.undo()
     assert found.record() is None
     assert [(r.version, r.path) for r in found.changes().collect()] == [(1, "x.md")]
+
+
+def test_watch_records_by_itself(spark, tmp_path):
+    root = tmp_path / "files"
+    root.mkdir()
+    (root / "x.md").write_text("x")
+    found = kept.FolderChanges(spark, str(root), str(tmp_path / "kept"))
+    query = found.watch(str(tmp_path / "state"), "1 second")
+    try:
+        for _ in range(60):
+            if kept.versions(spark, f"{found.folder}/manifests"):
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert [(r.version, r.path, r.action) for r in found.changes().collect()] == [(1, "x.md", "added")]
