@@ -161,15 +161,25 @@ def keyword_recall(questions: DataFrame, notes: DataFrame, salts: int = 8, index
     """
     asked = stored(questions.select("query_id", F.explode(terms(F.col("query"))).alias("term")))
     index = stored(note_terms(notes) if index is None else index)
+    weighted, total = question_weights(asked, index, notes)
+    dealt = weighted.where("df IS NOT NULL").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = index.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(dealt.hint("shuffle_merge"), ["term", "salt"])
+    score = met.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
+    return covered(score, total, notes)
+
+
+def question_weights(asked: DataFrame, index: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """query_id, term, df (null if no note has the term), idf of the asked terms; and query_id, total of each question."""
     n = notes.agg(F.count(F.lit(1)).alias("n_all"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # Terms that no note has count in the question's weight too.
     idf = F.log(1 + F.col("n_all") / (F.coalesce("df", F.lit(0)) + 1))
     weighted = asked.join(df.hint("shuffle_merge"), "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", "df", idf.alias("idf"))
-    total = weighted.groupBy("query_id").agg((F.sum("idf") * HEAD).alias("total"))
-    dealt = weighted.where("df IS NOT NULL").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = index.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(dealt.hint("shuffle_merge"), ["term", "salt"])
-    score = met.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
+    return weighted, weighted.groupBy("query_id").agg((F.sum("idf") * HEAD).alias("total"))
+
+
+def covered(score: DataFrame, total: DataFrame, notes: DataFrame) -> DataFrame:
+    """query_id, id, score, rank of the scores that reach their question's share, best first, ties newest first."""
     kept = score.join(total.hint("shuffle_merge"), "query_id").where((F.col("score") > 0) & (F.col("score") >= F.col("total") * COVERAGE))
     order = Window.partitionBy("query_id").orderBy(F.desc("rounded"), F.desc("created_s"), "id")
     placed = kept.join(notes.select("id", "created_s"), "id").withColumn("rounded", F.round("score", 6))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import activity as A
 from ..operators import edits, resolve
 from ..operators import vectors as V
+from ..operators.page_layout import PageLayout
 from ..sources import tables as S
 from ..sources.store import sized
 from ..sources.tables import KEY_SUMS, sql_with
@@ -108,6 +112,29 @@ def timeline_pages(spark, d):
     return A.page_numbers(_notes(spark, d), 50)
 
 
+def _tenths(layout, size):
+    """The number of the page at each tenth of the depth."""
+    n_pages = -(-layout.n_rows() // size)
+    return sorted({n_pages * k // 10 for k in range(10)})
+
+
+def deep_pages(spark, d):
+    """Ten pages of a layout of all notes, by number, at each tenth of its depth."""
+    layout = PageLayout.write(S.notes(spark, d), file_rows=5_000)
+    pages = [layout.numbered(k, 50) for k in _tenths(layout, 50)]
+    return reduce(DataFrame.unionByName, pages).select("id", "created", "place")
+
+
+def deep_cursors(spark, d):
+    """The pages after those of deep_pages, each by the cursor that its last row gives; page is the number before."""
+    layout = PageLayout.write(S.notes(spark, d), file_rows=5_000)
+    pages = []
+    for k in _tenths(layout, 50):
+        last = layout.numbered(k, 50).orderBy("created_utc", "id").first()
+        pages.append(layout.page(50, (last.created_utc, last.id)).withColumn("page", F.lit(k).cast("long")))
+    return reduce(DataFrame.unionByName, pages).select("page", "id", "created")
+
+
 def day_sections(spark, d):
     return A.day_sections(_notes(spark, d))
 
@@ -247,6 +274,22 @@ SELECT project, n_notes, round(n_notes / greatest(1, (SELECT max(n_notes) FROM c
         timeline_page,
         sql_with("SELECT id, topic_id, created FROM note WHERE tag = 'click' AND created_utc < (SELECT max(created_utc) FROM note) ORDER BY created_utc DESC, id DESC LIMIT 51", "note"),
     ),
+    "deep_pages": (
+        deep_pages,
+        sql_with(
+            """, p AS (SELECT id, created, (row_number() OVER (ORDER BY created_utc DESC, id DESC) - 1)::BIGINT AS place FROM note0), n AS (SELECT (count(*) + 49) // 50 AS n FROM note0)
+SELECT id, created, place FROM p WHERE place // 50 IN (SELECT n * k // 10 FROM n, range(10) r(k))""",
+            "note0",
+        ),
+    ),
+    "deep_cursors": (
+        deep_cursors,
+        sql_with(
+            """, p AS (SELECT id, created, row_number() OVER (ORDER BY created_utc DESC, id DESC) - 1 AS place FROM note0), n AS (SELECT (count(*) + 49) // 50 AS n FROM note0)
+SELECT page, id, created FROM p JOIN (SELECT DISTINCT (n * k // 10)::BIGINT AS page FROM n, range(10) r(k)) ON place BETWEEN (page + 1) * 50 AND (page + 2) * 50""",
+            "note0",
+        ),
+    ),
     "timeline_pages": (timeline_pages, sql_with("SELECT id, tag, ((row_number() OVER (PARTITION BY tag ORDER BY created_utc DESC, id DESC) - 1) // 50)::BIGINT AS page FROM note", "note")),
     "day_sections": (
         day_sections,

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import bounded_recall as B
 from ..operators import search as R
 from ..operators import vectors as V
+from ..operators import word_vectors as W
 from ..operators.kept_index import KeptIndex
 from ..operators.vector_index import VectorIndex
 from ..sources import tables as S
@@ -74,16 +76,43 @@ def indexed_neighbours(spark, d):
     return found.select("query_id", "id", F.round("similarity", 4).alias("similarity"))
 
 
-def hybrid_recall(spark, d):
-    """Keyword and vector rankings fused; vectors of the questions by the default model."""
-    notes = S.questions(spark, d)
-    keyword = R.keyword_recall(_asked(spark, d), notes)
-    keys = V.note_keys(notes, "hashing")
-    vectors = keys.join(V.embedded(keys.select("key", "text")).hint("shuffle_merge"), "key").select("id", "embedding")
+def bounded_recall(spark, d):
+    return B.bounded_recall(_asked(spark, d), S.questions(spark, d)).select("query_id", "id", F.round("score", 4).alias("score"))
+
+
+def recall_rows(spark, d):
+    """The rows that bounded_recall joins, with all notes as one block."""
+    return B.recall_rows(_asked(spark, d), S.questions(spark, d), blocks=1)
+
+
+def _fused_with(keyword, vectors):
     near = V.neighbours(vectors.where("id % 100 = 0").withColumnRenamed("id", "query_id"), vectors, R.CANDIDATES, V.RECALL_FLOOR)
     return R.fused(keyword, near).where(F.col("rank") <= R.CANDIDATES).select("query_id", "id", "rank")
 
 
+def hybrid_recall(spark, d):
+    """Keyword and vector rankings fused; a question's vector is the stored one with the number of its conversation."""
+    notes = S.questions(spark, d)
+    stored_ones = S.vectors(spark, d).select(F.col("id").alias("session_id"), "embedding")
+    vectors = notes.select("id", "session_id").join(stored_ones.hint("shuffle_merge"), "session_id").select("id", "embedding")
+    return _fused_with(B.bounded_recall(_asked(spark, d), notes), vectors)
+
+
+def trained_recall(spark, d):
+    """Likewise with vectors by the model that is trained on the questions."""
+    notes = S.questions(spark, d)
+    keys = V.note_keys(notes, "words")
+    embedded = stored(W.embedded_by(W.trained(keys), keys))
+    vectors = keys.select("id", "key").join(embedded.hint("shuffle_merge"), "key").select("id", "embedding")
+    return _fused_with(B.bounded_recall(_asked(spark, d), notes), stored(vectors))
+
+
+def word_pairs(spark, d):
+    """The counts that the model is made of."""
+    keys = V.note_keys(S.questions(spark, d), "words")
+    return W.co_occurrences(keys, stored(W.vocabulary(keys))).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "n")
+
+
 def recalled_topics(spark, d):
     notes = S.questions(spark, d)
     return R.recalled_topics(R.keyword_recall(_asked(spark, d), notes), notes)
@@ -203,7 +232,40 @@ SELECT query_id, id, round(s, 4) AS similarity FROM p WHERE s >= 0.4 QUALIFY row
             "vec",
         ),
     ),
-    "hybrid_recall": (hybrid_recall, None),
+    "bounded_recall": (bounded_recall, sql_with(f", {_RECALL} SELECT query_id, id, round(score, 4) AS score FROM kw", "qa")),
+    "recall_rows": (
+        recall_rows,
+        sql_with(
+            f""", {_RECALL}, tp AS (SELECT term, max(weight) AS top FROM ix GROUP BY 1),
+e AS (SELECT wq.query_id, df, sum(wq.idf * top) OVER (PARTITION BY wq.query_id ORDER BY df DESC, wq.term ROWS UNBOUNDED PRECEDING) < total * 0.25 * (1 - 1e-9) AS optional
+  FROM wq JOIN df ON df.term = wq.term JOIN tp ON tp.term = wq.term JOIN tot ON tot.query_id = wq.query_id)
+SELECT query_id, sum(df)::BIGINT AS all_rows, sum(CASE WHEN optional THEN 0 ELSE df END)::BIGINT AS first_rows FROM e GROUP BY 1""",
+            "qa",
+        ),
+    ),
+    "hybrid_recall": (
+        hybrid_recall,
+        sql_with(
+            f""", {_RECALL}, qv AS (SELECT qa.id, embedding FROM qa JOIN vec ON vec.id = session_id),
+nn AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT a.id AS query_id, b.id,
+  round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s FROM qv a JOIN qv b ON a.id % 100 = 0) WHERE s >= 0.4 QUALIFY rank <= 30),
+fu AS (SELECT query_id, id, round(sum(1.0 / (60 + rank)::DOUBLE), 9) AS score FROM (SELECT query_id, id, rank FROM kw UNION ALL SELECT query_id, id, rank FROM nn) GROUP BY 1, 2)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::BIGINT AS rank FROM fu QUALIFY rank <= 30""",
+            "qa",
+            "vec",
+        ),
+    ),
+    "trained_recall": (trained_recall, None),
+    "word_pairs": (
+        word_pairs,
+        sql_with(
+            """, t AS (SELECT id, regexp_extract_all(lower(title || chr(10) || question), '[\\p{L}\\p{N}]+') AS w FROM qa),
+v AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) - 1 AS place FROM (SELECT word, count(*) AS n FROM (SELECT DISTINCT id, unnest(w) AS word FROM t) GROUP BY 1) QUALIFY place < 2048),
+e AS (SELECT id, pos, place FROM (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t) JOIN v USING (word))
+SELECT least(x.place, y.place)::BIGINT AS a, greatest(x.place, y.place)::BIGINT AS b, count(*)::BIGINT AS n FROM e x JOIN e y ON x.id = y.id AND y.pos - x.pos BETWEEN 1 AND 4 GROUP BY 1, 2""",
+            "qa",
+        ),
+    ),
     "recalled_topics": (
         recalled_topics,
         sql_with(
