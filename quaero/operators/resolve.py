@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
@@ -43,9 +43,13 @@ def latest_alias(aliases: DataFrame) -> DataFrame:
 
 
 def canonical(rows: DataFrame, key: str = "id", path: str = "path") -> DataFrame:
-    """The copy of each id with the shortest path, then the least."""
-    w = Window.partitionBy(key).orderBy(F.length(path), path)
-    return rows.withColumn("copy_rank", F.row_number().over(w)).where("copy_rank = 1").drop("copy_rank")
+    """The copy of each id with the shortest path, then the least; rows without an id count as copies of one.
+
+    Each task leaves one copy of an id, so an id may have any number of them.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in rows.columns))
+    best = rows.groupBy(F.col(key).alias("copies_of")).agg(F.min_by(row, F.struct(F.length(path), path)).alias("copy"))
+    return best.select("copy.*")
 
 
 def _all_files(tables: dict[str, DataFrame]) -> DataFrame:

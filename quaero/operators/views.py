@@ -95,6 +95,47 @@ def exported(rows: DataFrame, folder: str | None = None) -> DataFrame:
     return rows.sparkSession.read.text(folder)
 
 
+def note_details(rows: DataFrame, labels: DataFrame, annotations: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """id, path, markdown, tags, topic_id, label, ask_count, n_annotations of each note, or of the asked ones (id).
+
+    rows: note_rows (one row an id) with body. labels: topic_id, label; a topic without one has an empty label. annotations: note_id.
+    ask_count counts all notes of the topic, asked or not; a note without a topic has 0. Asked ids that no note has give no row, ids
+    asked for twice one. note_annotations has the annotations themselves.
+    """
+    counts = stored(rows.where("topic_id IS NOT NULL").groupBy("topic_id").agg(F.count(F.lit(1)).alias("ask_count")))
+    notes = rows if asked is None else rows.join(sized(asked.select("id").distinct()), "id", "left_semi")
+    remarks = stored(annotations.groupBy(F.col("note_id").alias("id")).agg(F.count(F.lit(1)).alias("n_annotations")))
+    met = notes.join(remarks.hint("shuffle_merge"), "id", "left").join(sized(counts), "topic_id", "left").join(sized(labels.select("topic_id", "label")), "topic_id", "left")
+    number = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    markdown = F.coalesce("body", F.lit("")).alias("markdown")
+    return met.select("id", "path", markdown, "tags", "topic_id", F.coalesce("label", F.lit("")).alias("label"), number("ask_count"), number("n_annotations"))
+
+
+def note_annotations(rows: DataFrame, annotations: DataFrame) -> DataFrame:
+    """note_id, place (from 1, by created, then id), id, body of the annotations of the given notes, as rows."""
+    own = annotations.join(rows.select(F.col("id").alias("note_id")).distinct().hint("shuffle_merge"), "note_id", "left_semi")
+    placed = ordinals(own, "note_id", [F.col("created").asc(), F.col("id").asc()], "place")
+    return placed.select("note_id", F.col("place").cast("long").alias("place"), "id", "body")
+
+
+def project_counts(notes: DataFrame) -> DataFrame:
+    """project, n_notes, n_agents: notes by their repository or else their folder (git_repo, cwd, agent), without both by "".
+
+    A repository counts if it is told, even as an empty text.
+    """
+    project = F.coalesce("git_repo", "cwd", F.lit(""))
+    return notes.groupBy(project.alias("project")).agg(F.count(F.lit(1)).alias("n_notes"), F.count_distinct("agent").alias("n_agents"))
+
+
+def labelled_pairs(pairs: DataFrame, labels: DataFrame, *sides: str) -> DataFrame:
+    """pairs with label_<side> of the topic in each side's column; empty without one. labels: topic_id, label."""
+    labels = sized(labels.select("topic_id", "label"))
+    for side in sides:
+        named = labels.withColumnsRenamed({"topic_id": side, "label": f"label_{side}"})
+        pairs = pairs.join(named, side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", F.lit("")))
+    return pairs
+
+
 def topic_pages(notes: DataFrame, topics: DataFrame, chains: DataFrame) -> DataFrame:
     """topic_id, label, created, ask_count, sessions, n_merged of each topic with notes; label and created are empty if no file tells.
 

@@ -109,6 +109,44 @@ def all_conflicts(spark, d):
     return resolve.conflict_ids(_file_tables(spark, d))
 
 
+def _part_labels(spark, d):
+    """Names of parts stand for the labels of topics."""
+    return S.load(spark, d, "part").select(F.col("p_partkey").alias("topic_id"), F.col("p_name").alias("label"))
+
+
+def _remarks(spark, d):
+    """Each label of a document stands for an annotation of its note."""
+    documents = S.load(spark, d, "documents").select("doc_id", F.md5("text").alias("note_id"))
+    return S.load(spark, d, "labels").join(documents.hint("shuffle_merge"), "doc_id").select(
+        "note_id", F.col("doc_id").alias("id"), F.col("quality").alias("created"), F.concat_ws(" ", "quality", "toxic").alias("body")
+    )
+
+
+def note_details(spark, d):
+    """Every note, with a digest of its markdown."""
+    found = W.note_details(_rows(spark, d), _part_labels(spark, d), _remarks(spark, d))
+    return found.select("id", "path", F.sha2("markdown", 256).alias("markdown_sha256"), F.array_join(F.array_sort("tags"), ",").alias("tags"), "topic_id", "label", "ask_count", "n_annotations")
+
+
+def note_annotations(spark, d):
+    return W.note_annotations(_rows(spark, d), _remarks(spark, d))
+
+
+def project_counts(spark, d):
+    """Notes of documents: the source stands for the folder, the host of the page with the document's id for the repository."""
+    hosts = S.load(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_extract("url", "//([^/]+)", 1).alias("git_repo"))
+    notes = S.load(spark, d, "documents").select("doc_id", F.col("source").alias("cwd"), F.col("lang").alias("agent"))
+    return W.project_counts(notes.join(hosts.hint("shuffle_merge"), "doc_id", "left"))
+
+
+def labelled_similar(spark, d):
+    return W.labelled_pairs(recall_queries.similar_topics(spark, d), _part_labels(spark, d), "topic_id", "other")
+
+
+def labelled_duplicates(spark, d):
+    return W.labelled_pairs(recall_queries.duplicate_topics(spark, d), _part_labels(spark, d), "a", "b")
+
+
 def health_report(spark, d):
     """Files without a text that tells a title (no line of 40 characters or more) stand for invalid ones."""
     invalid = S.files(spark, d).where("NOT coalesce(body RLIKE '[^\\\\n]{40}', false)")
@@ -124,6 +162,12 @@ _TOPICS = "tp AS (SELECT topic_id AS id, min(project) AS label, min(created) AS
 _FILES = """fl AS (SELECT 'note' AS kind, md5(text) AS id FROM documents UNION ALL SELECT 'topic', md5(html) FROM pages UNION ALL SELECT 'annotation', md5(text) FROM conversations WHERE role = 'system'),
 cf AS (SELECT kind, id, count(*)::BIGINT AS n_copies FROM fl WHERE id IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1)"""
 
+def _labelled(name, x, y):
+    """The SQL of a query on pairs with both sides' labels."""
+    return f"""SELECT p.*, coalesce(lx.p_name, '') AS label_{x}, coalesce(ly.p_name, '') AS label_{y}
+FROM ({recall_queries.QUERIES[name][1]}) p LEFT JOIN part lx ON lx.p_partkey = p.{x} LEFT JOIN part ly ON ly.p_partkey = p.{y}"""
+
+
 QUERIES = {
     "note_rows": (note_rows, sql_with(", _ AS (SELECT 1) SELECT id, path, array_to_string(tags, ',') AS tags, topic_id FROM row_", "row_")),
     "tags_in_use": (tags_in_use, sql_with(", _ AS (SELECT 1) SELECT DISTINCT unnest(tags) AS tag FROM row_ UNION SELECT min(lang) FROM documents GROUP BY source", "row_")),
@@ -179,6 +223,27 @@ FROM note n LEFT JOIN tp ON tp.id = n.topic_id LEFT JOIN mg ON mg.root_id = n.to
     ),
     "merged_topics": (merged_topics, sql_with(f", {_TOPICS} SELECT root_id AS topic_id, start_id AS merged_id, coalesce(label, '') AS label FROM root LEFT JOIN tp ON tp.id = start_id", "root")),
     "topic_positions": (topic_positions, sql_with("SELECT id, topic_id, row_number() OVER (PARTITION BY topic_id ORDER BY created, id)::BIGINT AS position FROM note", "note")),
+    "note_details": (
+        note_details,
+        sql_with(
+            """, an AS (SELECT md5(text) AS id, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1), tc AS (SELECT topic_id, count(*) AS n FROM row_ GROUP BY 1)
+SELECT r.id, r.path, sha256(body) AS markdown_sha256, array_to_string(r.tags, ',') AS tags, r.topic_id, coalesce(p_name, '') AS label, tc.n::BIGINT AS ask_count, coalesce(an.n, 0)::BIGINT AS n_annotations
+FROM row_ r JOIN doc ON doc.path = r.path LEFT JOIN an ON an.id = r.id LEFT JOIN tc ON tc.topic_id = r.topic_id LEFT JOIN part ON p_partkey = r.topic_id""",
+            "row_",
+        ),
+    ),
+    "note_annotations": (
+        note_annotations,
+        """SELECT md5(text) AS note_id, row_number() OVER (PARTITION BY md5(text) ORDER BY quality NULLS FIRST, doc_id)::BIGINT AS place, doc_id AS id, concat_ws(' ', quality, toxic) AS body
+FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL""",
+    ),
+    "project_counts": (
+        project_counts,
+        """SELECT coalesce(regexp_extract(url, '//([^/]+)', 1), source, '') AS project, count(*)::BIGINT AS n_notes, count(DISTINCT lang)::BIGINT AS n_agents
+FROM documents LEFT JOIN pages ON page_id = doc_id GROUP BY 1""",
+    ),
+    "labelled_similar": (labelled_similar, _labelled("similar_topics", "topic_id", "other")),
+    "labelled_duplicates": (labelled_duplicates, _labelled("duplicate_topics", "a", "b")),
     "all_conflicts": (all_conflicts, f"WITH {_FILES} SELECT * FROM cf"),
     "health_report": (
         health_report,

@@ -110,3 +110,24 @@ def test_health_and_topic_pages_of_odd_tables(spark):
     assert pages == {7: ("seven", "2024", 2, 1, 2), 8: ("", "", 1, 0, 0)}
     assert sorted(map(tuple, W.merged_topics(topics, chains).collect())) == [(7, 5, ""), (7, 6, "")]
     assert {r.id: r.position for r in W.topic_positions(notes).collect()} == {1: 2, 2: 1, 3: 1}
+
+
+def test_details_of_asked_notes(spark):
+    rows = spark.createDataFrame([("a", "n/a.md", "A", ["t"], 1), ("b", "n/b.md", None, [], 1), ("c", "n/c.md", "C", [], None)], "id string, path string, body string, tags array<string>, topic_id long")
+    labels = spark.createDataFrame([(1, "one"), (2, "two")], "topic_id long, label string")
+    remarks = spark.createDataFrame([("a", "r2", "2", "x"), ("a", "r1", "2", "y"), ("a", "r3", None, "z"), ("gone", "r4", "1", "w"), (None, "r5", "1", "v")], "note_id string, id string, created string, body string")
+    found = {r.id: r for r in W.note_details(rows, labels, remarks, spark.createDataFrame([("a",), ("a",), ("c",), ("zz",), (None,)], "id string")).collect()}
+    assert set(found) == {"a", "c"} and (found["a"].label, found["a"].ask_count, found["a"].n_annotations, found["a"].markdown) == ("one", 2, 3, "A")
+    assert (found["c"].label, found["c"].ask_count, found["c"].n_annotations) == ("", 0, 0)
+    assert W.note_details(rows, labels, remarks).count() == 3 and W.note_details(rows.limit(0), labels, remarks).isEmpty()
+    placed = sorted((r.place, r.id) for r in W.note_annotations(rows, remarks).collect())
+    assert placed == [(1, "r3"), (2, "r1"), (3, "r2")]
+
+
+def test_projects_and_labels_without_values(spark):
+    notes = spark.createDataFrame([("git", "/w", "codex"), (None, "/w", "codex"), (None, "/w", "other"), (None, None, None), ("", "/w", "x")], "git_repo string, cwd string, agent string")
+    assert sorted(tuple(r) for r in W.project_counts(notes).collect()) == [("", 2, 1), ("/w", 2, 2), ("git", 1, 1)]
+    pairs = spark.createDataFrame([(1, 2), (2, 9), (None, 1)], "a long, b long")
+    labels = spark.createDataFrame([(1, "one"), (2, None)], "topic_id long, label string")
+    got = W.labelled_pairs(pairs, labels, "a", "b").select("a", "b", "label_a", "label_b").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, 2, "one", ""), (2, 9, "", ""), (None, 1, "", "one")]
