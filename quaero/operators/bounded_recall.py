@@ -1,7 +1,7 @@
 """Keyword recall that looks up frequent terms for candidates alone.
 
 A note counts if it reaches a fixed share of its question's weight, so a question's commonest terms are optional: as long as all
-that they could give a note stays below that share, a note without any of the others is out. The others are joined with their
+that they could give a note stays well below that share, a note without any of the others is out. The others are joined with their
 postings as in search.keyword_recall; the optional ones are looked up only for the notes that these leave in reach. What a term
 can give is bounded per block of notes, by the greatest weight that it has in the block; blocks also spread frequent terms.
 
@@ -18,6 +18,9 @@ from .search import COVERAGE, covered, note_terms, question_weights, terms
 
 #: Blocks that the notes are dealt into.
 BLOCKS = 16
+#: What the optional terms may give together, as a share of what a note must reach. At 1 fewest rows are joined first, but nearly every
+#: note that they find stays in reach and is looked up for all optional terms.
+OPTIONAL = 0.75
 #: Bounds give way by this share, as sums of doubles depend on their order.
 SLACK = 1e-9
 
@@ -36,14 +39,14 @@ def bounded_terms(weighted: DataFrame, total: DataFrame, bounds: DataFrame) -> D
     """query_id, block, term, idf, n, need, optional, rest: a question's terms in each block that has them.
 
     need is the score that a note must reach, rest what the block's optional terms can give at most. Terms become optional from
-    the most frequent on (ties by term) while their sum stays below need.
+    the most frequent on (ties by term) while their sum stays below OPTIONAL of need.
     """
     known = weighted.where("df IS NOT NULL").join(total.hint("shuffle_merge"), "query_id")
     each = known.join(bounds.hint("shuffle_merge"), "term").withColumn("need", F.col("total") * (COVERAGE * (1 - SLACK)))
     own = Window.partitionBy("query_id", "block")
     upto = own.orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
     bound = F.col("idf") * F.col("top")
-    told = each.withColumn("optional", F.sum(bound).over(upto) < F.col("need"))
+    told = each.withColumn("optional", F.sum(bound).over(upto) < F.col("need") * OPTIONAL)
     return told.withColumn("rest", F.coalesce(F.sum(F.when(F.col("optional"), bound)).over(own), F.lit(0.0))).select("query_id", "block", "term", "idf", "n", "need", "optional", "rest")
 
 

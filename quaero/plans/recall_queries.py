@@ -237,7 +237,7 @@ SELECT query_id, id, round(s, 4) AS similarity FROM p WHERE s >= 0.4 QUALIFY row
         recall_rows,
         sql_with(
             f""", {_RECALL}, tp AS (SELECT term, max(weight) AS top FROM ix GROUP BY 1),
-e AS (SELECT wq.query_id, df, sum(wq.idf * top) OVER (PARTITION BY wq.query_id ORDER BY df DESC, wq.term ROWS UNBOUNDED PRECEDING) < total * 0.25 * (1 - 1e-9) AS optional
+e AS (SELECT wq.query_id, df, sum(wq.idf * top) OVER (PARTITION BY wq.query_id ORDER BY df DESC, wq.term ROWS UNBOUNDED PRECEDING) < total * 0.25 * (1 - 1e-9) * 0.75 AS optional
   FROM wq JOIN df ON df.term = wq.term JOIN tp ON tp.term = wq.term JOIN tot ON tot.query_id = wq.query_id)
 SELECT query_id, sum(df)::BIGINT AS all_rows, sum(CASE WHEN optional THEN 0 ELSE df END)::BIGINT AS first_rows FROM e GROUP BY 1""",
             "qa",
