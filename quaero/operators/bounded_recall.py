@@ -1,9 +1,9 @@
 """Keyword recall that looks up frequent terms for candidates alone.
 
 A note counts if it reaches a fixed share of its question's weight, so a question's commonest terms are optional: as long as all
-that they could give a note stays well below that share, a note without any of the others is out. The others are joined with their
-postings as in search.keyword_recall; the optional ones are looked up only for the notes that these leave in reach. What a term
-can give is bounded per block of notes, by the greatest weight that it has in the block; blocks also spread frequent terms.
+that they could give a note stays well below that share, a note without any of the others is out. What a term can give is bounded per
+block of notes, by the greatest weight that it has in the block. recall_blocks does this inside tiles of notes and questions; recall_rows
+tells what it saves.
 
 Null or empty questions recall nothing; notes without terms are never found; repeated question rows count once.
 """
@@ -14,15 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import stored
-from .search import COVERAGE, covered, note_terms, question_weights, terms
+from .recall_blocks import OPTIONAL, SLACK
+from .search import COVERAGE, keyword_recall, note_terms, question_weights, terms
 
 #: Blocks that the notes are dealt into.
 BLOCKS = 16
-#: What the optional terms may give together, as a share of what a note must reach. At 1 fewest rows are joined first, but nearly every
-#: note that they find stays in reach and is looked up for all optional terms.
-OPTIONAL = 0.75
-#: Bounds give way by this share, as sums of doubles depend on their order.
-SLACK = 1e-9
 
 
 def dealt(index: DataFrame, blocks: int = BLOCKS) -> DataFrame:
@@ -58,19 +54,9 @@ def _prepared(questions: DataFrame, notes: DataFrame, index: DataFrame | None, b
     return postings, stored(bounded_terms(weighted, total, block_bounds(postings))), stored(total)
 
 
-def bounded_recall(questions: DataFrame, notes: DataFrame, index: DataFrame | None = None, blocks: int = BLOCKS) -> DataFrame:
-    """query_id, id, score, rank: the rows of search.keyword_recall."""
-    postings, each, total = _prepared(questions, notes, index, blocks)
-    needed = each.where("NOT optional").drop("n")
-    first = postings.join(needed.hint("shuffle_merge"), ["term", "block"]).groupBy("query_id", "id", "block")
-    reach = first.agg(F.sum(F.col("weight") * F.col("idf")).alias("part"), F.first("rest").alias("rest"), F.first("need").alias("need"))
-    candidates = stored(reach.where(F.col("part") + F.col("rest") >= F.col("need")).select("query_id", "id", "block", "part"))
-    optional = each.where("optional").select("query_id", "block", "term", "idf")
-    open_ = candidates.select("query_id", "id", "block").join(optional.hint("shuffle_merge"), ["query_id", "block"])
-    # Each posting of an optional term moves once, whatever the number of questions that have the term.
-    more = open_.join(postings.select("term", "id", "weight").hint("shuffle_merge"), ["term", "id"]).select("query_id", "id", (F.col("weight") * F.col("idf")).alias("part"))
-    score = candidates.select("query_id", "id", "part").unionByName(more).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-    return covered(score, total, notes)
+def bounded_recall(questions: DataFrame, notes: DataFrame, index: DataFrame | None = None, blocks: int = BLOCKS, limit: int | None = None) -> DataFrame:
+    """query_id, id, score, rank: the rows of search.keyword_recall; all notes are dealt into `blocks` blocks at least."""
+    return keyword_recall(questions, notes, index, limit, groups=blocks, share=OPTIONAL)
 
 
 def recall_rows(questions: DataFrame, notes: DataFrame, index: DataFrame | None = None, blocks: int = BLOCKS) -> DataFrame:

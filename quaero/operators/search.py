@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower
-from ..sources.store import stored
+from ..sources.store import sized, stored
 from .activity import ordinals
+from .recall_blocks import block_scores
 
 #: Fixed values of the ranking: BM25's k1 and b, the weights of title, question and body.
 K1, B, WEIGHTS = 1.2, 0.75, (("title", 3.0), ("question", 2.0), ("conclusion", 1.0))
@@ -152,20 +153,23 @@ def term_idf(index: DataFrame, notes: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.log(1 + F.col("n_all") / (F.col("df") + 1)).alias("idf"))
 
 
-def keyword_recall(questions: DataFrame, notes: DataFrame, salts: int = 8, index: DataFrame | None = None) -> DataFrame:
+def keyword_recall(questions: DataFrame, notes: DataFrame, index: DataFrame | None = None, limit: int | None = None, **how) -> DataFrame:
     """query_id, id, score, rank: notes that cover a quarter of a question's weight, best first, ties newest first.
 
-    questions: query_id, query. The index meets the question terms on the term; a term that many notes have is spread
-    over salts, as each of its rows goes to one of them and the question's row to all. index: note_terms of the notes (those of the
-    questions' terms are enough), if they are kept.
+    questions: query_id, query; a repeated row counts once. Questions and notes meet in blocks (recall_blocks), where a note's score is
+    summed up in place; rows are made of what is recalled alone. index: note_terms of the notes (those of the questions' terms are
+    enough), if they are kept. limit: only the first so many of each question. how: share and groups of recall_blocks.
     """
-    asked = stored(questions.select("query_id", F.explode(terms(F.col("query"))).alias("term")))
-    index = stored(note_terms(notes) if index is None else index)
-    weighted, total = question_weights(asked, index, notes)
-    dealt = weighted.where("df IS NOT NULL").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = index.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).join(dealt.hint("shuffle_merge"), ["term", "salt"])
-    score = met.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("idf")).alias("score"))
-    return covered(score, total, notes)
+    asked = stored(questions.select("query_id", F.explode(terms(F.col("query"))).alias("term")).distinct())
+    codes = sized(asked.select("term").distinct().withColumn("code", F.monotonically_increasing_id()))
+    coded = lambda rows, *columns: rows.join(codes, "term").select(F.col("code").alias("term"), *columns)
+    postings = stored(coded(note_terms(notes) if index is None else index, "id", "weight"))
+    weighted, total = question_weights(coded(asked, "query_id"), postings, notes)
+    notes = stored(notes.select("id", "created_s"))
+    score = block_scores(weighted.where("df IS NOT NULL"), stored(total), postings, notes, COVERAGE, limit=limit, **how)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_s"), "id")
+    ranked = score.withColumn("rank", F.row_number().over(order).cast("long")).select("query_id", "id", "score", "rank")
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def question_weights(asked: DataFrame, index: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -174,18 +178,10 @@ def question_weights(asked: DataFrame, index: DataFrame, notes: DataFrame) -> tu
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     # Terms that no note has count in the question's weight too.
     idf = F.log(1 + F.col("n_all") / (F.coalesce("df", F.lit(0)) + 1))
-    weighted = asked.join(df.hint("shuffle_merge"), "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", "df", idf.alias("idf"))
+    weighted = stored(asked.join(df.hint("shuffle_merge"), "term", "left").crossJoin(F.broadcast(n)).select("query_id", "term", "df", idf.alias("idf")))
     return weighted, weighted.groupBy("query_id").agg((F.sum("idf") * HEAD).alias("total"))
 
 
-def covered(score: DataFrame, total: DataFrame, notes: DataFrame) -> DataFrame:
-    """query_id, id, score, rank of the scores that reach their question's share, best first, ties newest first."""
-    kept = score.join(total.hint("shuffle_merge"), "query_id").where((F.col("score") > 0) & (F.col("score") >= F.col("total") * COVERAGE))
-    order = Window.partitionBy("query_id").orderBy(F.desc("rounded"), F.desc("created_s"), "id")
-    placed = kept.join(notes.select("id", "created_s"), "id").withColumn("rounded", F.round("score", 6))
-    return placed.withColumn("rank", F.row_number().over(order)).select("query_id", "id", F.col("rounded").alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
 def fused(*rankings: DataFrame) -> DataFrame:
     """query_id, id, score, rank by reciprocal rank fusion of rankings (query_id, id, rank); ties by id."""
     both = rankings[0].select("query_id", "id", "rank")

@@ -115,12 +115,12 @@ def word_pairs(spark, d):
 
 def recalled_topics(spark, d):
     notes = S.questions(spark, d)
-    return R.recalled_topics(R.keyword_recall(_asked(spark, d), notes), notes)
+    return R.recalled_topics(R.keyword_recall(_asked(spark, d), notes, limit=R.CANDIDATES), notes)
 
 
 def recalled_notes(spark, d):
     notes = S.questions(spark, d)
-    return R.recalled_notes(R.keyword_recall(_asked(spark, d), notes), notes)
+    return R.recalled_notes(R.keyword_recall(_asked(spark, d), notes, limit=R.CANDIDATES), notes)
 
 
 def rank_fusion(spark, d):

@@ -69,7 +69,7 @@ def tagged_search(spark, d):
 def recall_results(spark, d):
     """The topics of each recall, and the tags in use beside them."""
     q = S.tagged_questions(spark, d)
-    found = W.recall_result(R.keyword_recall(recall_queries._asked(spark, d), q), q, W.topic_labels(q, "created_s"))
+    found = W.recall_result(R.keyword_recall(recall_queries._asked(spark, d), q, limit=R.CANDIDATES), q, W.topic_labels(q, "created_s"))
     topics = found.select(F.lit("topic").alias("part"), "query_id", "rank", F.md5("label").alias("name"), "ask_count", "semantic")
     tags = W.tag_usage(q).select(F.lit("tag").alias("part"), F.lit(-1).cast("long").alias("query_id"), F.lit(0).cast("long").alias("rank"), F.md5("tag").alias("name"), F.col("n_notes").alias("ask_count"), F.lit(False).alias("semantic"))
     return topics.unionByName(tags)
