@@ -1,12 +1,12 @@
 """A search index kept up to date: segments of changed notes with tombstones, merged by size.
 
-An update writes one segment: the changed notes, their trigrams and terms, and a tombstone for each deleted one. Only
+An update writes one segment: the changed notes, their trigrams, words and terms, and a tombstone for each deleted one. Only
 they are read and indexed. A note counts in the latest segment that has it; what older segments hold of it is dead. Segments of
 one level are merged into one of the next when FAN of them stand together, and dead postings go then, so there are about
-FAN * log(updates) segments. Postings lie in folders by bucket of their gram or term, and a search reads the buckets that its
-own grams or terms fall into.
+FAN * log(updates) segments. Postings lie in folders by bucket of their gram, word or term. A recall reads the buckets that its
+own terms fall into, a search by substrings the words of all buckets, as any of them may hold a piece.
 
-Layout under the folder: notes/seg=, grams/seg=/bucket=, terms/seg=/bucket=, and state/v=, a list of the segments in order of age.
+Layout under the folder: notes/seg=, grams/seg=/bucket=, terms/seg=/bucket=, words/seg=/bucket=, and state/v=, a list of the segments in order of age.
 A state is written last, so an update that is broken off leaves the index as it was; one that is replayed (same or an
 earlier number) changes nothing. One writer at a time.
 """
@@ -23,7 +23,8 @@ from . import search
 
 FAN, BUCKETS = 4, 32
 _STATE = "place int, seg string, level int, ids long, number long"
-_POSTINGS = {"grams": "gram", "terms": "term"}
+_POSTINGS = {"grams": "gram", "terms": "term", "words": "word"}
+_MADE = {"grams": search.trigram_index, "terms": search.note_terms, "words": search.note_words}
 
 
 class KeptIndex:
@@ -60,16 +61,14 @@ class KeptIndex:
 
     # Writing
 
-    def _write(self, notes: DataFrame, level: int, number: int, grams: DataFrame | None = None, terms: DataFrame | None = None) -> dict:
+    def _write(self, notes: DataFrame, level: int, number: int, postings: dict[str, DataFrame] | None = None) -> dict:
         """A segment of these notes (with deleted); their postings are made of them if not given."""
         seg = uuid.uuid4().hex
         notes.write.parquet(f"{self.folder}/notes/seg={seg}")
         notes = self.spark.read.parquet(f"{self.folder}/notes/seg={seg}")
         alive = notes.where("NOT deleted")
         for kind, key in _POSTINGS.items():
-            rows = {"grams": grams, "terms": terms}[kind]
-            if rows is None:
-                rows = search.trigram_index(alive) if kind == "grams" else search.note_terms(alive)
+            rows = postings[kind] if postings else _MADE[kind](alive)
             dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
             dealt.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.folder}/{kind}/seg={seg}")
         return {"seg": seg, "level": level, "ids": notes.count(), "number": number}
@@ -102,7 +101,7 @@ class KeptIndex:
         notes = self._alive_rows(some)
         if start == 0:
             notes = notes.where("NOT deleted")
-        one = self._write(notes.drop("seg"), some[0]["level"] + 1, some[-1]["number"], *(self._postings(kind, some).drop("seg") for kind in _POSTINGS))
+        one = self._write(notes.drop("seg"), some[0]["level"] + 1, some[-1]["number"], {kind: self._postings(kind, some).drop("seg") for kind in _POSTINGS})
         self._keep([*segments[:start], one, *segments[stop:]])
 
     # Reading
@@ -151,12 +150,15 @@ class KeptIndex:
         """term, id, weight likewise."""
         return self._postings("terms", self.segments(), keys).select("id", "term", "weight")
 
+    def words(self) -> DataFrame:
+        """word, id likewise, of all buckets: any word may hold a piece."""
+        return self._postings("words", self.segments()).select("word", "id")
+
     # Searching
 
     def bm25_search(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """As search.bm25_search over the notes as they are now."""
-        asked = stored(search.query_grams(queries))
-        return search.bm25_ranking(queries, stored(self.notes()), self.grams(asked)).where(F.col("rank") <= limit)
+        return search.bm25_ranking(queries, stored(self.notes()), self.words()).where(F.col("rank") <= limit)
 
     def keyword_recall(self, questions: DataFrame) -> DataFrame:
         """As search.keyword_recall over the notes as they are now."""

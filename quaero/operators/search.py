@@ -20,6 +20,8 @@ COVERAGE, HEAD = 0.25, 2.0
 FUSION, CANDIDATES, TOPICS = 60, 30, 5
 #: Queries up to this number are broadcast to the notes; a larger table is dealt in blocks of it.
 QUERY_BLOCK = 10_000
+#: Characters of a piece by which it meets words, and the windows that longer words are cut into.
+KEY, WINDOW = 32, 1024
 
 CJK = r"\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff"
 
@@ -79,27 +81,76 @@ def _parts(queries: DataFrame) -> DataFrame:
     return q.select("query_id", F.transform(F.filter("pieces", lambda p: F.length(p) >= 3), F.lower).alias("long"), F.filter("pieces", lambda p: F.length(p) < 3).alias("short"))
 
 
-def substring_matches(queries: DataFrame, notes: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """query_id, n_long and the note of each match: every piece of three characters or more is in title, question or body,
-    and every shorter one in title or body with ASCII case folding. An empty query matches all.
+def note_words(notes: DataFrame) -> DataFrame:
+    """word, id: the distinct words between blanks, of three characters or more and in lower case, of each note's title, question and body."""
+    words = F.array_distinct(F.concat(*(F.split(f, r"\s+") for f in _fields())))
+    return notes.select("id", F.explode(F.filter(words, lambda w: F.length(w) >= 3)).alias("word")).select("word", "id")
 
-    hits: piece_hits of the queries' pieces, if at hand. Queries without a longer piece have no trigram; up to QUERY_BLOCK
-    of them are broadcast to the notes, and more are dealt by their hash into blocks of about that size.
+
+def _holders(pieces_: DataFrame, words: DataFrame) -> DataFrame:
+    """piece, word, n: the words (word, id) that hold each piece (in lower case, without blanks), and the notes that have the word.
+
+    A piece has no blank, so a note holds it if one of its words does. Each distinct word gives its substrings of up to KEY
+    characters, in windows, and these meet the pieces' first KEY characters.
+    """
+    asked = sized(pieces_.select("piece").distinct().withColumn("key", F.substring("piece", 1, KEY)))
+    known = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    windows = known.select("word", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word"), F.lit(WINDOW)), lambda i: F.substring(F.col("word"), i, F.lit(WINDOW + KEY - 1)))).alias("w")).where(F.length("w") >= 3)
+    lengths = F.sequence(F.lit(3), F.least(F.lit(KEY), F.length("w")))
+    runs = F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring(F.col("w"), i, n)))
+    met = windows.select("word", "n", F.explode(F.array_distinct(F.flatten(runs))).alias("key")).join(asked, "key").where(F.contains("word", "piece"))
+    # Neighbouring windows share characters, so only longer words can meet a piece twice.
+    longer = F.length("word") > WINDOW
+    return met.where(~longer).select("piece", "word", "n").unionByName(met.where(longer).select("piece", "word", "n").distinct())
+
+
+def _rarest(each: DataFrame, held: DataFrame) -> DataFrame:
+    """query_id, piece: the piece of each query that the fewest notes can hold, by the sum over its words; none if a piece is in no word."""
+    most = held.groupBy("piece").agg(F.sum("n").alias("n"))
+    least = each.join(most.hint("shuffle_merge"), "piece", "left").groupBy("query_id").agg(F.min(F.struct("n", "piece")).alias("g"), F.bool_and(F.col("n").isNotNull()).alias("all"))
+    return least.where("all").select("query_id", "g.piece")
+
+
+def _matches(queries: DataFrame, notes: DataFrame, words: DataFrame, held: DataFrame) -> DataFrame:
+    """substring_matches with the pieces (long) and the fields in lower case (field_0 to field_2).
+
+    The notes that hold a query's rarest piece are looked through for all of its pieces.
     """
     q = _parts(queries)
     plain = [ascii_lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "conclusion")]
-    short = F.forall("short", lambda p: plain[0].contains(ascii_lower(p)) | plain[1].contains(ascii_lower(p)))
-    asked = q.where(F.size("long") > 0).withColumn("long", F.array_distinct("long"))
-    each = asked.select("query_id", "short", F.size("long").alias("n_long"), F.explode("long").alias("piece"))
-    hits = piece_hits(each, notes) if hits is None else hits
-    found = each.join(hits.select("piece", "id").hint("shuffle_merge"), "piece").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"), F.first("n_long").alias("n_long"), F.first("short").alias("short"))
-    met = notes.join(found.where("n = n_long").drop("n").hint("shuffle_merge"), "id").where(short).drop("short")
-    bare = q.where(F.size("long") == 0).select("query_id", F.lit(0).alias("n_long"), "short")
+    texts = notes.select("*", *(f.alias(f"field_{k}") for k, f in enumerate(_fields())), *(f.alias(f"plain_{k}") for k, f in enumerate(plain)))
+    short = F.forall("short", lambda p: F.contains("plain_0", ascii_lower(p)) | F.contains("plain_1", ascii_lower(p)))
+    long = F.forall("long", lambda p: F.contains("field_0", p) | F.contains("field_1", p) | F.contains("field_2", p))
+    asked = q.where(F.size("long") > 0).withColumn("n_long", F.size(F.array_distinct("long")))
+    each = asked.select("query_id", F.explode(F.array_distinct("long")).alias("piece"))
+    rarest = stored(_rarest(each, held))
+    of_words = held.join(rarest.select("piece").distinct().hint("shuffle_merge"), "piece").select("piece", "word")
+    near = stored(words.join(of_words.hint("shuffle_merge"), "word").select("piece", "id").distinct())
+    looked = near.join(rarest.hint("shuffle_merge"), "piece").select("query_id", "id").join(asked.hint("shuffle_merge"), "query_id")
+    met = texts.join(looked.hint("shuffle_merge"), "id").where(long & short).drop("short")
+    bare = q.where(F.size("long") == 0).withColumn("n_long", F.lit(0))
     n_blocks = -(-bare.count() // QUERY_BLOCK)
     block = F.pmod(F.xxhash64("query_id", "short"), F.lit(n_blocks))
     for k in range(n_blocks):
-        met = met.unionByName(notes.join(F.broadcast(bare.where(block == k)), short).drop("short"))
-    return met
+        met = met.unionByName(texts.join(F.broadcast(bare.where(block == k)), short).drop("short"))
+    return met.drop("plain_0", "plain_1")
+
+
+def _asked_pieces(queries: DataFrame) -> DataFrame:
+    """query_id, piece: the pieces of three characters or more, repeated ones too."""
+    return _parts(queries).select("query_id", F.explode("long").alias("piece"))
+
+
+def substring_matches(queries: DataFrame, notes: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """query_id, n_long and the note of each match: every piece of three characters or more is in title, question or body,
+    and every shorter one in title or body with ASCII case folding. An empty query matches all.
+
+    words: note_words of the notes, if they are kept. Queries without a longer piece go to all notes; up to QUERY_BLOCK
+    of them are broadcast to the notes, and more are dealt by their hash into blocks of about that size.
+    """
+    words = stored(note_words(notes) if words is None else words)
+    held = stored(_holders(_asked_pieces(queries), words))
+    return _matches(queries, notes, words, held).drop("long", "field_0", "field_1", "field_2")
 
 
 def bm25_search(queries: DataFrame, notes: DataFrame, limit: int = 20) -> DataFrame:
@@ -107,29 +158,41 @@ def bm25_search(queries: DataFrame, notes: DataFrame, limit: int = 20) -> DataFr
     return bm25_ranking(queries, notes).where(F.col("rank") <= limit)
 
 
-def bm25_ranking(queries: DataFrame, notes: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def bm25_ranking(queries: DataFrame, notes: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """query_id, rank, id, score: substring matches by BM25 of the weighted hits, without long piece newest first.
 
     A note's length is its number of trigrams over the three columns; a piece's frequency n is the notes that hold it.
-    Statistics cover all notes. index: as in piece_hits.
+    Statistics cover all notes. words: as in substring_matches.
     """
     grams = sum((F.greatest(F.lit(0), F.length(F.coalesce(F.col(c), F.lit(""))) - 2) for c, _ in WEIGHTS), F.lit(0))
-    sized = notes.withColumn("n_grams", grams)
-    totals = sized.agg(F.count(F.lit(1)).alias("n_all"), F.avg("n_grams").alias("avg_grams"))
-    parts = _parts(queries).select("query_id", F.explode("long").alias("piece"))
-    hits = stored(piece_hits(parts, notes, index))
-    met = stored(substring_matches(queries, sized, hits).select("query_id", "id", "created_s", "n_grams", "n_long"))
-    frequency = hits.groupBy("piece").agg(F.count(F.lit(1)).alias("n_with"))
-    weighed = hits.join(stored(frequency).hint("shuffle_merge"), "piece")
-    scored = met.where("n_long > 0").join(parts.hint("shuffle_merge"), "query_id").join(weighed.hint("shuffle_merge"), ["piece", "id"]).crossJoin(F.broadcast(totals))
+    measured = notes.withColumn("n_grams", grams)
+    totals = measured.agg(F.count(F.lit(1)).alias("n_all"), F.avg("n_grams").alias("avg_grams"))
+    words = stored(note_words(notes) if words is None else words)
+    held = stored(_holders(_asked_pieces(queries), words))
+    tf = lambda p: sum((F.lit(w) * _hits(F.col(f"field_{k}"), p) for k, (_, w) in enumerate(WEIGHTS)), F.lit(0.0))
+    hits = F.transform("long", lambda p: F.struct(p.alias("piece"), tf(p).alias("tf")))
+    met = stored(_matches(queries, measured, words, held).select("query_id", "id", "created_s", "n_grams", "n_long", hits.alias("hits")))
+    each = met.where("n_long > 0").select("query_id", "id", "created_s", "n_grams", F.explode("hits").alias("h")).select("*", "h.piece", "h.tf").drop("h")
+    weighed = each.join(stored(_frequency(each.select("piece").distinct(), words, held)).hint("shuffle_merge"), "piece").crossJoin(F.broadcast(totals))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_all") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_grams") / F.col("avg_grams")))
-    by_score = scored.groupBy("query_id", "id", "created_s").agg(F.round(F.sum(part), 6).alias("score"))
+    by_score = weighed.groupBy("query_id", "id", "created_s").agg(F.round(F.sum(part), 6).alias("score"))
     rest = met.where("n_long = 0").select("query_id", "id", "created_s", F.lit(0.0).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.when(F.col("score") == 0, F.col("created_s"))), "id")
     return by_score.unionByName(rest).withColumn("rank", F.row_number().over(order)).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
+def _frequency(pieces_: DataFrame, words: DataFrame, held: DataFrame) -> DataFrame:
+    """piece, n_with: the notes that hold each of these pieces."""
+    wanted = held.join(pieces_.hint("shuffle_merge"), "piece")
+    told = stored(wanted.withColumn("n_words", F.count(F.lit(1)).over(Window.partitionBy("piece"))))
+    one = told.where("n_words = 1").select("piece", F.col("n").alias("n_with"))
+    codes = stored(told.where("n_words > 1").select("piece").distinct().withColumn("code", F.monotonically_increasing_id()))
+    several = told.where("n_words > 1").select("piece", "word").join(codes.hint("shuffle_merge"), "piece").select("code", "word")
+    notes = words.join(several.hint("shuffle_merge"), "word").select("code", "id").distinct().groupBy("code").agg(F.count(F.lit(1)).alias("n_with"))
+    return one.unionByName(codes.join(notes.hint("shuffle_merge"), "code").select("piece", "n_with"))
+
+
 def terms(text: Column) -> Column:
     """Distinct lower-case words of two characters or more (letters, digits, + and #), and CJK pairs (a lone one as itself)."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(rf"[\p{{L}}\p{{N}}+#&&[^{CJK}]]+"), F.lit(0)), lambda w: F.length(w) >= 2)
