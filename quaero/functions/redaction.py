@@ -48,8 +48,13 @@ def random_redacted(text: Column) -> Column:
     return F.when(F.size(found) == 0, text).otherwise(joined)
 
 
+def _once(text: Column, then) -> Column:
+    """then(text) for a function that uses text several times: bound as a lambda's variable, it is worked out once a row."""
+    return F.get(F.transform(F.array(text), then), F.lit(0))
+
+
 def redacted(text: Column) -> Column:
-    return random_redacted(rules_applied(text))
+    return _once(rules_applied(text), random_redacted)
 
 
 def redacted_list(items: Column) -> Column:
@@ -57,7 +62,7 @@ def redacted_list(items: Column) -> Column:
 
 
 def findings(text: Column) -> Column:
-    """Number of markers of each kind in a redacted text, as an array of (kind, n) with n > 0."""
+    """Number of markers of each kind in a redacted text, as an array of (kind, n) with n > 0. The text is worked out once."""
     kinds = [k for k, _, _ in RULES] + ["high-entropy"]
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_count(text, F.lit(rf"\[REDACTED:{k}\]")).alias("n")) for k in kinds])
-    return F.filter(each, lambda x: x["n"] > 0)
+    each = lambda t: F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_count(t, F.lit(rf"\[REDACTED:{k}\]")).alias("n")) for k in kinds])
+    return F.filter(_once(text, each), lambda x: x["n"] > 0)

@@ -88,3 +88,11 @@ def test_recall_rewording_and_filler(spark):
     a = spark.createDataFrame([(1, "A", 1), (1, "B", 2)], "query_id long, id string, rank long")
     b = spark.createDataFrame([(1, "C", 1), (1, "B", 2)], "query_id long, id string, rank long")
     assert [r.id for r in sorted(R.fused(a, b).collect(), key=lambda r: r.rank)] == ["B", "A", "C"]
+
+
+def test_redaction_is_worked_out_once_a_row(spark):
+    text = spark.createDataFrame([("token = abcdefgh12 and sk-" + "a" * 24,), (None,), ("",)], "text string")
+    found = text.select(redaction.findings(redaction.redacted(F.col("text"))).alias("f"))
+    assert [[tuple(x) for x in r.f or []] for r in found.collect()] == [[("api-key", 1), ("secret", 1)], [], []]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("REDACTED:github-token],") == 1
