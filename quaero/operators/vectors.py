@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..sources.store import sized, stored
 
 #: Rows of a block on either side of a block product.
 BLOCK = 2048
+#: Queries of a tile, pairs that are worked out at once, and the queries and rows of the groups that meet in a task.
+TILE, CHUNK, QUERIES, ROWS = 1024, 65_536, 32_768, 16_384
 RECALL_FLOOR, DUPLICATE_FLOOR, NEIGHBOURS, CANDIDATES = 0.40, 0.65, 5, 30
 BATCH = 32
 
@@ -140,18 +143,78 @@ def k_best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 
 
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The embeddings as rows of unit length."""
+    flat = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+    return flat / np.maximum(np.linalg.norm(flat, axis=1, keepdims=True), 1e-12)
+
+
+def _kept_best(found: tuple, k: int) -> tuple:
+    """The k best of each query of (query, id, similarity), ties by id."""
+    q, ids, same = found
+    order = np.lexsort((ids, -same, q))
+    q, ids, same = q[order], ids[order], same[order]
+    best = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[best], ids[best], same[best]
+
+
+def best_of_groups(k: int, floor: float, skip_self: bool):
+    """A function of two groups of rows: each query's k best rows at or above the floor, found tile by tile.
+
+    A product in single precision, with the greatest error it can have, tells which pairs of a tile can be at the floor and among
+    the k best so far; those alone are worked out in double precision and rounded to six places.
+    """
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows and rows.num_rows:
+            query_ids, ids = asked.column("query_id").to_numpy(), rows.column("id").to_numpy()
+            a, b = _matrix(asked), _matrix(rows)
+            a32, b32 = a.astype(np.float32), b.astype(np.float32)
+            slack = np.float32(1e-5 + 2.4e-7 * a.shape[1])
+            for x in range(0, len(a), TILE):
+                found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                least = np.full(len(a32[x : x + TILE]), max(floor, -1.5), np.float32)
+                for y in range(0, len(b), BLOCK):
+                    rough = a32[x : x + TILE] @ b32[y : y + BLOCK].T
+                    if skip_self:
+                        rough[query_ids[x : x + TILE, None] == ids[None, y : y + BLOCK]] = -4.0
+                    near = rough >= (least - slack)[:, None]
+                    if rough.shape[1] > k and np.count_nonzero(near) > 4 * k * len(least):
+                        kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+                        near &= rough >= (kth - 2 * slack)[:, None]
+                    q, n = np.nonzero(near)
+                    same = np.concatenate([np.einsum("ij,ij->i", a[x + q[i : i + CHUNK]], b[y + n[i : i + CHUNK]]) for i in range(0, len(q), CHUNK)] or [np.zeros(0)])
+                    same = np.round(same, 6)
+                    keep = same >= max(floor, -1.5)
+                    found = _kept_best(tuple(np.concatenate(c) for c in zip(found, (q[keep], ids[y + n[keep]], same[keep]))), k)
+                    full = np.bincount(found[0], minlength=len(least)) == k
+                    if full.any():
+                        last = np.searchsorted(found[0], np.flatnonzero(full), side="right") - 1
+                        least[full] = np.maximum(least[full], found[2][last].astype(np.float32))
+                out.append((query_ids[x + found[0]], found[1], found[2]))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "id", "similarity"), columns)))
+
+    return run
+
+
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int, floor: float = -1.0, skip_self: bool = False) -> DataFrame:
     """query_id, rank, id, similarity: the k most similar vectors of each query at or above a floor, exactly.
 
-    Both sides are cut into blocks and each two blocks meet in one group, where a matrix product leaves each query its k
-    best of the block; the blocks' best meet by query. No pair list is made, and memory is a block's.
+    Both sides are dealt into groups and each two groups meet in one task, where products of tiles leave each query its k best of
+    the group; the groups' best meet by query. No pair list is made, and memory is a group's and a tile's. Groups are
+    large, as each row is sent once to every group of the other side.
     """
-    n_q, n_v = max(1, -(-queries.count() // BLOCK)), max(1, -(-vectors.count() // BLOCK))
-    unit = lambda c: F.col(c).cast("array<double>")
-    q = queries.select(F.col("query_id").cast("long").alias("query_id"), unit("embedding").alias("embedding"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("vb"))
-    v = vectors.select(F.col("id").cast("long").alias("id"), unit("embedding").alias("embedding"), F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    n_q, n_v = max(2, -(-queries.count() // QUERIES)), max(8, -(-vectors.count() // ROWS))
+
+    def dealt(rows: DataFrame, key: str, own: str, size: int, other: str, others: int) -> DataFrame:
+        each = rows.select(F.col(key).cast("long").alias(key), "embedding")
+        each = each.withColumn(own, F.pmod(F.xxhash64(key), F.lit(size)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        return each.repartition(2 * n_q * n_v, "qb", "vb")
 
-    local = q.groupBy("vb", "qb").cogroup(v.groupBy("vb", "qb")).applyInPandas(best_of_blocks(k, floor, skip_self), BEST)
+    q, v = dealt(queries, "query_id", "qb", n_q, "vb", n_v), dealt(vectors, "id", "vb", n_v, "qb", n_q)
+    local = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(best_of_groups(k, floor, skip_self), BEST)
     return k_best(local, k)
 
 

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaero.operators import recall_blocks, search
+from quaero.operators import recall_blocks, search, vectors
 
 from .test_bounded import notes_of, rows
 
@@ -38,3 +39,26 @@ def test_postings_never_meet_questions_as_rows(spark):
     notes = spark.createDataFrame([(i, f"the note{i}", "", "", 0, i) for i in range(50)], "id long, title string, question string, conclusion string, topic_id long, created_s long")
     plan = search.keyword_recall(notes.select(F.col("id").alias("query_id"), F.col("title").alias("query")), notes)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "salt" not in plan
+
+
+@pytest.mark.parametrize(("k", "floor"), [(3, -1.0), (5, 0.4), (400, -1.0)])
+def test_neighbours_by_tiles_equal_one_product(spark, monkeypatch, k, floor):
+    for name, size in {"TILE": 8, "BLOCK": 32, "CHUNK": 50, "QUERIES": 30, "ROWS": 90}.items():
+        monkeypatch.setattr(vectors, name, size)
+    rng = np.random.default_rng(3)
+    m = rng.integers(-2, 3, (300, 4)).astype(np.float32)  # many equal directions, and zero vectors
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>")
+    unit = m / np.maximum(np.linalg.norm(m.astype(float), axis=1, keepdims=True), 1e-12)
+    for skip in (False, True):
+        want = []
+        for q in range(0, 300, 5):
+            same = np.round(unit @ unit[q], 6)
+            order = [i for i in np.lexsort((np.arange(300), -same)) if same[i] >= floor and not (skip and i == q)][:k]
+            want += [(q, r + 1, int(i)) for r, i in enumerate(order)]
+        found = vectors.neighbours(table.where("id % 5 = 0").withColumnRenamed("id", "query_id"), table, k, floor, skip)
+        assert sorted((r.query_id, r.rank, r.id) for r in found.collect()) == sorted(want)
+
+
+def test_groups_of_neighbours_are_large(spark):
+    """Rows are sent to every group of the other side, so their number must be small beside the rows."""
+    assert vectors.QUERIES >= 16 * vectors.BLOCK and vectors.ROWS >= 8 * vectors.BLOCK
