@@ -209,7 +209,7 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int, floor: float = -1
     n_q, n_v = max(2, -(-queries.count() // QUERIES)), max(8, -(-vectors.count() // ROWS))
 
     def dealt(rows: DataFrame, key: str, own: str, size: int, other: str, others: int) -> DataFrame:
-        each = rows.select(F.col(key).cast("long").alias(key), "embedding")
+        each = rows.select(F.col(key).cast("long").alias(key), F.col("embedding").alias("embedding"))
         each = each.withColumn(own, F.pmod(F.xxhash64(key), F.lit(size)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
         return each.repartition(2 * n_q * n_v, "qb", "vb")
 
