@@ -5,13 +5,15 @@ Each takes a table of requests and gives accepted rows and rejected ones with a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.redaction import redacted, redacted_list
 from ..functions.tags import near_pairs, normalized
 from ..functions.text import is_uuid
-from ..sources.store import sized, stored
+from ..sources.store import BROADCAST_ROWS, sized, stored
 from .activity import ordinals
 from .forest import merged_in_turn
 from .resolve import resolved
@@ -85,6 +87,8 @@ def tag_policy(requests: DataFrame, known: DataFrame, aliases: DataFrame) -> Dat
     normalising and alias; a new tag near a known one needs confirm_new, and one that is known is reused; 1 to 5 in all. Each
     request is judged by the tags known before the batch; tag_policy_in_order lets those of the requests before it count.
     """
+    requests = stored(requests.select("request_id", "tags", "new_tags", "confirm_new"))
+    known = stored(known.select("tag").distinct())
     each = stored(_tag_rows(requests, known, aliases))
     near = _near(each, known).where("is_known").groupBy("tag").agg(F.array_sort(F.collect_set("other")).alias("near"))
     each = each.join(near.hint("shuffle_merge"), "tag", "left")
@@ -96,32 +100,45 @@ def _created_in_order(each: DataFrame, near: DataFrame) -> DataFrame:
 
     each: the rows, of requests that nothing else refuses, of tags not known before. near: tag, other, is_known. Whether a request
     is accepted may hang on earlier ones: on a tag that one of them makes, or on a near-duplicate that none of them may make. In
-    each round a tag is made no earlier than by its first open request and no later than by its first accepted one; requests
-    for which these bounds decide are closed. The first open request always is, and those that share no tags or
-    near tags with an earlier open one all are, so the rounds are as many as the longest such dependency is long.
+    each round a tag is made no later than by its first accepted request, and no earlier than by its first open one that may
+    still be the first to make it. One that names the tag as known too may not, nor one without confirm_new beside a
+    near-duplicate made before it: these are accepted only if the tag is there. Requests for which these bounds decide are closed. The first open request always is, and those
+    that share no tags or near tags with an earlier open one that may make them all are, so the rounds are as many as the longest such
+    dependency is long; however often a tag is refused, that is one round.
     """
-    open_ = stored(each.select("request_id", "tag", "is_new", "confirm_new"))
     pairs = stored(near.where("NOT is_known").select("tag", "other"))
     beside_known = near.where("is_known").select("tag", F.lit(True).alias("beside_known")).distinct()
-    open_ = stored(open_.join(beside_known.hint("shuffle_merge"), "tag", "left").withColumn("beside_known", F.coalesce("beside_known", F.lit(False))))
-    made = stored(open_.where("false").select("tag", F.col("request_id").alias("created_by")))
-    while True:
-        soonest = open_.where("is_new").groupBy("tag").agg(F.min("request_id").alias("soonest"))
-        bounds = stored(soonest.join(made.hint("shuffle_merge"), "tag", "full_outer").select("tag", F.least("soonest", "created_by").alias("low"), F.col("created_by").alias("high")))
-        beside = pairs.join(bounds.withColumnRenamed("tag", "other").hint("shuffle_merge"), "other").groupBy("tag").agg(F.min("low").alias("near_low"), F.min("high").alias("near_high"))
-        met = open_.join(sized(bounds.join(beside.hint("shuffle_merge"), "tag", "left")), "tag", "left")
-        yes = lambda c: F.coalesce(c, F.lit(False))
-        known, unknown = yes(F.col("high") < F.col("request_id")), F.col("low").isNull() | (F.col("low") >= F.col("request_id"))
-        near_known = F.col("beside_known") | yes(F.col("near_high") < F.col("request_id"))
-        alone = ~F.col("beside_known") & (F.col("near_low").isNull() | (F.col("near_low") >= F.col("request_id")))
-        fine = F.when(F.col("is_new"), F.col("confirm_new") | known | alone).otherwise(known)
-        bad = F.when(F.col("is_new"), ~F.col("confirm_new") & unknown & near_known).otherwise(unknown)
-        judged = stored(met.select("request_id", fine.alias("fine"), bad.alias("bad")).groupBy("request_id").agg(F.bool_and("fine").alias("fine"), F.bool_or("bad").alias("bad")).where("fine OR bad"))
-        accepted = open_.where("is_new").join(judged.where("fine AND NOT bad").select("request_id").hint("shuffle_merge"), "request_id", "left_semi")
-        made = stored(made.unionByName(accepted.select("tag", F.col("request_id").alias("created_by"))).groupBy("tag").agg(F.min("created_by").alias("created_by")))
-        open_ = stored(open_.join(judged.select("request_id").hint("shuffle_merge"), "request_id", "left_anti"))
-        if open_.isEmpty():
-            return made
+    named_known = F.bool_or(~F.col("is_new")).over(Window.partitionBy("request_id", "tag"))
+    open_ = each.select("request_id", "tag", "is_new", "confirm_new", named_known.alias("named_known")).join(beside_known.hint("shuffle_merge"), "tag", "left").withColumn("beside_known", F.coalesce("beside_known", F.lit(False)))
+    # high: the first accepted request yet that makes the tag; near_high: that makes one of its near-duplicates.
+    no_request = F.lit(None).cast(each.schema["request_id"].dataType)
+    open_ = stored(open_.withColumns({"high": no_request, "near_high": no_request}))
+    made = [open_.where("false").select("tag", F.col("request_id").alias("created_by"))]
+    turn, yes = F.col("request_id"), lambda c: F.coalesce(c, F.lit(False))
+    near_known = F.col("beside_known") | yes(F.col("near_high") < turn)
+    may_make = F.col("is_new") & ~F.col("named_known") & (F.col("confirm_new") | ~near_known) & ~yes(F.col("high") < turn)
+    known, unknown = yes(F.col("high") < turn), yes(F.least("high", "soonest") >= turn) | F.coalesce("high", "soonest").isNull()
+    alone = ~F.col("beside_known") & (yes(F.least("near_high", "near_soonest") >= turn) | F.coalesce("near_high", "near_soonest").isNull())
+    fine = F.when(F.col("is_new"), F.col("confirm_new") | known | alone).otherwise(known)
+    bad = F.when(F.col("is_new"), ~F.col("confirm_new") & unknown & near_known).otherwise(unknown)
+    own = Window.partitionBy("request_id")
+    left = paired_for = open_.count()
+    while left:
+        if left * 4 < paired_for:
+            pairs, paired_for = stored(pairs.join(open_.where("is_new").select("tag").distinct().hint("shuffle_merge"), "tag", "left_semi")), left
+        # No table of tags made from the open rows has more rows than these.
+        joined = F.broadcast if left <= BROADCAST_ROWS else lambda df: df.hint("shuffle_merge")
+        soonest = stored(open_.where(may_make).groupBy("tag").agg(F.min("request_id").alias("soonest")))
+        beside = pairs.join(joined(soonest.withColumnRenamed("tag", "other")), "other").groupBy("tag").agg(F.min("soonest").alias("near_soonest"))
+        met = open_.join(joined(soonest), "tag", "left").join(beside.hint("shuffle_merge"), "tag", "left")
+        judged = stored(met.select(*open_.columns, fine.alias("fine"), bad.alias("bad")).withColumns({"fine": F.bool_and("fine").over(own), "bad": F.bool_or("bad").over(own)}))
+        new = stored(judged.where("fine AND is_new").groupBy("tag").agg(F.min("request_id").alias("created_by")))
+        made.append(new)
+        beside = pairs.join(joined(new.withColumnRenamed("tag", "other")), "other").groupBy("tag").agg(F.min("created_by").alias("near_created"))
+        later = judged.where("NOT fine AND NOT bad").join(joined(new), "tag", "left").join(beside.hint("shuffle_merge"), "tag", "left")
+        open_ = stored(later.withColumns({"high": F.least("high", "created_by"), "near_high": F.least("near_high", "near_created")}).select(*open_.columns))
+        left = open_.count()
+    return reduce(DataFrame.unionByName, made).groupBy("tag").agg(F.min("created_by").alias("created_by"))
 
 
 def tag_policy_in_order(requests: DataFrame, known: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -130,6 +147,8 @@ def tag_policy_in_order(requests: DataFrame, known: DataFrame, aliases: DataFram
 
     requests also have fine (boolean). request_id must be distinct.
     """
+    requests = stored(requests.select("request_id", "tags", "new_tags", "confirm_new", "fine"))
+    known = stored(known.select("tag").distinct())
     each = stored(_tag_rows(requests, known, aliases))
     near = stored(_near(each, known))
     counted = _by_request(requests, each.withColumns({"bad": F.when(F.col("tag").isNull(), F.lit("empty")), "near": F.lit(None).cast("array<string>")}))

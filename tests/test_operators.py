@@ -129,6 +129,34 @@ def test_tags_of_a_batch_count_in_order(spark):
         assert sum(w[1] is None for w in want.values()) > 10 and any(w[2] for w in want.values())
 
 
+def test_a_tag_often_refused_takes_few_rounds(spark, monkeypatch):
+    known = spark.createDataFrame([("python",)], "tag string")
+    aliases = spark.createDataFrame([], "start string, resolved string")
+    rows = [(k, [], ["pythons"], False, True) for k in range(25)]  # near a known tag
+    rows += [(100 + k, ["golang"], ["golang"], True, True) for k in range(25)]  # named as known before it is made
+    rows += [(200, [], ["docker"], False, True)] + [(201 + k, [], ["dockers"], False, True) for k in range(25)]  # near a new tag
+    rows += [(300, [], ["golang"], False, True), (301, [], ["pythons"], True, True), (302, ["golang"], ["pythons"], False, True)]
+    written = []
+    stored = edits.stored
+    monkeypatch.setattr(edits, "stored", lambda df: written.append(1) or stored(df))
+    df = spark.createDataFrame(rows, "request_id long, tags array<string>, new_tags array<string>, confirm_new boolean, fine boolean")
+    got = {r.request_id: (r.tags, r.tag_reason, r.near) for r in edits.tag_policy_in_order(df, known, aliases).collect()}
+    assert got == tags_in_turn(rows, ["python"])
+    assert len(written) < 40
+
+
+def test_few_tags_meet_that_are_not_near(spark):
+    import random
+
+    from quaero.functions import tags as tagfn
+
+    rnd = random.Random(3)
+    syllables = ["th", "er", "an", "in", "ti", "en", "ed", "qu", "le", "ou", "tion", "ing"]
+    df = spark.createDataFrame([(w,) for w in {"".join(rnd.choices(syllables, k=rnd.choice([3, 4, 5]))) for _ in range(1500)} if len(w) < 15], "tag string")
+    met, near = tagfn.meeting(df).distinct().count(), tagfn.near_pairs(df).count() / 2
+    assert near <= met < 5 * near
+
+
 def test_near_pairs_equal_all_pairs(spark):
     import random
 
