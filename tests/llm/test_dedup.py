@@ -126,6 +126,20 @@ def test_repeats_equal_brute_force(spark, gathered):
         assert got[i] == expected[i], (i, texts[i] and texts[i][:60])
 
 
+def test_planted_passages_go_from_400_bytes_on(spark):
+    """Passages of over 50 words in several documents: n_removed and the text tell what went, n_bytes is the input's size."""
+    rnd = random.Random(12)
+    long, short = words(rnd, 80), words(rnd, 52)
+    assert len(short) < 400 <= len(long)
+    texts = [f"{words(rnd, 40)} <{k}> {passage} <{k}> {words(rnd, 40 + k)}" for passage in (long, short) for k in range(6)]
+    texts += [words(rnd, 150) for _ in range(6)]
+    rows = sorted(suffix_dedup.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert [r.n_bytes for r in rows] == [len(t) for t in texts]
+    assert [r.n_removed > 0 for r in rows] == [True] * 6 + [False] * 12
+    assert all(long not in r.text for r in rows) and all(r.text == t for r, t in zip(rows[6:], texts[6:], strict=True))
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == without(texts)
+
+
 def test_repeats_of_odd_tables(spark):
     assert suffix_dedup.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = words(random.Random(1), 100)
