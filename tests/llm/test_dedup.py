@@ -140,6 +140,23 @@ def test_planted_passages_go_from_400_bytes_on(spark):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows] == without(texts)
 
 
+def test_a_frequent_context_is_dealt_into_parts(spark):
+    line = words(random.Random(13), 90)[:400]
+    rows = spark.createDataFrame([(k // 2, k // 2, line) for k in range(80)], "row_id long, row_key long, text string").repartition(16)
+    bits = spark.sparkContext.broadcast(suffix_dedup.packed(np.ones(1 << suffix_dedup.SLOT_BITS, bool)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spans = suffix_dedup._counted(suffix_dedup._contexts(rows, bits), 3)
+        found = spans.withColumn("task", suffix_dedup.F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r[:4] for r in found) == sorted((k // 2, k // 2, 0, 400) for k in range(80))
+    assert len({r.task for r in found}) > 2
+
+
 def test_repeats_of_odd_tables(spark):
     assert suffix_dedup.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = words(random.Random(1), 100)
