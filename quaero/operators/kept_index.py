@@ -3,10 +3,11 @@
 An update writes one segment: the changed notes, their trigrams, words and terms, and a tombstone for each deleted one. Only
 they are read and indexed. A note counts in the latest segment that has it; what older segments hold of it is dead. Segments of
 one level are merged into one of the next when FAN of them stand together, and dead postings go then, so there are about
-FAN * log(updates) segments. Postings lie in folders by bucket of their gram, word or term. A recall reads the buckets that its
-own terms fall into, a search by substrings the words of all buckets, as any of them may hold a piece.
+FAN * log(updates) segments. Trigrams and terms lie in folders by their bucket, and a recall reads the buckets that its own terms
+fall into. Words lie as their notes do, neither dealt nor sorted: a search by substrings reads all of them, as any may hold a piece.
+An index can be told which kinds of postings to write (`kinds`); the others are made from a segment's notes when they are read.
 
-Layout under the folder: notes/seg=, grams/seg=/bucket=, terms/seg=/bucket=, words/seg=/bucket=, and state/v=, a list of the segments in order of age.
+Layout under the folder: notes/seg=, grams/seg=/bucket=, terms/seg=/bucket=, words/seg=, and state/v=, a list of the segments in order of age.
 A state is written last, so an update that is broken off leaves the index as it was; one that is replayed (same or an
 earlier number) changes nothing. One writer at a time.
 """
@@ -15,23 +16,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import sized, stored
 from . import search
 
 FAN, BUCKETS = 4, 32
-_STATE = "place int, seg string, level int, ids long, number long"
+_STATE = "place int, seg string, level int, ids long, number long, kinds array<string>"
 _POSTINGS = {"grams": "gram", "terms": "term", "words": "word"}
 _MADE = {"grams": search.trigram_index, "terms": search.note_terms, "words": search.note_words}
+_DEALT = ("grams", "terms")
 
 
 class KeptIndex:
     """The index in a folder that the driver and all executors see."""
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, fan: int = FAN):
-        self.spark, self.folder, self.buckets, self.fan = spark, folder.rstrip("/"), buckets, fan
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS, fan: int = FAN, kinds: tuple[str, ...] = tuple(_POSTINGS)):
+        self.spark, self.folder, self.buckets, self.fan, self.kinds = spark, folder.rstrip("/"), buckets, fan, kinds
         self._state: list[dict] | None = None
 
     # State
@@ -47,7 +49,7 @@ class KeptIndex:
         return max((int(n.removeprefix("v=")) for n in done), default=0)
 
     def segments(self) -> list[dict]:
-        """The segments from the oldest on: seg, level, ids (rows), number (of the last update in it)."""
+        """The segments from the oldest on: seg, level, ids (rows), number (of the last update in it), kinds (of postings; null: all)."""
         if self._state is None:
             version = self._version()
             rows = self.spark.read.schema(_STATE).json(f"{self.folder}/state/v={version}").orderBy("place").collect() if version else []
@@ -55,23 +57,29 @@ class KeptIndex:
         return self._state
 
     def _keep(self, segments: list[dict]) -> None:
-        rows = [(k, s["seg"], s["level"], s["ids"], s["number"]) for k, s in enumerate(segments)]
+        rows = [(k, s["seg"], s["level"], s["ids"], s["number"], s["kinds"]) for k, s in enumerate(segments)]
         self.spark.createDataFrame(rows, _STATE).coalesce(1).write.mode("overwrite").json(f"{self.folder}/state/v={self._version() + 1}")
         self._state = segments
 
     # Writing
 
     def _write(self, notes: DataFrame, level: int, number: int, postings: dict[str, DataFrame] | None = None) -> dict:
-        """A segment of these notes (with deleted); their postings are made of them if not given."""
+        """A segment of these notes (with deleted); its postings are made of them if not given."""
         seg = uuid.uuid4().hex
         notes.write.parquet(f"{self.folder}/notes/seg={seg}")
         notes = self.spark.read.parquet(f"{self.folder}/notes/seg={seg}")
         alive = notes.where("NOT deleted")
-        for kind, key in _POSTINGS.items():
+        for kind in self.kinds:
             rows = postings[kind] if postings else _MADE[kind](alive)
-            dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
-            dealt.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.folder}/{kind}/seg={seg}")
-        return {"seg": seg, "level": level, "ids": notes.count(), "number": number}
+            if kind in _DEALT:
+                dealt = rows.withColumn("bucket", self._bucket(kind)).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
+                dealt.sortWithinPartitions("bucket", _POSTINGS[kind]).write.partitionBy("bucket").parquet(f"{self.folder}/{kind}/seg={seg}")
+            else:
+                rows.write.parquet(f"{self.folder}/{kind}/seg={seg}")
+        return {"seg": seg, "level": level, "ids": notes.count(), "number": number, "kinds": list(self.kinds)}
+
+    def _bucket(self, kind: str) -> Column:
+        return F.pmod(F.xxhash64(_POSTINGS[kind]), F.lit(self.buckets)).cast("int")
 
     def update(self, changes: DataFrame, number: int) -> bool:
         """Index changed notes and drop deleted ones; False if update `number` has been applied before.
@@ -101,13 +109,20 @@ class KeptIndex:
         notes = self._alive_rows(some)
         if start == 0:
             notes = notes.where("NOT deleted")
-        one = self._write(notes.drop("seg"), some[0]["level"] + 1, some[-1]["number"], {kind: self._postings(kind, some).drop("seg") for kind in _POSTINGS})
+        one = self._write(notes.drop("seg"), some[0]["level"] + 1, some[-1]["number"], {kind: self._postings(kind, some).drop("seg") for kind in self.kinds})
         self._keep([*segments[:start], one, *segments[stop:]])
 
     # Reading
 
+    def _rows(self, kind: str, segment: dict) -> DataFrame:
+        """A segment's notes, or its postings, made of its notes if it does not keep them."""
+        if kind == "notes" or segment["kinds"] is None or kind in segment["kinds"]:
+            return self.spark.read.parquet(f"{self.folder}/{kind}/seg={segment['seg']}")
+        made = _MADE[kind](self._rows("notes", segment).where("NOT deleted"))
+        return made.withColumn("bucket", self._bucket(kind)) if kind in _DEALT else made
+
     def _read(self, kind: str, segments: list[dict]) -> DataFrame:
-        parts = [self.spark.read.parquet(f"{self.folder}/{kind}/seg={s['seg']}").withColumn("seg", F.lit(k)) for k, s in enumerate(segments)]
+        parts = [self._rows(kind, s).withColumn("seg", F.lit(k)) for k, s in enumerate(segments)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p, allowMissingColumns=True)
@@ -130,8 +145,7 @@ class KeptIndex:
     def _postings(self, kind: str, segments: list[dict], keys: DataFrame | None = None) -> DataFrame:
         rows = self._read(kind, segments)
         if keys is not None:
-            name = _POSTINGS[kind]
-            asked = keys.select(F.pmod(F.xxhash64(name), F.lit(self.buckets)).cast("int").alias("bucket")).distinct()
+            asked = keys.select(self._bucket(kind).alias("bucket")).distinct()
             rows = rows.where(F.col("bucket").isin([r.bucket for r in asked.collect()]))  # at most `buckets` numbers
         rows = rows.drop("bucket")
         if len(segments) == 1:
@@ -151,14 +165,14 @@ class KeptIndex:
         return self._postings("terms", self.segments(), keys).select("id", "term", "weight")
 
     def words(self) -> DataFrame:
-        """word, id likewise, of all buckets: any word may hold a piece."""
+        """word, id likewise: all of them, as any word may hold a piece."""
         return self._postings("words", self.segments()).select("word", "id")
 
     # Searching
 
     def bm25_search(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """As search.bm25_search over the notes as they are now."""
-        return search.bm25_ranking(queries, stored(self.notes()), self.words()).where(F.col("rank") <= limit)
+        return search.bm25_ranking(queries, stored(self.notes()), self.words(), limit)
 
     def keyword_recall(self, questions: DataFrame) -> DataFrame:
         """As search.keyword_recall over the notes as they are now."""

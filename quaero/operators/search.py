@@ -45,6 +45,16 @@ def _hits(low: Column, piece: Column) -> Column:
     return F.regexp_count(low, F.concat(F.lit("(?=\\Q"), quoted, F.lit("\\E)")))
 
 
+def _plain_hits(low: Column, piece: Column) -> Column:
+    """The same for a piece that can't overlap itself: by what its text loses without it."""
+    return (F.octet_length(low) - F.octet_length(F.replace(low, piece, F.lit("")))) / F.octet_length(piece)
+
+
+def _overlaps(piece: Column) -> Column:
+    """Whether two occurrences of a piece can overlap: it ends as it begins."""
+    return F.exists(F.sequence(F.lit(1), F.length(piece) - 1), lambda n: F.left(piece, n) == F.right(piece, n))
+
+
 def trigram_index(notes: DataFrame) -> DataFrame:
     """gram, id: the distinct trigrams of each note's title, question and body."""
     return notes.select("id", F.explode(F.array_distinct(F.concat(*(_trigrams(f) for f in _fields())))).alias("gram"))
@@ -96,9 +106,10 @@ def _holders(pieces_: DataFrame, words: DataFrame) -> DataFrame:
     asked = sized(pieces_.select("piece").distinct().withColumn("key", F.substring("piece", 1, KEY)))
     known = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     windows = known.select("word", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word"), F.lit(WINDOW)), lambda i: F.substring(F.col("word"), i, F.lit(WINDOW + KEY - 1)))).alias("w")).where(F.length("w") >= 3)
-    lengths = F.sequence(F.lit(3), F.least(F.lit(KEY), F.length("w")))
-    runs = F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("w") - n + 1), lambda i: F.substring(F.col("w"), i, n)))
-    met = windows.select("word", "n", F.explode(F.array_distinct(F.flatten(runs))).alias("key")).join(asked, "key").where(F.contains("word", "piece"))
+    sizes = windows.select("*", F.explode(F.sequence(F.lit(3), F.least(F.lit(KEY), F.length("w")))).alias("size"))
+    runs = sizes.select("*", F.explode(F.sequence(F.lit(1), F.length("w") - F.col("size") + 1)).alias("at")).withColumn("key", F.expr("substring(w, at, size)"))
+    # What a window holds twice counts where it stands first.
+    met = runs.where("instr(w, key) = at").select("word", "n", "key").join(asked, "key").where(F.contains("word", "piece"))
     # Neighbouring windows share characters, so only longer words can meet a piece twice.
     longer = F.length("word") > WINDOW
     return met.where(~longer).select("piece", "word", "n").unionByName(met.where(longer).select("piece", "word", "n").distinct())
@@ -111,24 +122,21 @@ def _rarest(each: DataFrame, held: DataFrame) -> DataFrame:
     return least.where("all").select("query_id", "g.piece")
 
 
-def _matches(queries: DataFrame, notes: DataFrame, words: DataFrame, held: DataFrame) -> DataFrame:
-    """substring_matches with the pieces (long) and the fields in lower case (field_0 to field_2).
+def _matches(parts: DataFrame, notes: DataFrame, words: DataFrame, held: DataFrame, rarest: DataFrame) -> DataFrame:
+    """substring_matches of the queries' parts (all their columns but short stay), with the fields in lower case (field_0 to field_2).
 
-    The notes that hold a query's rarest piece are looked through for all of its pieces.
+    The notes that hold a query's rarest piece (query_id, piece) are looked through for all of its pieces.
     """
-    q = _parts(queries)
     plain = [ascii_lower(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "conclusion")]
     texts = notes.select("*", *(f.alias(f"field_{k}") for k, f in enumerate(_fields())), *(f.alias(f"plain_{k}") for k, f in enumerate(plain)))
     short = F.forall("short", lambda p: F.contains("plain_0", ascii_lower(p)) | F.contains("plain_1", ascii_lower(p)))
     long = F.forall("long", lambda p: F.contains("field_0", p) | F.contains("field_1", p) | F.contains("field_2", p))
-    asked = q.where(F.size("long") > 0).withColumn("n_long", F.size(F.array_distinct("long")))
-    each = asked.select("query_id", F.explode(F.array_distinct("long")).alias("piece"))
-    rarest = stored(_rarest(each, held))
+    asked = parts.where(F.size("long") > 0).withColumn("n_long", F.size(F.array_distinct("long")))
     of_words = held.join(rarest.select("piece").distinct().hint("shuffle_merge"), "piece").select("piece", "word")
-    near = stored(words.join(of_words.hint("shuffle_merge"), "word").select("piece", "id").distinct())
-    looked = near.join(rarest.hint("shuffle_merge"), "piece").select("query_id", "id").join(asked.hint("shuffle_merge"), "query_id")
+    near = stored(words.join(of_words.hint("shuffle_merge"), "word").select("piece", "id").repartition("piece", "id").distinct())
+    looked = near.join(stored(asked.join(rarest.hint("shuffle_merge"), "query_id")).hint("shuffle_merge"), "piece").drop("piece")
     met = texts.join(looked.hint("shuffle_merge"), "id").where(long & short).drop("short")
-    bare = q.where(F.size("long") == 0).withColumn("n_long", F.lit(0))
+    bare = parts.where(F.size("long") == 0).withColumn("n_long", F.lit(0))
     n_blocks = -(-bare.count() // QUERY_BLOCK)
     block = F.pmod(F.xxhash64("query_id", "short"), F.lit(n_blocks))
     for k in range(n_blocks):
@@ -150,36 +158,55 @@ def substring_matches(queries: DataFrame, notes: DataFrame, words: DataFrame | N
     """
     words = stored(note_words(notes) if words is None else words)
     held = stored(_holders(_asked_pieces(queries), words))
-    return _matches(queries, notes, words, held).drop("long", "field_0", "field_1", "field_2")
+    rarest = stored(_rarest(_asked_pieces(queries), held))
+    return _matches(_parts(queries), notes, words, held, rarest).drop("long", "field_0", "field_1", "field_2")
 
 
 def bm25_search(queries: DataFrame, notes: DataFrame, limit: int = 20) -> DataFrame:
     """The first `limit` notes of each query's ranking."""
-    return bm25_ranking(queries, notes).where(F.col("rank") <= limit)
+    return bm25_ranking(queries, notes, limit=limit)
 
 
-def bm25_ranking(queries: DataFrame, notes: DataFrame, words: DataFrame | None = None) -> DataFrame:
+def bm25_ranking(queries: DataFrame, notes: DataFrame, words: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """query_id, rank, id, score: substring matches by BM25 of the weighted hits, without long piece newest first.
 
     A note's length is its number of trigrams over the three columns; a piece's frequency n is the notes that hold it.
-    Statistics cover all notes. words: as in substring_matches.
+    Statistics cover all notes. words: as in substring_matches. limit: only the first so many of each query.
+
+    Queries of the same pieces are ranked once. A match is scored where it is found, and of those of a task only the first
+    `limit` of a query go on.
     """
     grams = sum((F.greatest(F.lit(0), F.length(F.coalesce(F.col(c), F.lit(""))) - 2) for c, _ in WEIGHTS), F.lit(0))
     measured = notes.withColumn("n_grams", grams)
-    totals = measured.agg(F.count(F.lit(1)).alias("n_all"), F.avg("n_grams").alias("avg_grams"))
+    totals = stored(measured.agg(F.count(F.lit(1)).alias("n_all"), F.avg("n_grams").alias("avg_grams")))
     words = stored(note_words(notes) if words is None else words)
-    held = stored(_holders(_asked_pieces(queries), words))
-    tf = lambda p: sum((F.lit(w) * _hits(F.col(f"field_{k}"), p) for k, (_, w) in enumerate(WEIGHTS)), F.lit(0.0))
-    hits = F.transform("long", lambda p: F.struct(p.alias("piece"), tf(p).alias("tf")))
-    met = stored(_matches(queries, measured, words, held).select("query_id", "id", "created_s", "n_grams", "n_long", hits.alias("hits")))
-    each = met.where("n_long > 0").select("query_id", "id", "created_s", "n_grams", F.explode("hits").alias("h")).select("*", "h.piece", "h.tf").drop("h")
-    weighed = each.join(stored(_frequency(each.select("piece").distinct(), words, held)).hint("shuffle_merge"), "piece").crossJoin(F.broadcast(totals))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n_all") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_grams") / F.col("avg_grams")))
-    by_score = weighed.groupBy("query_id", "id", "created_s").agg(F.round(F.sum(part), 6).alias("score"))
-    rest = met.where("n_long = 0").select("query_id", "id", "created_s", F.lit(0.0).alias("score"))
+    every = stored(_parts(queries))
+    parts = stored(every.groupBy("long", "short").agg(F.min("query_id").alias("query_id")))
+    pieces_ = parts.select("query_id", F.explode("long").alias("piece"))
+    held = stored(_holders(pieces_, words))
+    rarest = stored(_rarest(pieces_, held))
+    weighed = parts.join(_weighed(parts, rarest, words, held, totals).hint("shuffle_merge"), "query_id", "left")
+    met = _matches(weighed, measured.crossJoin(F.broadcast(totals)), words, held, rarest)
+    tf = lambda p, hits: sum((F.lit(w) * hits(F.col(f"field_{k}"), p) for k, (_, w) in enumerate(WEIGHTS)), F.lit(0.0))
+    found = F.transform("weighed", lambda h: F.struct(h.idf.alias("idf"), F.when(h.overlaps, tf(h.piece, _hits)).otherwise(tf(h.piece, _plain_hits)).alias("tf")))
+    part = lambda h: h.idf * h.tf * (K1 + 1) / (h.tf + K1 * (1 - B + B * F.col("n_grams") / F.col("avg_grams")))
+    score = F.when(F.col("n_long") > 0, F.round(F.aggregate(found, F.lit(0.0), lambda x, h: x + part(h)), 6)).otherwise(0.0)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.when(F.col("score") == 0, F.col("created_s"))), "id")
-    return by_score.unionByName(rest).withColumn("rank", F.row_number().over(order)).select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+    ranked = met.select("query_id", "id", "created_s", score.alias("score")).withColumn("rank", F.row_number().over(order))
+    ranked = ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    same = every.join(parts.withColumnRenamed("query_id", "first").hint("shuffle_merge"), ["long", "short"]).select("query_id", "first")
+    out = ranked.withColumnRenamed("query_id", "first").join(same.hint("shuffle_merge"), "first")
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "score")
+
+
+def _weighed(parts: DataFrame, rarest: DataFrame, words: DataFrame, held: DataFrame, totals: DataFrame) -> DataFrame:
+    """query_id, weighed: piece, idf and whether it overlaps itself, of each of a query's pieces in their order; only of queries whose
+    pieces are all held."""
+    each = stored(parts.join(rarest.select("query_id").hint("shuffle_merge"), "query_id", "left_semi").select("query_id", F.posexplode("long").alias("at", "piece")))
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n_all") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5)))
+    known = _frequency(each.select("piece").distinct(), words, held).crossJoin(F.broadcast(totals)).select("piece", idf.alias("idf"), _overlaps(F.col("piece")).alias("overlaps"))
+    rows = each.join(stored(known).hint("shuffle_merge"), "piece")
+    return stored(rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "piece", "idf", "overlaps"))).alias("weighed")))
 
 
 def _frequency(pieces_: DataFrame, words: DataFrame, held: DataFrame) -> DataFrame:
@@ -189,7 +216,8 @@ def _frequency(pieces_: DataFrame, words: DataFrame, held: DataFrame) -> DataFra
     one = told.where("n_words = 1").select("piece", F.col("n").alias("n_with"))
     codes = stored(told.where("n_words > 1").select("piece").distinct().withColumn("code", F.monotonically_increasing_id()))
     several = told.where("n_words > 1").select("piece", "word").join(codes.hint("shuffle_merge"), "piece").select("code", "word")
-    notes = words.join(several.hint("shuffle_merge"), "word").select("code", "id").distinct().groupBy("code").agg(F.count(F.lit(1)).alias("n_with"))
+    # Dealt before rows are made distinct: a word's notes are few of a piece's, so there is little to drop earlier.
+    notes = words.join(several.hint("shuffle_merge"), "word").select("code", "id").repartition("code", "id").distinct().groupBy("code").agg(F.count(F.lit(1)).alias("n_with"))
     return one.unionByName(codes.join(notes.hint("shuffle_merge"), "code").select("piece", "n_with"))
 
 

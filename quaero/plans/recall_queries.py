@@ -41,10 +41,10 @@ def keyword_recall(spark, d):
     return R.keyword_recall(_asked(spark, d), S.questions(spark, d)).select("query_id", "id", F.round("score", 4).alias("score"))
 
 
-def _kept_index(spark, d):
-    """An index that has seen each question three times: with its answer as its title beside a note that is deleted later, in a
-    part of them without a title, and as it is."""
-    index = KeptIndex(spark, shared_folder(spark), fan=2)
+def _kept_index(spark, d, kind):
+    """An index of one kind of postings that has seen each question three times: with its answer as its title beside a note that is
+    deleted later, in a part of them without a title, and as it is."""
+    index = KeptIndex(spark, shared_folder(spark), fan=2, kinds=(kind,))
     q = S.questions(spark, d).withColumn("deleted", F.lit(False))
     doubled = q.withColumn("title", F.col("conclusion")).unionByName(q.withColumn("id", -F.col("id")))
     index.update(doubled, 1)
@@ -55,11 +55,11 @@ def _kept_index(spark, d):
 
 
 def kept_index_search(spark, d):
-    return _kept_index(spark, d).bm25_search(_asked(spark, d))
+    return _kept_index(spark, d, "words").bm25_search(_asked(spark, d))
 
 
 def kept_index_recall(spark, d):
-    return _kept_index(spark, d).keyword_recall(_asked(spark, d)).select("query_id", "id", F.round("score", 4).alias("score"))
+    return _kept_index(spark, d, "terms").keyword_recall(_asked(spark, d)).select("query_id", "id", F.round("score", 4).alias("score"))
 
 
 def _vector_queries(spark, d):

@@ -1,11 +1,13 @@
 """The kept index against a rebuild, over random updates, merges, replays and broken-off updates."""
 
+import os
 import random
 
 from pyspark.sql import functions as F
 
 from quaero.operators import search
 from quaero.operators.kept_index import KeptIndex
+from quaero.plans import recall_queries
 
 NOTE = "id long, title string, question string, conclusion string, topic_id long, created_s long, deleted boolean"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -65,3 +67,27 @@ def test_a_broken_off_update_changes_nothing(spark, tmp_path, monkeypatch):
     again = KeptIndex(spark, str(tmp_path / "index"))
     assert [r.id for r in again.notes().collect()] == [1]
     assert again.update(note(2, "beta"), 2) and sorted(r.id for r in again.notes().collect()) == [1, 2]
+
+
+def test_kinds_that_are_not_kept_are_made_when_read(spark, tmp_path):
+    note = lambda i, t: (i, t, t, None, 1, 1, False)
+    index = KeptIndex(spark, str(tmp_path / "index"), buckets=4, fan=2, kinds=("words",))
+    index.update(spark.createDataFrame([note(1, "alpha beta"), note(2, "gamma"), note(3, "delta")], NOTE), 1)
+    index.update(spark.createDataFrame([note(2, "alpha"), (3, None, None, None, None, None, True)], NOTE), 2)
+    index.update(spark.createDataFrame([note(4, "epsilon")], NOTE), 3)
+    assert not {"grams", "terms"} & set(os.listdir(index.folder)) and len(index.segments()) == 2
+    again = KeptIndex(spark, str(tmp_path / "index"), buckets=4, fan=2)  # keeps all kinds from here on
+    for _ in range(2):
+        plain = again.notes()
+        assert rows_of(again.grams()) == rows_of(search.trigram_index(plain).select("gram", "id"))
+        assert rows_of(again.terms(spark.createDataFrame([("alpha",)], "term string")).where("term = 'alpha'")) == [(1, "alpha", 2.0), (2, "alpha", 2.0)]
+        assert rows_of(again.words()) == rows_of(search.note_words(plain))
+        again.update(spark.createDataFrame([note(5, "zeta"), note(1, "alpha eta")], NOTE), 4)
+    assert len(again.segments()) == 1 and "grams" in os.listdir(again.folder)
+
+
+def test_the_query_writes_only_the_postings_it_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(recall_queries, "shared_folder", lambda _: str(tmp_path / "index"))
+    recall_queries.kept_index_search(spark, "/root/testdata/sf0.001")
+    assert sorted(os.listdir(tmp_path / "index")) == ["notes", "state", "words"]
+    assert not [f for _, folders, _ in os.walk(tmp_path / "index/words") for f in folders if f.startswith("bucket=")]

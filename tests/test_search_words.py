@@ -1,5 +1,6 @@
 """Searches by the words that hold a piece against contains() over all pairs."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -59,3 +60,35 @@ def test_a_common_piece_is_not_looked_for_in_every_note(spark):
     rarest = search._rarest(each, search._holders(each, words))
     assert {(r.query_id, r.piece) for r in rarest.collect()} == {(i, f"note{i:03d}") for i in range(200)}
     assert search.bm25_search(queries, notes).count() == 200
+
+
+def test_rankings_of_repeated_queries_and_of_pieces_that_overlap_themselves(spark, monkeypatch):
+    """Against BM25 in plain Python; equal queries are looked for once, and a limit leaves the same first notes."""
+    rng = random.Random(5)
+    text = lambda k: " ".join("".join(rng.choice("aaÄb.") for _ in range(rng.choice([2, 3, 5, 8]))) for _ in range(rng.randrange(k)))
+    notes = [(i, text(4), text(6), rng.choice([None, text(12)]), rng.randrange(9)) for i in range(80)]
+    asked = ["aaa", "aba aaa", "ÄÄ aÄa", "b.a", "aab aab", "aaaa a", "ab", "a."] * 3
+    queries = [(q, s.upper() if q % 2 else s) for q, s in enumerate(asked)]
+    low = [[(s or "").lower() for s in n[1:4]] for n in notes]
+    size = [sum(max(0, len(s) - 2) for s in f) for f in low]
+    hits = lambda s, p: sum(s.startswith(p, i) for i in range(len(s)))
+    want = []
+    for q, s in queries:
+        long, short = [p for p in s.lower().split() if len(p) >= 3], [p for p in s.split() if len(p) < 3]
+        ascii_ = lambda x: "".join(c.lower() if c < "\x80" else c for c in x or "")
+        found = [k for k in range(80) if all(any(p in f for f in low[k]) for p in long) and all(ascii_(p) in ascii_(notes[k][1]) or ascii_(p) in ascii_(notes[k][3]) for p in short)]
+        rows = []
+        for k in found:
+            score = 0.0
+            for p in long:
+                n, tf = sum(any(p in f for f in x) for x in low), sum(w * hits(f, p) for w, f in zip((3, 2, 1), low[k]))
+                score += max(1e-6, math.log((80 - n + 0.5) / (n + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size[k] / (sum(size) / 80)))
+            rows.append((-round(score, 6), -notes[k][4] if not long else 0, k))
+        want += [(q, r, k, -x) for r, (x, _, k) in enumerate(sorted(rows), 1)]
+    looked, whole = [], search._matches
+    monkeypatch.setattr(search, "_matches", lambda parts, *a: (looked.append(parts.count()), whole(parts, *a))[1])
+    n, q = spark.createDataFrame(notes, NOTES), spark.createDataFrame(queries, "query_id long, query string")
+    got = sorted((r.query_id, r.rank, r.id, r.score) for r in search.bm25_ranking(q, n).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want)) and len(want) > 300
+    assert looked == [len({tuple(p.lower() if len(p) >= 3 else p for p in s.split()) for _, s in queries})] and looked[0] < len(queries)
+    assert sorted((r.query_id, r.rank, r.id, r.score) for r in search.bm25_search(q, n, 3).collect()) == [g for g in got if g[1] <= 3]
